@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from albumflow.llm import exact_dedup, language, mixing, quality, substring_dedup, suffix_dedup
+from albumflow.llm import exact_dedup, language, mixing, near_dedup, quality, substring_dedup, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(_documents(spark, sf_dir))
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_documents(spark, sf_dir), size=4)
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held_out = quality.remainder(4) == 2
@@ -48,7 +52,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language, op3_substring_dedup, op4_exact_dedup, op6_quality, op7_suffix_dedup, op9_mixing)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_language, op3_substring_dedup, op4_exact_dedup, op6_quality, op7_suffix_dedup, op9_mixing)}
 
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
