@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from albumflow.llm import exact_dedup, language, mixing, near_dedup, quality, substring_dedup, suffix_dedup
+from albumflow.llm import exact_dedup, language, lm_scoring, mixing, near_dedup, quality, substring_dedup, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +51,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).drop("source", "copies")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = quality.remainder(5) == 1
+    rows, total = lm_scoring.score_all(docs, docs.where(~held_out))
+    columns = "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
+    return rows.select(*columns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_language, op3_substring_dedup, op4_exact_dedup, op6_quality, op7_suffix_dedup, op9_mixing)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_language, op3_substring_dedup, op4_exact_dedup, op6_quality, op7_suffix_dedup, op9_mixing, op10_lm_scoring)}
 
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
