@@ -34,6 +34,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Everything but digits, A-Z, a-z and bytes of characters outside ASCII.
+MARKS = np.ones(256, dtype=bool)
+for _low, _high in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
+    MARKS[_low:_high] = False
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 32
 BYTE_VALUES = mix64(np.arange(1, 257, dtype=U64))
@@ -110,13 +114,13 @@ class Words(NamedTuple):
     bounds: np.ndarray
 
 
-def split_words(texts: Texts) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of every text of a slice."""
+def split_words(texts: Texts, separators: np.ndarray = _SPACE) -> Words:
+    """Words of every text of a slice; by default ``[^\\x20\\x09-\\x0D]+``."""
     data, bounds = texts.data, texts.bounds
     if not len(data):
         none = np.zeros(0, dtype=np.int64)
         return Words(none, none, np.zeros(texts.count + 1, dtype=np.int64))
-    space = _SPACE[data]
+    space = separators[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[1:-1] = space[1:] != space[:-1]
     edge[bounds] = True
