@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from albumflow.llm.kernels import Texts, text_slices
-from albumflow.llm.shared import arrow_schema
+from albumflow.llm.shared import arrow_schema, sample
 
 LENGTH = 192
 WIDTHS = (2, 4, 6)
@@ -132,7 +132,7 @@ def fit(data: np.ndarray, label: np.ndarray, languages: list[str], steps: int =
 
 def train(docs: DataFrame, labelled: DataFrame, limit: int = TRAIN_ROWS) -> Model:
     """Fit to rows (text, lang) of ``labelled``, a part of docs."""
-    sample = labelled.where("lang is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(limit).select("doc_id", "lang", "text")
+    rows = sample(labelled.where("lang is not null").select("doc_id", "lang", "text"), limit)
     ddl = "doc_id bigint, lang string, part int, data binary"
     schema = arrow_schema(ddl)
 
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labelled: DataFrame, limit: int = TRAIN_ROWS) -> Mode
                 columns = [batch.column(0).cast(pa.int64()).take(rows), batch.column(1).take(rows), pa.array(number[take].astype(np.int32)), pa.array([data[i].tobytes() for i in take], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    rows = sample.mapInArrow(extract, ddl).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("part", "ascending")])
+    rows = rows.mapInArrow(extract, ddl).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("part", "ascending")])
     names = rows.column("lang").to_pylist()
     languages = sorted(set(names))
     if not languages:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from albumflow.llm.kernels import BYTE_VALUES, RunningHash, Texts, U64, mix64, split_words, text_slices
-from albumflow.llm.shared import arrow_schema
+from albumflow.llm.shared import arrow_schema, sample
 
 DIMENSIONS = 1 << 20
 TRAIN_ROWS = 8000
@@ -73,8 +73,8 @@ def _train_rows(docs: DataFrame, labels: DataFrame, limit: int) -> pa.Table:
     """label, numbers, values of a bounded sample of labelled rows (doc_id, label)."""
     ddl = "label int, doc_id bigint, numbers array<int>, amounts array<float>"
     schema = arrow_schema(ddl)
-    sample = labels.where("label is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(limit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "doc_id", "text")
+    few = sample(labels.where("label is not null and doc_id is not null"), limit)
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("label", "doc_id", "text")
 
     def extract(batches):
         for batch in batches:

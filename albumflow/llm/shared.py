@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -64,3 +65,16 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sample(df: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` rows with the smallest hash of doc_id.
+
+    With many more rows than that, rows with a large hash are left out before the sort, so
+    that no task sorts or gathers more than a small multiple of ``limit`` rows.
+    """
+    key = F.xxhash64("doc_id")
+    count = df.count()
+    if count > 4 * limit:
+        df = df.where(key < int(2**64 * 2 * limit / count) - 2**63)
+    return df.orderBy(key, "doc_id").limit(limit)
