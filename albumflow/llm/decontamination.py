@@ -36,12 +36,12 @@ from albumflow.llm.shared import arrow_schema, saved
 
 TERMS = 1 << 18
 RANK = 256
-WINDOW = 48
-STRIDE = 24
+WINDOW = 32
+STRIDE = 16
 PASSAGE = 64
 SHORTEST = 8
 ITEMS = 1024
-COSINE = 0.33
+COSINE = 0.42
 COMMON = 0.6
 ANSWER = 0.5
 
@@ -208,18 +208,18 @@ def search(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, float, flo
             span = start[at, None] + np.arange(WINDOW)
             used = np.minimum(span, len(term) - 1)
             here = np.where(span < end[at, None], index.known[term[used]], -1)
-            vectors = np.zeros((len(at), index.basis.shape[1]), dtype=np.float32)
             which, column = np.nonzero(here >= 0)
-            amount = weight[used[which, column]].astype(np.float32)
-            rows = index.basis[here[which, column]] * amount[:, None]
-            edge = np.flatnonzero(np.append(True, which[1:] != which[:-1])) if len(which) else which
-            if len(which):
-                vectors[which[edge]] = np.add.reduceat(rows, edge, axis=0)
+            terms, number = np.unique(here[which, column], return_inverse=True)
+            amount = np.bincount(which * len(terms) + number, weight[used[which, column]], minlength=len(at) * len(terms))
+            vectors = amount.reshape(len(at), -1).astype(np.float32) @ index.basis[terms]
             cosine = vectors @ index.latent.T / norm[at, None]
             for w, passage in zip(*np.nonzero(cosine >= COSINE), strict=True):
                 k, reach = at[w], len(index.tokens[passage])
                 low, high = bounds[row[k]], bounds[row[k] + 1]
                 near = tokens[max(low, start[k] - reach) : min(high, end[k] + reach)]
+                # words in common, in any order, bound the common subsequence
+                if (index.tokens[passage][:, None] == near).any(axis=1).mean() < COMMON:
+                    continue
                 common, answer = _covers(index, passage, near)
                 if common >= COMMON and answer >= ANSWER:
                     yield first + row[k], int(index.items[passage]), float(cosine[w, passage]), common, answer
