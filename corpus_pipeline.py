@@ -1,7 +1,8 @@
 """Training-corpus pipeline: five operators in a row, each over all its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
-stage's rows as Parquet in the shared folder and reads them again for the next.  All
+stage's rows as Parquet in the shared folder and reads them again for the next; the rows
+before are then deleted.  All
 stages but the last return the columns of documents, whatever those are; the last adds
 ``copies`` (how often the mix takes a document) and its source's ``target`` in words, and leaves
 out documents that are not taken.  Nulls, empty texts, ties and empty tables are treated
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumflow.llm import decontamination, exact_dedup, mixing, near_dedup, quality
-from albumflow.llm.shared import fresh, new_folder
+from albumflow.llm.shared import fresh, new_folder, remove_folder
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +58,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = new_folder(spark, "pipeline")
+    before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = new_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return docs
