@@ -182,3 +182,38 @@ def elapsed_text(seconds: Column) -> Column:
     """``hh:mm:ss``; hours wrap at 24."""
     whole = F.floor(seconds)
     return F.format_string("%02d:%02d:%02d", F.pmod(F.floor(whole / 3600), F.lit(24)), F.pmod(F.floor(whole / 60), F.lit(60)), F.pmod(whole, F.lit(60)))
+
+
+def normal_date(text: Column) -> Column:
+    """``YYYYMMDD`` or any separators as ``YYYY:MM:DD``; other texts stay."""
+    digits = r"^\s*(\d{4})[-:/. ]?(\d{2})[-:/. ]?(\d{2})\s*$"
+    return F.regexp_replace(text, digits, "$1:$2:$3")
+
+
+def normal_time(text: Column) -> Column:
+    """``HHMMSS``, with or without a zone, as ``HH:MM:SS[+HH:MM]``; other texts stay."""
+    out = F.regexp_replace(text, r"^\s*(\d{2}):?(\d{2}):?(\d{2}(?:\.\d+)?)\s*", "$1:$2:$3")
+    return F.regexp_replace(out, r"([+-]\d{2}):?(\d{2})\s*$", "$1:$2")
+
+
+def date_problem(text: Column) -> Column:
+    """What is wrong with an EXIF date text; null if nothing is.  A blank date is allowed."""
+    pattern = r"^(\d{4}):(\d{2}):(\d{2}) (\d{2}):(\d{2}):(\d{2})$"
+    part = lambda i: F.regexp_extract(text, pattern, i).cast("int")
+    shape = F.when(text.rlike(pattern), F.when(part(2).between(1, 12) & part(3).between(1, 31), F.when((part(4) > 23) | (part(5) > 59) | (part(6) > 59), "bad time")).otherwise("bad date")).otherwise("bad format")
+    return F.when(F.coalesce(text.rlike(r"^[\s:]*$") | (text == ZERO_DATE), F.lit(True)), None).otherwise(shape)
+
+
+def gps_time(hour: Column, minute: Column, second: Column) -> Column:
+    """``HH:MM:SS`` of three numbers whose fractions carry down and whose seconds carry up."""
+    total = F.round((hour * 3600 + minute * 60 + second) * 1000) / 1000
+    whole = F.floor(total)
+    rest = total - whole
+    clock = F.format_string("%02d:%02d:%02d", F.floor(whole / 3600), F.pmod(F.floor(whole / 60), F.lit(60)), F.pmod(whole, F.lit(60)))
+    return F.concat(clock, F.when(rest > 0, F.regexp_replace(F.substring(F.format_string("%.3f", rest.cast("double")), 2, 4), "0+$", "")).otherwise(""))
+
+
+def shift_all(rows, shift: str):
+    """rows with every time column shifted."""
+    names = [name for name, kind in rows.dtypes if kind == "timestamp_ntz"]
+    return rows.withColumns({n: shift_by(F.col(n), shift) for n in names})

@@ -169,3 +169,10 @@ def histogram_bin(value: Column, low: float, high: float, bins: int = 20) -> Col
     """Bin 0 to bins-1; the greatest value is in the last bin."""
     width = (high - low) / bins or 1.0
     return F.least(F.floor((value - low) / width), F.lit(bins - 1)).cast("int")
+
+
+def rational(value: Column, largest: int = 1000) -> Column:
+    """The fraction ``n/d`` nearest to a number, d at most ``largest``, the smallest d of equals."""
+    tries = F.transform(F.sequence(F.lit(1), F.lit(largest)), lambda d: F.struct(F.round(F.abs(value - F.round(value * d) / d), 9).alias("error"), d.alias("d")))
+    d = F.array_min(tries)["d"]
+    return F.concat(F.round(value * d).cast("bigint").cast("string"), F.lit("/"), d.cast("string"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,3 +120,48 @@ def is_number(text: Column) -> Column:
 def shortened(text: Column, limit: int = 60) -> Column:
     """Text cut to ``limit`` characters with a mark of what is missing."""
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 5), F.lit("[...]"))).otherwise(text)
+
+
+def decode_bytes(data: Column, charset: str = "UTF-8") -> Column:
+    """Bytes as text; those that are no text in UTF-8 as ``base64:...``."""
+    if charset.upper() != "UTF-8":
+        return F.decode(data, charset)
+    raw = data.cast("string")
+    return F.when(F.is_valid_utf8(raw), raw).otherwise(F.concat(F.lit("base64:"), F.base64(data)))
+
+
+def quoted_list(values: Column) -> Column:
+    """Items joined by ``; ``; those with a separator or a quote are quoted, quotes doubled."""
+    one = lambda x: F.when(x.rlike('[;"]') | (x == ""), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+    return F.array_join(F.transform(values, one), "; ")
+
+
+def unquoted_list(text: Column) -> Column:
+    """The items of ``quoted_list``."""
+    items = F.regexp_extract_all(text, F.lit(r'(?:^|; )("(?:[^"]|"")*"|[^";]*)'), 1)
+    bare = lambda x: F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(items, lambda x: F.when(x.startswith('"'), bare(x)).otherwise(x))
+
+
+def struct_text(pairs: Column) -> Column:
+    """A map as ``{a=b,c=d}``, keys in order; ``|`` escapes what would end a value."""
+    escaped = lambda v: F.regexp_replace(v, r"([\|,\}\]])", r"|$1")
+    entries = F.array_sort(F.map_entries(pairs))
+    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), escaped(e["value"]))), ","), F.lit("}"))
+
+
+def text_struct(text: Column) -> Column:
+    """The map of a flat ``struct_text``."""
+    parts = F.regexp_extract_all(text, F.lit(r"(\w+=(?:[^|,}\]]|\|.)*)"), 1)
+    entry = lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.regexp_replace(F.regexp_replace(p, r"^\w+=", ""), r"\|(.)", "$1").alias("value"))
+    return F.map_from_entries(F.transform(parts, entry))
+
+
+def same_map(a: Column, b: Column) -> Column:
+    """Whether two maps hold the same entries, in any order; nulls are equal."""
+    return F.array_sort(F.map_entries(a)).eqNullSafe(F.array_sort(F.map_entries(b)))
+
+
+def filter_items(values: Column, change: Callable[[Column], Column]) -> Column:
+    """Apply a text function to every item of a list."""
+    return F.transform(values, change)

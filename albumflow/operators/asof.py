@@ -119,3 +119,13 @@ def merge_tracks(tracks: list[DataFrame], key: str = "device", time: str = "t")
     names = [c for c in rows.columns if c not in (key, time, "_order")]
     best = F.max_by(F.struct(*names), "_order").alias("_best")
     return rows.groupBy(key, time).agg(best).select(key, time, "_best.*")
+
+
+def interpolate_each(points: DataFrame, fixes: DataFrame, key: str, time: str, values: list[str], **limits) -> DataFrame:
+    """Like ``interpolate``, but each value from the fixes around the point that have it."""
+    out = None
+    ids = [c for c in points.columns if c not in values]
+    for v in values:
+        own = interpolate(points, fixes.where(F.col(v).isNotNull()), key, time, [v], **limits).drop("position")
+        out = own if out is None else out.join(own, ids)
+    return out

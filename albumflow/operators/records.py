@@ -145,3 +145,37 @@ def add_derived(rows: DataFrame, table: dict[str, Derived]) -> DataFrame:
             rows = rows.withColumn(name, F.when(ok, d.make(*values)))
             have.add(name)
     return rows
+
+
+def tag_order(rows: DataFrame, order: str = "file", group: str = "group0", partition: str = "source_file") -> list[Column]:
+    """Sort columns of tags: ``file`` order, by ``tag``, or by ``group`` in order of appearance, then file order."""
+    if order == "tag":
+        return [F.lower("tag"), F.col("file_order")]
+    if order == "group":
+        return [F.min("file_order").over(Window.partitionBy(partition, group)), F.col("file_order")]
+    return [F.col("file_order")]
+
+
+def tags_from_file(rows: DataFrame, source: DataFrame, path: Column, key: str, columns: list[str]) -> DataFrame:
+    """rows with ``columns`` taken from the row of ``source`` whose key is ``path``; their own stay without one."""
+    other = source.select(F.col(key).alias("_from"), *[F.col(c).alias(f"_new_{c}") for c in columns])
+    joined = rows.join(other, path == F.col("_from"), "left")
+    return joined.select(*[c for c in rows.columns if c not in columns], *[F.coalesce(f"_new_{c}", c).alias(c) for c in columns])
+
+
+def first_existing(rows: DataFrame, listing: DataFrame, candidates: list[Column], name: str = "source") -> DataFrame:
+    """rows plus the first of the candidate paths that is in ``listing`` (path), or null."""
+    out = rows
+    found = []
+    for i, candidate in enumerate(candidates):
+        here = listing.select(F.col("path").alias(f"_there_{i}")).distinct()
+        out = out.join(here, candidate == F.col(f"_there_{i}"), "left")
+        found.append(F.col(f"_there_{i}"))
+    return out.select(*rows.columns, F.coalesce(*found).alias(name))
+
+
+def run_counters(report: DataFrame) -> DataFrame:
+    """files, copied, overwritten, failed, folders, and the exit code: 1 if a file failed, 2 if none passed a condition."""
+    is_ = lambda s: F.count_if(F.col("status") == s)
+    counts = report.agg(F.count("*").alias("files"), is_("copied").alias("copied"), is_("overwritten").alias("overwritten"), is_("error").alias("failed"), F.countDistinct("dir").alias("folders"))
+    return counts.withColumn("exit_code", F.when(F.col("files") == 0, 2).when(F.col("failed") > 0, 1).otherwise(0))

@@ -515,3 +515,102 @@ def tag_names(spark, sf_dir):
 def csv_report(spark, sf_dir):
     o = views.load(spark, sf_dir, "orders").withColumn("note", F.concat("o_orderpriority", F.lit(', "'), "o_orderstatus", F.lit('"')))
     return o.select("o_orderkey", records.csv_lines(o, ["o_orderkey", "note", "o_custkey"]).alias("line"))
+
+
+# Smaller operators.
+
+
+@query
+def date_texts(spark, sf_dir):
+    compact = F.date_format("ts", "yyyyMMdd")
+    clock = F.concat(F.date_format("ts", "HHmmss"), F.lit("+0100"))
+    return views.media(spark, sf_dir).select("path", dates.normal_date(compact).alias("day"), dates.normal_time(clock).alias("clock"), dates.date_problem(col("meta")).alias("problem"))
+
+
+@query
+def gps_times(spark, sf_dir):
+    n = col("event_id")
+    own = dates.gps_time(n % 24, (n % 60).cast("double"), n % 60 + F.when(n % 2 == 0, 0.25).otherwise(0.0))
+    return views.media(spark, sf_dir).select("path", own.alias("clock"))
+
+
+@query
+def shift_every_date(spark, sf_dir):
+    rows = views.load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.add_months("o_orderdate", 0).cast("timestamp_ntz").alias("day"))
+    return dates.shift_all(rows, "0:0:1 2")
+
+
+@query
+def rational_text(spark, sf_dir):
+    return views.load(spark, sf_dir, "part").select("p_partkey", numbers.rational(col("p_size") / 8.0, 16).alias("fraction"))
+
+
+@query
+def list_texts(spark, sf_dir):
+    o = views.load(spark, sf_dir, "orders")
+    items = F.array("o_orderstatus", F.concat("o_orderpriority", F.lit('; "x"')))
+    joined = text.quoted_list(items)
+    back = text.filter_items(text.unquoted_list(joined), F.lower)
+    return o.select("o_orderkey", joined.alias("joined"), text.join_list(back, "|").alias("items"))
+
+
+@query
+def struct_texts(spark, sf_dir):
+    o = views.load(spark, sf_dir, "orders")
+    pairs = F.create_map(F.lit("b"), F.concat("o_orderpriority", F.lit(",}")), F.lit("a"), col("o_orderstatus"))
+    shown = text.struct_text(pairs)
+    return o.select("o_orderkey", shown.alias("shown"), text.same_map(text.text_struct(shown), pairs).alias("same"))
+
+
+@query
+def bytes_as_text(spark, sf_dir):
+    e = views.load(spark, sf_dir, "events")
+    data = F.when(col("event_id") % 2 == 0, F.unhex(F.lit("FF00"))).otherwise(F.encode("event_type", "UTF-8"))
+    return e.select("event_id", text.decode_bytes(data).alias("shown"), text.decode_bytes(F.encode("event_type", "UTF-16BE"), "UTF-16BE").alias("wide"))
+
+
+@query
+def tag_sort_rank(spark, sf_dir):
+    from pyspark.sql import Window
+
+    t = views.load(spark, sf_dir, "events").select(col("user_id").alias("source_file"), col("event_type").alias("tag"), F.substring("event_type", 1, 1).alias("group0"), col("event_id").alias("file_order"))
+    keyed = t
+    for i, key in enumerate(records.tag_order(t, "group")):
+        keyed = keyed.withColumn(f"k{i}", key)
+    rank = F.row_number().over(Window.partitionBy("source_file").orderBy("k0", "k1"))
+    return keyed.select("file_order", rank.cast("long").alias("rank"))
+
+
+@query
+def copy_from_other_file(spark, sf_dir):
+    m = views.media(spark, sf_dir).select("event_id", "meta")
+    return records.tags_from_file(m.where("event_id % 2 = 0"), m.where("event_id % 2 = 1"), col("event_id") + 1, "event_id", ["meta"])
+
+
+@query
+def alternate_source(spark, sf_dir):
+    m = views.media(spark, sf_dir)
+    listing = m.where("event_id % 3 <> 0").select("path")
+    options = [col("path"), F.concat_ws("/", "dir", F.concat("stem", F.lit(".mp4")))]
+    return records.first_existing(m.select("path", "dir", "stem"), listing, options).select("path", "source")
+
+
+@query
+def run_counts(spark, sf_dir):
+    rows = route.with_collisions(views.contested(spark, sf_dir)).withColumn("dir", F.substring_index("path", "/", 1))
+    return records.run_counters(rows)
+
+
+@query
+def interpolate_each_value(spark, sf_dir):
+    fixes = views.track(spark, sf_dir, True).select("device", "t", "value", F.when(col("event_id") % 4 == 0, col("value") * 2).alias("alt"))
+    points = views.track(spark, sf_dir, False).select("event_id", "device", "t")
+    rows = asof.interpolate_each(points, fixes, "device", "t", ["value", "alt"], max_gap=200_000, max_reach=50_000)
+    return rows.select("event_id", F.round("value", 4).alias("value"), F.round("alt", 4).alias("alt"))
+
+
+@query
+def camera_fallbacks(spark, sf_dir):
+    n = col("p_partkey")
+    p = views.load(spark, sf_dir, "part").select(n, F.when(n % 3 == 0, 0.0).when(n % 3 == 1, n * 1.0).alias("a"), (n % 5).cast("double").alias("b"), F.when(n % 7 == 0, 30.0).alias("bulb"))
+    return p.select("p_partkey", numbers.aperture(col("a"), col("b")).alias("aperture"), numbers.shutter_speed(col("a"), col("b"), col("bulb")).alias("shutter"), numbers.balance(col("b"), n.cast("double")).alias("red"))

@@ -208,6 +208,37 @@ SQL = {
     "tag_names": """
         SELECT event_id, upper(event_type[1:1]) || event_type[2:] || ' Date ' || user_id || ' GPS Info' AS label FROM events""",
     "csv_report": '''SELECT o_orderkey, o_orderkey || ',"' || o_orderpriority || ', ""' || o_orderstatus || '""",' || o_custkey AS line FROM orders''',
+    "date_texts": """
+        SELECT path, strftime(ts, '%Y:%m:%d') AS day, strftime(ts, '%H:%M:%S') || '+01:00' AS clock, CASE WHEN meta = 'n/a' THEN 'bad format' END AS problem FROM media""",
+    "gps_times": """
+        SELECT path, printf('%02d:%02d:%02d', event_id % 24, event_id % 60, event_id % 60) || CASE WHEN event_id % 2 = 0 THEN '.25' ELSE '' END AS clock FROM media""",
+    "shift_every_date": "SELECT o_orderkey, o_orderdate + INTERVAL 26 HOUR AS o_orderdate, date_trunc('day', o_orderdate)::TIMESTAMP + INTERVAL 26 HOUR AS day FROM orders",
+    "rational_text": "SELECT p_partkey, p_size // gcd(p_size, 8) || '/' || 8 // gcd(p_size, 8) AS fraction FROM part",
+    "list_texts": '''
+        SELECT o_orderkey, o_orderstatus || '; "' || o_orderpriority || '; ""x"""' AS joined, lower(o_orderstatus) || '|' || lower(o_orderpriority) || '; "x"' AS items FROM orders''',
+    "struct_texts": "SELECT o_orderkey, '{a=' || o_orderstatus || ',b=' || o_orderpriority || '|,|}}' AS shown, true AS same FROM orders",
+    "bytes_as_text": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'base64:/wA=' ELSE event_type END AS shown, event_type AS wide FROM events",
+    "tag_sort_rank": """
+        SELECT event_id AS file_order, row_number() OVER (PARTITION BY user_id ORDER BY f, event_id) AS rank
+        FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type[1:1]) AS f FROM events)""",
+    "copy_from_other_file": "SELECT a.event_id, coalesce(b.meta, a.meta) AS meta FROM media a LEFT JOIN media b ON b.event_id = a.event_id + 1 AND b.event_id % 2 = 1 WHERE a.event_id % 2 = 0",
+    "alternate_source": """
+        SELECT path, CASE WHEN event_id % 3 != 0 THEN path END AS source FROM media""",
+    "run_counts": """
+        SELECT count(*) AS files, count(*) FILTER (w) AS copied, count(*) FILTER (NOT w) AS overwritten, 0::BIGINT AS failed, count(DISTINCT split_part(path, '/', 1)) AS folders, 0 AS exit_code
+        FROM (SELECT path, path = max(path) OVER (PARTITION BY target_path) AS w FROM contested)""",
+    "interpolate_each_value": """
+        SELECT event_id, round(max(v) FILTER (k = 1), 4) AS value, round(max(v) FILTER (k = 2), 4) AS alt FROM (
+          SELECT event_id, k, CASE WHEN s = s0 THEN v0 WHEN s1 - s0 <= 200000 THEN v0 + (s - s0) / (s1 - s0) * (v1 - v0)
+            WHEN (s1 IS NULL OR s - s0 <= s1 - s) THEN CASE WHEN s - s0 <= 50000 THEN v0 END WHEN s1 - s <= 50000 THEN v1 END AS v
+          FROM (SELECT p.event_id, p.k, a.v AS v0, b.v AS v1, floor(epoch(p.t))::DOUBLE AS s, floor(epoch(a.t))::DOUBLE AS s0, floor(epoch(b.t))::DOUBLE AS s1
+            FROM (SELECT *, unnest([1, 2]) AS k FROM point) p
+            ASOF LEFT JOIN (SELECT 1 AS k, user_id AS device, ts AS t, value AS v FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 2, user_id, ts, value * 2 FROM events WHERE event_id % 4 = 0) a ON a.k = p.k AND a.device = p.device AND p.t >= a.t
+            ASOF LEFT JOIN (SELECT 1 AS k, user_id AS device, ts AS t, value AS v FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 2, user_id, ts, value * 2 FROM events WHERE event_id % 4 = 0) b ON b.k = p.k AND b.device = p.device AND p.t < b.t))
+        GROUP BY event_id""",
+    "camera_fallbacks": """
+        SELECT p_partkey, coalesce(nullif(a, 0), nullif(b, 0)) AS aperture, CASE WHEN p_partkey % 7 = 0 THEN 30.0::DOUBLE ELSE coalesce(a, b) END AS shutter, CASE WHEN p_partkey > 0 THEN b / p_partkey END AS red
+        FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN p_partkey::DOUBLE END AS a, (p_partkey % 5)::DOUBLE AS b FROM part)""",
 }
 
 
