@@ -104,6 +104,7 @@ def text_slices(texts: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> I
         to = min(max(to, at + 1), len(texts))
         yield Texts(at, to - at, data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at])
         at = to
+    pa.default_memory_pool().release_unused()  # the worker stays; its freed buffers need not
 
 
 class Words(NamedTuple):

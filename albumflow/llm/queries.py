@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumflow.llm import decontamination, exact_dedup, language, licenses, lm_scoring, mixing, near_dedup, quality, substring_dedup, suffix_dedup
+from albumflow.llm.shared import small_batches
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

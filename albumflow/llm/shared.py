@@ -25,6 +25,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows from now on, so that tasks on long texts hold
+    little outside the JVM's heap.  A smaller setting of the user's stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage: rows are written to the shared folder and read from there."""
     shared_folder(df.sparkSession)
