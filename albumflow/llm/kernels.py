@@ -133,8 +133,16 @@ def split_words(texts: Texts, separators: np.ndarray = _SPACE) -> Words:
 
 def word_hashes(texts: Texts, words: Words, fold: bool) -> np.ndarray:
     """A 64-bit hash of each word; ``fold`` lower-cases A-Z first."""
-    values = (BYTE_VALUES_FOLDED if fold else BYTE_VALUES)[texts.data]
-    return RunningHash(values)(words.start, words.end)
+    value = BYTE_VALUES_FOLDED if fold else BYTE_VALUES
+    out = np.empty(len(words.start), dtype=U64)
+    at = 0
+    while at < len(out):  # once, but for very long texts
+        first = words.start[at]
+        to = max(at + 1, int(np.searchsorted(words.end, first + 4 * SLICE_BYTES, side="right")))
+        part = RunningHash(value[texts.data[first : words.end[to - 1]]])
+        out[at:to] = part(words.start[at:to] - first, words.end[at:to] - first)
+        at = to
+    return out
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

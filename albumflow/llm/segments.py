@@ -38,14 +38,33 @@ class Kind(NamedTuple):
         return RunningHash(word_hashes(texts, words, fold=False)), words.bounds
 
 
-def scan(kind: Kind, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Texts, RunningHash, np.ndarray, Segments]]:
-    """Ids (nulls left out), texts, hashes, symbol bounds and segments of each slice of (doc_id, text)."""
+LONG_PART = 4 << 20
+
+
+def _parts(texts: Texts, kind: Kind) -> Iterator[tuple[Texts, int]]:
+    """A slice as it is, or a very long text of bytes in parts that share no window; each part's place.
+
+    Segments end where parts do, so equal text may lie in unequal segments; those have
+    one key, and their windows are compared one by one.
+    """
+    if kind.words or texts.count > 1 or len(texts.data) <= 2 * LONG_PART:
+        yield texts, 0
+        return
+    for at in range(0, len(texts.data) - kind.window + 1, LONG_PART):
+        data = texts.data[at : at + LONG_PART + kind.window - 1]
+        yield Texts(texts.first, 1, data, np.array([0, len(data)])), at
+
+
+def scan(kind: Kind, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Texts, RunningHash, np.ndarray, Segments, int]]:
+    """Ids (nulls left out), texts, hashes, symbol bounds, segments, and place of the symbols, of each
+    slice of (doc_id, text)."""
     batch = batch.filter(batch.column(0).is_valid())
     ids = batch.column(0).to_numpy(zero_copy_only=False)
-    for texts in text_slices(batch.column(1)):
-        hashes, bounds = kind.hashes(texts)
-        found = window_segments(hashes, bounds, kind.window, kind.gram)
-        yield ids[texts.first : texts.first + texts.count], texts, hashes, bounds, found
+    for whole in text_slices(batch.column(1)):
+        for texts, place in _parts(whole, kind):
+            hashes, bounds = kind.hashes(texts)
+            found = window_segments(hashes, bounds, kind.window, kind.gram)
+            yield ids[texts.first : texts.first + texts.count], texts, hashes, bounds, found, place
 
 
 def classes(docs: DataFrame, kind: Kind) -> DataFrame:
@@ -55,7 +74,7 @@ def classes(docs: DataFrame, kind: Kind) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            for ids, _, _, _, s in scan(kind, batch):
+            for ids, _, _, _, s, _ in scan(kind, batch):
                 yield pa.RecordBatch.from_arrays([pa.array(signed(s.key)), pa.array(signed(s.digest)), pa.array(s.windows.astype(np.int32)), pa.array(ids[s.row])], schema=schema)
 
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, ddl)
@@ -88,14 +107,14 @@ def occurrences(docs: DataFrame, kind: Kind, filters, name: str, ddl: str, detai
     def rows(batches):
         every, several = filters.value
         for batch in batches:
-            for ids, texts, hashes, bounds, s in scan(kind, batch):
+            for ids, texts, hashes, bounds, s, place in scan(kind, batch):
                 here = np.flatnonzero((several if only_several else every)(s.key))
                 s = Segments(*(x[here] for x in s))
                 deep = several(s.key)
                 extra = np.full(len(deep), None, dtype=object)
                 at = np.flatnonzero(deep)
                 extra[at] = detail(hashes, texts, bounds, Segments(*(x[at] for x in s)))
-                arrays = [signed(s.key), signed(s.digest), s.windows, ids[s.row], s.start, s.anchor]
+                arrays = [signed(s.key), signed(s.digest), s.windows, ids[s.row], s.start + place, s.anchor]
                 columns = [pa.array(x).cast(f.type) for x, f in zip(arrays, schema, strict=False)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(extra, schema.field(name).type)], schema=schema)
 

@@ -8,13 +8,14 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import ODD, SCHEMA, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from albumflow.llm import bloom, components, exact_dedup, near_dedup, substring_dedup, suffix_dedup
+from albumflow.llm import bloom, components, exact_dedup, near_dedup, segments, substring_dedup, suffix_dedup
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -265,6 +266,20 @@ def test_suffix_dedup(spark, odd, monkeypatch, large):
     assert got == bytes_by_hand(rows(df))
 
 
+def test_suffix_dedup_of_very_long_texts(spark, monkeypatch):
+    long = prose(77, 3000)
+    rows_ = [(1, long + prose(78, 2000)), (2, prose(79, 700) + long), (3, long[:5000])]
+    df = spark.createDataFrame(rows_, "doc_id bigint, text string")
+    want = bytes_by_hand(rows_)
+    kind = segments.Kind(False, suffix_dedup.LENGTH, suffix_dedup.GRAM)
+    monkeypatch.setattr(segments, "LONG_PART", 1500)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [rows_[0][1]]})
+    seen = [place + a + i for _, _, _, _, s, place in segments.scan(kind, batch) for a, n in zip(s.start.tolist(), s.windows.tolist(), strict=True) for i in range(n)]
+    assert sorted(seen) == list(range(len(rows_[0][1]) - suffix_dedup.LENGTH + 1))
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(df).collect())
+    assert got == want
+
+
 @pytest.mark.parametrize("name", ["clashing", "empty"])
 def test_suffix_dedup_of_odd_tables(request, name):
     df = request.getfixturevalue(name)
