@@ -11,7 +11,7 @@
    ``COMMON`` of the passage's tokens, and ``ANSWER`` of the weight of the passage's last quarter (its
    answer) occurs there.  So changed, missing or added words are tolerated.
 
-The benchmark is taken in blocks of ``ITEMS`` rows, so that what is broadcast is bounded.
+The benchmark is dealt to blocks of about ``ITEMS`` rows, so that what is broadcast is bounded.
 Tokens are runs of digits, letters and characters outside ASCII, lower-cased.
 
 Edge cases: null and empty texts match nothing; passages of fewer than ``SHORTEST`` tokens prove nothing and are
@@ -28,7 +28,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from albumflow.llm.kernels import MARKS, U64, split_words, table, text_slices, word_hashes
@@ -149,10 +149,11 @@ def _latent_basis(block: DataFrame, weights: np.ndarray, known: np.ndarray, seed
 
 
 def indexes(benchmark: DataFrame, weights: np.ndarray) -> Iterator[Index]:
-    """The benchmark (item_id, text) in blocks of bounded size."""
-    numbered = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
-    numbered = saved(numbered.withColumn("block", F.floor((F.row_number().over(Window.orderBy("item_id", "text")) - 1) / ITEMS)))
-    for i in range((numbered.agg(F.max("block")).first()[0] or 0) + 1):
+    """The benchmark (item_id, text) in blocks of about ``ITEMS`` rows."""
+    rows = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").dropDuplicates()
+    blocks = -(-rows.count() // ITEMS)
+    numbered = saved(rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks)))))
+    for i in range(blocks):
         block = numbered.where(F.col("block") == i).select("item_id", "text")
         items, passages = _passages(block.toArrow())
         if not passages:
