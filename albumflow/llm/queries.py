@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumflow.llm import decontamination, exact_dedup, language, licenses, lm_scoring, mixing, near_dedup, quality, substring_dedup, suffix_dedup
+from albumflow.llm.oracles import ORACLES
 from albumflow.llm.shared import small_batches
 
 
@@ -73,15 +74,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_near_dedup, op2_language, op3_substring_dedup, op4_exact_dedup, op5_decontamination, op6_quality, op7_suffix_dedup, op8_licenses, op9_mixing, op10_lm_scoring)}
 
 
-_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-
 def oracle_sql() -> dict[str, str]:
-    folded = _FOLD.format("coalesce(text, '')")
-    return {
-        "op4_exact_dedup": f"""
-            SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-                   doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
-            FROM (SELECT doc_id, {folded} AS t FROM documents)
-            WINDOW w AS (PARTITION BY t)""",
-    }
+    return dict(ORACLES)

@@ -254,13 +254,14 @@ def test_queries_are_named_by_number():
     assert set(queries.oracle_sql()) <= set(names)
 
 
-def test_op4_against_duckdb(spark):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_against_duckdb(spark, name):
     import duckdb
 
     con = duckdb.connect()
     con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
-    own = queries.op4_exact_dedup(spark, "/root/testdata/sf0.001")
-    sql = con.execute(queries.oracle_sql()["op4_exact_dedup"])
+    own = queries.queries()[name](spark, "/root/testdata/sf0.001")
+    sql = con.execute(queries.oracle_sql()[name])
     assert [d[0] for d in sql.description] == own.columns
     assert sorted(sql.fetchall()) == sorted(map(tuple, own.collect()))
 
