@@ -12,7 +12,9 @@
    of more than ``BLOCK`` rows is never gathered: in every tree it is cut into regions, each as
    deep as needed to have at most ``BLOCK`` rows; those still larger at the full depth are
    dealt by hash, with the region's first row in every part.
-5. Components of the confirmed links; the smallest doc_id of each stays.
+5. Rows of such a cluster that are not yet in its main component are compared with all its
+   rows of a possible size, block by block.  So every link inside a cluster counts.
+6. Components of the confirmed links; the smallest doc_id of each stays.
 
 Edge cases: null and empty texts have an empty set and link with nothing; a text of fewer
 words than a shingle is one shingle; rows with a null doc_id are components of their own;
@@ -41,6 +43,7 @@ SHALLOW = 3
 REACH = 256
 BLOCK = 2048
 POSTINGS = 4_000_000  # up to so many shingles a block is inverted in memory
+SIZE_STEP = 1.26  # sets whose sizes are more than two such steps apart cannot be linked
 SURELY_NOT = 0.14  # an estimate this far below the threshold (4.5 deviations) rules a pair out
 
 _FACTORS = mix64(np.arange(1000, 1000 + TREES * DEPTH, dtype=U64)) | U64(1)
@@ -206,9 +209,34 @@ def _regions(rows: DataFrame, clusters: DataFrame) -> DataFrame:
     return out.unionByName(sized.select(part.alias("block"), "id")).unionByName(hubs).distinct()
 
 
-def confirmed(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _leftovers(rows: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
+    """(block, id, component) that bring each row outside its cluster's main component together
+    with every row of the cluster of a possible size; ``members`` are (id, cluster)."""
+    of = members.join(rows.select("id", "n_shingles"), "id").join(found.toDF("id", "component"), "id", "left")
+    step = F.floor(F.log("n_shingles") / F.log(F.lit(SIZE_STEP))).cast("int").alias("step")
+    of = saved(of.select("cluster", "id", F.coalesce("component", "id").alias("component"), step))
+    main = of.groupBy("cluster", "component").agg(F.count("*").alias("size"))
+    main = main.groupBy("cluster").agg(F.max(F.struct("size", "component"))["component"].alias("main"))
+    rest = saved(of.join(main, "cluster").where("component <> main").drop("main"))
+    parts = F.ceil(F.count("*") / (BLOCK // 2))
+    few = rest.groupBy("cluster", "step").agg(parts.alias("few"))
+    few = few.select("cluster", F.col("step").alias("from"), "few", F.explode(F.array(F.col("step") - 1, "step", F.col("step") + 1)).alias("step"))
+    meet = saved(few.join(of.groupBy("cluster", "step").agg(parts.alias("many")), ["cluster", "step"]))
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        side = side.withColumn(own, F.pmod(F.xxhash64("id"), own))
+        side = side.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        return side.select(F.concat_ws("/", "cluster", "from", "few", "to", "many").alias("block"), "id", "component")
+
+    ways = meet.withColumnRenamed("step", "to")
+    left = dealt(rest.withColumnRenamed("step", "from").join(ways, ["cluster", "from"]), "few", "many")
+    right = dealt(of.withColumnRenamed("step", "to").join(ways, ["cluster", "to"]), "many", "few")
+    return left.unionByName(right).distinct()
+
+
+def confirmed(sets: list[np.ndarray], percent: int, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links between sets with 100 * |intersection| >= percent * |union|; of those that
-    do not join components more, some are left out."""
+    do not join components more, some are left out.  Sets of equal ``root`` are in one component."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
@@ -222,7 +250,7 @@ def confirmed(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndar
         bounds = np.append(0, np.cumsum(size))
         overlap = np.bincount(owner, often[term], minlength=n) / n
         order = np.argsort(-overlap / (size + size.mean() - overlap), kind="stable")  # the most typical first
-    root = np.arange(n)
+    root = np.arange(n) if root is None else root.copy()
     a, b = [], []
     later = np.ones(n, dtype=bool)
     for i in order:
@@ -249,7 +277,7 @@ def confirmed(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndar
 
 
 def _confirmed_links(docs: DataFrame, blocks: DataFrame, count: int, size: int, percent: int) -> DataFrame:
-    """Exact links (a, b) within each of (block, id), from the documents' full sets."""
+    """Exact links (a, b) within each of (block, id, component), from the documents' full sets."""
     ids = blocks.select(F.col("id").alias("key")).distinct()
     spread = docs.sparkSession.sparkContext.broadcast(bloom.build(ids, count))
     set_schema, schema = arrow_schema("id bigint, shingles binary"), arrow_schema("a bigint, b bigint")
@@ -260,27 +288,29 @@ def _confirmed_links(docs: DataFrame, blocks: DataFrame, count: int, size: int,
         sets = [s.tobytes() for _, s in shingle_sets(batch.column(1), size)]
         yield table(set_schema, batch.column(0), pa.array(sets, pa.binary()))
 
-    def solve(ids: list[int], sets: list[bytes]):
-        known = dict(zip(ids, sets, strict=True))  # rows that repeat a document are one
+    def solve(ids: list[int], joined: list[int], sets: list[bytes]):
+        known = dict(zip(ids, zip(joined, sets, strict=True), strict=True))  # rows that repeat a document are one
         names = np.array(list(known))
-        a, b = confirmed([np.frombuffer(x, U64) for x in known.values()], percent)
+        root = np.array([x[0] for x in known.values()])
+        a, b = confirmed([np.frombuffer(x[1], U64) for x in known.values()], percent, root)
         return table(schema, names[a], names[b])
 
     def run(batches):
-        block, ids, sets = None, [], []
+        block, ids, joined, sets = None, [], [], []
         for batch in batches:
-            for name, i, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, i, component, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if name != block:
                     if len(ids) > 1:
-                        yield solve(ids, sets)
-                    block, ids, sets = name, [], []
+                        yield solve(ids, joined, sets)
+                    block, ids, joined, sets = name, [], [], []
                 ids.append(i)
+                joined.append(component)
                 sets.append(s)
         if len(ids) > 1:
-            yield solve(ids, sets)
+            yield solve(ids, joined, sets)
 
     sets = arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), fetch, "id bigint, shingles binary")
-    rows = sets.join(blocks, "id").select("block", "id", "shingles")
+    rows = sets.join(blocks, "id").select("block", "id", "component", "shingles")
     dealt = rows.repartition(partitions(docs), "block").sortWithinPartitions("block")
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
@@ -299,10 +329,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     total, largest = sizes.agg(F.sum("size"), F.max("size")).first()
     members = clusters.join(sizes, "cluster")
     blocks = members.where(F.col("size") <= BLOCK).select(F.col("cluster").cast("string").alias("block"), "id")
+    crowded = members.where(F.col("size") > BLOCK).select("id", "cluster")
     if (largest or 0) > BLOCK:
-        blocks = blocks.unionByName(_regions(rows, members.where(F.col("size") > BLOCK).select("id", "cluster")))
-    blocks = saved(blocks)
+        blocks = blocks.unionByName(_regions(rows, crowded))
+    blocks = saved(blocks.withColumn("component", F.col("id")))
     found = components(_confirmed_links(docs, blocks, total or 0, size, percent))
+    if (largest or 0) > BLOCK:
+        more = saved(_leftovers(rows, crowded, found))
+        if not more.isEmpty():
+            links = _confirmed_links(docs, more, total, size, percent)
+            found = components(links.unionByName(found.toDF("a", "b")))
     groups = rows.select(*same, "id").join(found.toDF("id", "component"), "id", "left")
     groups = groups.select(*same, F.least(F.coalesce("component", "id"), "id").alias("component"))
     out = signed_docs.drop("sig").join(groups, same, "left")

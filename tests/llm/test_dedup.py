@@ -134,6 +134,13 @@ def test_near_copies_in_whole_and_divided_clusters(spark, monkeypatch, block):
     check_near(spark.createDataFrame(near_copies(90) + other, SCHEMA).repartition(4), 5)
 
 
+def test_rows_left_over_in_a_divided_cluster_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 25)
+    monkeypatch.setattr(near_dedup, "_regions", lambda rows, clusters: spark.createDataFrame([], "block string, id bigint"))
+    other = [(i + 500, *rest) for i, *rest in near_copies(30, 2)]
+    check_near(spark.createDataFrame(near_copies(90) + other, SCHEMA).repartition(4), 5)
+
+
 def test_drop_near_duplicates(spark, odd):
     df = odd.unionByName(spark.createDataFrame(near_copies(20), SCHEMA))
     out = near_dedup.drop_near_duplicates(df)
@@ -156,6 +163,12 @@ def test_confirmed_links_join_what_they_should(sets, invert):
     everyone = np.array(true, dtype=np.int64).reshape(-1, 2)
     assert (components.forest(len(sets), a, b) == components.forest(len(sets), everyone[:, 0], everyone[:, 1])).all()
     assert {(max(x), min(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} <= set(true)
+    root = np.arange(len(sets)) // 3
+    a, b = near_dedup.confirmed(arrays, 80, root)
+    assert (root[a] != root[b]).all()
+    inside = np.flatnonzero(root[1:] == root[:-1])
+    joined = [components.forest(len(sets), np.append(x, inside), np.append(y, inside + 1)) for x, y in ((a, b), everyone.T)]
+    assert (joined[0] == joined[1]).all()
 
 
 # Substring dedup.
