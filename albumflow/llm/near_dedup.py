@@ -43,6 +43,7 @@ SHALLOW = 3
 REACH = 256
 BLOCK = 2048
 POSTINGS = 4_000_000  # up to so many shingles a block is inverted in memory
+SALTS = 64  # parts of a crowded region's rows in the join with its size
 SIZE_STEP = 1.26  # sets whose sizes are more than two such steps apart cannot be linked
 SURELY_NOT = 0.14  # an estimate this far below the threshold (4.5 deviations) rules a pair out
 
@@ -193,16 +194,18 @@ def _regions(rows: DataFrame, clusters: DataFrame) -> DataFrame:
     left = saved(arrow_map(rows.join(clusters, "id").select("id", "sig", "cluster"), explode, "cluster bigint, tree int, path binary, id bigint"))
     out = None
     for depth in range(SHALLOW, DEPTH + 1):
-        keyed = left.withColumn("head", F.substring("path", 1, 4 * depth))
+        keyed = left.withColumn("head", F.substring("path", 1, 4 * depth)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
         region = ["cluster", "tree", "head"]
-        sized = keyed.join(keyed.groupBy(*region).agg(F.count("*").alias("size"), F.min("id").alias("hub")), region)
+        large = keyed.groupBy(*region).agg(F.count("*").alias("size"), F.min("id").alias("hub")).where(F.col("size") > BLOCK)
+        large = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        sized = saved(keyed.join(large, [*region, "salt"], "left"))
         name = F.concat_ws("/", "cluster", "tree", F.lit(depth), F.hex("head"))
-        fits = sized.where(F.col("size") <= BLOCK).select(name.alias("block"), "id")
+        fits = sized.where("size is null").select(name.alias("block"), "id")
         out = fits if out is None else out.unionByName(fits)
-        left = saved(sized.where(F.col("size") > BLOCK).select("cluster", "tree", "path", "id"))
+        left = sized.where("size is not null").select("cluster", "tree", "path", "id")
         if left.isEmpty():
             return out
-    sized = sized.where(F.col("size") > BLOCK).withColumn("parts", F.ceil(F.col("size") / (BLOCK - 1)))
+    sized = sized.where("size is not null").withColumn("parts", F.ceil(F.col("size") / (BLOCK - 1)))
     part = F.concat_ws("/", name, F.pmod(F.xxhash64("id"), "parts"))
     hubs = sized.where("id = hub").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     hubs = hubs.select(F.concat_ws("/", name, "part").alias("block"), "id")
