@@ -3,15 +3,17 @@
 1. Document frequencies of hashed tokens over all documents give the TF-IDF weights.
 2. Benchmark passages (items, cut at ``PASSAGE`` tokens) form a TF-IDF matrix; Spark tasks
    sketch it with random vectors, and a Nystrom step on the bounded sketch gives its
-   leading singular vectors: the latent space.  It is fitted to the benchmark because those
+   singular vectors: the latent space.  It is fitted to the benchmark because those
    are the directions to be found; every window of every document is projected to it.
+   A space has about ``RANK`` passages, and all the directions that these have.
 3. Windows of ``WINDOW`` tokens whose latent cosine with a passage is at least ``COSINE``
    are candidates; windows that cannot reach it are ruled out by their weight on benchmark tokens.
 4. A candidate counts if the longest common subsequence with the text around it covers
    ``COMMON`` of the passage's tokens, and ``ANSWER`` of the weight of the passage's last quarter (its
    answer) occurs there.  So changed, missing or added words are tolerated.
 
-The benchmark is dealt to blocks of about ``ITEMS`` rows, so that what is broadcast is bounded.
+The benchmark's passages are dealt to spaces, and about ``ITEMS`` of them are searched in one pass
+over the documents, so that what is broadcast is bounded.
 Tokens are runs of digits, letters and characters outside ASCII, lower-cased.
 
 Edge cases: null and empty texts match nothing; passages of fewer than ``SHORTEST`` tokens prove nothing and are
@@ -47,7 +49,7 @@ ANSWER = 0.5
 
 
 class Index(NamedTuple):
-    """One block of the benchmark, and the latent space."""
+    """The passages of one latent space."""
 
     weights: np.ndarray  # inverse document frequency of each term
     known: np.ndarray  # term -> row of ``basis``, or -1
@@ -87,18 +89,28 @@ def term_weights(docs: DataFrame) -> np.ndarray:
     return np.log1p(max(docs.count(), 1) / (df + 1)).astype(np.float32)
 
 
-def _passages(rows: pa.Table) -> tuple[list[int], list[np.ndarray]]:
-    items, out = [], []
-    ids = rows.column("item_id").to_pylist()
-    for first, count, tokens, bounds in token_slices(rows.column("text").combine_chunks()):
-        for i in range(count):
-            own = tokens[bounds[i] : bounds[i + 1]]
-            for at in range(0, max(1, len(own) - PASSAGE // 2), PASSAGE // 2):
-                piece = own[at : at + PASSAGE]
-                if len(piece) >= SHORTEST:
-                    items.append(ids[first + i])
-                    out.append(piece)
-    return items, out
+def cut_passages(benchmark: DataFrame) -> DataFrame:
+    """(item_id, tokens) of every distinct passage of the benchmark (item_id, text)."""
+    schema = arrow_schema("item_id bigint, tokens binary")
+
+    def run(batches):
+        for batch in batches:
+            for first, count, tokens, bounds in token_slices(batch.column(1)):
+                rows, out = [], []
+                for i in range(count):
+                    own = tokens[bounds[i] : bounds[i + 1]]
+                    for at in range(0, max(1, len(own) - PASSAGE // 2), PASSAGE // 2):
+                        piece = own[at : at + PASSAGE]
+                        if len(piece) >= SHORTEST:
+                            rows.append(first + i)
+                            out.append(piece.tobytes())
+                yield table(schema, batch.column(0).take(pa.array(rows, pa.int64())), out)
+
+    return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id bigint, tokens binary").distinct()
+
+
+def _tokens(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, U64) for x in column.to_pylist()]
 
 
 def _rows(passages: list[np.ndarray], weights: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -110,13 +122,13 @@ def _rows(passages: list[np.ndarray], weights: np.ndarray, known: np.ndarray) ->
     return out
 
 
-def _latent_basis(block: DataFrame, weights: np.ndarray, known: np.ndarray, seed: int = 3) -> np.ndarray:
-    """Leading right singular vectors of the block's TF-IDF matrix, from one distributed pass.
+def _latent_basis(block: DataFrame, passages: list[np.ndarray], weights: np.ndarray, known: np.ndarray, seed: int = 3) -> np.ndarray:
+    """All right singular vectors of the block's TF-IDF matrix, from one distributed pass.
 
     Each task adds up G = A'(A R) over its passages, R being random; G and R give the
-    Nystrom approximation of A'A.
+    Nystrom approximation of A'A.  What rounding leaves of a passage outside is added.
     """
-    size, rank = int(known.max()) + 1, min(RANK, int(known.max()) + 1)
+    size, rank = int(known.max()) + 1, min(len(passages), int(known.max()) + 1)
     random = np.random.default_rng(seed).normal(size=(size, rank)).astype(np.float32)
     spread = block.sparkSession.sparkContext.broadcast((weights, known, random))
     schema = arrow_schema("part int, data binary")
@@ -126,9 +138,8 @@ def _latent_basis(block: DataFrame, weights: np.ndarray, known: np.ndarray, seed
         weights, known, random = spread.value
         total = None
         for batch in batches:
-            _, passages = _passages(pa.Table.from_batches([batch]))
-            if passages:
-                rows = _rows(passages, weights, known)
+            if batch.num_rows:
+                rows = _rows(_tokens(batch.column(0)), weights, known)
                 sketch = rows.T @ (rows @ random)
                 total = sketch if total is None else total + sketch
         if total is not None:
@@ -136,7 +147,7 @@ def _latent_basis(block: DataFrame, weights: np.ndarray, known: np.ndarray, seed
                 yield table(schema, [part], [total[at : at + step].tobytes()])
 
     sketch = np.zeros((size, rank), dtype=np.float64)
-    for row in block.mapInArrow(run, "part int, data binary").toLocalIterator():
+    for row in block.select("tokens").mapInArrow(run, "part int, data binary").toLocalIterator():
         at = row.part * step
         piece = np.frombuffer(row.data, np.float32).reshape(-1, rank)
         sketch[at : at + len(piece)] += piece
@@ -145,27 +156,38 @@ def _latent_basis(block: DataFrame, weights: np.ndarray, known: np.ndarray, seed
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     good = values > values.max() * 1e-7
     u, s, _ = np.linalg.svd(sketch @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
-    return u[:, s > s.max() * 1e-4].astype(np.float32)
-
-
-def indexes(benchmark: DataFrame, weights: np.ndarray) -> Iterator[Index]:
-    """The benchmark (item_id, text) in blocks of about ``ITEMS`` rows."""
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").dropDuplicates()
-    blocks = -(-rows.count() // ITEMS)
-    numbered = saved(rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks)))))
+    basis = u[:, s > s.max() * 1e-4]
+    rows = _rows(passages, weights, known).astype(np.float64)
+    left = rows - (rows @ basis) @ basis.T
+    left = left[np.linalg.norm(left, axis=1) > 1e-3 * np.linalg.norm(rows, axis=1)]
+    return np.hstack([basis, np.linalg.qr(left.T)[0]]).astype(np.float32)
+
+
+def indexes(benchmark: DataFrame, weights: np.ndarray) -> Iterator[list[Index]]:
+    """The benchmark (item_id, text) in latent spaces of about ``RANK`` passages, as many at
+    once as have about ``ITEMS``."""
+    rows = cut_passages(benchmark)
+    rows = saved(rows.withColumn("hash", F.xxhash64("item_id", "tokens")))
+    count = rows.count()
+    blocks = -(-count // min(RANK, ITEMS))
+    numbered = rows.withColumn("block", F.pmod("hash", F.lit(max(1, blocks))))
+    group = []
     for i in range(blocks):
-        block = numbered.where(F.col("block") == i).select("item_id", "text")
-        items, passages = _passages(block.toArrow())
-        if not passages:
-            continue
-        terms = np.unique(_terms(np.concatenate(passages)))
-        known = np.full(TERMS, -1, dtype=np.int32)
-        known[terms] = np.arange(len(terms))
-        basis = _latent_basis(block, weights, known)
-        latent = _rows(passages, weights, known) @ basis
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-        ids = np.array([-1 if x is None else x for x in items], dtype=np.int64)
-        yield Index(weights, known, basis, latent, ids, passages)
+        block = numbered.where(F.col("block") == i).select("item_id", "tokens")
+        own = block.toArrow()
+        if own.num_rows:
+            passages = _tokens(own.column("tokens"))
+            terms = np.unique(_terms(np.concatenate(passages)))
+            known = np.full(TERMS, -1, dtype=np.int32)
+            known[terms] = np.arange(len(terms))
+            basis = _latent_basis(block, passages, weights, known)
+            latent = _rows(passages, weights, known) @ basis
+            latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+            ids = own.column("item_id").fill_null(-1).to_numpy()
+            group.append(Index(weights, known, basis, latent, ids, passages))
+        if group and (i + 1 == blocks or len(group) >= max(1, ITEMS // RANK)):
+            yield group
+            group = []
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -189,41 +211,47 @@ def _covers(index: Index, passage: int, near: np.ndarray) -> tuple[float, float]
     return common_subsequence(own, near) / len(own), float(weight[np.isin(answer, near)].sum() / weight.sum())
 
 
-def search(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
+def search(group: list[Index], texts: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
     """Row, item_id, cosine, common share and answer share of every match in a column of texts."""
     for first, count, tokens, bounds in token_slices(texts):
-        term = _terms(tokens)
-        weight = index.weights[term].astype(np.float64)
-        total = np.append(0.0, np.cumsum(weight * weight))
-        inside = np.append(0.0, np.cumsum(np.where(index.known[term] >= 0, weight * weight, 0.0)))
-        size = np.diff(bounds)
-        windows = np.where(size > 0, 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE)), 0)
-        row = np.repeat(np.arange(count), windows)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-        start = bounds[row] + place * STRIDE
-        end = np.minimum(start + WINDOW, bounds[row + 1])
-        norm = np.sqrt(np.maximum(total[end] - total[start], 1e-9))
-        able = np.flatnonzero(np.sqrt(np.maximum(inside[end] - inside[start], 0.0)) >= COSINE * norm)
-        for i in range(0, len(able), 512):
-            at = able[i : i + 512]
-            span = start[at, None] + np.arange(WINDOW)
-            used = np.minimum(span, len(term) - 1)
-            here = np.where(span < end[at, None], index.known[term[used]], -1)
-            which, column = np.nonzero(here >= 0)
-            terms, number = np.unique(here[which, column], return_inverse=True)
-            amount = np.bincount(which * len(terms) + number, weight[used[which, column]], minlength=len(at) * len(terms))
-            vectors = amount.reshape(len(at), -1).astype(np.float32) @ index.basis[terms]
-            cosine = vectors @ index.latent.T / norm[at, None]
-            for w, passage in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                k, reach = at[w], len(index.tokens[passage])
-                low, high = bounds[row[k]], bounds[row[k] + 1]
-                near = tokens[max(low, start[k] - reach) : min(high, end[k] + reach)]
-                # words in common, in any order, bound the common subsequence
-                if (index.tokens[passage][:, None] == near).any(axis=1).mean() < COMMON:
-                    continue
-                common, answer = _covers(index, passage, near)
-                if common >= COMMON and answer >= ANSWER:
-                    yield first + row[k], int(index.items[passage]), float(cosine[w, passage]), common, answer
+        for index in group:
+            for row, *found in _search(index, tokens, bounds):
+                yield first + row, *found
+
+
+def _search(index: Index, tokens: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, float, float, float]]:
+    count, term = len(bounds) - 1, _terms(tokens)
+    weight = index.weights[term].astype(np.float64)
+    total = np.append(0.0, np.cumsum(weight * weight))
+    inside = np.append(0.0, np.cumsum(np.where(index.known[term] >= 0, weight * weight, 0.0)))
+    size = np.diff(bounds)
+    windows = np.where(size > 0, 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE)), 0)
+    row = np.repeat(np.arange(count), windows)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+    start = bounds[row] + place * STRIDE
+    end = np.minimum(start + WINDOW, bounds[row + 1])
+    norm = np.sqrt(np.maximum(total[end] - total[start], 1e-9))
+    able = np.flatnonzero(np.sqrt(np.maximum(inside[end] - inside[start], 0.0)) >= COSINE * norm)
+    for i in range(0, len(able), 512):
+        at = able[i : i + 512]
+        span = start[at, None] + np.arange(WINDOW)
+        used = np.minimum(span, len(term) - 1)
+        here = np.where(span < end[at, None], index.known[term[used]], -1)
+        which, column = np.nonzero(here >= 0)
+        terms, number = np.unique(here[which, column], return_inverse=True)
+        amount = np.bincount(which * len(terms) + number, weight[used[which, column]], minlength=len(at) * len(terms))
+        vectors = amount.reshape(len(at), -1).astype(np.float32) @ index.basis[terms]
+        cosine = vectors @ index.latent.T / norm[at, None]
+        for w, passage in zip(*np.nonzero(cosine >= COSINE), strict=True):
+            k, reach = at[w], len(index.tokens[passage])
+            low, high = bounds[row[k]], bounds[row[k] + 1]
+            near = tokens[max(low, start[k] - reach) : min(high, end[k] + reach)]
+            # words in common, in any order, bound the common subsequence
+            if (index.tokens[passage][:, None] == near).any(axis=1).mean() < COMMON:
+                continue
+            common, answer = _covers(index, passage, near)
+            if common >= COMMON and answer >= ANSWER:
+                yield int(row[k]), int(index.items[passage]), float(cosine[w, passage]), common, answer
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -233,8 +261,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     out = spark.createDataFrame([], ddl)
-    for index in indexes(benchmark, term_weights(docs)):
-        spread = spark.sparkContext.broadcast(index)
+    for group in indexes(benchmark, term_weights(docs)):
+        spread = spark.sparkContext.broadcast(group)
 
         def run(batches, spread=spread):
             for batch in batches:
@@ -251,8 +279,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of docs, all columns, that match no benchmark item."""
     spark, at = docs.sparkSession, docs.columns.index("text")
     out = docs
-    for index in indexes(benchmark, term_weights(docs)):
-        spread = spark.sparkContext.broadcast(index)
+    for group in indexes(benchmark, term_weights(docs)):
+        spread = spark.sparkContext.broadcast(group)
 
         def run(batches, spread=spread):
             for batch in batches:

@@ -71,6 +71,19 @@ def test_blocks_of_the_benchmark(planted, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontamination.matches(df, bench).collect()} == dirty
 
 
+def test_verbatim_copies_of_many_items(spark):
+    """More passages than one latent space has: each document holds one of 700 items."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{int(4000 * rng.random() ** 3)}" for _ in range(n)]
+    items = [(i, " ".join(words(20 + i % 50))) for i in range(700)]
+    rows = [(i, f"{' '.join(words(40))} {text} {' '.join(words(40))}", "en", "a", 1) for i, text in items]
+    rows += [(1000 + i, " ".join(words(120)), "en", "a", 1) for i in range(100)]
+    want = {(r[0], i) for r in rows for i, text in items if f" {text} " in f" {r[1]} "}
+    found = decontamination.matches(spark.createDataFrame(rows, SCHEMA).repartition(4), spark.createDataFrame(items, BENCH))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert len(want) == 700 and len(want - got) == 0 and {d for d, _ in got} <= {d for d, _ in want}
+
+
 @pytest.mark.parametrize("name", ["odd", "clashing", "empty"])
 def test_decontamination_of_odd_tables(request, planted, spark, name):
     df = request.getfixturevalue(name)
