@@ -164,3 +164,26 @@ def test_context_helps_where_it_tells(spark):
     got, _ = lm_scoring.score_all(df, df.where("doc_id < 10"))
     r = got.where("doc_id = 11").first()
     assert r.score > 0.7 * r.base_score
+
+
+def test_contexts_of_all_tokens_of_all_texts(spark, monkeypatch):
+    """Counts of contexts against brute force, over more rows and longer texts than any prefix; all may be drawn."""
+    rows = [(i, f"a b{i % 7} c {'x ' * (i % 3)}", "en", "a", 1) for i in range(4000)] + [(9000, "the cat " * 2500 + "sat on the mat " * 500, "en", "a", 1), (9001, None, "en", "a", 0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    head = lm_scoring.head_counts(lm_scoring.count_tokens(df))
+    monkeypatch.setattr(lm_scoring, "STEPS", 400)
+    seen = {}
+    fit = lm_scoring.fit
+    monkeypatch.setattr(lm_scoring, "fit", lambda codes, frequency: seen.update(codes=codes) or fit(codes, frequency))
+    model = lm_scoring.train(df, head)
+    k = len(model.tokens) + 1
+    want = Counter()
+    for r in rows:
+        tokens, _ = lm_scoring.tokens_of(next(text_slices(pa.array([r[1] or ""]))))
+        cls = [k, k, *model.classes(tokens).tolist()]
+        want.update(zip(cls, cls[1:], cls[2:]))
+    parts = lambda code: (code // (k + 1) ** 2, code // (k + 1) % (k + 1), code % (k + 1))
+    assert {parts(r.code): r["count"] for r in lm_scoring.count_contexts(df, model).collect()} == want
+    rate = 400 * lm_scoring.BATCH / sum(want.values())
+    drawn = Counter(map(parts, seen["codes"].tolist()))
+    assert all(abs(drawn[c] - n * rate) < 1 for c, n in want.items()) and set(drawn) <= set(want)
