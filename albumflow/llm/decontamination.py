@@ -6,18 +6,21 @@
    singular vectors: the latent space.  It is fitted to the benchmark because those
    are the directions to be found; every window of every document is projected to it.
    A space has about ``RANK`` passages, and all the directions that these have.
-3. Windows of ``WINDOW`` tokens whose latent cosine with a passage is at least ``COSINE``
-   are candidates; windows that cannot reach it are ruled out by their weight on benchmark tokens.
-4. A candidate counts if the longest common subsequence with the text around it covers
+3. A passage of up to 8, 16, 32 or 64 tokens (``LENGTHS``) is sought in windows of three times that
+   length, one such length apart, so any text of twice the length lies whole in a window.  A window is a
+   candidate if its latent product with the passage is at least the weight of the passage's lightest
+   ``COMMON`` of tokens, and ``COMMON`` of the tokens occur in it: what step 4 accepts does both.
+   Windows with too little weight on benchmark tokens for any passage are ruled out first.
+4. A candidate counts if the longest common subsequence with the window covers
    ``COMMON`` of the passage's tokens, and ``ANSWER`` of the weight of the passage's last quarter (its
    answer) occurs there.  So changed, missing or added words are tolerated.
+5. Items of fewer than ``SHORTEST`` tokens match where exactly these tokens follow one another.
 
 The benchmark's passages are dealt to spaces, and about ``ITEMS`` of them are searched in one pass
 over the documents, so that what is broadcast is bounded.
 Tokens are runs of digits, letters and characters outside ASCII, lower-cased.
 
-Edge cases: null and empty texts match nothing; passages of fewer than ``SHORTEST`` tokens prove nothing and are
-not searched; repeated documents and items each match; an empty table gives an empty
+Edge cases: null and empty texts, and items without any token, match nothing; repeated documents and items each match; an empty table gives an empty
 result, an empty benchmark drops nothing.  Other columns are not read by ``matches``;
 ``drop_contaminated`` returns all of them.
 """
@@ -33,17 +36,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from albumflow.llm.kernels import MARKS, U64, split_words, table, text_slices, word_hashes
+from albumflow.llm.kernels import MARKS, U64, RunningHash, split_words, table, text_slices, word_hashes
 from albumflow.llm.shared import arrow_schema, saved
 
 TERMS = 1 << 18
 RANK = 256
-WINDOW = 32
-STRIDE = 16
 PASSAGE = 64
+LENGTHS = (8, 16, 32, 64)
 SHORTEST = 8
 ITEMS = 1024
-COSINE = 0.42
 COMMON = 0.6
 ANSWER = 0.5
 
@@ -54,7 +55,8 @@ class Index(NamedTuple):
     weights: np.ndarray  # inverse document frequency of each term
     known: np.ndarray  # term -> row of ``basis``, or -1
     basis: np.ndarray  # (benchmark terms, rank)
-    latent: np.ndarray  # (passages, rank), of length 1
+    latent: np.ndarray  # (passages, rank)
+    times: np.ndarray  # (benchmark terms, passages): how often a passage has a term
     items: np.ndarray  # item_id of each passage
     tokens: list[np.ndarray]
 
@@ -101,7 +103,7 @@ def cut_passages(benchmark: DataFrame) -> DataFrame:
                     own = tokens[bounds[i] : bounds[i + 1]]
                     for at in range(0, max(1, len(own) - PASSAGE // 2), PASSAGE // 2):
                         piece = own[at : at + PASSAGE]
-                        if len(piece) >= SHORTEST:
+                        if len(piece):
                             rows.append(first + i)
                             out.append(piece.tobytes())
                 yield table(schema, batch.column(0).take(pa.array(rows, pa.int64())), out)
@@ -182,14 +184,19 @@ def indexes(benchmark: DataFrame, weights: np.ndarray) -> Iterator[list[Index]]:
             known[terms] = np.arange(len(terms))
             basis = _latent_basis(block, passages, weights, known)
             latent = _rows(passages, weights, known) @ basis
-            latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+            times = _rows(passages, np.ones(TERMS, dtype=np.float32), known).T.copy()
             ids = own.column("item_id").fill_null(-1).to_numpy()
-            group.append(Index(weights, known, basis, latent, ids, passages))
+            group.append(Index(weights, known, basis, latent, times, ids, passages))
         if group and (i + 1 == blocks or len(group) >= max(1, ITEMS // RANK)):
             yield group
             group = []
 
 
+def _needed(length: int) -> int:
+    """The fewest tokens of a passage that are ``COMMON`` of it."""
+    return next(n for n in range(length + 1) if n / length >= COMMON)
+
+
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, a row of bits at a time."""
     places: dict[int, int] = {}
@@ -208,7 +215,8 @@ def _covers(index: Index, passage: int, near: np.ndarray) -> tuple[float, float]
     own = index.tokens[passage]
     answer = own[-max(1, len(own) // 4) :]
     weight = index.weights[_terms(answer)]
-    return common_subsequence(own, near) / len(own), float(weight[np.isin(answer, near)].sum() / weight.sum())
+    found = float(weight[np.isin(answer, near)].sum() / weight.sum())
+    return (common_subsequence(own, near) / len(own) if found >= ANSWER else 0.0), found
 
 
 def search(group: list[Index], texts: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
@@ -219,39 +227,73 @@ def search(group: list[Index], texts: pa.Array) -> Iterator[tuple[int, int, floa
                 yield first + row, *found
 
 
+def _exact(index: Index, tokens: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, float, float, float]]:
+    """Matches of the items of fewer than ``SHORTEST`` tokens."""
+    size = np.array([len(x) for x in index.tokens])
+    hashes = RunningHash(tokens)
+    for length in np.unique(size[size < SHORTEST]):
+        passages = np.flatnonzero(size == length)
+        own = np.array([RunningHash(index.tokens[p]).grams(int(length))[0] for p in passages])
+        grams = hashes.grams(int(length))
+        at = np.flatnonzero(np.isin(grams, own))
+        row = np.searchsorted(bounds, at, side="right") - 1
+        inside = at + length <= bounds[row + 1]
+        for i, k in set(zip(row[inside].tolist(), grams[at[inside]].tolist(), strict=True)):
+            for passage in passages[own == U64(k)]:
+                yield i, int(index.items[passage]), 1.0, 1.0, 1.0
+
+
 def _search(index: Index, tokens: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, float, float, float]]:
+    yield from _exact(index, tokens, bounds)
+    reach = np.array([len(x) for x in index.tokens])
+    least = np.zeros(len(reach))  # weight of the lightest tokens that would do
+    for p, own in enumerate(index.tokens):
+        weight = np.sort(index.weights[_terms(own)].astype(np.float64) ** 2)
+        least[p] = weight[: _needed(len(own))].sum()
+    norms = np.linalg.norm(index.latent, axis=1)
     count, term = len(bounds) - 1, _terms(tokens)
+    number = index.known[term]
     weight = index.weights[term].astype(np.float64)
-    total = np.append(0.0, np.cumsum(weight * weight))
-    inside = np.append(0.0, np.cumsum(np.where(index.known[term] >= 0, weight * weight, 0.0)))
+    inside = np.append(0.0, np.cumsum(np.where(number >= 0, weight * weight, 0.0)))
+    kept = np.append(0, np.cumsum(number >= 0))
     size = np.diff(bounds)
-    windows = np.where(size > 0, 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE)), 0)
-    row = np.repeat(np.arange(count), windows)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    start = bounds[row] + place * STRIDE
-    end = np.minimum(start + WINDOW, bounds[row + 1])
-    norm = np.sqrt(np.maximum(total[end] - total[start], 1e-9))
-    able = np.flatnonzero(np.sqrt(np.maximum(inside[end] - inside[start], 0.0)) >= COSINE * norm)
-    for i in range(0, len(able), 512):
-        at = able[i : i + 512]
-        span = start[at, None] + np.arange(WINDOW)
-        used = np.minimum(span, len(term) - 1)
-        here = np.where(span < end[at, None], index.known[term[used]], -1)
-        which, column = np.nonzero(here >= 0)
-        terms, number = np.unique(here[which, column], return_inverse=True)
-        amount = np.bincount(which * len(terms) + number, weight[used[which, column]], minlength=len(at) * len(terms))
-        vectors = amount.reshape(len(at), -1).astype(np.float32) @ index.basis[terms]
-        cosine = vectors @ index.latent.T / norm[at, None]
-        for w, passage in zip(*np.nonzero(cosine >= COSINE), strict=True):
-            k, reach = at[w], len(index.tokens[passage])
-            low, high = bounds[row[k]], bounds[row[k] + 1]
-            near = tokens[max(low, start[k] - reach) : min(high, end[k] + reach)]
-            # words in common, in any order, bound the common subsequence
-            if (index.tokens[passage][:, None] == near).any(axis=1).mean() < COMMON:
+    for shorter, length in zip((SHORTEST - 1, *LENGTHS), LENGTHS, strict=False):
+        passages = np.flatnonzero((reach > shorter) & (reach <= length))
+        if not len(passages):
+            continue
+        width = 3 * length
+        windows = np.where(size > 0, 1 + np.maximum(0, -(-(size - width) // length)), 0)
+        row = np.repeat(np.arange(count), windows)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+        start = bounds[row] + place * length
+        end = np.minimum(start + width, bounds[row + 1])
+        fewest = min(_needed(int(n)) for n in reach[passages])
+        enough = least[passages].min() * (1 - 1e-6) - 1e-6
+        able = np.flatnonzero((kept[end] - kept[start] >= fewest) & (inside[end] - inside[start] >= enough))
+        needed = np.array([_needed(int(n)) for n in reach[passages]])
+        for i in range(0, len(able), 512):
+            at = able[i : i + 512]
+            span = start[at, None] + np.arange(width)
+            used = np.minimum(span, len(term) - 1)
+            here = np.where(span < end[at, None], number[used], -1)
+            which, column = np.nonzero(here >= 0)
+            terms, place_ = np.unique(here[which, column], return_inverse=True)
+            present = np.zeros((len(at), len(terms)), dtype=np.float32)
+            present[which, place_] = 1
+            shared = present @ index.times[np.ix_(terms, passages)]
+            some = np.flatnonzero((shared >= needed).any(axis=1))
+            if not len(some):
                 continue
-            common, answer = _covers(index, passage, near)
-            if common >= COMMON and answer >= ANSWER:
-                yield int(row[k]), int(index.items[passage]), float(cosine[w, passage]), common, answer
+            heavy = np.zeros(len(terms), dtype=np.float32)
+            heavy[place_] = weight[used[which, column]]
+            product = ((present[some] * heavy) @ index.basis[terms]) @ index.latent[passages].T
+            long = np.linalg.norm(present[some] * heavy, axis=1)[:, None] * norms[passages]
+            chosen = (product >= least[passages] - 1e-3 * long) & (shared[some] >= needed)
+            for w, p in zip(*np.nonzero(chosen), strict=True):
+                k, passage = at[some[w]], passages[p]
+                common, answer = _covers(index, passage, tokens[start[k] : end[k]])
+                if common >= COMMON and answer >= ANSWER:
+                    yield int(row[k]), int(index.items[passage]), float(product[w, p] / long[w, p]), common, answer
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -84,6 +84,28 @@ def test_verbatim_copies_of_many_items(spark):
     assert len(want) == 700 and len(want - got) == 0 and {d for d, _ in got} <= {d for d, _ in want}
 
 
+def test_short_items(spark):
+    """Items of 1 to 7 tokens verbatim; of 8 to 64, all that the subsequence and answer rule accepts in a text of their length."""
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(30)]
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else f"r{rng.randrange(100_000)}"
+    items = [(i, [f"k{i}", *(word() for _ in range(i % 7))]) for i in range(40)] + [(100 + i, [word() for _ in range(8 + i % 57)]) for i in range(160)]
+    rows, want = [], set()
+    for i, own in items:
+        for kind, share in enumerate((1.0, 0.8, 0.62)):
+            if len(own) < 8 and kind:
+                body = own[:-1] + [f"q{i}"]  # not verbatim
+            else:
+                kept = set(rng.sample(range(len(own)), -(-int(len(own) * share * 1000) // 1000))) | set(range(len(own) - len(own) // 4 - 1, len(own)))
+                body = [w if k in kept else f"x{rng.randrange(100_000)}" for k, w in enumerate(own)]
+                if share == 1.0 or subsequence_by_hand(own, body) >= 0.6 * len(own):
+                    want.add((10 * i + kind, i))
+            rows.append((10 * i + kind, " ".join([*(f"r{rng.randrange(100_000)}" for _ in range(61)), *body, *(f"r{rng.randrange(100_000)}" for _ in range(75))]), "en", "a", 1))
+    bench = spark.createDataFrame([(i, " ".join(own)) for i, own in items] + [(999, " - ")], BENCH)
+    got = {(r.doc_id, r.item_id) for r in decontamination.matches(spark.createDataFrame(rows, SCHEMA).repartition(4), bench).collect()}
+    assert len(want) > 450 and got == want
+
+
 @pytest.mark.parametrize("name", ["odd", "clashing", "empty"])
 def test_decontamination_of_odd_tables(request, planted, spark, name):
     df = request.getfixturevalue(name)
