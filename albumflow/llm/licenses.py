@@ -236,11 +236,11 @@ def build_rules() -> list[Rule]:
     for name in SPDX:
         label = re.sub(r"(\d+) (\d+)$", r"\1.\2", name).replace(" ", "-")
         rows.append((label, TEXT + 5, "spdx", rf"spdx license identifier {name}(?! \d)"))
-    return [Rule(label, priority, keyword, re.compile(rf"(?<!\S){pattern}(?!\S)")) for label, priority, keyword, pattern in rows]
+    return [Rule(label, priority, keyword, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])")) for label, priority, keyword, pattern in rows]
 
 
 RULES = build_rules()
-_BASE = [(re.compile(rf"(?<!\S){phrase}(?!\S)"), label) for phrase, label in BASE.items()]
+_BASE = [(re.compile(rf"(?<![^ ]){phrase}(?![^ ])"), label) for phrase, label in BASE.items()]
 #: One word of every rule's keyword and base phrase; a text without any is not looked at.
 _GATES = sorted({max(r.keyword.split(), key=len).encode() for r in RULES} | {b"license"})
 

@@ -152,6 +152,16 @@ def test_base_phrases(request, spark, name):
     assert all(0 <= r.score <= 1 and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) for r in got)
 
 
+def test_words_end_at_ascii_marks_only(spark):
+    texts = ["MIT License\u00a0: x", "x mit license\u3000x", "\u00a0MIT License", "apache license\u2009. MIT License", "MIT License : \u00a0", "GPL 2\u00a0: x", "gpl 2 only\u3000"]
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = {(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.scan(df).collect()}
+    assert got == {(i, *base_by_hand(t)) for i, t in enumerate(texts)}
+    assert licenses.detect("gpl\u00a0") == licenses.detect("zlib license\u3000x") == []
+    # every rule is bounded on both sides, whichever of its alternatives matches
+    assert all(r.pattern.pattern.startswith("(?<![^ ])(?:") and r.pattern.pattern.endswith(")(?![^ ])") for r in licenses.RULES)
+
+
 @pytest.mark.parametrize(("text", "labels"), [
     ("licensed under the apache license version 2 0", ["apache-2.0"]),
     ("gnu lesser general public license version 2 1", ["lgpl-2.1"]),
