@@ -20,28 +20,34 @@ from albumflow.functions.paths import is_media
 
 #: Tag numbers of the date, and of the block that holds it.
 DATE_TAG, EXIF_BLOCK = 0x9003, 0x8769
-LARGEST_BLOCK = 16 << 20
+LONGEST_DATE = 1024  # bytes; a date has 20
 
 
-def tiff_date(data: bytes) -> str | None:
-    """The original date in a TIFF structure."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
+def tiff_date(f: BinaryIO, base: int = 0, size: int | None = None) -> str | None:
+    """The original date in the TIFF structure of ``size`` bytes at ``base``; offsets are sought in the file."""
+
+    def piece(at: int, count: int) -> bytes:
+        f.seek(base + at)
+        return f.read(count if size is None else max(0, min(count, size - at)))
+
+    head = piece(0, 8)
+    order = {b"II": "<", b"MM": ">"}.get(head[:2])
+    if order is None or struct.unpack_from(order + "H", head, 2)[0] != 42:
         return None
 
-    def entries(at: int) -> Iterator[tuple[int, int, int]]:
-        for i in range(struct.unpack_from(order + "H", data, at)[0]):
-            tag, _, count, value = struct.unpack_from(order + "HHII", data, at + 2 + 12 * i)
-            yield tag, count, value
+    def entries(at: int) -> dict[int, tuple[int, int]]:
+        many = struct.unpack(order + "H", piece(at, 2))[0]
+        rows = piece(at + 2, 12 * many)
+        fields = (struct.unpack_from(order + "HHII", rows, 12 * i) for i in range(many))
+        return {tag: (count, value) for tag, _, count, value in fields}
 
-    first = dict((t, (n, v)) for t, n, v in entries(struct.unpack_from(order + "I", data, 4)[0]))
-    found = first
+    found = first = entries(struct.unpack_from(order + "I", head, 4)[0])
     if DATE_TAG not in first and EXIF_BLOCK in first:
-        found = dict((t, (n, v)) for t, n, v in entries(first[EXIF_BLOCK][1]))
+        found = entries(first[EXIF_BLOCK][1])
     if DATE_TAG not in found:
         return None
     count, at = found[DATE_TAG]
-    return data[at : at + count].split(b"\0")[0].decode("ascii", "replace")
+    return piece(at, min(count, LONGEST_DATE)).split(b"\0")[0].decode("ascii", "replace")
 
 
 def _jpeg(f: BinaryIO) -> str | None:
@@ -50,7 +56,7 @@ def _jpeg(f: BinaryIO) -> str | None:
         size = struct.unpack(">H", head[2:])[0] - 2
         body = f.read(size)
         if head[1] == 0xE1 and body[:6] == b"Exif\0\0":
-            return tiff_date(body[6:])
+            return tiff_date(io.BytesIO(body[6:]))
     return None
 
 
@@ -59,7 +65,7 @@ def _png(f: BinaryIO) -> str | None:
     while len(head := f.read(8)) == 8:
         size, kind = struct.unpack(">I4s", head)
         if kind == b"eXIf":
-            return tiff_date(f.read(min(size, LARGEST_BLOCK)))
+            return tiff_date(f, f.tell(), size)
         f.seek(size + 4, io.SEEK_CUR)
     return None
 
@@ -69,8 +75,9 @@ def _webp(f: BinaryIO) -> str | None:
     while len(head := f.read(8)) == 8:
         kind, size = struct.unpack("<4sI", head)
         if kind == b"EXIF":
-            body = f.read(min(size, LARGEST_BLOCK))
-            return tiff_date(body[6:] if body[:6] == b"Exif\0\0" else body)
+            at = f.tell()
+            skip = 6 if f.read(6) == b"Exif\0\0" else 0
+            return tiff_date(f, at + skip, size - skip)
         f.seek(size + size % 2, io.SEEK_CUR)
     return None
 
@@ -145,15 +152,15 @@ def _heic(f: BinaryIO) -> str | None:
                         at_ += extra + offset + length
                     at_ += 2
         if item in places:
-            f.seek(places[item][0])
-            body = f.read(min(places[item][1], LARGEST_BLOCK))
-            return tiff_date(body[4 + struct.unpack_from(">I", body)[0] :])
+            at, size = places[item]
+            f.seek(at)
+            skip = 4 + struct.unpack(">I", f.read(4))[0]
+            return tiff_date(f, at + skip, size - skip)
     return None
 
 
 def _tiff(f: BinaryIO) -> str | None:
-    f.seek(0)
-    return tiff_date(f.read(LARGEST_BLOCK))
+    return tiff_date(f)
 
 
 READERS: dict[str, Callable[[BinaryIO], str | int | None]] = {

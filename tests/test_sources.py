@@ -68,6 +68,17 @@ def test_dates_of_images(ext, data):
     assert read_dates(io.BytesIO(data), ext) == (DATE, None, None)
 
 
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_date_of_a_tiff_with_its_directory_past_16_mb(spark, tmp_path, order):
+    at = 17 << 20
+    first = struct.pack(order + "H", 1) + struct.pack(order + "HHII", 0x8769, 4, 1, at + 18) + bytes(4)
+    exif = struct.pack(order + "H", 1) + struct.pack(order + "HHII", 0x9003, 2, 20, at + 36) + bytes(4)
+    data = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", at) + bytes(at - 8) + first + exif + DATE.encode() + b"\0"
+    (tmp_path / "large.tif").write_bytes(data)
+    (r,) = with_metadata(list_files(spark, str(tmp_path), mounted=True)).collect()
+    assert (r.exif_dto, r.error) == (datetime(2021, 2, 3, 4, 5, 6), None)
+
+
 def test_dates_of_movies():
     assert read_dates(io.BytesIO(movie(3_700_000_000)), ".mp4") == (None, 3_700_000_000, None)
 
