@@ -15,6 +15,8 @@ SHORTCUTS = {
     "alldates": ("DateTimeOriginal", "CreateDate", "ModifyDate"),
     "common": ("FileName", "FileSize", "Model", "DateTimeOriginal", "ImageSize", "Quality", "FocalLength", "ShutterSpeed", "Aperture", "ISO", "WhiteBalance", "Flash"),
 }
+#: A wide report has at most so many columns of tags.
+MOST_COLUMNS = 10_000
 
 
 def override(rows: DataFrame, overrides: DataFrame, key: str, columns: list[str], default: str = "*") -> DataFrame:
@@ -99,8 +101,15 @@ def file_order(rows: DataFrame, tags: list[str], tie: str) -> list[Column]:
 
 
 def wide_report(rows: DataFrame, key: str, tag: str, value: str, columns: list[str] | None = None, missing: str | None = None) -> DataFrame:
-    """One row a key and one column a tag, in alphabetical order unless given."""
-    names = columns if columns is not None else [r[0] for r in rows.select(tag).distinct().orderBy(F.lower(tag), tag).limit(10_000).collect()]
+    """One row a key and one column a tag, in alphabetical order unless given.
+
+    More than ``MOST_COLUMNS`` tags are an error: such rows stay long (key, tag, value).
+    """
+    names = columns
+    if names is None:
+        names = [r[0] for r in rows.select(tag).distinct().orderBy(F.lower(tag), tag).limit(MOST_COLUMNS + 1).collect()]
+        if len(names) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} distinct values of {tag}: keep the long form ({key}, {tag}, {value}), or give the columns")
     wide = rows.groupBy(key).pivot(tag, names).agg(F.first(value, ignorenulls=True))
     return wide.na.fill(missing, names) if missing is not None else wide
 

@@ -139,6 +139,14 @@ def test_diff_pairs_repeats(spark):
     assert got == {("a", "2", None, "<"), ("c", "3", "4", "<>"), ("d", None, None, ">")}
 
 
+def test_wide_report_drops_no_tags(spark):
+    rows = spark.range(10_001).select(F.lit("a").alias("k"), F.format_string("t%05d", "id").alias("tag"), F.lit("v").alias("v"))
+    with pytest.raises(ValueError, match="long form"):
+        records.wide_report(rows, "k", "tag", "v")
+    few = records.wide_report(rows.where("id % 5000 = 0"), "k", "tag", "v")
+    assert few.columns == ["k", "t00000", "t05000", "t10000"] and [tuple(r) for r in few.collect()] == [("a", "v", "v", "v")]
+
+
 def test_file_order_puts_missing_last(spark):
     rows = spark.createDataFrame([(1, "b2"), (2, "10"), (3, None), (4, "b10"), (5, "9")], "id int, v string")
     assert [r.id for r in rows.orderBy(*records.file_order(rows, ["v"], "id")).collect()] == [5, 2, 1, 4, 3]
