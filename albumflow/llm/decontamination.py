@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from albumflow.llm.kernels import MARKS, U64, RunningHash, split_words, table, text_slices, word_hashes
+from albumflow.llm.kernels import MARKS, U64, shingle_hashes, split_words, table, text_slices, word_hashes
 from albumflow.llm.shared import arrow_schema, saved
 
 TERMS = 1 << 18
@@ -230,11 +230,10 @@ def search(group: list[Index], texts: pa.Array) -> Iterator[tuple[int, int, floa
 def _exact(index: Index, tokens: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, float, float, float]]:
     """Matches of the items of fewer than ``SHORTEST`` tokens."""
     size = np.array([len(x) for x in index.tokens])
-    hashes = RunningHash(tokens)
-    for length in np.unique(size[size < SHORTEST]):
+    for length in np.unique(size[size < SHORTEST]).tolist():
         passages = np.flatnonzero(size == length)
-        own = np.array([RunningHash(index.tokens[p]).grams(int(length))[0] for p in passages])
-        grams = hashes.grams(int(length))
+        own = np.array([shingle_hashes(index.tokens[p], length)[0] for p in passages])
+        grams = shingle_hashes(tokens, length)
         at = np.flatnonzero(np.isin(grams, own))
         row = np.searchsorted(bounds, at, side="right") - 1
         inside = at + length <= bounds[row + 1]

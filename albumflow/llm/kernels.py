@@ -8,7 +8,8 @@ is never cut.  A null text counts as an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -58,7 +59,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RunningHash:
-    """Position-independent hashes of any slice of a sequence of 64-bit values."""
+    """Position-independent hashes of any slice of a sequence of 64-bit values.
+
+    A polynomial modulo 2**64, which repetitive input can defeat: unequal slices may have
+    equal hashes.  So it only picks minimisers and brings candidates together; whether they
+    are equal is decided by ``word_hashes``, ``shingle_hashes`` and ``digests``.
+    """
 
     def __init__(self, values: np.ndarray):
         power, self._inverse = _power_tables(len(values) + 1)
@@ -131,20 +137,92 @@ def split_words(texts: Texts, separators: np.ndarray = _SPACE) -> Words:
     return Words(start, end, np.searchsorted(start, bounds))
 
 
+# SipHash-2-4 with a fixed key.
+_START = np.array([0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573], dtype=U64) ^ np.array([0x0123456789ABCDEF, 0xFEDCBA9876543210] * 2, dtype=U64)
+_TAIL = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], dtype=U64)
+LONG_WORD = 64  # longer words are hashed one by one
+_WORDS_AT_ONCE = 1 << 13
+
+
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << U64(by)) | (x >> U64(64 - by))
+
+
+def _rounds(state: list[np.ndarray], times: int) -> list[np.ndarray]:
+    a, b, c, d = state
+    for _ in range(times):
+        a, c = a + b, c + d
+        b, d = _turn(b, 13) ^ a, _turn(d, 16) ^ c
+        a, c = _turn(a, 32) + d, c + b
+        b, d = _turn(b, 17) ^ c, _turn(d, 21) ^ a
+        c = _turn(c, 32)
+    return [a, b, c, d]
+
+
+def _siphash(eight: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges of ``size`` from ``start``; ``eight[i]`` is the eight bytes from i."""
+    state = [np.full(len(start), x) for x in _START]
+    pieces = size // 8 + 1
+    for n in range(int(pieces.max(initial=0))):
+        at = np.flatnonzero(pieces > n)
+        left = np.minimum(size[at] - 8 * n, 8)
+        piece = (eight[start[at] + 8 * n] & _TAIL[left]) | np.where(left < 8, size[at].astype(U64) << U64(56), U64(0))
+        a, b, c, d = (x[at] for x in state)
+        a, b, c, d = _rounds([a, b, c, d ^ piece], 2)
+        for x, new in zip(state, (a ^ piece, b, c, d), strict=True):
+            x[at] = new
+    a, b, c, d = state
+    a, b, c, d = _rounds([a, b, c ^ U64(0xFF), d], 4)
+    return a ^ b ^ c ^ d
+
+
 def word_hashes(texts: Texts, words: Words, fold: bool) -> np.ndarray:
-    """A 64-bit hash of each word; ``fold`` lower-cases A-Z first."""
-    value = BYTE_VALUES_FOLDED if fold else BYTE_VALUES
-    out = np.empty(len(words.start), dtype=U64)
-    at = 0
-    while at < len(out):  # once, but for very long texts
-        first = words.start[at]
-        to = max(at + 1, int(np.searchsorted(words.end, first + 4 * SLICE_BYTES, side="right")))
-        part = RunningHash(value[texts.data[first : words.end[to - 1]]])
-        out[at:to] = part(words.start[at:to] - first, words.end[at:to] - first)
-        at = to
+    """A 64-bit hash of each word's bytes; ``fold`` lower-cases A-Z first.
+
+    SipHash, or the start of BLAKE2b for words over ``LONG_WORD`` bytes, so words that are alike
+    in structure do not meet.
+    """
+    data = np.append(_FOLD[texts.data] if fold else texts.data, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    size = words.end - words.start
+    out = np.empty(len(size), dtype=U64)
+    for at in range(0, len(size), _WORDS_AT_ONCE):
+        part = slice(at, at + _WORDS_AT_ONCE)
+        out[part] = _siphash(eight, words.start[part], np.minimum(size[part], LONG_WORD))
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = np.frombuffer(hashlib.blake2b(data[words.start[i] : words.end[i]]).digest(), U64)[0]
     return out
 
 
+def joined_words(texts: Texts, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all words one space apart, and each word's range in them."""
+    start = np.cumsum(np.append(0, words.end - words.start + 1))
+    out = np.full(start[-1], 0x20, dtype=np.uint8)
+    inside = np.zeros(len(texts.data) + 1, dtype=np.int8)
+    inside[words.start] = 1
+    inside[words.end] -= 1
+    filled = np.zeros(len(out) + 1, dtype=np.int8)
+    filled[start[:-1]] = 1
+    filled[start[1:] - 1] -= 1
+    out[np.cumsum(filled[:-1], dtype=np.int8).view(bool)] = texts.data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    return out, start[:-1], start[1:] - 1
+
+
+def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of each ``size`` consecutive word hashes, mixed one after the other."""
+    n = max(0, len(words) - size + 1)
+    out = np.full(n, size, dtype=U64)
+    for i in range(size):
+        out = mix64(out ^ words[i : i + n])
+    return out
+
+
+def digests(pieces: Iterable) -> np.ndarray:
+    """128 bits of each piece's BLAKE2b, as two bigints a row."""
+    joined = b"".join([hashlib.blake2b(x).digest()[:16] for x in pieces])
+    return np.frombuffer(joined, np.int64).reshape(-1, 2)
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` consecutive values."""
     if len(values) < width:
@@ -165,7 +243,6 @@ class Segments(NamedTuple):
     windows: np.ndarray  # number of windows
     anchor: np.ndarray  # symbols from the first window's start to the minimiser
     key: np.ndarray  # hash of the minimiser
-    digest: np.ndarray  # hash of all the run's content
 
 
 def window_segments(values: RunningHash, bounds: np.ndarray, window: int, gram: int) -> Segments:
@@ -190,7 +267,7 @@ def window_segments(values: RunningHash, bounds: np.ndarray, window: int, gram:
     size = np.diff(np.append(first, len(row)))
     begin = at[first]
     chosen = (least[first] & ((U64(1) << low) - U64(1))).astype(np.int64)
-    return Segments(row[first], place[first], size, chosen - begin, grams[chosen], values(begin, begin + size + window - 1))
+    return Segments(row[first], place[first], size, chosen - begin, grams[chosen])
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from albumflow.llm import bloom
 from albumflow.llm.components import components, stars
-from albumflow.llm.kernels import U64, RunningHash, mix64, signed, split_words, table, text_slices, word_hashes
+from albumflow.llm.kernels import U64, digests, mix64, shingle_hashes, split_words, table, text_slices, word_hashes
 from albumflow.llm.shared import arrow_map, arrow_schema, fresh, partitions, saved
 
 TREES = 16
@@ -54,14 +54,14 @@ def shingle_sets(texts, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row in the batch and sorted distinct shingle hashes of each text of a column."""
     for part in text_slices(texts):
         words = split_words(part)
-        hashes = RunningHash(word_hashes(part, words, fold=True))
-        grams = hashes.grams(size)
+        hashes = word_hashes(part, words, fold=True)
+        grams = shingle_hashes(hashes, size)
         for i in range(part.count):
             a, b = int(words.bounds[i]), int(words.bounds[i + 1])
             if b - a >= size:
                 yield part.first + i, np.unique(grams[a : b - size + 1])
             elif b > a:
-                yield part.first + i, hashes(np.array([a]), np.array([b]))
+                yield part.first + i, shingle_hashes(hashes[a:b], b - a)
             else:
                 yield part.first + i, np.zeros(0, dtype=U64)
 
@@ -81,14 +81,13 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def run(batch):
-        count, one, two, sig = [], [], [], []
+        count, own, sig = [], [], []
         for _, s in shingle_sets(batch.column(1), size):
             count.append(len(s))
-            one.append(int(np.bitwise_xor.reduce(mix64(s))) if len(s) else 0)
-            two.append(int(mix64(s ^ U64(0x5555)).sum(dtype=U64)) if len(s) else 0)
+            own.append(s.tobytes())
             sig.append(_signature(s).astype(">u4").tobytes() if len(s) else None)
-        d1, d2 = (signed(np.array(x, dtype=U64)) for x in (one, two))
-        yield table(schema, batch.column(0), count, d1, d2, pa.array(sig, pa.binary()))
+        pair = digests(own)
+        yield table(schema, batch.column(0), count, pair[:, 0], pair[:, 1], pa.array(sig, pa.binary()))
 
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, ddl)
 

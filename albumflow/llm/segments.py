@@ -2,9 +2,10 @@
 
 A window is a fixed number of consecutive symbols (words or bytes).  Neighbouring
 windows with the same minimiser form a segment (see ``kernels.window_segments``), so an
-index holds about one row for every twenty words instead of one a window.  Equal
-segments (same key and digest, 128 bits in all) have equal windows; windows of unequal
-segments can only be equal if the keys are.
+index holds about one row for every twenty words instead of one a window.  Segments are
+equal if their contents' digests (128 bits of BLAKE2b, columns ``digest`` and ``more``) are;
+equal segments have equal windows, and windows of unequal segments can only be equal if the
+keys are.  A key is a quick hash and decides nothing by itself.
 """
 
 from __future__ import annotations
@@ -18,10 +19,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from albumflow.llm import bloom
-from albumflow.llm.kernels import BYTE_VALUES, RunningHash, Segments, Texts, signed, split_words, text_slices, window_segments, word_hashes
+from albumflow.llm.kernels import BYTE_VALUES, RunningHash, Segments, Texts, digests, joined_words, signed, split_words, text_slices, window_segments, word_hashes
 from albumflow.llm.shared import arrow_schema
 
-CLASS = ["key", "digest", "windows"]
+CLASS = ["key", "digest", "more", "windows"]
+
+
+class Symbols(NamedTuple):
+    """The symbols of a slice of texts: hashes, the symbol range of each text, and their bytes."""
+
+    hashes: RunningHash
+    bounds: np.ndarray
+    data: memoryview
+    start: np.ndarray | None  # bytes of each symbol; none where symbols are bytes
+    end: np.ndarray | None
+
+    def pieces(self, first: np.ndarray, count: np.ndarray) -> list[memoryview]:
+        """The bytes of ``count`` symbols from each of ``first``; words are one space apart."""
+        low, high = first, first + count
+        if self.start is not None:
+            low, high = self.start[first], self.end[first + count - 1]
+        return [self.data[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
 
 
 class Kind(NamedTuple):
@@ -31,11 +49,12 @@ class Kind(NamedTuple):
     window: int
     gram: int
 
-    def hashes(self, texts: Texts) -> tuple[RunningHash, np.ndarray]:
+    def symbols(self, texts: Texts) -> Symbols:
         if not self.words:
-            return RunningHash(BYTE_VALUES[texts.data]), texts.bounds
+            return Symbols(RunningHash(BYTE_VALUES[texts.data]), texts.bounds, memoryview(texts.data), None, None)
         words = split_words(texts)
-        return RunningHash(word_hashes(texts, words, fold=False)), words.bounds
+        data, start, end = joined_words(texts, words)
+        return Symbols(RunningHash(word_hashes(texts, words, fold=False)), words.bounds, memoryview(data), start, end)
 
 
 LONG_PART = 4 << 20
@@ -55,27 +74,32 @@ def _parts(texts: Texts, kind: Kind) -> Iterator[tuple[Texts, int]]:
         yield Texts(texts.first, 1, data, np.array([0, len(data)])), at
 
 
-def scan(kind: Kind, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Texts, RunningHash, np.ndarray, Segments, int]]:
-    """Ids (nulls left out), texts, hashes, symbol bounds, segments, and place of the symbols, of each
-    slice of (doc_id, text)."""
+def scan(kind: Kind, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Symbols, Segments, int]]:
+    """Ids (nulls left out), symbols, segments, and place of the symbols, of each slice of (doc_id, text)."""
     batch = batch.filter(batch.column(0).is_valid())
     ids = batch.column(0).to_numpy(zero_copy_only=False)
     for whole in text_slices(batch.column(1)):
         for texts, place in _parts(whole, kind):
-            hashes, bounds = kind.hashes(texts)
-            found = window_segments(hashes, bounds, kind.window, kind.gram)
-            yield ids[texts.first : texts.first + texts.count], texts, hashes, bounds, found, place
+            symbols = kind.symbols(texts)
+            found = window_segments(symbols.hashes, symbols.bounds, kind.window, kind.gram)
+            yield ids[texts.first : texts.first + texts.count], symbols, found, place
+
+
+def _class(kind: Kind, symbols: Symbols, s: Segments) -> list[pa.Array]:
+    """The columns of CLASS."""
+    own = digests(symbols.pieces(symbols.bounds[s.row] + s.start, s.windows + kind.window - 1))
+    return [pa.array(signed(s.key)), pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(s.windows.astype(np.int32))]
 
 
 def classes(docs: DataFrame, kind: Kind) -> DataFrame:
-    """One row for each distinct segment: key, digest, windows, first (smallest doc_id), times."""
-    ddl = "key bigint, digest bigint, windows int, doc_id bigint"
+    """One row for each distinct segment: CLASS, first (smallest doc_id), times."""
+    ddl = "key bigint, digest bigint, more bigint, windows int, doc_id bigint"
     schema = arrow_schema(ddl)
 
     def rows(batches):
         for batch in batches:
-            for ids, _, _, _, s, _ in scan(kind, batch):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(s.key)), pa.array(signed(s.digest)), pa.array(s.windows.astype(np.int32)), pa.array(ids[s.row])], schema=schema)
+            for ids, symbols, s, _ in scan(kind, batch):
+                yield pa.RecordBatch.from_arrays([*_class(kind, symbols, s), pa.array(ids[s.row])], schema=schema)
 
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, ddl)
     return found.groupBy(*CLASS).agg(F.min("doc_id").alias("first"), F.count("*").alias("times"))
@@ -98,24 +122,23 @@ def key_filters(keys: DataFrame):
 def occurrences(docs: DataFrame, kind: Kind, filters, name: str, ddl: str, detail: Callable, only_several: bool = False) -> DataFrame:
     """Second scan: the segments whose key is in the filters.
 
-    ``detail(hashes, texts, bounds, segments)`` gives a value for each segment whose key
-    has several segments (column ``name`` of type ``ddl``; null for the others).
+    ``detail(symbols, segments)`` gives a value for each segment whose key has several
+    segments (column ``name`` of type ``ddl``; null for the others).
     """
-    full = f"key bigint, digest bigint, windows int, doc_id bigint, start int, anchor int, {name} {ddl}"
+    full = f"key bigint, digest bigint, more bigint, windows int, doc_id bigint, start int, anchor int, {name} {ddl}"
     schema = arrow_schema(full)
 
     def rows(batches):
         every, several = filters.value
         for batch in batches:
-            for ids, texts, hashes, bounds, s, place in scan(kind, batch):
+            for ids, symbols, s, place in scan(kind, batch):
                 here = np.flatnonzero((several if only_several else every)(s.key))
                 s = Segments(*(x[here] for x in s))
                 deep = several(s.key)
                 extra = np.full(len(deep), None, dtype=object)
                 at = np.flatnonzero(deep)
-                extra[at] = detail(hashes, texts, bounds, Segments(*(x[at] for x in s)))
-                arrays = [signed(s.key), signed(s.digest), s.windows, ids[s.row], s.start + place, s.anchor]
-                columns = [pa.array(x).cast(f.type) for x, f in zip(arrays, schema, strict=False)]
+                extra[at] = detail(symbols, Segments(*(x[at] for x in s)))
+                columns = [*_class(kind, symbols, s), *(pa.array(x).cast(f.type) for x, f in zip((ids[s.row], s.start + place, s.anchor), list(schema)[4:], strict=False))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(extra, schema.field(name).type)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, full)

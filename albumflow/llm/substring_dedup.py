@@ -2,7 +2,7 @@
 
 The index is a list of sorted, immutable runs (Parquet files in the shared folder), one
 a batch until compaction merges them.  A new batch is merge-joined with the runs on the
-fingerprint key, every match is verified on the hashes of whole windows, and the batch's
+fingerprint key, every match is verified on digests of whole windows' words, and the batch's
 own fingerprints are appended as a new run.  Batches must come in rising order of doc_id:
 a window is judged against all documents with a smaller doc_id, in its batch or earlier.
 
@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from albumflow.llm.kernels import signed
+from albumflow.llm.kernels import digests
 from albumflow.llm.segments import CLASS, Kind, by_document, classes, covered, key_filters, object_array, occurrences, repeated_keys
 from albumflow.llm.shared import arrow_map, arrow_schema, new_folder, remove_folder, saved
 
@@ -28,15 +28,16 @@ WINDOW = 50
 GRAM = 16
 FANOUT = 4
 BATCHES = 2
-RUN = "key bigint, digest bigint, windows int, first bigint, times bigint"
+RUN = "key bigint, digest bigint, more bigint, windows int, first bigint, times bigint"
 
 
-def _window_hashes(hashes, texts, bounds, s):
-    out = []
-    for at, windows in zip(bounds[s.row] + s.start, s.windows, strict=True):
-        start = np.arange(at, at + windows)
-        out.append(signed(hashes(start, start + WINDOW)))
-    return object_array(out)
+def _window_digests(symbols, s):
+    """128 bits of each window, of every segment."""
+    first = np.repeat(symbols.bounds[s.row] + s.start, s.windows)
+    ends = np.cumsum(s.windows)
+    first += np.arange(len(first)) - np.repeat(ends - s.windows, s.windows)
+    own = digests(symbols.pieces(first, np.full(len(first), WINDOW))).view("V16").ravel()
+    return object_array([[x.tobytes() for x in own[a:b]] for a, b in zip(ends - s.windows, ends, strict=True)])
 
 
 class FingerprintIndex:
@@ -79,7 +80,7 @@ class FingerprintIndex:
         keys = saved(repeated_keys(merged))
         filters = key_filters(keys)
         info = merged.join(keys, "key").select(*CLASS, "first", (F.col("kinds") > 1).alias("several"))
-        found = saved(occurrences(batch, self.kind, filters, "hashes", "array<bigint>", _window_hashes).drop("anchor").join(info, CLASS))
+        found = saved(occurrences(batch, self.kind, filters, "hashes", "array<binary>", _window_digests).drop("anchor").join(info, CLASS))
         whole = found.where("first < doc_id").select("doc_id", F.col("start").alias("from"), (F.col("start") + F.col("windows") + WINDOW - 1).alias("to"))
         # Only the first document with a segment still has windows to judge: later ones lose them all.
         place = "doc_id", "key", F.posexplode("hashes").alias("at", "hash"), "start"
@@ -88,7 +89,7 @@ class FingerprintIndex:
         mine = mine.select("key", "hash", "doc_id", ends.alias("from"), (ends + WINDOW).alias("to"))
         seen = mine.select("key", "hash", "doc_id")
         if history is not None and self.runs:
-            old = occurrences(history, self.kind, filters, "hashes", "array<bigint>", _window_hashes, only_several=True)
+            old = occurrences(history, self.kind, filters, "hashes", "array<binary>", _window_digests, only_several=True)
             old = old.join(keys.where("kinds > 1"), "key", "left_semi")
             seen = seen.unionByName(old.select("key", F.explode("hashes").alias("hash"), "doc_id"))
         firsts = seen.groupBy("key", "hash").agg(F.min("doc_id").alias("least"))

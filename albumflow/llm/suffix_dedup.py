@@ -1,6 +1,6 @@
 """Suffix-array dedup: bytes inside any 400-byte string that stands in two places.
 
-Whole segments that repeat are found by their fingerprints.  For the others, whose key
+Whole segments that repeat are found by their contents' digests.  For the others, whose key
 also occurs in unequal segments, suffixes are ordered by column-wise construction: each
 segment is a document of one collection, all aligned at their minimiser, and each round
 inserts one symbol of every document.  A round's insertion sorts the documents by the new
@@ -10,7 +10,7 @@ first symbol is inserted, a neighbour's common prefix is at least the window.  O
 suffixes of one length can be equal windows, so just that column of the transform is kept;
 the sequential files of the external method are the sorted shuffle partitions, read in
 blocks of whole keys.  Keys with more than ``LARGE_KEY`` segments are not gathered: their
-windows are compared by hashes in an ordinary aggregation.
+windows are compared by digests in an ordinary aggregation.
 
 Edge cases: null and empty texts and texts under 400 bytes lose nothing.  Rows with a null
 doc_id are neither searched nor cut.  Rows that repeat doc_id and text are two places.
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from albumflow.llm.kernels import BYTE_VALUES, RunningHash
+from albumflow.llm.kernels import digests
 from albumflow.llm.segments import CLASS, Kind, by_document, classes, covered, key_filters, object_array, occurrences, repeated_keys
 from albumflow.llm.shared import arrow_map, arrow_schema, partitions, saved
 
@@ -39,9 +39,8 @@ BLOCK_ROWS = 4096
 LARGE_KEY = 20_000
 
 
-def _pieces(hashes, texts, bounds, s):
-    start = bounds[s.row] + s.start
-    return object_array([texts.data[a : a + n].tobytes() for a, n in zip(start, s.windows + LENGTH - 1, strict=True)])
+def _pieces(symbols, s):
+    return object_array([bytes(x) for x in symbols.pieces(symbols.bounds[s.row] + s.start, s.windows + LENGTH - 1)])
 
 
 def collection_repeats(group: np.ndarray, pieces: list[bytes], anchor: np.ndarray) -> np.ndarray:
@@ -132,21 +131,21 @@ def _sorted_collections(pieces: DataFrame) -> DataFrame:
 
 
 def _hashed_windows(pieces: DataFrame) -> DataFrame:
-    """The same for keys with very many segments, by an aggregation over window hashes."""
-    ddl = "key bigint, hash bigint, doc_id bigint, from int, times bigint"
+    """The same for keys with very many segments, by an aggregation over digests of windows."""
+    ddl = "key bigint, digest bigint, more bigint, doc_id bigint, from int, times bigint"
     schema = arrow_schema(ddl)
 
     def explode(batch):
         for key, piece, windows, start, times, doc in zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "windows", "start", "times", "doc_id")), strict=True):
-            hashes = RunningHash(BYTE_VALUES[np.frombuffer(piece, np.uint8)])
-            at = np.arange(windows)
-            values = hashes(at, at + LENGTH).view(np.int64)
-            constant = [pa.array(np.full(windows, x)) for x in (key, doc, times)]
-            yield pa.RecordBatch.from_arrays([constant[0], pa.array(values), constant[1], pa.array((start + at).astype(np.int32)), constant[2]], schema=schema)
+            view = memoryview(piece)
+            own = digests(view[i : i + LENGTH] for i in range(windows))
+            key, doc, times = (pa.array(np.full(windows, x)) for x in (key, doc, times))
+            at = pa.array((start + np.arange(windows)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([key, pa.array(own[:, 0]), pa.array(own[:, 1]), doc, at, times], schema=schema)
 
     windows = arrow_map(pieces, explode, ddl)
-    again = windows.groupBy("key", "hash").agg(F.count("*").alias("places")).where("places > 1")
-    hits = windows.where("times = 1").join(again, ["key", "hash"], "left_semi")
+    again = windows.groupBy("key", "digest", "more").agg(F.count("*").alias("places")).where("places > 1")
+    hits = windows.where("times = 1").join(again, ["key", "digest", "more"], "left_semi")
     return hits.select("doc_id", "from", (F.col("from") + LENGTH).alias("to"))
 
 

@@ -287,7 +287,7 @@ def test_suffix_dedup_of_very_long_texts(spark, monkeypatch):
     kind = segments.Kind(False, suffix_dedup.LENGTH, suffix_dedup.GRAM)
     monkeypatch.setattr(segments, "LONG_PART", 1500)
     batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [rows_[0][1]]})
-    seen = [place + a + i for _, _, _, _, s, place in segments.scan(kind, batch) for a, n in zip(s.start.tolist(), s.windows.tolist(), strict=True) for i in range(n)]
+    seen = [place + a + i for _, _, s, place in segments.scan(kind, batch) for a, n in zip(s.start.tolist(), s.windows.tolist(), strict=True) for i in range(n)]
     assert sorted(seen) == list(range(len(rows_[0][1]) - suffix_dedup.LENGTH + 1))
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(df).collect())
     assert got == want
@@ -299,5 +299,41 @@ def test_suffix_dedup_of_odd_tables(request, name):
     assert suffix_dedup.dedup(df).count() == df.count()
 
 
+# Texts that a polynomial modulo a power of two cannot tell apart.
+
+
+def alike(bits=10):
+    """Two unequal words with one structure."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1 << bits))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_alike_words_are_no_near_copies(spark):
+    a, b = alike()
+    df = spark.createDataFrame([(1, f"x y z {a}"), (2, f"x y z {b}"), (3, f"{a} {b} c d e {b} {a} c d e")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, 4).collect()}
+    assert got == {(1, 1, 1, True), (2, 1, 2, True), (3, 7, 3, True)}
+
+
+@pytest.mark.parametrize("batches", [1, 2])
+def test_alike_words_are_no_repeated_passage(spark, batches):
+    a, b = alike()
+    words = prose(4, 49).split()
+    rows_ = [(1, " ".join([*words, a])), (2, " ".join([*words, b])), (3, " ".join([*words[1:], a, b])), (4, " ".join(["q", *words[1:], a]))]
+    df = spark.createDataFrame(rows_, "doc_id bigint, text string")
+    want = substrings_by_hand(rows_)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.dedup(df, batches).collect()} == want and not want[2][1]
+
+
+@pytest.mark.parametrize("large", [suffix_dedup.LARGE_KEY, 0])
+def test_alike_bytes_are_no_repeated_string(spark, monkeypatch, large):
+    monkeypatch.setattr(suffix_dedup, "LARGE_KEY", large)
+    a, b = alike(8)
+    key = prose(6, 40)[:144]
+    rows_ = [(1, a + key), (2, b + key), (3, key + a), (4, key + b), (5, f"x{key}{b}y"), (6, alike()[0]), (7, alike()[1])]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(spark.createDataFrame(rows_, "doc_id bigint, text string")).collect())
+    assert got == bytes_by_hand(rows_)
+
+
 def test_odd_rows_are_what_the_name_says():
     assert len(ODD) == 16

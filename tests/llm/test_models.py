@@ -140,6 +140,14 @@ def test_base_scores(request, monkeypatch, name, head):
     assert [x for _, x in sorted(ids)] == pytest.approx([x for _, x in sorted(hand)], abs=1e-4)
 
 
+def test_a_word_like_a_known_one_is_unknown(spark):
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, f"x y {one}", None, None, 0), (2, f"x y {other} {one}", None, None, 0), (2, f"x y {one} {one}", None, None, 0)], SCHEMA)
+    got, _ = lm_scoring.score_all(df, df.where("doc_id = 1"))
+    assert sorted((r.doc_id, r.n_tokens, r.n_known) for r in got.collect()) == [(1, 4, 4), (2, 5, 4), (2, 5, 5)]
+
+
 def test_no_training_text(docs):
     got, total = lm_scoring.score_all(docs, docs.where("false"))
     assert total == 0 and all(r.n_known == 0 and r.base_score == pytest.approx(0.0) for r in got.collect())
