@@ -7,9 +7,10 @@ of its windows' mean log-probabilities, weighted by bytes.  Scoring looks up byt
 so a filter of width 6 costs three table reads a byte.
 
 Training reads at most ``TRAIN_ROWS`` labelled rows (smallest hash of doc_id) and
-``TRAIN_WINDOWS`` windows of each; both bounds are parameters.  Edge cases: a null text, or one
-without a letter, is ``und`` with score 0; rows without a language are not learned; with no
-labelled row everything is ``und``.  Repeated rows get the same prediction; other
+``TRAIN_WINDOWS`` windows of each; both bounds are parameters.  Short texts are learned too,
+as one window.  Edge cases: a null text, or one without a letter, is ``und`` with score 0;
+rows without a language or without text are not learned; with no row to learn from everything
+is ``und``.  Repeated rows get the same prediction; other
 columns are not read.
 """
 
@@ -30,6 +31,7 @@ WIDTHS = (2, 4, 6)
 FILTERS = 8
 TRAIN_ROWS = 4000
 TRAIN_WINDOWS = 4
+SHORT = 64  # a training text's last window is left out if it has fewer bytes, unless it is the only one
 STEPS = 1200
 BATCH = 64
 RATE = 0.02
@@ -143,7 +145,7 @@ def train(docs: DataFrame, labelled: DataFrame, limit: int = TRAIN_ROWS) -> Mode
                 number = np.arange(len(row)) - np.searchsorted(row, row)
                 count = np.bincount(row, minlength=texts.count)[row]
                 step = np.maximum(1, count // TRAIN_WINDOWS)
-                take = np.flatnonzero((room >= min(64, LENGTH)) & (number % step == 0) & (number < step * TRAIN_WINDOWS))
+                take = np.flatnonzero(((room >= SHORT) | (number == 0)) & (number % step == 0) & (number < step * TRAIN_WINDOWS))
                 rows = pa.array(texts.first + row[take])
                 columns = [batch.column(0).cast(pa.int64()).take(rows), batch.column(1).take(rows), pa.array(number[take].astype(np.int32)), pa.array([data[i].tobytes() for i in take], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)

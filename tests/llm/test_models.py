@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -54,6 +55,21 @@ def test_no_labels_give_no_language(docs):
     assert {(r.lang_pred, r.score) for r in language.predict(docs, model).collect()} == {("und", 0.0)}
 
 
+def test_languages_of_short_texts(spark):
+    """Five words a text, and a language that only has short ones."""
+    rng = random.Random(3)
+    words = {"xx": ["ba", "dobo", "gudu", "bubo"], "yy": ["šiš", "čeče", "žiži", "ře"]}
+    five = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(5))
+    rows = [(i, five("xy"[i % 2] * 2), "xy"[i % 2] * 2, "s", 1) for i in range(200)] + [(300 + i, f"the {i} quick brown foxes " * 30, "zz", "s", 1) for i in range(100)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for known in (df.where("doc_id < 200"), df):
+        model = language.train(known, known.where("doc_id % 5 <> 0"))
+        got = [(r.lang_pred, r.lang) for r in language.predict(known, model).join(known, "doc_id").where("doc_id % 5 = 0").collect()]
+        assert np.mean([a == b for a, b in got]) > 0.95
+    odd = spark.createDataFrame([(1, None, "xx", "s", 0), (2, "", "yy", "s", 0), (3, "a", None, "s", 0)], SCHEMA)
+    assert {(r.lang_pred, r.score) for r in language.predict(odd, language.train(odd, odd)).collect()} == {("und", 0.0)}
+
+
 def test_pair_tables_give_the_same_as_the_filters(language_model):
     (texts,) = text_slices(pa.array(["Der schnelle Fuchs " * 20, "é" * 300, "x"]))
     row, room, data = language.cut_windows(texts)
