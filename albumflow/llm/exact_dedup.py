@@ -1,8 +1,8 @@
 """Exact dedup by two-pass Bloom filtering.
 
 Pass 1 hashes every normalised text and builds a counting Bloom filter of bounded size
-over the hashes; pass 2 tests every row against it.  Only rows whose hash possibly
-repeats shuffle, by their full SHA-256; all other rows pass straight through.
+over the hashes, each task a piece of it; pass 2 tests every row against it.  Only rows whose
+hash possibly repeats shuffle, by their full SHA-256; all other rows pass straight through.
 
 Edge cases: a null text counts as empty, and empty texts are copies of each other.
 Rows that repeat both doc_id and text get the same decision.  An empty table gives an

@@ -63,6 +63,21 @@ def test_bloom_never_misses(spark):
     assert not bloom.build(keys.limit(0), 0)(np.arange(100)).any()
 
 
+def test_bloom_of_many_pieces(spark, monkeypatch):
+    """Pieces that are lists and bit maps, one key in a third of all rows, and fewer probes beyond the largest size."""
+    monkeypatch.setattr(bloom, "PENDING", 3000)
+    keys = spark.range(0, 60_000, numPartitions=7).select(F.when(F.col("id") % 3 == 0, -7).otherwise(F.col("id") % 35_000).alias("key"))
+    times = Counter(r.key for r in keys.collect())
+    for expected, few in ((60_000, bloom._FEW), (60_000, 100), (200_000, bloom._FEW)):
+        monkeypatch.setattr(bloom, "_FEW", few)
+        monkeypatch.setattr(bloom, "MAX_BITS", 1 << 19)
+        again, every = bloom.build(keys, expected, at_least=2), bloom.build(keys, expected)
+        assert again.probes == (4 if expected == 60_000 else 2)
+        known = np.array(sorted(times))
+        assert every(known).all() and again(np.array([k for k, n in times.items() if n > 1])).all()
+        assert again(np.array([k for k, n in times.items() if n == 1])).mean() < 0.35 and every(np.arange(10**6, 10**6 + 5000)).mean() < 0.2
+
+
 # Components.
 
 
