@@ -24,6 +24,9 @@ from pyspark.sql.types import BooleanType, StringType, StructType
 from albumflow.llm import bloom
 from albumflow.llm.shared import arrow_map, fresh, saved
 
+POPULAR = 10_000  # a text's rows beyond which they are dealt to SALTS tasks
+SALTS = 64
+
 
 def _digests(texts: pa.Array) -> list[bytes]:
     """SHA-256 of each text with A-Z lower-cased, in UTF-8."""
@@ -60,9 +63,13 @@ def _tagged(docs: DataFrame, text: str, digest: str, maybe: str) -> DataFrame:
 def copy_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id (largest doc_id of equal texts), group_size, kept, text_sha256."""
     rows = saved(_tagged(docs.select("doc_id", "text"), "text", "text_sha256", "maybe").drop("text"))
-    again = rows.where("maybe").drop("maybe")
-    groups = again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    shuffled = again.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256")
+    again = rows.where("maybe").select("doc_id", "text_sha256", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    groups = saved(again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
+    popular = groups.where(F.col("group_size") > POPULAR).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    marked = again.join(popular, ["text_sha256", "salt"], "left")
+    columns = ["doc_id", "keep_id", "group_size", "text_sha256"]
+    few = marked.where("group_size is null").select("doc_id", "text_sha256").join(groups.where(F.col("group_size") <= POPULAR), "text_sha256")
+    shuffled = few.select(*columns).unionByName(marked.where("group_size is not null").select(*columns))
     alone = rows.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     both = shuffled.unionByName(alone)
     return both.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

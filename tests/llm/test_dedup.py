@@ -40,8 +40,10 @@ def copies_by_hand(docs):
     return out
 
 
+@pytest.mark.parametrize("popular", [exact_dedup.POPULAR, 1])
 @pytest.mark.parametrize("name", ["odd", "clashing", "empty", "docs"])
-def test_copy_groups(request, name):
+def test_copy_groups(request, name, popular, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "POPULAR", popular)
     df = request.getfixturevalue(name)
     assert Counter(map(tuple, exact_dedup.copy_groups(df).collect())) == copies_by_hand(rows(df))
 
