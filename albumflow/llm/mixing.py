@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from albumflow.llm.shared import saved
+from albumflow.llm.shared import fresh, saved
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -122,10 +122,14 @@ def rounded(units: DataFrame, largest: int) -> DataFrame:
     return out.unionByName(last).select("number", "doc_id", "size", "p")
 
 
+def _size() -> Column:
+    """Words of a text."""
+    return F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """doc_id, size, source, source_size, target, copies, taken of every row of docs."""
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = saved(docs.select("doc_id", "source", size.alias("size")))
+    rows = saved(docs.select("doc_id", "source", _size().alias("size")))
     sources = saved(source_targets(rows, weights, share, most))
     count, largest = sources.agg(F.count("*"), F.max("documents")).first()
     names = F.broadcast(sources) if count <= SMALL_SOURCES else sources
@@ -140,3 +144,26 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     base = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     copies = F.when(F.col("size") > 0, base + F.col("p")).otherwise(0).cast("long")
     return out.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def take_mix(docs: DataFrame) -> DataFrame:
+    """Rows of docs that the mix takes, all columns, with ``copies`` and ``target`` (underscores
+    are added to names that docs has).
+
+    Rows alike in doc_id, source and size share the copies that the mix takes of them as evenly
+    as can be, in the order of the hash of their text.
+    """
+    names = {name: fresh(docs.columns, name) for name in ("copies", "target", "of_id", "of_source", "of_size", "rows", "size")}
+    copies, target, of_id, of_source, of_size, alike, size = names.values()
+    mixed = mix(docs).groupBy("doc_id", "source", "size").agg(F.count("*").alias(alike), F.sum("copies").alias(copies), F.first("target").alias(target)).where(F.col(copies) > 0)
+    mixed = saved(mixed.withColumnsRenamed({"doc_id": of_id, "source": of_source, "size": of_size}))
+    sized = docs.withColumn(size, _size())
+    same = sized["doc_id"].eqNullSafe(F.col(of_id)) & sized["source"].eqNullSafe(F.col(of_source)) & (sized[size] == F.col(of_size))
+    out = sized.join(mixed.where(F.col(alike) == 1), same)
+    several = mixed.where(F.col(alike) > 1)
+    if not several.isEmpty():
+        order = Window.partitionBy(of_id, of_source, of_size).orderBy(F.xxhash64("text"))
+        place = F.row_number().over(order)
+        dealt = F.floor(F.col(copies) / F.col(alike)) + (place <= F.col(copies) % F.col(alike)).cast("long")
+        out = out.unionByName(sized.join(several, same).withColumn(copies, dealt).where(F.col(copies) > 0))
+    return out.select(*docs.columns, copies, target)

@@ -12,7 +12,7 @@ from conftest import SCHEMA, prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from albumflow.llm import decontamination, exact_dedup, licenses, mixing, near_dedup, queries
+from albumflow.llm import decontamination, licenses, mixing, near_dedup, queries
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BENCH = "item_id bigint, text string"
@@ -240,6 +240,23 @@ def test_mix_keeps_expectations_and_uses_several_levels(spark, monkeypatch):
             assert abs(share - rate) < 0.35
 
 
+def test_mixed_documents_with_repeated_ids(spark):
+    """Each id twice: of equal and of unequal texts, sizes and sources."""
+    text = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    rows = [(i // 2, text(i // 4, 5 + i % 9 // 3 + i // 2 % 3), "en", "abc"[i // 40 % 3] if i % 10 else None, i) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumn("copies", F.lit("own"))
+    taken, mixed = Counter(), Counter()
+    for r in mixing.mix(df).collect():
+        taken[r.doc_id, r.source, r.size] += r.copies
+    out = mixing.take_mix(df).collect()
+    assert out[0].__fields__ == [*df.columns, "copies_", "target"]
+    assert len({r.n_chars for r in out}) == len(out) and {r.n_chars: r.text for r in out}.items() <= {r[4]: r[1] for r in rows}.items()
+    for r in out:
+        assert r.copies_ in (1, 2) and r.copies == "own"
+        mixed[r.doc_id, r.source, count_words(r.text)] += r.copies_
+    assert mixed == +taken
+
+
 # The pipeline.
 
 
@@ -288,11 +305,22 @@ def test_filtering_stages_keep_all_columns(request, spark, name):
         out = stage(spark, df, sf)
         assert out.schema == df.schema
         assert out.count() <= df.count()
-    mixed = corpus_pipeline.mix_sources(spark, exact_dedup.drop_copies(df), sf)
+    mixed = corpus_pipeline.mix_sources(spark, df, sf)
     assert mixed.columns[: len(df.columns)] == df.columns and len(mixed.columns) == len(df.columns) + 2
+    words = sum(r[len(df.columns)] * count_words(r.text) for r in mixed.collect())
+    assert words == sum(r.taken for r in mixing.mix(df).collect())
     assert near_dedup.drop_near_duplicates(df).count() <= df.count()
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    spark.read.parquet(f"{sf}/documents.parquet").where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns[-2:] == ["copies", "target"]
+
+
 def test_queries_are_named_by_number():
     names = queries.queries()
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
