@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumflow.llm import decontamination, exact_dedup, mixing, near_dedup, quality
-from albumflow.llm.shared import fresh, new_folder, remove_folder, small_batches
+from albumflow.llm.shared import new_folder, remove_folder, small_batches
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +41,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key = fresh(docs.columns, "mixed_id")
-    copies, target = fresh(docs.columns, "copies"), fresh(docs.columns, "target")
-    mixed = mixing.mix(docs).where("copies > 0").dropDuplicates(["doc_id"])
-    mixed = mixed.select(F.col("doc_id").alias(key), F.col("copies").alias(copies), F.col("target").alias(target))
-    return docs.join(mixed, docs["doc_id"].eqNullSafe(mixed[key])).drop(key)
+    return mixing.take_mix(docs)
 
 
 STAGES = [
