@@ -28,10 +28,8 @@ def make_ts(year: Column, month: Column, day: Column, hour: Column, minute: Colu
 
 def strict_parse(text: Column) -> Column:
     """``yyyy:MM:dd HH:mm:ss`` and nothing else, after trimming; null on any deviation."""
-    own = trim_all(text)
-    ok = own.rlike(r"^(?!0000)\d{4}:\d{2}:\d{2} \d{2}:\d{2}:[0-5]\d$")
-    part = [F.when(ok, F.substring(own, at, size)) for at, size in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2))]
-    return make_ts(*part)
+    own = F.regexp_extract(text, r"(?U)^\s*(?!0000)([0-9]{4}:[0-9]{2}:[0-9]{2} [0-9]{2}:[0-9]{2}:[0-5][0-9])\s*$", 1)
+    return F.overlay(F.overlay(own, F.lit("-"), 5), F.lit("-"), 8).try_cast("timestamp_ntz")
 
 
 def invalid_date(ts: Column) -> Column:
@@ -134,27 +132,114 @@ def tolerant_parse(text: Column) -> Column:
 #: Strftime directives and their Spark patterns.
 STRFTIME = {
     "%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%I": "hh", "%M": "mm", "%S": "ss",
-    "%p": "a", "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%j": "DDD", "%%": "'%'",
+    "%p": "a", "%b": "MMM", "%h": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%j": "DDD",
+    "%F": "yyyy-MM-dd", "%T": "HH:mm:ss", "%R": "HH:mm", "%D": "MM/dd/yy",
 }
+_DIRECTIVE = re.compile(r"%(?:(?P<bare>-?)\.?(?P<digits>\d*)f|(?P<zone>:?z)|.)", re.DOTALL)
 
 
-def format_ts(ts: Column, strftime: str) -> Column:
-    """Format by a strftime pattern."""
-    pattern, at = "", 0
-    for m in re.finditer(r"%[A-Za-z%]", strftime):
-        literal = strftime[at : m.start()].replace("'", "''")
-        pattern += (f"'{literal}'" if literal else "") + STRFTIME[m[0]]
-        at = m.end()
-    literal = strftime[at:].replace("'", "''")
-    return F.date_format(ts, pattern + (f"'{literal}'" if literal else ""))
+def _zone_minutes(zone: Column) -> Column:
+    """Minutes of ``+hh:mm``; 0 for anything else."""
+    size = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int")
+    return F.when(zone.rlike(r"^[+-]\d{2}:\d{2}$"), F.when(zone.startswith("-"), -size).otherwise(size)).otherwise(0)
+
+
+def format_ts(ts: Column, strftime: str, fraction: Column | None = None, zone: Column | None = None) -> Column:
+    """Format by a strftime pattern.
+
+    ``%f`` is the fraction (``.25``) as it is, ``%3f`` three digits of it, ``%-f`` without its point;
+    rounding carries into the seconds.  ``%z`` and ``%:z`` are the zone (``+hh:mm``, else UTC) without and
+    with colon, and ``%s`` the epoch seconds of the wall clock in that zone.
+    """
+    fraction = F.lit("") if fraction is None else F.coalesce(fraction, F.lit(""))
+    zone = F.lit("") if zone is None else F.coalesce(zone, F.lit(""))
+    offset = F.when(zone.rlike(r"^[+-]\d{2}:\d{2}$"), zone).otherwise("+00:00")
+    first = next((m for m in _DIRECTIVE.finditer(strftime) if m["digits"] is not None), None)
+    if first is not None and first["digits"]:
+        digits = int(first["digits"])
+        rounded = F.format_string(f"%.{digits}f", F.concat(F.lit("0"), fraction).try_cast("double"))
+        ts = F.when((fraction != "") & rounded.startswith("1"), shift_seconds(ts, 1)).otherwise(ts)
+        fraction = F.when(fraction == "", F.lit("." + "0" * digits if digits else "")).otherwise(F.substring(rounded, 2, digits + 1))
+    parts, at = [], 0
+    for m in _DIRECTIVE.finditer(strftime):
+        parts.append(F.lit(strftime[at : m.start()]))
+        code, at = m[0], m.end()
+        if m["digits"] is not None:
+            parts.append(F.regexp_replace(fraction, r"^\.", "") if first["bare"] else fraction)
+        elif m["zone"]:
+            parts.append(offset if m["zone"] == ":z" else F.replace(offset, F.lit(":"), F.lit("")))
+        elif code == "%s":
+            parts.append((ts_to_epoch(ts) - 60 * _zone_minutes(offset)).cast("string"))
+        elif code == "%e":
+            parts.append(F.lpad(F.dayofmonth(ts).cast("string"), 2, " "))
+        elif code in ("%u", "%w"):
+            parts.append((F.weekday(ts) + 1 if code == "%u" else F.dayofweek(ts) - 1).cast("string"))
+        elif code in ("%%", "%n", "%t"):
+            parts.append(F.lit({"%%": "%", "%n": "\n", "%t": "\t"}[code]))
+        elif code in STRFTIME:
+            parts.append(F.date_format(ts, STRFTIME[code]))
+        else:
+            raise ValueError(f"unknown strftime directive: {code}")
+    return F.when(ts.isNotNull(), F.concat(*parts, F.lit(strftime[at:])))
 
 
 def format_tolerant(text: Column, strftime: str, strict: bool = False) -> Column:
     """Reformat a date text; one that is no date stays as it is, or is null if ``strict``."""
-    out = format_ts(tolerant_parse(text), strftime)
+    zone = F.regexp_extract(text, r"([-+]\d{2}:\d{2}|Z)$", 1)
+    body = F.regexp_replace(text, r"([-+]\d{2}:\d{2}|Z)$", "")
+    out = format_ts(tolerant_parse(body), strftime, F.regexp_extract(body, r"(\.\d+)", 1), zone)
     return out if strict else F.coalesce(out, text)
 
 
+def parse_by(text: Column, strftime: str) -> Column:
+    """The time in a text of a strftime pattern (without fraction or zone), null where it is none."""
+    if strftime == "%s":
+        return epoch_to_ts(text.try_cast("bigint"))
+    pattern, at = "", 0
+    for m in _DIRECTIVE.finditer(strftime + "%%"):
+        literal = strftime[at : m.start()].replace("'", "''")
+        pattern += f"'{literal}'" if literal else ""
+        if m.end() > len(strftime):
+            break
+        pattern += "'%'" if m[0] == "%%" else STRFTIME[m[0]]
+        at = m.end()
+    loose = re.sub(r"(MM|dd|HH|hh|mm|ss)(?!M)", lambda m: m[0][0], pattern)  # single digits
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in (pattern, loose)]).cast("timestamp_ntz")
+
+
+def written_date(text: Column, keep_zone: bool | None = None, date_only: bool = False, strftime: str | None = None, now: Column | None = None) -> Column:
+    """A date as it is typed in, as ``YYYY:MM:DD HH:MM:SS[.ss][zone]``; null if it is none.
+
+    Any separators will do; minutes and seconds may be missing.  ``keep_zone`` False drops fraction and
+    zone, True adds UTC where there is none.  ``date_only`` also takes years, months or days alone.
+    ``now`` in the text is the current time.  With ``strftime`` the text must have that form.
+    """
+    if strftime is not None:
+        out = F.date_format(parse_by(text, strftime), "yyyy:MM:dd HH:mm:ss")
+        return F.concat(out, F.lit("Z")) if keep_zone else out
+    own = trim_all(text)
+    zone_at = r"(?i)([+-]\d{1,2}:?\d{2}) *(?:DST)?$|(Z)$"
+    zone_digits = F.regexp_replace(F.regexp_extract(own, zone_at, 1), r"\D", "")
+    zone = F.when(zone_digits != "", F.concat(F.substring(F.regexp_extract(own, zone_at, 1), 1, 1), F.lpad(F.regexp_replace(zone_digits, r"\d{2}$", ""), 2, "0"), F.lit(":"), F.regexp_extract(zone_digits, r"(\d{2})$", 1)))
+    zone = F.coalesce(zone, F.upper(F.regexp_extract(own, zone_at, 2)))
+    body = F.regexp_replace(own, zone_at, "")
+    year = F.regexp_extract(body, r"(\d{4})", 1)
+    rest = F.regexp_extract_all(F.regexp_extract(body, r"\d{4}(.*)$", 1), F.lit(r"(\d{1,2})"), 1)
+    part = lambda i, missing="00": F.lpad(F.coalesce(F.get(rest, F.lit(i)), F.lit(missing)), 2, "0")
+    seconds = F.when(F.get(rest, F.lit(4)).try_cast("int") < 60, F.concat(F.lit(":"), part(4))).otherwise(F.lit("" if date_only else ":00"))
+    fraction = F.when(F.size(rest) > 5, F.regexp_extract(body, r"(\.\d+)\s*$", 1)).otherwise("")
+    if keep_zone is False:
+        fraction = zone = F.lit("")
+    elif keep_zone:
+        zone = F.when(zone == "", "Z").otherwise(zone)
+    inside = part(0).cast("int").between(1, 12) & part(1).cast("int").between(1, 31) & (part(2).cast("int") <= 24) & (part(3).cast("int") <= 59)
+    full = F.when(inside, F.concat(year, F.lit(":"), part(0), F.lit(":"), part(1), F.lit(" "), part(2), F.lit(":"), part(3), seconds, fraction, zone))
+    short = F.concat_ws(":", year, F.transform(rest, lambda x: F.lpad(x, 2, "0"))) if date_only else F.lit(None).cast("string")
+    out = F.when(year != "", F.when(F.size(rest) >= 3, full).otherwise(short))
+    clock = F.date_format(F.localtimestamp() if now is None else now, "yyyy:MM:dd HH:mm:ss")
+    return F.when(F.lower(own) == "now", F.concat(clock, F.lit("Z")) if keep_zone else clock).otherwise(out)
+
+
 def merge_subseconds(base: Column, subsec: Column, offset: Column) -> Column:
     """``base[.subsec][offset]`` as text."""
     digits = F.regexp_extract(subsec, r"^\s*(\d+)", 1)
@@ -192,8 +277,12 @@ def normal_date(text: Column) -> Column:
 
 def normal_time(text: Column) -> Column:
     """``HHMMSS``, with or without a zone, as ``HH:MM:SS[+HH:MM]``; other texts stay."""
-    out = F.regexp_replace(text, r"^\s*(\d{2}):?(\d{2}):?(\d{2}(?:\.\d+)?)\s*", "$1:$2:$3")
-    return F.regexp_replace(out, r"([+-]\d{2}):?(\d{2})\s*$", "$1:$2")
+    sign = F.regexp_extract(text, r"([+-])", 1)
+    clock, zone = (F.regexp_replace(F.get(F.split(text, r"[+-]", 2), F.lit(i)), r"[\s:]", "") for i in (0, 1))
+    pairs = lambda digits, count: [F.substring(digits, 2 * i + 1, 2) for i in range(count)]
+    shown = F.concat(F.concat_ws(":", *pairs(clock, 3)), F.substring(clock, 7, 20))
+    shown = F.when(sign == "", shown).when(zone.rlike(r"^\d{4}$"), F.concat(shown, sign, F.concat_ws(":", *pairs(zone, 2))))
+    return F.when(clock.rlike(r"^\d{6}(\.\d+)?$"), F.coalesce(shown, text)).otherwise(text)
 
 
 def date_problem(text: Column) -> Column:
@@ -217,3 +306,13 @@ def shift_all(rows, shift: str):
     """rows with every time column shifted."""
     names = [name for name, kind in rows.dtypes if kind == "timestamp_ntz"]
     return rows.withColumns({n: shift_by(F.col(n), shift) for n in names})
+
+
+def xmp_date_problem(text: Column) -> Column:
+    """What is wrong with an XMP date: a year, a month, a day, or a day with a time; null if nothing is."""
+    pattern = r"^(\d{4})(?::(\d{2}))?(?::(\d{2}))?(?: (\d{2}):(\d{2})(?::(\d{2})(?:\.\d*)?)?(?:Z|[+-]\d{2}:\d{2})?)?$"
+    part = lambda i: F.regexp_extract(text, pattern, i).try_cast("int")
+    bad_day = (~F.coalesce(part(2), F.lit(1)).between(1, 12)) | (~F.coalesce(part(3), F.lit(1)).between(1, 31))
+    bad_time = (part(4) > 23) | (part(5) > 59) | (part(6) > 59)
+    shape = F.when(text.rlike(pattern), F.when(bad_day, "bad date").when(bad_time, "bad time")).otherwise("bad format")
+    return F.when(text.isNotNull(), shape)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -103,23 +104,32 @@ def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.pmod(F.floor(F.degrees(F.atan2(y, x)) + 360.5), F.lit(360))
 
 
-def human_size(size: Column) -> Column:
-    """Bytes in decimal units."""
-    value = size.cast("double")
-    scaled = lambda n, unit: F.when(value < 10 * n, F.format_string(f"%.1f {unit}", value / n)).otherwise(F.format_string(f"%.0f {unit}", value / n))
-    return (
-        F.when(value < 2000, F.concat(size.cast("string"), F.lit(" bytes")))
-        .when(value < 2_000_000, scaled(1000, "kB")).when(value < 2_000_000_000, scaled(1_000_000, "MB")).otherwise(scaled(1_000_000_000, "GB"))
-    )
+def human_size(size: Column, binary: bool = False) -> Column:
+    """Bytes in decimal or binary units, with one decimal below ten."""
+    value, out = size.cast("double"), F.concat(size.cast("string"), F.lit(" bytes"))
+    step = 1024 if binary else 1000
+    for i, unit in enumerate(("KiB", "MiB", "GiB") if binary else ("kB", "MB", "GB"), 1):
+        scaled = value / step**i
+        shown = F.format_string(f"%.0f {unit}", scaled)
+        out = F.when(value < 2 * step**i, out).otherwise(F.when(scaled < 10, F.format_string(f"%.1f {unit}", scaled)).otherwise(shown))
+    return out
+
+
+def three_digits(value: Column) -> Column:
+    """A number below 1000 with at most three significant digits and no zeros at the end."""
+    out = F.format_string("%.0f", value)
+    for decimals, limit in ((1, 100.0), (2, 10.0), (3, 1.0), (4, 0.1), (5, 0.01), (6, 0.001)):
+        out = F.when(value < limit, F.regexp_replace(F.format_string(f"%.{decimals}f", value), r"\.?0+$", "")).otherwise(out)
+    return F.when(value == 0, "0").otherwise(out)
 
 
 def human_bitrate(rate: Column) -> Column:
-    """Bits a second, two decimals below 100."""
+    """Bits a second, three significant digits below 100, whole numbers above."""
     value = rate.cast("double")
     out = None
     for n, unit in ((1.0, "bps"), (1e3, "kbps"), (1e6, "Mbps"), (1e9, "Gbps")):
         own = value / n
-        text = F.when(own < 100, F.format_string(f"%.2f {unit}", own)).otherwise(F.format_string(f"%.0f {unit}", own))
+        text = F.concat(F.when(own < 100, three_digits(own)).otherwise(F.format_string("%.0f", own)), F.lit(f" {unit}"))
         hit = (own < 1000) | F.lit(unit == "Gbps")
         out = F.when(hit, text) if out is None else out.when(hit, text)
     return out
@@ -176,3 +186,49 @@ def rational(value: Column, largest: int = 1000) -> Column:
     tries = F.transform(F.sequence(F.lit(1), F.lit(largest)), lambda d: F.struct(F.round(F.abs(value - F.round(value * d) / d), 9).alias("error"), d.alias("d")))
     d = F.array_min(tries)["d"]
     return F.concat(F.round(value * d).cast("bigint").cast("string"), F.lit("/"), d.cast("string"))
+
+
+def f_number_text(value: Column) -> Column:
+    """An f-number with one decimal, two below 1."""
+    number = value.cast("double")
+    return F.when(number < 1, F.format_string("%.2f", number)).otherwise(F.format_string("%.1f", number))
+
+
+def focal_length_text(focal: Column, scale: Column) -> Column:
+    """``50.0 mm``, and what that is in 35 mm film where the scale is known."""
+    plain = F.format_string("%.1f mm", focal.cast("double"))
+    film = F.format_string(" (35 mm equivalent: %.1f mm)", (focal * scale).cast("double"))
+    return F.concat(plain, F.when(scale.isNotNull() & (scale > 0), film).otherwise(""))
+
+
+def scale_from_sensor(width: Column, height: Column) -> Column:
+    """Scale to 35 mm film from a sensor's size in millimetres."""
+    size = F.sqrt(width * width + height * height)
+    return F.when((width > 0) & (height > 0), math.sqrt(24 * 24 + 36 * 36) / size)
+
+
+def lens_text(short: Column, long: Column, wide: Column, narrow: Column) -> Column:
+    """``18-55mm f/3.5-5.6`` of focal lengths and f-numbers; one number where both are equal, ``?`` for none."""
+    plain = lambda x: F.when((x > 0), F.regexp_replace(F.format_string("%.3f", x.cast("double")), r"\.?0+$", "")).otherwise("?")
+    span = lambda a, b: F.when(b.isNull() | (a == b), plain(a)).otherwise(F.concat(plain(a), F.lit("-"), plain(b)))
+    return F.concat(span(short, long), F.lit("mm f/"), span(wide, narrow))
+
+
+def degrees_text(value: Column, form: str = "%d deg %d' %.2f\"") -> Column:
+    """Degrees by a printf form of one to three numbers: degrees, minutes, seconds; the last one has the fraction.
+
+    Whole numbers carry, so no part reads 60.
+    """
+    kinds = re.findall(r"%[-+ 0]*\d*(?:\.(\d+))?([a-zA-Z])", form)[:3]
+    decimals = int(kinds[-1][0] or 6) if kinds[-1][1] in "fFeEgG" else 0
+    unit = (1, 60, 3600)[len(kinds) - 1] * 10**decimals
+    total = F.round(F.abs(value) * unit).cast("bigint")
+    last = 60 * 10**decimals
+    parts = [F.when(value < 0, -total).otherwise(total) / float(10**decimals)] if len(kinds) == 1 else [F.pmod(total, F.lit(last)) / float(10**decimals)]
+    rest = F.floor(total / last)
+    for i in range(len(kinds) - 1):
+        top = i == len(kinds) - 2
+        parts.insert(0, rest if top else F.pmod(rest, F.lit(60)))
+        rest = F.floor(rest / 60)
+    whole = [p.cast("double") if k[1] in "fFeEgG" else F.round(p).cast("bigint") for p, k in zip(parts, kinds, strict=True)]
+    return F.format_string(form, *whole)

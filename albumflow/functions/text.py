@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import html
+import json
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from albumflow.functions.dates import epoch_to_ts, trim_all
 
@@ -38,18 +43,51 @@ def csv_cell(text: Column, separator: str = ",") -> Column:
     return F.when(needs, quoted).otherwise(text)
 
 
-def json_text(text: Column) -> Column:
-    """A JSON string literal."""
-    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+_CONTROL = [chr(c) for c in (*range(1, 32), 127) if chr(c) not in "\t\n\r"]
+
+
+def _escaped(text: Column, marks: str, control: str) -> Column:
+    """Backslashes before ``marks`` and for line ends and tabs; other control characters by ``control``."""
+    out = F.regexp_replace(text, "([" + re.escape(marks) + "])", r"\\$1")
     for raw, escaped in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         out = F.replace(out, F.lit(raw), F.lit(escaped))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    rare = out
+    for c in _CONTROL:
+        rare = F.replace(rare, F.lit(c), F.lit(control % ord(c)))
+    return F.when(out.rlike(r"[\x01-\x1f\x7f]"), rare).otherwise(out)
+
+
+def json_text(text: Column) -> Column:
+    """A JSON string literal; null characters are left out."""
+    return F.concat(F.lit('"'), _escaped(F.replace(text, F.lit("\0"), F.lit("")), '\\"', "\\u%04X"), F.lit('"'))
+
+
+def is_json_number(text: Column, digits: int = 15, decimals: int = 16, exponent: int = 3) -> Column:
+    """A number by the JSON grammar, of at most so many digits in each of its parts."""
+    grammar = r"^-?(0|[1-9][0-9]*)(?:[.]([0-9]+))?(?:[eE][+-]?([0-9]+))?$"
+    size = lambda i: F.length(F.regexp_extract(text, grammar, i))
+    return F.coalesce(text.rlike(grammar) & (size(1) <= digits) & (size(2) <= decimals) & (size(3) <= exponent), F.lit(False))
 
 
 def json_value(text: Column) -> Column:
     """A JSON literal: plain numbers and booleans bare, all else a string."""
-    bare = text.rlike(r"^-?(\d|[1-9]\d{1,14})(\.\d{1,16})?(e[-+]?\d{1,3})?$") | F.lower(text).isin("true", "false")
-    return F.when(bare, F.lower(text)).otherwise(json_text(text))
+    return F.when(is_json_number(text), text).when(F.lower(text).isin("true", "false"), F.lower(text)).otherwise(json_text(text))
+
+
+def php_text(text: Column) -> Column:
+    """A PHP string literal in double quotes; null characters at its end are left out."""
+    out = _escaped(F.regexp_replace(text, r"\x00+$", ""), '\\"$', "\\x%02X")
+    return F.concat(F.lit('"'), F.replace(out, F.lit("\0"), F.lit("\\x00")), F.lit('"'))
+
+
+def php_value(text: Column) -> Column:
+    return F.when(is_json_number(text), text).otherwise(php_text(text))
+
+
+def php_array(cells: dict[str, Column]) -> Column:
+    """A PHP array of named texts."""
+    entries = [F.concat(php_text(F.lit(name)), F.lit(" => "), php_value(value)) for name, value in cells.items()]
+    return F.concat(F.lit("Array("), F.concat_ws(",", *entries), F.lit(")"))
 
 
 def xml_escape(text: Column) -> Column:
@@ -65,10 +103,16 @@ def xml_unescape(text: Column) -> Column:
 
 
 def describe_tag(tag: Column) -> Column:
-    """A tag name as words: ``DateTimeOriginal`` becomes ``Date Time Original``."""
-    spaced = F.regexp_replace(tag, r"([a-z])([A-Z\d])", "$1 $2")
-    spaced = F.regexp_replace(spaced, r"([A-Z])([A-Z][a-z])", "$1 $2")
-    return F.regexp_replace(spaced, r"(\d)([A-Z])", "$1 $2")
+    """A tag name as words: ``dateTime_original`` becomes ``Date Time original``.
+
+    Words begin after a lower-case letter, at the last capital of several, and after a number unless a
+    single letter follows it.  A number in hexadecimal at the end stays as it is.
+    """
+    name = F.replace(F.concat(F.upper(F.substring(tag, 1, 1)), F.substring(tag, 2, 1_000_000)), F.lit("_"), F.lit(" "))
+    number = F.regexp_extract(name, r"(?i)( 0x[0-9a-f]+)$", 1)
+    body = F.regexp_replace(name, r"(?i) 0x[0-9a-f]+$", "")
+    body = F.regexp_replace(body, r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
+    return F.concat(F.regexp_replace(body, r"(?<=[0-9])(?=[A-Z]\S)", " "), number)
 
 
 def clean_tag(name: Column) -> Column:
@@ -165,3 +209,87 @@ def same_map(a: Column, b: Column) -> Column:
 def filter_items(values: Column, change: Callable[[Column], Column]) -> Column:
     """Apply a text function to every item of a list."""
     return F.transform(values, change)
+
+
+def html_unescape(text: Column) -> Column:
+    """Named and numbered HTML entities as characters."""
+
+    @F.pandas_udf("string")
+    def plain(values: pd.Series) -> pd.Series:
+        return values.map(html.unescape, na_action="ignore")
+
+    return F.when(F.contains(text, F.lit("&")), plain(text)).otherwise(text)
+
+
+#: Escapes of C strings.
+C_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "0": "\0", "a": "\a", "b": "\b", "f": "\f", "\\": "\\"}
+
+
+def c_unescape(text: Column) -> Column:
+    """Backslash escapes as characters; a backslash before anything else stays."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)(\\.|[^\\]+|\\$)"), 1)
+    known = F.create_map(*[F.lit(x) for k, v in C_ESCAPES.items() for x in ("\\" + k, v)])
+    return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(known, p), p)), "")
+
+
+def c_escape(text: Column) -> Column:
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for code, raw in C_ESCAPES.items():
+        if raw != "\\":
+            out = F.replace(out, F.lit(raw), F.lit("\\" + code))
+    return out
+
+
+def change_nested(value: Column, kind: DataType, change: Callable[[Column], Column]) -> Column:
+    """Apply a text function to every text in a value of any depth: lists, maps and structs."""
+    if isinstance(kind, StringType):
+        return change(value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: change_nested(x, kind.elementType, change))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: change_nested(x, kind.valueType, change))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[change_nested(value[f.name], f.dataType, change).alias(f.name) for f in kind.fields]))
+    return value
+
+
+_STRUCT_TOKEN = re.compile(r"(\|.|[^|={}\[\],])+|[={}\[\],]", re.DOTALL)
+
+
+def _struct_value(tokens: list[str]):
+    """The value at the front of a reversed token list: an object, a list, or a text."""
+    if not tokens:
+        return ""
+    first = tokens.pop()
+    if first not in "{[":
+        if first in "=}],":
+            tokens.append(first)
+            return ""
+        return re.sub(r"\|(.)", r"\1", first)
+    out, end = ({}, "}") if first == "{" else ([], "]")
+    while tokens and tokens[-1] != end:
+        if first == "{":
+            name = tokens.pop().strip()
+            if tokens and tokens[-1] == "=":
+                tokens.pop()
+            out[name] = _struct_value(tokens)
+        else:
+            out.append(_struct_value(tokens))
+        if tokens and tokens[-1] == ",":
+            tokens.pop()
+    if tokens:
+        tokens.pop()
+    return out
+
+
+def struct_text_json(text: Column) -> Column:
+    """A nested ``{a={b=c},d=[x,y]}`` as JSON; ``|`` escapes what would end a value."""
+
+    def one(value: str) -> str:
+        return json.dumps(_struct_value([m[0] for m in _STRUCT_TOKEN.finditer(value)][::-1]), ensure_ascii=False)
+
+    @F.pandas_udf("string")
+    def parsed(values: pd.Series) -> pd.Series:
+        return values.map(one, na_action="ignore")
+
+    return parsed(text)

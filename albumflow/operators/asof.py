@@ -60,12 +60,18 @@ def interpolate(
 
     Between two fixes at most ``max_gap`` seconds apart the values are linear; else the nearer
     fix counts if it is within ``max_reach`` seconds.  ``position`` is ``between``, ``nearest`` or null.
+    Where fixes have a column ``span``, two of the same span are linear however far apart; where they have
+    ``first`` (the first fix of a track), ``max_reach`` is the limit of the gap before it.
     """
-    rows = bracket(points, fixes, key, time, values)
+    marks = [c for c in ("span", "first") if c in fixes.columns and c not in values]
+    rows = bracket(points, fixes, key, time, [*values, *marks])
     t = ts_to_epoch(F.col(time)).cast("double")
     t0, t1 = ts_to_epoch(F.col("before")[time]).cast("double"), ts_to_epoch(F.col("after")[time]).cast("double")
     exact = t0 == t
-    between = exact | (t1 - t0 <= max_gap)
+    limit = F.when(F.col("after")["first"], max_reach).otherwise(max_gap) if "first" in marks and max_gap else F.lit(max_gap)
+    between = exact | (t1 - t0 <= limit)
+    if "span" in marks:
+        between = between | F.coalesce(F.col("before")["span"] == F.col("after")["span"], F.lit(False))
     nearest = F.when(t1.isNull() | (t - t0 <= t1 - t), "before").otherwise("after")
     near_gap = F.when(nearest == "before", t - t0).otherwise(t1 - t)
     position = F.when(F.coalesce(between, F.lit(False)), "between").when(near_gap <= max_reach, "nearest")
@@ -123,9 +129,6 @@ def merge_tracks(tracks: list[DataFrame], key: str = "device", time: str = "t")
 
 def interpolate_each(points: DataFrame, fixes: DataFrame, key: str, time: str, values: list[str], **limits) -> DataFrame:
     """Like ``interpolate``, but each value from the fixes around the point that have it."""
-    out = None
-    ids = [c for c in points.columns if c not in values]
     for v in values:
-        own = interpolate(points, fixes.where(F.col(v).isNotNull()), key, time, [v], **limits).drop("position")
-        out = own if out is None else out.join(own, ids)
-    return out
+        points = interpolate(points, fixes.where(F.col(v).isNotNull()), key, time, [v], **limits).drop("position")
+    return points

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from albumflow.functions.numbers import EARTH_KM, bearing, haversine_km
@@ -12,32 +12,70 @@ from albumflow.functions.numbers import EARTH_KM, bearing, haversine_km
 KM_A_DEGREE = EARTH_KM * math.pi / 180
 
 
-def nearest(points: DataFrame, places: DataFrame, point_id: str, place_id: str, max_km: float, k: int = 1) -> DataFrame:
+def _cells(band: Column, width: float) -> Column:
+    """Into how many cells of longitude a band falls: each at least as wide as the reach at the band's far end."""
+    far = F.greatest(F.abs(band * width), F.abs((band + 1) * width))
+    reach = math.sin(math.radians(width))
+    open_ = far + width < 90
+    spread = F.degrees(F.asin(F.least(reach / F.cos(F.radians(F.when(open_, far))), F.lit(1.0))))
+    return F.when(open_, F.greatest(F.floor(360 / spread), F.lit(1))).otherwise(1)
+
+
+def nearest(
+    points: DataFrame, places: DataFrame, point_id: str, place_id: str, max_km: float, k: int = 1,
+    min_population: int | None = None, features: list[str] | None = None,
+) -> DataFrame:
     """point_id, place_id, km, bearing, rank of the ``k`` places nearest to each point, within ``max_km``.
 
-    Points and places have lat and lon.  They meet in bands of latitude as wide as the
-    limit: a place is listed in its own band and both neighbours, so no pair in reach is
-    missed and none farther than two bands is looked at.
+    Points and places have lat and lon; of places only those with at least ``min_population`` and one of
+    the ``features`` (column feature_code) count.  They meet in bands of latitude as wide as the limit
+    and cells of longitude at least as wide: a place is listed in its own band and cell and all neighbours, so
+    no pair in reach is missed, and a cell holds a patch of the globe, not a ring.
     """
+    if min_population is not None:
+        places = places.where(F.col("population") >= min_population)
+    if features:
+        places = places.where(F.col("feature_code").isin(*features))
     width = max(max_km / KM_A_DEGREE * 1.0001, 1e-6)
     band = F.floor(F.col("lat") / width)
-    around = F.explode(F.sequence(band - 1, band + 1)).alias("band")
-    cities = places.select(place_id, F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), around)
-    here = points.select(point_id, "lat", "lon", band.alias("band"))
+    cells = _cells(F.col("band"), width)
+    cell = F.floor(F.pmod(F.col("lon") + 180, F.lit(360.0)) / 360 * F.col("cells"))
+    here = points.select(point_id, "lat", "lon", band.alias("band")).withColumn("cells", cells).withColumn("cell", F.least(cell, F.col("cells") - 1))
+    listed = places.select(place_id, "lat", "lon", F.explode(F.sequence(band - 1, band + 1)).alias("band")).withColumn("cells", cells)
+    around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.pmod(F.least(cell, F.col("cells") - 1) + i, F.col("cells"))))
+    listed = listed.select(place_id, F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "band", F.explode(around).alias("cell"))
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
     direction = bearing(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-    pairs = here.join(cities, "band").select(point_id, place_id, km.alias("km"), direction.alias("bearing")).where(F.col("km") <= max_km)
+    pairs = here.join(listed, ["band", "cell"]).select(point_id, place_id, km.alias("km"), direction.alias("bearing")).where(F.col("km") <= max_km)
+    # Spark keeps the k best of each task before this window's shuffle
     rank = F.row_number().over(Window.partitionBy(point_id).orderBy("km", place_id))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def places_named(places: DataFrame, city: str | None = None, country: str | None = None, pattern: str | None = None, min_population: int = 0) -> DataFrame:
-    """Places by exact names or a pattern of the city, letter case aside, largest first."""
+MOST_PLACES = 200
+
+
+def places_named(
+    places: DataFrame, city: str | None = None, country: str | None = None, pattern: str | None = None, min_population: int = 0,
+    region: str | None = None, patterns: dict[str, str] | None = None, features: list[str] | None = None, most: int | None = None,
+) -> DataFrame:
+    """Places by exact names or patterns, letter case aside, largest first.
+
+    ``patterns`` maps columns (city, region, country, country_code, ...) to regular expressions; one that begins
+    with ``!`` must not match.  More than ``most`` hits are an error (``MOST_PLACES`` is a usual limit).
+    """
     rows = places.where(F.col("population") >= min_population)
     if city is not None:
         rows = rows.where(F.lower("city") == city.lower())
     if country is not None:
         rows = rows.where((F.lower("country") == country.lower()) | (F.lower("country_code") == country.lower()))
-    if pattern is not None:
-        rows = rows.where(F.col("city").rlike(f"(?i){pattern}"))
+    if region is not None:
+        rows = rows.where(F.lower("region") == region.lower())
+    for column, own in ({"city": pattern} if pattern is not None else {}).items() | (patterns or {}).items():
+        hit = F.coalesce(F.col(column), F.lit("")).rlike(f"(?i){own.removeprefix('!')}")
+        rows = rows.where(~hit if own.startswith("!") else hit)
+    if features:
+        rows = rows.where(F.col("feature_code").isin(*features))
+    if most is not None and rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} places match")
     return rows.orderBy(F.desc("population"), "city")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from albumflow.functions.dates import invalid_date
 from albumflow.functions.text import sidecar_ts
-from albumflow.operators.sidecar_join import match
+from albumflow.operators.sidecar_join import choose
 
 
 def embedded_date(files: DataFrame) -> DataFrame:
@@ -32,7 +32,9 @@ def resolve(files: DataFrame, sidecars: DataFrame, mode: str = "classic", pick:
         raise ValueError(f"unknown mode: {mode}")
     bad = F.coalesce(invalid_date(F.col("embedded")), F.lit(True))
     good = files.where(~bad).select("*", F.col("embedded").alias("capture_ts"), F.lit("embedded").alias("date_source"))
-    rest = match(files.where(bad), sidecars, pick).withColumn("json_ts", sidecar_ts(F.col("body")))
+    records = sidecars.select("dir", "json_name", "json_stem", sidecar_ts(F.col("body")).alias("json_ts"))
+    rest = files.where(bad)
+    rest = rest.join(choose(rest, records, pick, ["json_ts"]).select("path", "json_ts"), "path", "left")
     ts = F.coalesce("json_ts", "embedded")
     source = F.when(F.col("json_ts").isNotNull(), "sidecar").when(F.col("embedded").isNotNull(), "embedded")
     rest = rest.select(*files.columns, ts.alias("capture_ts"), source.alias("date_source"))

@@ -172,9 +172,9 @@ SQL = {
           ELSE printf('%d:%02d:%02d', n // 3600, n // 60 % 60, n % 60) END AS shown
         FROM (SELECT doc_id, n_chars * 31 % 400000 AS n FROM documents)""",
     "human_bitrate": """
-        SELECT doc_id, CASE WHEN n < 100 THEN printf('%.2f bps', n) WHEN n < 1e3 THEN printf('%.0f bps', n) WHEN n < 1e5 THEN printf('%.2f kbps', n / 1e3) WHEN n < 1e6 THEN printf('%.0f kbps', n / 1e3)
-          WHEN n < 1e8 THEN printf('%.2f Mbps', n / 1e6) WHEN n < 1e9 THEN printf('%.0f Mbps', n / 1e6) WHEN n < 1e11 THEN printf('%.2f Gbps', n / 1e9) ELSE printf('%.0f Gbps', n / 1e9) END AS shown
-        FROM (SELECT doc_id, (n_chars * n_chars + 0.25)::DOUBLE AS n FROM documents)""",
+        SELECT doc_id, CASE WHEN v >= 100 THEN printf('%.0f', v) ELSE regexp_replace(CASE WHEN v >= 10 THEN printf('%.1f', v) WHEN v >= 1 THEN printf('%.2f', v) ELSE printf('%.3f', v) END, '\\.?0+$', '') END || ' ' || unit AS shown
+        FROM (SELECT doc_id, n / CASE WHEN n < 1e3 THEN 1 WHEN n < 1e6 THEN 1e3 WHEN n < 1e9 THEN 1e6 ELSE 1e9 END AS v, CASE WHEN n < 1e3 THEN 'bps' WHEN n < 1e6 THEN 'kbps' WHEN n < 1e9 THEN 'Mbps' ELSE 'Gbps' END AS unit
+          FROM (SELECT doc_id, (n_chars * n_chars + 0.25)::DOUBLE AS n FROM documents))""",
     "dms_roundtrip": """
         SELECT c_custkey, printf('%d deg %d'' %.2f" %s', h // 360000, h // 6000 % 60, h % 6000 / 100.0, CASE WHEN lat < 0 THEN 'S' ELSE 'N' END) AS dms, round(sign(lat) * h / 360000.0, 5) AS degrees
         FROM (SELECT c_custkey, lat, round(abs(lat) * 360000)::BIGINT AS h FROM (SELECT c_custkey, (c_custkey * 7919 % 1800000)::DOUBLE / 10000.0 - 90 AS lat FROM customer))""",
