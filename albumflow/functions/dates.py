@@ -41,9 +41,7 @@ def epoch_to_ts(seconds: Column) -> Column:
     """Epoch seconds to UTC wall clock; null outside years 1 to 9999."""
     seconds = seconds.cast("bigint")
     inside = F.when(seconds.between(EPOCH_LOW, EPOCH_HIGH), seconds)
-    days = F.floor(inside / 86400)
-    rest = inside - days * 86400
-    return F.expr(_EPOCH) + F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0), rest.cast("decimal(18,6)"))
+    return F.expr(_EPOCH) + F.make_dt_interval(secs=inside.cast("decimal(18,6)"))
 
 
 def ts_to_epoch(ts: Column) -> Column:

@@ -12,13 +12,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
-from albumflow.functions.dates import epoch_to_ts, trim_all
+from albumflow.functions.dates import epoch_to_ts
 
 
 def whole_number(text: Column) -> Column:
     """A signed 64-bit integer with blanks around it, else null."""
-    own = trim_all(text)
-    return F.when(own.rlike(r"^[+-]?\d+$"), own.try_cast("bigint"))
+    return F.regexp_extract(text, r"(?U)^\s*([+-]?[0-9]+)\s*$", 1).try_cast("bigint")
 
 
 def sidecar_seconds(body: Column) -> Column:

@@ -26,17 +26,20 @@ def choose(media: DataFrame, sidecars: DataFrame, pick: str = "ranked", carry: l
         raise ValueError(f"unknown pick: {pick}")
     own, carry = F.lower("json_stem"), carry or []
     first = F.min(F.struct(F.lower("json_name").alias("listed"), "json_name", F.col("own"), *carry)).alias("first")
-    records = sidecars.select("dir", "json_name", own.alias("own"), *carry)
-    starts = records.withColumn("key", F.explode(F.sequence(F.lit(0), F.length("own")))).withColumn("key", F.expr("substring(own, 1, key)"))
-    starts = starts.withColumn("whole", F.lit(False))
-    if pick == "ranked":
-        starts = starts.unionByName(records.select("*", F.col("own").alias("key"), F.lit(True).alias("whole")))
-    listed = starts.groupBy("dir", "whole", "key").agg(first)
     look = lambda rule, key, whole: F.struct(F.lit(rule).alias("rule"), key.alias("key"), F.lit(whole).alias("whole"))
     looks = [look(START, F.substring(F.lower(F.substring("stem", 1, PREFIX)), 1, PREFIX), False)]
     if pick == "ranked":
         looks += [look(NAME, F.lower("name"), False), look(STEM, F.lower("stem"), True)]
     sought = media.select("path", "dir", F.lower("name").alias("name"), F.lower("stem").alias("stem"), F.inline(F.array(*looks)))
+    # one row: the lengths that are looked up, of which file names have some dozens
+    lengths = sought.where("not whole").agg(F.collect_set(F.length("key")).alias("lengths"))
+    records = sidecars.select("dir", "json_name", own.alias("own"), *carry)
+    sizes = F.explode(F.filter("lengths", lambda n: n <= F.length("own")))
+    starts = records.join(F.broadcast(lengths)).withColumn("key", sizes).withColumn("key", F.expr("substring(own, 1, key)")).drop("lengths")
+    starts = starts.withColumn("whole", F.lit(False))
+    if pick == "ranked":
+        starts = starts.unionByName(records.select("*", F.col("own").alias("key"), F.lit(True).alias("whole")))
+    listed = starts.groupBy("dir", "whole", "key").agg(first)
     found = sought.join(listed, ["dir", "whole", "key"])
     best = found.groupBy("path").agg(F.min_by(F.struct("name", "stem", "first"), "rule").alias("best")).select("path", "best.*")
     rule = F.when(F.startswith("first.own", "name"), NAME).when(F.col("first.own") == F.col("stem"), STEM).otherwise(START)
