@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from albumflow.functions.text import csv_cell, is_number, natural_key
+from albumflow.functions.text import csv_cell, describe_tag, is_number, natural_key
 
 #: Names that stand for several tags.
 SHORTCUTS = {
@@ -119,6 +119,49 @@ def csv_lines(rows: DataFrame, columns: list[str], separator: str = ",") -> Colu
     return F.concat_ws(separator, *[F.coalesce(csv_cell(F.col(c).cast("string"), separator), F.lit("")) for c in columns])
 
 
+def columns_of_first(rows: DataFrame, key: str, tag: str, order: str) -> list[str]:
+    """Tags for a wide report: in the order of the first file if no later file adds one, else alphabetical.
+
+    ``order`` numbers a file's tags; the first file has the smallest key.
+    """
+    start = rows.agg(F.min(key).alias("_start"))
+    own = rows.join(F.broadcast(start)).groupBy(tag).agg(F.min(F.when(F.col(key) == F.col("_start"), F.col(order))).alias("place"))
+    found = own.limit(MOST_COLUMNS + 1).collect()
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} distinct values of {tag}: keep the long form")
+    if all(r["place"] is not None for r in found):
+        return [r[0] for r in sorted(found, key=lambda r: r["place"])]
+    return sorted((r[0] for r in found), key=lambda name: (name.lower(), name))
+
+
+def template_report(
+    rows: DataFrame, output: list[str], order: list[str], body: Column, head: Column | None = None, section: Column | None = None,
+    condition: Column | None = None, ends: Column | None = None, tail: Column | None = None,
+) -> DataFrame:
+    """The lines of a report of each ``output``: its columns, ``place`` (from 0, in order) and ``line``.
+
+    ``head`` is written for the first row; ``section`` whenever it differs from the row before; ``body`` for rows
+    that pass the ``condition``; the ``ends`` of a section's rows after its last row, and the ``tail`` of all rows at the end.
+    Lines that are null are left out.
+    """
+    nothing = F.lit(None).cast("string")
+    by = Window.partitionBy(*output)
+    in_order = by.orderBy(*order)
+    header = nothing if section is None else section
+    row = rows.withColumn("_n", F.row_number().over(in_order)).withColumn("_opens", ~header.eqNullSafe(F.lag(header).over(in_order)) | (F.col("_n") == 1))
+    row = row.withColumn("_section", F.sum(F.col("_opens").cast("int")).over(in_order))
+    row = row.withColumns({"_last": F.max("_n").over(Window.partitionBy(*output, "_section")), "_end": F.max("_n").over(by)})
+    line = lambda at, kind, text: F.struct(at.alias("at"), F.lit(kind).alias("kind"), F.col("_n").alias("n"), text.alias("line"))
+    n = F.col("_n")
+    lines = [
+        line(n, 0, F.when(n == 1, head) if head is not None else nothing), line(n, 1, F.when(F.col("_opens"), header)),
+        line(n, 2, F.when(F.coalesce(condition, F.lit(False)), body) if condition is not None else body),
+        line(F.col("_last"), 3, nothing if ends is None else ends), line(F.col("_end"), 4, nothing if tail is None else tail),
+    ]
+    out = row.select(*output, F.inline(F.array(*lines))).where("line is not null")
+    return out.select(*output, (F.row_number().over(by.orderBy("at", "kind", "n")) - 1).alias("place"), "line")
+
+
 def section_report(rows: DataFrame, partition: list[str], order: list[str], header: Column, body: Column) -> DataFrame:
     """rows plus ``line``: the body, led by the section header where it changes."""
     changed = ~header.eqNullSafe(F.lag(header).over(Window.partitionBy(*partition).orderBy(*order)))
@@ -157,7 +200,10 @@ def add_derived(rows: DataFrame, table: dict[str, Derived]) -> DataFrame:
 
 
 def tag_order(rows: DataFrame, order: str = "file", group: str = "group0", partition: str = "source_file") -> list[Column]:
-    """Sort columns of tags: ``file`` order, by ``tag``, or by ``group`` in order of appearance, then file order."""
+    """Sort columns of tags: ``file`` order, by ``tag``, by its description (``descr``), or by ``group`` in order of
+    appearance, then file order."""
+    if order == "descr":
+        return [F.lower(describe_tag(F.col("tag"))), F.col("file_order")]
     if order == "tag":
         return [F.lower("tag"), F.col("file_order")]
     if order == "group":
@@ -188,3 +234,84 @@ def run_counters(report: DataFrame) -> DataFrame:
     is_ = lambda s: F.count_if(F.col("status") == s)
     counts = report.agg(F.count("*").alias("files"), is_("copied").alias("copied"), is_("overwritten").alias("overwritten"), is_("error").alias("failed"), F.countDistinct("dir").alias("folders"))
     return counts.withColumn("exit_code", F.when(F.col("files") == 0, 2).when(F.col("failed") > 0, 1).otherwise(0))
+
+
+def by_group_order(tags: DataFrame, groups: list[str], key: list[str], column: str = "group0") -> DataFrame:
+    """One row a key of the tags in ``groups``: that of the group named first, then first in file order."""
+    rank = F.element_at(F.create_map(*[F.lit(x) for i, g in enumerate(groups) for x in (g, i)]), F.col(column))
+    rest = [c for c in tags.columns if c not in key]
+    return first_by(tags.where(F.col(column).isin(*groups)), key, [rank, F.col("file_order")], rest)
+
+
+def without_group(tags: DataFrame, group: str, keep: list[str] | None = None) -> DataFrame:
+    """tags without those of a group (``all`` for every one), but for the tags named in ``keep``."""
+    gone = F.lit(True) if group.lower() == "all" else (F.lower("group0") == group.lower()) | (F.lower("group1") == group.lower())
+    return tags.where(~gone | (tag_filter(keep) if keep else F.lit(False)))
+
+
+def with_alternates(tags: DataFrame, others: list[DataFrame], column: str = "group8") -> DataFrame:
+    """tags of the main files and of alternate files, told apart by a group ``Main``, ``File1``, ``File2``, ..."""
+    out = tags.withColumn(column, F.lit("Main"))
+    for i, other in enumerate(others, 1):
+        out = out.unionByName(other.withColumn(column, F.lit(f"File{i}")))
+    return out
+
+
+def apply_records(rows: DataFrame, records: DataFrame, key: str, deleted: str = "_delete") -> DataFrame:
+    """rows with the values of records of the same key; a column named in the record's list ``deleted`` becomes null."""
+    columns = [c for c in records.columns if c in rows.columns and c != key]
+    new = records.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns], F.col(deleted).alias("_gone"))
+    gone = lambda c: F.coalesce(F.array_contains("_gone", c), F.lit(False))
+    chosen = [F.when(~gone(c), F.coalesce(f"_new_{c}", c)).alias(c) if c in columns else F.col(c) for c in rows.columns]
+    return rows.join(new, key, "left").select(*chosen)
+
+
+def shown_values(tags: DataFrame, raw: bool = False) -> DataFrame:
+    """source_file, tag and the value as it is stored (``raw``) or as it is printed."""
+    return tags.select("source_file", "tag", (F.col("raw") if raw else F.coalesce("printed", "value")).alias("value"))
+
+
+def tag_labels(tags: DataFrame, groups: list[str] | None = None, described: bool = False, number: str | None = None, hexadecimal: bool = False) -> DataFrame:
+    """tags plus ``label``: ``[group:...]`` prefixes, the tag or its description, and the tag's number if ``number`` names it."""
+    parts = [F.concat(F.col(g), F.lit(":")) for g in groups or []]
+    if number:
+        own = F.lower(F.hex(F.col(number).cast("bigint"))) if hexadecimal else F.col(number).cast("string")
+        shown = F.concat(F.lit("0x"), F.lpad(own, 4, "0")) if hexadecimal else own
+        parts.append(F.concat(shown, F.lit(" ")))
+    return tags.withColumn("label", F.concat(*parts, describe_tag(F.col("tag")) if described else F.col("tag")))
+
+
+def embedded_documents(rows: DataFrame, documents: str, key: str) -> DataFrame:
+    """A row for each file and for each document embedded in it: key, ``doc`` (null, Doc1, Doc2, ...) and the document."""
+    own = rows.select(key, F.posexplode_outer(documents).alias("_place", "document"))
+    return own.select(key, F.when(F.col("document").isNotNull(), F.concat(F.lit("Doc"), F.col("_place") + 1)).alias("doc"), "document")
+
+
+def known_tags(tags: DataFrame) -> DataFrame:
+    """Every group and tag there is, with how many files have it."""
+    return tags.groupBy("group0", "tag").agg(F.countDistinct("source_file").alias("files"))
+
+
+def names_by_status(report: DataFrame, statuses: list[str]) -> DataFrame:
+    """status and path of the files with one of the statuses, to be written as lists."""
+    return report.where(F.col("status").isin(*statuses)).select("status", "path").distinct()
+
+
+def output_plan(rows: DataFrame, name: Column, existing: DataFrame, mode: str = "new") -> DataFrame:
+    """rows plus ``output`` and ``action``: ``write``, ``append``, or ``skip`` where the file is there already.
+
+    ``mode`` is ``new`` (never over a file), ``overwrite``, ``append``, or ``append_new`` (only to files
+    that this run began).  The first row of an output, by path, is the one that may begin it.
+    """
+    if mode not in ("new", "overwrite", "append", "append_new"):
+        raise ValueError(f"unknown mode: {mode}")
+    there = existing.select(F.col("path").alias("output"), F.lit(True).alias("_there")).distinct()
+    own = rows.withColumn("output", name).join(there, "output", "left")
+    later = F.row_number().over(Window.partitionBy("output").orderBy("path")) > 1
+    found = F.coalesce("_there", F.lit(False))
+    taken = found | later
+    action = {
+        "new": F.when(taken, "skip").otherwise("write"), "overwrite": F.lit("write"),
+        "append": F.when(taken, "append").otherwise("write"), "append_new": F.when(later, "append").otherwise("write"),
+    }[mode]
+    return own.withColumn("action", action).drop("_there")

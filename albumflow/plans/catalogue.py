@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumflow.functions import dates, numbers, paths, text
+from albumflow.functions.template import Template
 from albumflow.operators import asof, edits, nearest, records, resolve_date, route, sidecar_join
 from albumflow.plans import pipeline, views
 
@@ -614,3 +615,289 @@ def camera_fallbacks(spark, sf_dir):
     n = col("p_partkey")
     p = views.load(spark, sf_dir, "part").select(n, F.when(n % 3 == 0, 0.0).when(n % 3 == 1, n * 1.0).alias("a"), (n % 5).cast("double").alias("b"), F.when(n % 7 == 0, 30.0).alias("bulb"))
     return p.select("p_partkey", numbers.aperture(col("a"), col("b")).alias("aperture"), numbers.shutter_speed(col("a"), col("b"), col("bulb")).alias("shutter"), numbers.balance(col("b"), n.cast("double")).alias("red"))
+
+
+# Dates, numbers and texts that are shown or typed in.
+
+
+@query
+def elapsed_time(spark, sf_dir):
+    return views.load(spark, sf_dir, "documents").select("doc_id", dates.elapsed_text(col("n_chars") * 37).alias("shown"))
+
+
+@query
+def shortened_text(spark, sf_dir):
+    return views.load(spark, sf_dir, "documents").select("doc_id", text.shortened(col("text")).alias("shown"))
+
+
+@query
+def gated_sources(spark, sf_dir):
+    n = col("event_id")
+    digest = F.when(n % 3 == 0, "new").when(n % 3 == 1, "old")
+    return views.media(spark, sf_dir).select("path", text.gated_coalesce(digest, F.lit("new"), F.when(n % 5 != 0, col("name")), col("meta"), col("dir")).alias("value"))
+
+
+@query
+def safe_names(spark, sf_dir):
+    raw = F.concat("dir", F.lit('/<"'), "name", F.lit('":?*|\\'))
+    return views.media(spark, sf_dir).select("path", paths.safe_name(raw).alias("safe"))
+
+
+@query
+def signed_positions(spark, sf_dir):
+    n = col("event_id")
+    lat = numbers.signed_degrees(n % 90 + 0.5, F.when(n % 2 == 0, "South").otherwise("N"))
+    lon = numbers.signed_degrees(n % 180 + 0.25, F.when(n % 3 == 0, "w").otherwise("E"))
+    return views.media(spark, sf_dir).select("path", lat.alias("lat"), lon.alias("lon"))
+
+
+@query
+def written_dates(spark, sf_dir):
+    n, stamp = col("event_id"), lambda form: F.date_format("ts", form)
+    typed = (
+        F.when(n % 5 == 0, stamp("yyyy-M-d H:mm")).when(n % 5 == 1, F.concat(stamp("yyyy/MM/dd HH:mm:ss"), F.lit(".25 +2:30")))
+        .when(n % 5 == 2, F.concat(stamp("yyyyMMddHHmmss"), F.lit("Z"))).when(n % 5 == 3, F.concat(F.lit("2024:13:"), stamp("dd HH:mm:ss"))).otherwise("soon")
+    )
+    formed = dates.written_date(stamp("d.M.yyyy HH:mm:ss"), strftime="%d.%m.%Y %H:%M:%S")
+    return views.media(spark, sf_dir).select("path", dates.written_date(typed).alias("value"), dates.written_date(typed, keep_zone=False).alias("bare"), formed.alias("formed"))
+
+
+@query
+def date_format_strict(spark, sf_dir):
+    return views.media(spark, sf_dir).select("path", dates.format_tolerant(col("meta"), "%d/%m/%y", strict=True).alias("shown"))
+
+
+@query
+def date_directives(spark, sf_dir):
+    full = F.concat("meta", F.lit("."), F.lpad((col("event_id") % 1000).cast("string"), 3, "0"), F.when(col("event_id") % 2 == 0, "+05:30").otherwise(""))
+    return views.media(spark, sf_dir).where(F.year("ts") == 2024).select(
+        "path", dates.format_tolerant(full, "%Y-%m-%dT%H:%M:%S%1f%:z").alias("iso"), dates.format_tolerant(full, "%s %-f %z%%", strict=True).alias("epoch"))
+
+
+@query
+def xmp_dates(spark, sf_dir):
+    n = col("event_id")
+    own = F.when(n % 4 == 0, F.date_format("ts", "yyyy:MM")).when(n % 4 == 1, F.concat(F.date_format("ts", "yyyy:MM:dd HH:mm"), F.lit("Z"))).when(n % 4 == 2, F.concat("meta", F.lit("+01:00"))).otherwise("2024:00:10")
+    return views.media(spark, sf_dir).select("path", dates.xmp_date_problem(own).alias("problem"))
+
+
+@query
+def lens_texts(spark, sf_dir):
+    c = _camera(spark, sf_dir)
+    lens = numbers.lens_text(col("focal"), F.when(col("p_partkey") % 2 == 0, col("focal") + 50), F.lit(3.5), F.lit(5.6))
+    return c.select("p_partkey", numbers.f_number_text(col("f") * 0.31).alias("f_number"), numbers.focal_length_text(col("focal"), numbers.scale_factor(col("focal") + 20, col("focal"))).alias("focal"), lens.alias("lens"))
+
+
+@query
+def significant_digits(spark, sf_dir):
+    p = views.load(spark, sf_dir, "part")
+    return p.select("p_partkey", F.round(numbers.round_digits(col("p_retailprice"), 2), 4).alias("two"), numbers.first_number(col("p_brand")).alias("number"))
+
+
+@query
+def coordinate_forms(spark, sf_dir):
+    lat = (col("c_custkey") * 7919 % 1_800_000) / 10_000.0 - 90
+    forms = {"full": "%d deg %d' %.2f", "short": "%d %.3f'", "plain": "%+.4f"}
+    return views.load(spark, sf_dir, "customer").select("c_custkey", *[numbers.degrees_text(lat, form).alias(name) for name, form in forms.items()])
+
+
+@query
+def binary_sizes(spark, sf_dir):
+    return views.load(spark, sf_dir, "documents").select("doc_id", numbers.human_size(col("n_chars") * col("n_chars") * 7, binary=True).alias("shown"))
+
+
+@query
+def php_report(spark, sf_dir):
+    cells = {"id": col("o_orderkey").cast("string"), "note": F.concat(F.lit('$"'), "o_orderpriority", F.lit("\t\x01"))}
+    return views.load(spark, sf_dir, "orders").select("o_orderkey", text.php_array(cells).alias("line"))
+
+
+@query
+def json_literals(spark, sf_dir):
+    n = col("event_id")
+    raw = F.when(n % 5 == 0, n.cast("string")).when(n % 5 == 1, F.concat(F.lit("0"), n.cast("string"))).when(n % 5 == 2, "TRUE").when(n % 5 == 3, F.concat("event_type", F.lit("\x02\n"))).otherwise("-1.5E3")
+    return views.load(spark, sf_dir, "events").select("event_id", text.json_value(raw).alias("value"))
+
+
+@query
+def escapes_of_c(spark, sf_dir):
+    raw = F.concat("o_orderstatus", F.lit("\n\\\t"), "o_orderpriority")
+    out = text.c_escape(raw)
+    return views.load(spark, sf_dir, "orders").select("o_orderkey", out.alias("escaped"), (text.c_unescape(out) == raw).alias("same"))
+
+
+@query
+def html_entities(spark, sf_dir):
+    own = text.html_unescape(F.concat(F.lit("&eacute;&#65;&lt;"), "o_orderstatus", F.lit("&nosuch;")))
+    return views.load(spark, sf_dir, "orders").select("o_orderkey", own.alias("shown"))
+
+
+@query
+def nested_changes(spark, sf_dir):
+    rows = views.load(spark, sf_dir, "orders").select("o_orderkey", F.struct(col("o_orderstatus").alias("s"), F.array("o_orderpriority", F.lit("x")).alias("l"), F.create_map(F.lit("k"), F.array("o_orderstatus")).alias("m"), F.lit(1).alias("n")).alias("v"))
+    out = text.change_nested(col("v"), rows.schema["v"].dataType, lambda c: F.concat(F.lower(c), F.lit("!")))
+    return rows.select("o_orderkey", F.to_json(out).alias("body"))
+
+
+@query
+def nested_struct_text(spark, sf_dir):
+    own = F.concat(F.lit("{a={b="), "o_orderstatus", F.lit("|,},c=[x,"), "o_orderpriority", F.lit("],d=}"))
+    return views.load(spark, sf_dir, "orders").select("o_orderkey", text.struct_text_json(own).alias("body"))
+
+
+# Templates, reports and outputs.
+
+
+@query
+def file_template_forms(spark, sf_dir):
+    number = col("event_id") % 3
+    forms = {"skip": "%.4f%-2f", "case": "%1:d%lf.%ue", "copy": "%f%-.2c%E", "letters": "%f%+lc", "sequence": "%5C_%.3nC"}
+    cells = [paths.fill_template(form, col("dir"), col("stem"), col("ext"), number, col("event_id") % 7).alias(name) for name, form in forms.items()]
+    return views.media(spark, sf_dir).select("path", *cells)
+
+
+@query
+def tag_templates(spark, sf_dir):
+    rows = views.media(spark, sf_dir).withColumn("words", F.array("dir", "stem"))
+    line = Template("$$ $Name by ${EXIF:Dir;upper(_)} ${words@;lower(_)} $owner ${ext#;substring(_, 2)}$/", {"Owner": "it's me"})
+    return rows.select("path", line.column(rows).alias("line"), Template("${meta}!").column(rows, missing="-").alias("dated"))
+
+
+@query
+def sectioned_report(spark, sf_dir):
+    rows = views.media(spark, sf_dir)
+    return records.template_report(
+        rows, ["dir"], ["event_id"], col("name"), head=F.concat(F.lit("= "), "dir"), section=F.date_format("ts", "yyyy-MM-dd"), condition=col("meta").isNotNull(),
+        ends=F.when(col("event_id") % 10 == 0, F.concat(F.lit("- "), "stem")), tail=F.when(col("event_id") % 50 == 0, F.concat(F.lit(". "), "stem")),
+    ).withColumn("place", col("place").cast("long"))
+
+
+@query
+def output_actions(spark, sf_dir):
+    rows = views.media(spark, sf_dir)
+    there = rows.where("event_id % 97 = 0").select(F.concat("dir", F.lit("/"), F.date_format("ts", "yyyy-MM-dd"), F.lit(".txt")).alias("path"))
+    name = F.concat("dir", F.lit("/"), F.date_format("ts", "yyyy-MM-dd"), F.lit(".txt"))
+    out = [records.output_plan(rows, name, there, mode).select("path", "output", col("action").alias(mode)) for mode in ("new", "append_new")]
+    return out[0].join(out[1].drop("output"), "path")
+
+
+@query
+def report_columns(spark, sf_dir):
+    t = views.load(spark, sf_dir, "events").select(col("user_id").alias("source_file"), "event_type", col("event_id").alias("file_order"))
+    names = records.columns_of_first(t, "source_file", "event_type", "file_order")
+    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "place bigint, tag string")
+
+
+# Tags: groups, labels, documents, records.
+
+
+def _tags(spark, sf_dir):
+    e, n = views.load(spark, sf_dir, "events"), col("event_id")
+    group = F.element_at(F.array(*map(F.lit, ("EXIF", "XMP", "IPTC"))), (n % 3 + 1).cast("int"))
+    tag = F.element_at(F.array(*map(F.lit, ("CreateDate", "ModifyDate", "DateTimeOriginal", "GPSImgDir2Ab", "Model"))), (n % 5 + 1).cast("int"))
+    return e.select(col("user_id").alias("source_file"), tag.alias("tag"), group.alias("group0"), F.lit("Main").alias("group1"), n.alias("file_order"), col("value").cast("int").cast("string").alias("raw"), F.when(n % 2 == 0, F.concat(n.cast("string"), F.lit(" mm"))).alias("printed"), n.cast("string").alias("value"))
+
+
+@query
+def group_priority(spark, sf_dir):
+    return records.by_group_order(_tags(spark, sf_dir), ["XMP", "EXIF"], ["source_file", "tag"]).select("source_file", "tag", "group0", "file_order")
+
+
+@query
+def group_removal(spark, sf_dir):
+    return records.without_group(_tags(spark, sf_dir), "exif", keep=["AllDates"]).select("file_order", "tag", "group0")
+
+
+@query
+def alternate_files(spark, sf_dir):
+    t = _tags(spark, sf_dir)
+    parts = [t.where(col("file_order") % 4 == i) for i in range(3)]
+    return records.with_alternates(parts[0], parts[1:]).select("file_order", "group8")
+
+
+@query
+def raw_and_printed(spark, sf_dir):
+    t = _tags(spark, sf_dir)
+    return records.shown_values(t).withColumn("raw", F.lit(False)).unionByName(records.shown_values(t, raw=True).withColumn("raw", F.lit(True)))
+
+
+@query
+def tag_headings(spark, sf_dir):
+    t = records.tag_labels(_tags(spark, sf_dir), ["group0", "group1"], number="file_order", hexadecimal=True).withColumnRenamed("label", "long")
+    return records.tag_labels(t, described=True).select("file_order", "long", "label")
+
+
+@query
+def description_order(spark, sf_dir):
+    from pyspark.sql import Window
+
+    t = _tags(spark, sf_dir)
+    rank = F.row_number().over(Window.partitionBy("source_file").orderBy(*records.tag_order(t, "descr")))
+    return t.select("file_order", rank.cast("long").alias("rank"))
+
+
+@query
+def documents_inside(spark, sf_dir):
+    e = views.load(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("types"))
+    return records.embedded_documents(e.withColumn("types", F.when(col("user_id") % 3 != 0, col("types"))), "types", "user_id")
+
+
+@query
+def tag_catalogue(spark, sf_dir):
+    return records.known_tags(_tags(spark, sf_dir))
+
+
+@query
+def status_lists(spark, sf_dir):
+    rows = route.with_collisions(views.contested(spark, sf_dir))
+    return records.names_by_status(rows, ["overwritten", "error"])
+
+
+@query
+def folder_rows(spark, sf_dir):
+    from albumflow.sources.listing import like_glob, list_folders
+
+    rows = views.media(spark, sf_dir).withColumn("length", col("event_id"))
+    return list_folders(rows.where(like_glob(col("path"), "ALBUM_1?/*.JP*g")))
+
+
+@query
+def deleted_values(spark, sf_dir):
+    m, n = views.media(spark, sf_dir), col("event_id") % 3
+    r = m.select("path", F.when(n == 0, "typed in").alias("meta"), F.when(n == 1, F.array(F.lit("name"))).otherwise(F.array().cast("array<string>")).alias("_delete"), F.lit(None).cast("string").alias("name"))
+    return records.apply_records(m.select("path", "name", "meta"), r, "path")
+
+
+# Places and tracks.
+
+
+def _towns(spark, sf_dir):
+    s = _spots(views.load(spark, sf_dir, "supplier"), "s_suppkey").join(views.load(spark, sf_dir, "supplier"), "s_suppkey")
+    return s.select("s_suppkey", "lat", "lon", col("s_name").alias("city"), F.floor("s_acctbal").alias("population"), F.concat(F.lit("PPL"), (col("s_nationkey") % 3).cast("string")).alias("feature_code"), F.concat(F.lit("Region "), (col("s_nationkey") % 4).cast("string")).alias("region"))
+
+
+@query
+def nearest_large_place(spark, sf_dir):
+    points = _spots(views.load(spark, sf_dir, "customer"), "c_custkey")
+    rows = nearest.nearest(points, _towns(spark, sf_dir), "c_custkey", "s_suppkey", max_km=700.0, min_population=2000, features=["PPL0", "PPL1"])
+    return rows.select("c_custkey", "s_suppkey", F.round("km", 2).alias("km"))
+
+
+@query
+def places_by_patterns(spark, sf_dir):
+    rows = nearest.places_named(_towns(spark, sf_dir), region="region 1", patterns={"city": "![05]$"}, features=["PPL0", "PPL1"], most=100_000)
+    return rows.select("city", "population")
+
+
+@query
+def interpolate_spans(spark, sf_dir):
+    fixes = views.track(spark, sf_dir, True).withColumn("span", F.dayofmonth("t")).withColumn("first", col("event_id") % 6 == 0).drop("event_id")
+    points = views.track(spark, sf_dir, False).drop("value")
+    rows = asof.interpolate(points, fixes, "device", "t", ["value"], max_gap=20_000, max_reach=60_000)
+    return rows.select("event_id", F.round("value", 4).alias("value"), "position")
+
+
+@query
+def content_digests(spark, sf_dir):
+    d = views.load(spark, sf_dir, "documents")
+    return d.select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"))

@@ -54,6 +54,13 @@ bracket AS (
   SELECT p.event_id, p.t, a.t AS t0, a.value AS v0, b.t AS t1, b.value AS v1
   FROM point p ASOF LEFT JOIN fix a ON p.device = a.device AND p.t >= a.t
   ASOF LEFT JOIN fix b ON p.device = b.device AND p.t < b.t),
+sections AS (SELECT *, strftime(ts, '%Y-%m-%d') AS h, row_number() OVER o AS n, strftime(ts, '%Y-%m-%d') IS DISTINCT FROM lag(strftime(ts, '%Y-%m-%d')) OVER o AS opens FROM media WINDOW o AS (PARTITION BY dir ORDER BY event_id)),
+numbered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY dir ORDER BY n) AS section FROM sections),
+outputs AS (SELECT path, event_id, dir || '/' || strftime(ts, '%Y-%m-%d') || '.txt' AS output FROM media),
+tags AS (
+  SELECT user_id AS source_file, ['CreateDate','ModifyDate','DateTimeOriginal','GPSImgDir2Ab','Model'][event_id % 5 + 1] AS tag, ['Create Date','Modify Date','Date Time Original','GPS Img Dir 2 Ab','Model'][event_id % 5 + 1] AS label,
+    ['EXIF','XMP','IPTC'][event_id % 3 + 1] AS group0, event_id AS file_order, trunc(value)::INTEGER::VARCHAR AS raw, CASE WHEN event_id % 2 = 0 THEN event_id || ' mm' END AS printed, event_id::VARCHAR AS value FROM events),
+checked AS (SELECT *, event_id % 3 AS n FROM media),
 cust AS (SELECT c_custkey, c_custkey * 37 % 1700 / 10.0 - 85 AS lat, c_custkey * 91 % 3600 / 10.0 - 180 AS lon FROM customer),
 supp AS (SELECT s_suppkey, s_suppkey * 37 % 1700 / 10.0 - 85 AS lat2, s_suppkey * 91 % 3600 / 10.0 - 180 AS lon2 FROM supplier),
 camera AS (
@@ -239,6 +246,92 @@ SQL = {
     "camera_fallbacks": """
         SELECT p_partkey, coalesce(nullif(a, 0), nullif(b, 0)) AS aperture, CASE WHEN p_partkey % 7 = 0 THEN 30.0::DOUBLE ELSE coalesce(a, b) END AS shutter, CASE WHEN p_partkey > 0 THEN b / p_partkey END AS red
         FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN p_partkey::DOUBLE END AS a, (p_partkey % 5)::DOUBLE AS b FROM part)""",
+    "elapsed_time": "SELECT doc_id, printf('%02d:%02d:%02d', n // 3600 % 24, n // 60 % 60, n % 60) AS shown FROM (SELECT doc_id, n_chars * 37 AS n FROM documents)",
+    "shortened_text": "SELECT doc_id, CASE WHEN length(text) > 60 THEN left(text, 55) || '[...]' ELSE text END AS shown FROM documents",
+    "gated_sources": """
+        SELECT path, CASE WHEN event_id % 3 = 1 THEN coalesce(meta, dir, f) ELSE coalesce(f, meta, dir) END AS value FROM (SELECT *, CASE WHEN event_id % 5 != 0 THEN name END AS f FROM media)""",
+    "safe_names": "SELECT path, dir || name AS safe FROM media",
+    "signed_positions": """
+        SELECT path, (CASE WHEN event_id % 2 = 0 THEN -1 ELSE 1 END * (event_id % 90 + 0.5))::DOUBLE AS lat, (CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END * (event_id % 180 + 0.25))::DOUBLE AS lon FROM media""",
+    "written_dates": """
+        SELECT path, CASE event_id % 5 WHEN 0 THEN minute WHEN 1 THEN second || '.25+02:30' WHEN 2 THEN second || 'Z' END AS value,
+          CASE event_id % 5 WHEN 0 THEN minute WHEN 1 THEN second WHEN 2 THEN second END AS bare, second AS formed
+        FROM (SELECT *, strftime(ts, '%Y:%m:%d %H:%M:00') AS minute, strftime(ts, '%Y:%m:%d %H:%M:%S') AS second FROM media)""",
+    "date_format_strict": "SELECT path, strftime(dto, '%d/%m/%y') AS shown FROM parsed",
+    "date_directives": """
+        SELECT path, CASE WHEN dto IS NULL THEN full_ ELSE strftime(dto + to_seconds(CASE WHEN n % 1000 >= 950 THEN 1 ELSE 0 END), '%Y-%m-%dT%H:%M:%S') || '.' || (((n % 1000) + 50) // 100 % 10) || zone END AS iso,
+          (epoch(dto)::BIGINT - CASE WHEN n % 2 = 0 THEN 19800 ELSE 0 END) || ' ' || lpad((n % 1000)::VARCHAR, 3, '0') || ' ' || replace(zone, ':', '') || '%' AS epoch
+        FROM (SELECT *, event_id AS n, CASE WHEN event_id % 2 = 0 THEN '+05:30' ELSE '+00:00' END AS zone, meta || '.' || lpad((event_id % 1000)::VARCHAR, 3, '0') || CASE WHEN event_id % 2 = 0 THEN '+05:30' ELSE '' END AS full_ FROM parsed)""",
+    "xmp_dates": "SELECT path, CASE event_id % 4 WHEN 2 THEN CASE WHEN meta = 'n/a' THEN 'bad format' END WHEN 3 THEN 'bad date' END AS problem FROM media",
+    "lens_texts": """
+        SELECT p_partkey, CASE WHEN f * 0.31 < 1 THEN printf('%.2f', f * 0.31) ELSE printf('%.1f', f * 0.31) END AS f_number, printf('%.1f mm (35 mm equivalent: %.1f mm)', focal, focal + 20) AS focal,
+          focal::INTEGER || CASE WHEN p_partkey % 2 = 0 THEN '-' || (focal + 50)::INTEGER ELSE '' END || 'mm f/3.5-5.6' AS lens FROM camera""",
+    "significant_digits": """
+        SELECT p_partkey, round(round(p_retailprice / s) * s, 4) AS two, try_cast(nullif(regexp_extract(p_brand, '([0-9]+)', 1), '') AS DOUBLE) AS number
+        FROM (SELECT *, pow(10.0, floor(log10(p_retailprice)) - 1) AS s FROM part)""",
+    "coordinate_forms": """
+        SELECT c_custkey, printf('%d deg %d'' %.2f', h // 360000, h // 6000 % 60, h % 6000 / 100.0) AS "full", printf('%d %.3f', m // 60000, m % 60000 / 1000.0) || chr(39) AS short, printf('%+.4f', lat) AS plain
+        FROM (SELECT c_custkey, lat, round(abs(lat) * 360000)::BIGINT AS h, round(abs(lat) * 60000)::BIGINT AS m FROM (SELECT c_custkey, (c_custkey * 7919 % 1800000)::DOUBLE / 10000.0 - 90 AS lat FROM customer))""",
+    "binary_sizes": """
+        SELECT doc_id, CASE WHEN n < 2048 THEN n || ' bytes' WHEN n < 10240 THEN printf('%.1f KiB', n / 1024) WHEN n < 2097152 THEN printf('%.0f KiB', n / 1024) WHEN n < 10485760 THEN printf('%.1f MiB', n / 1048576)
+          WHEN n < 2147483648 THEN printf('%.0f MiB', n / 1048576) WHEN n < 10737418240 THEN printf('%.1f GiB', n / 1073741824) ELSE printf('%.0f GiB', n / 1073741824) END AS shown
+        FROM (SELECT doc_id, n_chars * n_chars * 7 AS n FROM documents)""",
+    "php_report": r"""SELECT o_orderkey, 'Array("id" => ' || o_orderkey || ',"note" => "\$\"' || o_orderpriority || '\t\x01")' AS line FROM orders""",
+    "json_literals": r"""
+        SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id::VARCHAR WHEN 1 THEN '"0' || event_id || '"' WHEN 2 THEN 'true' WHEN 3 THEN '"' || event_type || '\u0002\n"' ELSE '-1.5E3' END AS value FROM events""",
+    "escapes_of_c": r"""SELECT o_orderkey, o_orderstatus || '\n\\\t' || o_orderpriority AS escaped, true AS same FROM orders""",
+    "html_entities": "SELECT o_orderkey, 'éA<' || o_orderstatus || '&nosuch;' AS shown FROM orders",
+    "nested_changes": """
+        SELECT o_orderkey, '{"s":"' || s || '!","l":["' || lower(o_orderpriority) || '!","x!"],"m":{"k":["' || s || '!"]},"n":1}' AS body FROM (SELECT *, lower(o_orderstatus) AS s FROM orders)""",
+    "nested_struct_text": """SELECT o_orderkey, '{"a": {"b": "' || o_orderstatus || ',"}, "c": ["x", "' || o_orderpriority || '"], "d": ""}' AS body FROM orders""",
+    "file_template_forms": """
+        SELECT path, stem[5:] || right(stem, 2) AS skip, dir || '/' || lower(stem) || '.' || upper(ext[2:]) AS "case", stem || '-' || printf('%02d', c) || ext AS copy,
+          stem || CASE c WHEN 0 THEN '' WHEN 1 THEN '_b' ELSE '_c' END AS letters, (5 + q) || '_' || printf('%03d', q + 1) AS sequence
+        FROM (SELECT *, event_id % 3 AS c, event_id % 7 AS q FROM media)""",
+    "tag_templates": """
+        SELECT path, '$ ' || name || ' by ' || upper(dir) || ' ' || lower(dir) || ', ' || lower(stem) || ' it''s me ' || ext[2:] || chr(10) AS line, coalesce(meta, '-') || '!' AS dated FROM media""",
+    "sectioned_report": """
+        SELECT dir, row_number() OVER (PARTITION BY dir ORDER BY spot, kind, n) - 1 AS place, line FROM (
+          SELECT dir, n AS spot, 0 AS kind, n, CASE WHEN n = 1 THEN '= ' || dir END AS line FROM numbered
+          UNION ALL SELECT dir, n, 1, n, CASE WHEN opens THEN h END FROM numbered
+          UNION ALL SELECT dir, n, 2, n, CASE WHEN meta IS NOT NULL THEN name END FROM numbered
+          UNION ALL SELECT dir, max(n) OVER (PARTITION BY dir, section), 3, n, CASE WHEN event_id % 10 = 0 THEN '- ' || stem END FROM numbered
+          UNION ALL SELECT dir, max(n) OVER (PARTITION BY dir), 4, n, CASE WHEN event_id % 50 = 0 THEN '. ' || stem END FROM numbered) WHERE line IS NOT NULL""",
+    "output_actions": """
+        SELECT path, output, CASE WHEN there OR later THEN 'skip' ELSE 'write' END AS new, CASE WHEN later THEN 'append' ELSE 'write' END AS append_new
+        FROM (SELECT path, output, output IN (SELECT output FROM outputs WHERE event_id % 97 = 0) AS there, row_number() OVER (PARTITION BY output ORDER BY path) > 1 AS later FROM outputs)""",
+    "report_columns": """
+        SELECT row_number() OVER (ORDER BY CASE WHEN every THEN lpad(place::VARCHAR, 20, '0') ELSE lower(tag) END) - 1 AS place, tag
+        FROM (SELECT *, bool_and(place IS NOT NULL) OVER () AS every FROM (
+          SELECT event_type AS tag, min(event_id) FILTER (user_id = (SELECT min(user_id) FROM events)) AS place FROM events GROUP BY event_type))""",
+    "group_priority": """
+        SELECT source_file, tag, group0, file_order FROM tags WHERE group0 IN ('XMP', 'EXIF') QUALIFY row_number() OVER (PARTITION BY source_file, tag ORDER BY group0 = 'EXIF', file_order) = 1""",
+    "group_removal": "SELECT file_order, tag, group0 FROM tags WHERE group0 <> 'EXIF' OR tag IN ('DateTimeOriginal', 'CreateDate', 'ModifyDate')",
+    "alternate_files": "SELECT file_order, ['Main', 'File1', 'File2'][file_order % 4 + 1] AS group8 FROM tags WHERE file_order % 4 < 3",
+    "raw_and_printed": "SELECT source_file, tag, coalesce(printed, value) AS value, false AS raw FROM tags UNION ALL SELECT source_file, tag, raw, true FROM tags",
+    "tag_headings": "SELECT file_order, group0 || ':Main:0x' || lpad(printf('%x', file_order), 4, '0') || ' ' || tag AS long, label FROM tags",
+    "description_order": "SELECT file_order, row_number() OVER (PARTITION BY source_file ORDER BY lower(label), file_order) AS rank FROM tags",
+    "documents_inside": """
+        SELECT user_id, CASE WHEN document IS NOT NULL THEN 'Doc' || row_number() OVER (PARTITION BY user_id ORDER BY document) END AS doc, document
+        FROM (SELECT DISTINCT user_id, CASE WHEN user_id % 3 != 0 THEN event_type END AS document FROM events)""",
+    "tag_catalogue": "SELECT group0, tag, count(DISTINCT source_file) AS files FROM tags GROUP BY ALL",
+    "status_lists": "SELECT 'overwritten' AS status, path FROM contested QUALIFY path <> max(path) OVER (PARTITION BY target_path)",
+    "folder_rows": "SELECT dir, count(*) AS files, sum(event_id)::BIGINT AS length FROM media WHERE regexp_matches(lower(path), '^album_1[^/]/[^/]*\\.jp[^/]*g$') GROUP BY dir",
+    "deleted_values": """
+        SELECT path, CASE WHEN n <> 1 THEN name END AS name, CASE WHEN n = 0 THEN 'typed in' ELSE meta END AS meta FROM checked""",
+    "nearest_large_place": f"""
+        SELECT c_custkey, s_suppkey, round(km, 2) AS km FROM (SELECT c_custkey, s_suppkey, {_PLACE} AS km FROM cust, supp JOIN supplier USING (s_suppkey) WHERE floor(s_acctbal) >= 2000 AND s_nationkey % 3 < 2)
+        WHERE km <= 700 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY km, s_suppkey) = 1""",
+    "places_by_patterns": """
+        SELECT s_name AS city, floor(s_acctbal)::BIGINT AS population FROM supplier WHERE floor(s_acctbal) >= 0 AND s_nationkey % 4 = 1 AND s_nationkey % 3 < 2 AND NOT regexp_matches(s_name, '[05]$')""",
+    "interpolate_spans": """
+        SELECT event_id, round(CASE position WHEN 'between' THEN CASE WHEN s = s0 THEN v0 ELSE v0 + (s - s0) / (s1 - s0) * (v1 - v0) END WHEN 'nearest' THEN CASE near WHEN 'before' THEN v0 ELSE v1 END END, 4) AS value, position
+        FROM (SELECT *, CASE WHEN s = s0 OR s1 - s0 <= CASE WHEN e1 % 6 = 0 THEN 60000 ELSE 20000 END OR day(t0) = day(t1) THEN 'between' WHEN CASE near WHEN 'before' THEN s - s0 ELSE s1 - s END <= 60000 THEN 'nearest' END AS position
+          FROM (SELECT *, CASE WHEN s1 IS NULL OR s - s0 <= s1 - s THEN 'before' ELSE 'after' END AS near
+            FROM (SELECT p.event_id, a.value AS v0, b.value AS v1, a.ts AS t0, b.ts AS t1, b.event_id AS e1, floor(epoch(p.t))::DOUBLE AS s, floor(epoch(a.ts))::DOUBLE AS s0, floor(epoch(b.ts))::DOUBLE AS s1
+              FROM point p ASOF LEFT JOIN (SELECT * FROM events WHERE event_id % 2 = 0) a ON p.device = a.user_id AND p.t >= a.ts
+              ASOF LEFT JOIN (SELECT * FROM events WHERE event_id % 2 = 0) b ON p.device = b.user_id AND p.t < b.ts)))""",
+    "content_digests": "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5 FROM documents",
 }
 
 

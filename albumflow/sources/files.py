@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
 import uuid
@@ -46,3 +47,26 @@ def copy_files(manifest: DataFrame, buffer: int = BUFFER) -> DataFrame:
 
     wanted = manifest.where(F.col("status") == "copied").select("source_path", "target_path")
     return wanted.mapInArrow(run, "target_path string, bytes bigint, error string")
+
+
+def file_hashes(files: DataFrame, kind: str = "md5", buffer: int = 64 * 1024) -> DataFrame:
+    """path, digest (``md5``, ``sha256`` or ``sha512``, null for an empty file) and error of every path, read piece by piece."""
+
+    def run(batches):
+        for batch in batches:
+            digest, error = [], []
+            for path in batch.column(0).to_pylist():
+                own, size = hashlib.new(kind), 0
+                try:
+                    with open(path, "rb") as f:
+                        while piece := f.read(buffer):
+                            own.update(piece)
+                            size += len(piece)
+                    digest.append(own.hexdigest() if size else None)
+                    error.append(None)
+                except OSError as problem:
+                    digest.append(None)
+                    error.append(f"{type(problem).__name__}: {problem}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.string()), pa.array(error, pa.string())], names=["path", "digest", "error"])
+
+    return files.select("path").mapInArrow(run, "path string, digest string, error string")

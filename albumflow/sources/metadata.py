@@ -9,10 +9,10 @@ from __future__ import annotations
 import io
 import struct
 from collections.abc import Callable, Iterator
-from typing import BinaryIO
+from typing import BinaryIO, NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from albumflow.functions.dates import QUICKTIME_OFFSET, epoch_to_ts, quicktime_epoch, strict_parse
@@ -103,17 +103,53 @@ def _length(f: BinaryIO) -> int:
     return end
 
 
-def _movie(f: BinaryIO) -> int | None:
-    """Creation time in the movie header, in seconds since 1904 (or 1970 in some files)."""
+#: Fixed value: the name under which QuickTime metadata keep the creation date.
+CREATION_KEY = b"com.apple.quicktime.creationdate"
+
+
+class MovieDates(NamedTuple):
+    seconds: int | None  # of the movie header, since 1904 (or 1970 in some files)
+    written: str | None  # the creation date in the metadata
+
+
+def _metadata_date(f: BinaryIO, start: int, end: int) -> str | None:
+    """The creation date in a ``meta`` box: its keys number the values."""
+    f.seek(start)
+    plain = f.read(8)[4:] == b"hdlr"  # else four bytes of version and flags come first
+    f.seek(start if plain else start + 4)
+    number = None
+    for kind, at, to in _boxes(f, end):
+        f.seek(at)
+        if kind == b"keys":
+            body, place = f.read(to - at), 8
+            for i in range(struct.unpack_from(">I", body, 4)[0]):
+                size = struct.unpack_from(">I", body, place)[0]
+                if body[place + 8 : place + size] == CREATION_KEY:
+                    number = i + 1
+                place += max(size, 8)
+        elif kind == b"ilst" and number is not None:
+            for item, first, last in _boxes(f, to):
+                if int.from_bytes(item) == number:
+                    f.seek(first)
+                    return f.read(min(last - first, LONGEST_DATE))[16:].decode("utf-8", "replace").strip("\0 ")
+    return None
+
+
+def _movie(f: BinaryIO) -> MovieDates:
+    """Creation times in the movie header and in its metadata."""
+    seconds = written = None
     for kind, start, end in _boxes(f, _length(f)):
         if kind == b"moov":
             f.seek(start)
-            for inner, at, _ in _boxes(f, end):
+            for inner, at, to in _boxes(f, end):
+                f.seek(at)
                 if inner == b"mvhd":
-                    f.seek(at)
                     body = f.read(12)
-                    return struct.unpack(">Q" if body[0] == 1 else ">I", body[4 : 12 if body[0] == 1 else 8])[0]
-    return None
+                    seconds = struct.unpack(">Q" if body[0] == 1 else ">I", body[4 : 12 if body[0] == 1 else 8])[0]
+                elif inner == b"meta":
+                    written = _metadata_date(f, at, to)
+            break
+    return MovieDates(seconds, written)
 
 
 def _heic(f: BinaryIO) -> str | None:
@@ -136,13 +172,14 @@ def _heic(f: BinaryIO) -> str | None:
                     if entry[10 if wide else 8 :][:4] == b"Exif":
                         item = number
                     at_ += max(size, 8)
-            elif inner == b"iloc" and body[0] < 2:
+            elif inner == b"iloc" and body[0] < 3:
                 offset, length, base = body[4] >> 4, body[4] & 15, body[5] >> 4
-                extra = body[5] & 15 if body[0] == 1 else 0
-                at_ = 8
-                for _ in range(struct.unpack_from(">H", body, 6)[0]):
-                    number = struct.unpack_from(">H", body, at_)[0]
-                    at_ += 4 + (2 if body[0] == 1 else 0)
+                extra = body[5] & 15 if body[0] else 0
+                wide = 4 if body[0] == 2 else 2  # bytes of an item's number
+                at_ = 6 + wide
+                for _ in range(int.from_bytes(body[6 : 6 + wide])):
+                    number = int.from_bytes(body[at_ : at_ + wide])
+                    at_ += wide + 2 + (2 if body[0] else 0)
                     start_ = int.from_bytes(body[at_ : at_ + base])
                     at_ += base
                     for _ in range(struct.unpack_from(">H", body, at_)[0]):
@@ -163,25 +200,31 @@ def _tiff(f: BinaryIO) -> str | None:
     return tiff_date(f)
 
 
-READERS: dict[str, Callable[[BinaryIO], str | int | None]] = {
+READERS: dict[str, Callable[[BinaryIO], str | MovieDates | None]] = {
     ".jpg": _jpeg, ".jpeg": _jpeg, ".png": _png, ".webp": _webp, ".tif": _tiff, ".tiff": _tiff,
     ".heic": _heic, ".heif": _heic, ".mp4": _movie, ".mov": _movie, ".m4v": _movie,
 }
 
 
-def read_dates(f: BinaryIO, ext: str) -> tuple[str | None, int | None, str | None]:
-    """Date text, movie seconds, and error of an open file."""
+def read_dates(f: BinaryIO, ext: str) -> tuple[str | None, int | None, str | None, str | None]:
+    """Date text, movie seconds, movie metadata date, and error of an open file."""
     try:
         found = READERS[ext.lower()](f)
     except (KeyError, ValueError, IndexError, struct.error, OSError, RecursionError) as problem:
-        return None, None, f"{type(problem).__name__}: {problem}"
-    return (found, None, None) if isinstance(found, str) else (None, found, None)
+        return None, None, None, f"{type(problem).__name__}: {problem}"
+    return (None, *found, None) if isinstance(found, MovieDates) else (found, None, None, None)
+
+
+def metadata_ts(text: Column) -> Column:
+    """The wall clock of an ISO date in movie metadata, its zone left out; null if it is none."""
+    clock = F.regexp_extract(text, r"^\s*(\d{4}[-:]\d{2}[-:]\d{2}[T ]\d{2}:\d{2}:\d{2})", 1)
+    return strict_parse(F.translate(clock, "-T", ": "))
 
 
 def with_metadata(files: DataFrame) -> DataFrame:
     """Media rows of ``files`` plus exif_dto, qt_header, qt_meta, heic_text and error."""
     media = files.where(is_media(F.col("ext")))
-    found = "path string, text string, seconds bigint, error string"
+    found = "path string, text string, seconds bigint, written string, error string"
 
     def run(batches):
         for batch in batches:
@@ -191,9 +234,9 @@ def with_metadata(files: DataFrame) -> DataFrame:
                     with open(path, "rb") as f:
                         out.append((path, *read_dates(f, ext)))
                 except OSError as problem:
-                    out.append((path, None, None, f"{type(problem).__name__}: {problem}"))
-            names, kinds = ("path", "text", "seconds", "error"), (pa.string(), pa.string(), pa.int64(), pa.string())
-            columns = list(zip(*out, strict=True)) or [()] * 4
+                    out.append((path, None, None, None, f"{type(problem).__name__}: {problem}"))
+            names, kinds = ("path", "text", "seconds", "written", "error"), (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+            columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     dates = media.select("path", "ext").mapInArrow(run, found)
@@ -202,7 +245,7 @@ def with_metadata(files: DataFrame) -> DataFrame:
     # a zero header is the date 1904, which counts as read and is rejected later
     seconds = F.when(F.col("seconds") == 0, -QUICKTIME_OFFSET).otherwise(quicktime_epoch(F.col("seconds")))
     return media.join(dates, "path").select(
-        *files.columns, text.alias("exif_dto"), epoch_to_ts(seconds).alias("qt_header"), F.lit(None).cast("timestamp_ntz").alias("qt_meta"),
+        *files.columns, text.alias("exif_dto"), epoch_to_ts(seconds).alias("qt_header"), metadata_ts(F.col("written")).alias("qt_meta"),
         F.when(heic, F.col("text")).alias("heic_text"), "error",
     )
 

@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
+
+from albumflow.functions.text import php_array
+from albumflow.schema import PLACES
 
 KEY = "SourceFile"
 
 
 def read_csv_records(spark: SparkSession, path: str, missing: str = "-", separator: str = ",") -> DataFrame:
-    """SourceFile and a column a tag; blank cells are null, ``missing`` too; a file's last row stays.
+    """SourceFile, a column a tag, and ``_delete``: the tags whose cell is the ``missing`` marker, to be deleted.
 
-    A row is a file's last by its place in the file.
+    Blank cells are null, as are marked ones; a file's last row stays, by its place in the file.
     """
-    rows = spark.read.csv(path, header=True, sep=separator, quote='"', escape='"', multiLine=True, nullValue=missing)
+    rows = spark.read.csv(path, header=True, sep=separator, quote='"', escape='"', multiLine=True)
     tags = [c for c in rows.columns if c != KEY]
     placed = rows.select(KEY, F.struct(*tags).alias("_tags"), F.monotonically_increasing_id().alias("_place"))
     best = placed.groupBy(KEY).agg(F.max_by("_tags", "_place").alias("_tags"))
-    return best.select(KEY, *[F.nullif(F.trim(f"_tags.{c}"), F.lit("")).alias(c) for c in tags])
+    cell = lambda c: F.trim(f"_tags.`{c}`")
+    marked = F.filter(F.array(*[F.when(cell(c) == missing, F.lit(c)) for c in tags]), lambda c: c.isNotNull()) if tags else F.array().cast("array<string>")
+    return best.select(KEY, *[F.when(cell(c) != missing, F.nullif(cell(c), F.lit(""))).alias(c) for c in tags], marked.alias("_delete"))
 
 
 def read_json_records(spark: SparkSession, path: str) -> DataFrame:
@@ -28,16 +34,18 @@ def read_json_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flatten(rows: DataFrame) -> DataFrame:
-    """Nested struct fields as columns of joined, capitalised names."""
-    while any(kind.startswith("struct") for _, kind in rows.dtypes):
-        columns = []
-        for field in rows.schema.fields:
-            if hasattr(field.dataType, "fields"):
-                columns += [F.col(f"`{field.name}`.`{f.name}`").alias(field.name + f.name[:1].upper() + f.name[1:]) for f in field.dataType.fields]
-            else:
-                columns.append(F.col(f"`{field.name}`"))
-        rows = rows.select(*columns)
-    return rows
+    """Nested struct fields as columns of joined, capitalised names; fields of structs in a list as lists."""
+
+    def columns(value, name: str, kind) -> list:
+        inner = kind.elementType if isinstance(kind, ArrayType) else kind
+        if isinstance(inner, ArrayType):
+            return columns(F.flatten(value), name, inner)
+        if not isinstance(inner, StructType):
+            return [value.alias(name)]
+        listed = isinstance(kind, ArrayType)
+        return [c for f in inner.fields for c in columns(value[f.name], name + f.name[:1].upper() + f.name[1:], ArrayType(f.dataType) if listed else f.dataType)]
+
+    return rows.select(*[c for f in rows.schema.fields for c in columns(F.col(f"`{f.name}`"), f.name, f.dataType)])
 
 
 def unpivot(rows: DataFrame, key: str = KEY) -> DataFrame:
@@ -60,3 +68,16 @@ def write_lines(rows: DataFrame, column: str, path: str) -> None:
 
 def write_xml(rows: DataFrame, path: str, row_tag: str = "Description") -> None:
     rows.write.format("xml").option("rowTag", row_tag).option("rootTag", "RDF").save(path)
+
+
+def write_php(rows: DataFrame, path: str) -> None:
+    """A PHP array a line."""
+    cells = {c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rows.columns}
+    rows.select(php_array(cells).alias("line")).write.text(path)
+
+
+def read_places(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
+    """A city table from Parquet, or from text with the columns of ``PLACES`` in order; rows without coordinates are left out."""
+    names = [p.strip().split()[0] for p in PLACES.split(",")]
+    rows = spark.read.parquet(path).select(*names) if path.rstrip("/").endswith(".parquet") else spark.read.schema(PLACES).csv(path, sep=separator)
+    return rows.where("lat between -90 and 90 and lon between -180 and 180")

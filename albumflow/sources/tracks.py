@@ -53,19 +53,81 @@ def _degrees(text: Column, half: Column) -> Column:
 
 
 def read_nmea(spark: SparkSession, path: str) -> DataFrame:
-    """RMC sentences, with altitude and precision from GGA sentences of the same second."""
-    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", r"\*..\s*$", ""), ",").alias("p"))
+    """RMC sentences, with altitude and precision from the GGA sentences of the same time.
+
+    GGA sentences have a clock and no day: they take the day of the last RMC sentence before them in
+    the file, or of the first after, and the next or last day where the clock has gone round in between.
+    The first value of a time stays.
+    """
+    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place"), F.split(F.regexp_replace("value", r"\*..\s*$", ""), ",").alias("p"))
     part = lambda i: F.get("p", F.lit(i))
-    clock, day = part(1), part(9)
-    digits = [F.nullif(F.substring(x, at, 2), F.lit("")).try_cast("int") for x, at in ((day, 5), (day, 3), (day, 1), (clock, 1), (clock, 3), (clock, 5))]
-    t = make_ts(digits[0] + 2000, *digits[1:])
-    rmc = rows.where(part(0).rlike(r"^\$..RMC$") & (part(2) == "A")).select(
-        "file", F.substring(clock, 1, 6).alias("clock"), t.alias("t"), _degrees(part(3), part(4)).alias("lat"), _degrees(part(5), part(6)).alias("lon"),
-        (part(7).try_cast("double") * 1.852).alias("speed"), part(8).try_cast("double").alias("track"))
-    gga = rows.where(part(0).rlike(r"^\$..GGA$")).groupBy("file", F.substring(clock, 1, 6).alias("clock")).agg(
-        F.first(part(9).try_cast("double")).alias("alt"), F.first(part(8).try_cast("double")).alias("hdop"))
-    both = rmc.join(gga, ["file", "clock"], "left")
-    return _fixes(both, F.col("file"), F.col("t"), **{c: F.col(c) for c in COLUMNS})
+    kind, clock, day = F.regexp_extract(part(0), r"^\$..(RMC|GGA)$", 1), part(1), part(9)
+    two = lambda text, at: F.substring(text, at, 2).try_cast("int")
+    seconds = two(clock, 1) * 3600 + two(clock, 3) * 60 + two(clock, 5)
+    good = (kind == "RMC") & (part(2) == "A")
+    midnight = F.when(good, make_ts(two(day, 5) + 2000, two(day, 3), two(day, 1), F.lit(0), F.lit(0), F.lit(0)))
+    rows = rows.select("*", kind.alias("kind"), seconds.alias("seconds"), midnight.alias("midnight"), good.alias("good")).where("kind <> ''")
+    before = Window.partitionBy("file").orderBy("place")
+    dated = F.when(F.col("midnight").isNotNull(), F.struct("midnight", "seconds"))
+    coming = F.first(dated, ignorenulls=True).over(before.rowsBetween(1, Window.unboundedFollowing))
+    rows = rows.withColumn("last", F.coalesce(F.last(dated, ignorenulls=True).over(before), coming))
+    gap = F.col("seconds") - F.col("last.seconds")
+    wrapped = F.when(gap < -43_200, 86_400).when(gap > 43_200, -86_400).otherwise(0)
+    t = F.col("last.midnight") + F.make_dt_interval(secs=(F.col("seconds") + wrapped).cast("decimal(18,6)"))
+    rows = rows.withColumn("t", t)
+    rmc = rows.where("good").select(
+        "file", "t", _degrees(part(3), part(4)).alias("lat"), _degrees(part(5), part(6)).alias("lon"), (part(7).try_cast("double") * 1.852).alias("speed"), part(8).try_cast("double").alias("track"))
+    first = lambda i, name: F.min_by(part(i).try_cast("double"), "place").alias(name)
+    gga = rows.where("kind = 'GGA'").groupBy("file", "t").agg(first(9, "alt"), first(8, "hdop"))
+    return _fixes(rmc.join(gga, ["file", "t"], "left"), F.col("file"), F.col("t"), **{c: F.col(c) for c in COLUMNS})
+
+
+def read_tcx(spark: SparkSession, path: str) -> DataFrame:
+    """Training files: track points with time, position and altitude."""
+    schema = "Time string, Position struct<LatitudeDegrees:double,LongitudeDegrees:double>, AltitudeMeters double"
+    rows = spark.read.format("xml").option("rowTag", "Trackpoint").schema(schema).load(path).withColumn("file", F.input_file_name())
+    return _fixes(rows, F.col("file"), _zulu(F.col("Time")), lat=F.col("Position.LatitudeDegrees"), lon=F.col("Position.LongitudeDegrees"), alt=F.col("AltitudeMeters"))
+
+
+def read_timeline(spark: SparkSession, path: str) -> DataFrame:
+    """The newer JSON timeline: segments with a start and points ``geo:lat,lon``, minutes after it."""
+    point = "array<struct<point:string,durationMinutesOffsetFromStartTime:string>>"
+    rows = spark.read.schema(f"startTime string, timelinePath {point}").json(path, multiLine=True)
+    rows = rows.select(F.input_file_name().alias("file"), _zulu(F.col("startTime")).alias("start"), F.explode("timelinePath").alias("p"))
+    place = F.split(F.regexp_replace("p.point", r"^geo:|[°\s]", ""), ",")
+    minutes = F.coalesce(F.col("p.durationMinutesOffsetFromStartTime").try_cast("double"), F.lit(0.0))
+    t = F.col("start") + F.make_dt_interval(secs=(minutes * 60).cast("decimal(18,6)"))
+    return _fixes(rows, F.col("file"), t, lat=F.get(place, F.lit(0)).try_cast("double"), lon=F.get(place, F.lit(1)).try_cast("double"))
+
+
+#: What the beginning of each kind of log looks like.
+KINDS = {
+    "tcx": r"<TrainingCenterDatabase", "kml": r"<kml|<Placemark", "gpx": r"<gpx|<trkpt", "nmea": r"(?m)^.*\$([A-Z]{2}(RMC|GGA|GLL|ZDA)|PMGNTRK),", "igc": r"(?m)^(A(FLA|XSY|FIL)|HFDTE)",
+    "history": r'"(timelineObjects|placeVisit|activitySegment|latitudeE7|locations)"\s*:', "timeline": r'"(durationMinutesOffsetFromStartTime|startTime)"\s*:', "csv": r"(?i)^[^\n]*\b(lat)[^\n]*,|^[^\n]*,[^\n]*\blat",
+}
+
+
+def track_kind(head: Column) -> Column:
+    """Kind of a track log by its first characters; null if it is none."""
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed(KINDS.items()):
+        out = F.when(head.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def read_tracks(spark: SparkSession, path: str, head: int = 4096) -> DataFrame:
+    """Fixes of all logs of a folder whatever their kind, told by how each file begins.
+
+    Files of one kind are read together.  The names of all files pass the driver, as in any listing.
+    """
+    readers = {"tcx": read_tcx, "kml": read_kml, "gpx": read_gpx, "nmea": read_nmea, "igc": read_igc, "history": read_location_history, "timeline": read_timeline, "csv": read_csv_track}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    kinds = files.select("path", track_kind(F.decode(F.substring("content", 1, head), "UTF-8")).alias("kind")).where("kind is not null")
+    out = None
+    for row in kinds.groupBy("kind").agg(F.collect_list("path").alias("paths")).orderBy("kind").collect():
+        fixes = readers[row["kind"]](spark, row["paths"])
+        out = fixes if out is None else out.unionByName(fixes)
+    return out if out is not None else spark.createDataFrame([], "device string, t timestamp_ntz, " + ", ".join(f"{c} double" for c in COLUMNS))
 
 
 def read_igc(spark: SparkSession, path: str) -> DataFrame:

@@ -166,3 +166,53 @@ def test_derived_columns(spark):
 def test_clock_drift(spark):
     got = [spark.range(1).select(asof.drift(F.lit(float(t)), [(0, 10), (100, 120)])).first()[0] for t in (-100, 0, 50, 100, 200)]
     assert got == pytest.approx([-100, 10, 65, 120, 230])
+
+
+def test_interpolate_each_keeps_all_points(spark):
+    """Points with nulls, and points that repeat."""
+    from albumflow.operators import asof
+
+    t = lambda m: datetime(2024, 1, 1, 0, m)
+    points = spark.createDataFrame([("d", t(5), None), ("d", t(5), "x"), ("d", t(5), "x"), ("d", None, "y")], "device string, t timestamp_ntz, note string")
+    fixes = spark.createDataFrame([("d", t(0), 0.0, None), ("d", t(4), None, 8.0), ("d", t(10), 10.0, 20.0)], "device string, t timestamp_ntz, lat double, alt double")
+    got = asof.interpolate_each(points, fixes, "device", "t", ["lat", "alt"]).collect()
+    assert sorted((str(r.note), r.lat, r.alt) for r in got if r.t) == [("None", 5.0, 10.0), ("x", 5.0, 10.0), ("x", 5.0, 10.0)] and len(got) == 4
+
+
+def test_nearest_against_all_pairs(spark):
+    """Round the poles and the date line, at small and large reach."""
+    import math
+    import random
+
+    from albumflow.operators.nearest import nearest
+
+    rng = random.Random(4)
+    spot = lambda: (rng.choice([rng.uniform(-90, 90), rng.uniform(85, 90), rng.uniform(-90, -88)]), rng.choice([rng.uniform(-180, 180), rng.uniform(179, 180), -180.0]))
+    points, places = ([(i, *spot()) for i in range(n)] for n in (120, 150))
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} int, lat double, lon double")
+
+    def km(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(min(h, 1)))
+
+    for reach in (150.0, 1200.0, 9000.0):
+        want = {(p[0], q[0]) for p in points for q in places if km(p, q) <= reach}
+        got = [(r.p, r.q) for r in nearest(frame(points, "p"), frame(places, "q"), "p", "q", reach, k=1000).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_too_many_places_are_an_error(spark):
+    from albumflow.operators.nearest import places_named
+
+    rows = spark.createDataFrame([(f"c{i}", i) for i in range(10)], "city string, population int")
+    assert places_named(rows, pattern="c", most=10).count() == 10
+    with pytest.raises(ValueError, match="more than 9"):
+        places_named(rows, pattern="c", most=9)
+
+
+def test_unknown_directives_are_an_error():
+    from albumflow.functions.dates import format_tolerant
+
+    with pytest.raises(ValueError, match="%Q"):
+        format_tolerant(F.lit("2024"), "%Y %Q")

@@ -65,7 +65,7 @@ def heic():
 
 @pytest.mark.parametrize(("ext", "data"), [(".jpg", jpeg()), (".JPEG", jpeg()), (".png", png()), (".webp", webp()), (".tif", tiff()), (".tiff", tiff(order=">")), (".heic", heic())])
 def test_dates_of_images(ext, data):
-    assert read_dates(io.BytesIO(data), ext) == (DATE, None, None)
+    assert read_dates(io.BytesIO(data), ext) == (DATE, None, None, None)
 
 
 @pytest.mark.parametrize("order", ["<", ">"])
@@ -80,7 +80,38 @@ def test_date_of_a_tiff_with_its_directory_past_16_mb(spark, tmp_path, order):
 
 
 def test_dates_of_movies():
-    assert read_dates(io.BytesIO(movie(3_700_000_000)), ".mp4") == (None, 3_700_000_000, None)
+    assert read_dates(io.BytesIO(movie(3_700_000_000)), ".mp4") == (None, 3_700_000_000, None, None)
+
+
+def movie_with_metadata(seconds, date, plain=True):
+    keys = box(b"keys", bytes(4) + struct.pack(">I", 2) + b"".join(struct.pack(">I", len(k) + 8) + b"mdta" + k for k in (b"com.apple.quicktime.make", b"com.apple.quicktime.creationdate")))
+    value = lambda number, text: box(struct.pack(">I", number), box(b"data", struct.pack(">II", 1, 0) + text))
+    meta = (b"" if plain else bytes(4)) + box(b"hdlr", bytes(24)) + keys + box(b"ilst", value(1, b"Maker") + value(2, date.encode()))
+    header = box(b"mvhd", bytes(4) + struct.pack(">I", seconds) + bytes(20)) if seconds is not None else b""
+    return box(b"ftyp", b"qt  \0\0\0\0") + box(b"moov", header + box(b"meta", meta))
+
+
+@pytest.mark.parametrize("plain", [True, False])
+def test_third_date_source(spark, tmp_path, plain):
+    written = "2024-05-06T07:08:09+0200"
+    assert read_dates(io.BytesIO(movie_with_metadata(5, written, plain)), ".mov") == (None, 5, written, None)
+    (tmp_path / "a.mov").write_bytes(movie_with_metadata(None, written, plain))
+    (tmp_path / "b.mov").write_bytes(movie_with_metadata(3_700_000_000, "none", plain))
+    found = run(with_metadata(list_files(spark, str(tmp_path), mounted=True)), read_sidecars(spark, str(tmp_path)))
+    assert {r.source_path[-5:]: r.capture_ts for r in found.manifest.collect()} == {"a.mov": datetime(2024, 5, 6, 7, 8, 9), "b.mov": datetime(2021, 3, 31, 1, 46, 40)}
+
+
+def test_heic_with_a_wide_item_table():
+    item = struct.pack(">I", 0) + tiff()
+    infe = box(b"infe", b"\3\0\0\0" + struct.pack(">IH", 70_000, 0) + b"Exif\0")
+    iinf = box(b"iinf", b"\1\0\0\0" + struct.pack(">I", 1) + infe)
+
+    def meta(at):
+        iloc = box(b"iloc", b"\2\0\0\0" + b"\x44\0" + struct.pack(">IIHHH", 1, 70_000, 0, 0, 1) + struct.pack(">II", at, len(item)))
+        return box(b"ftyp", b"heic\0\0\0\0") + box(b"meta", bytes(4) + iinf + iloc)
+
+    data = meta(len(meta(0)) + 8) + box(b"mdat", item)
+    assert read_dates(io.BytesIO(data), ".heic") == (DATE, None, None, None)
 
 
 @pytest.mark.parametrize("ext", [".jpg", ".png", ".webp", ".tif", ".heic", ".mp4"])
@@ -146,6 +177,51 @@ def test_tracks(spark, tmp_path):
         assert (r.t, r.lat, r.lon, r.alt) == (want, 1.5, -2.5, 7.0), path
 
 
+def test_logs_of_any_kind_in_one_folder(spark, tmp_path):
+    (tmp_path / "a.tcx").write_text("<TrainingCenterDatabase><Trackpoint><Time>2024-01-02T03:04:05Z</Time><Position><LatitudeDegrees>1.5</LatitudeDegrees><LongitudeDegrees>-2.5</LongitudeDegrees></Position><AltitudeMeters>7</AltitudeMeters></Trackpoint></TrainingCenterDatabase>")
+    (tmp_path / "b.log").write_text("$GPRMC,030405,A,0130.000,N,00230.000,W,1.0,90.0,020124,,*6A\n")
+    (tmp_path / "c.json").write_text(json.dumps([{"startTime": "2024-01-02T03:00:00Z", "timelinePath": [{"point": "geo:1.5,-2.5", "durationMinutesOffsetFromStartTime": "4"}]}]))
+    (tmp_path / "d.txt").write_text("nothing")
+    got = sorted((r.t, r.lat, r.lon) for r in tracks.read_tracks(spark, str(tmp_path)).collect())
+    assert got == [(datetime(2024, 1, 2, 3, 4), 1.5, -2.5)] + [(datetime(2024, 1, 2, 3, 4, 5), 1.5, -2.5)] * 2
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.txt").write_text("x")
+    assert tracks.read_tracks(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_sentences_of_several_days(spark, tmp_path):
+    rmc = "$GPRMC,{},A,0130.000,N,00230.000,W,1.0,90.0,{},,*6A"
+    gga = "$GPGGA,{},0130.000,N,00230.000,W,1,8,0.9,{},M,,M,,*47"
+    lines = [gga.format("235950", 1.0), rmc.format("235950", "010124"), rmc.format("235955", "010124"), gga.format("000005", 2.0), gga.format("235955", 3.0), rmc.format("000005", "020124"), rmc.format("235950", "020124"), gga.format("235950", 4.0), gga.format("235950", 5.0)]
+    (tmp_path / "t.nmea").write_text("\n".join(lines))
+    got = [(r.t, r.alt) for r in tracks.read_nmea(spark, str(tmp_path / "t.nmea")).orderBy("t").collect()]
+    day = lambda d, h, m, s: datetime(2024, 1, d, h, m, s)
+    assert got == [(day(1, 23, 59, 50), 1.0), (day(1, 23, 59, 55), 3.0), (day(2, 0, 0, 5), 2.0), (day(2, 23, 59, 50), 4.0)]
+
+
+def test_hashes_and_listing_rules(spark, tree):
+    import hashlib
+
+    from albumflow.sources.listing import list_folders
+
+    (tree / "empty.jpg").write_bytes(b"")
+    os.symlink(tree / "two.heic", tree / "link.heic")
+    listed = list_files(spark, str(tree), mounted=True)
+    got = {r.path: (r.digest, r.error is None) for r in sinks.file_hashes(listed.unionByName(listed.limit(1).withColumn("path", F.lit("/nowhere"))), "sha256").collect()}
+    assert got[str(tree / "two.heic")] == (hashlib.sha256(heic()).hexdigest(), True) and got[str(tree / "empty.jpg")] == (None, True) and got["/nowhere"] == (None, False)
+    names = {r.name for r in list_files(spark, str(tree), mounted=True, ignore=["deep"], hidden=False, symlinks=False).collect()}
+    assert names == {"one.jpg", "zero.mov", "zero.mov.json", "two.heic", "note.txt", "empty.jpg"}
+    assert {r.dir: r.files for r in list_folders(listed).collect()}[str(tree / "a" / "deep")] == 1
+
+
+def test_places_and_php(spark, tmp_path):
+    (tmp_path / "p.txt").write_text("Here\tR\tXX\tLand\tUTC\tPPL\t5\t1.5\t2.5\nNowhere\tR\tXX\tLand\tUTC\tPPL\t5\t\t2.5\n")
+    rows = records.read_places(spark, str(tmp_path / "p.txt"))
+    assert [(r.city, r.population, r.lat) for r in rows.collect()] == [("Here", 5, 1.5)]
+    records.write_php(rows.select("city", "population"), str(tmp_path / "php"))
+    assert spark.read.text(str(tmp_path / "php")).first()[0] == 'Array("city" => "Here","population" => 5)'
+
+
 def test_records(spark, tmp_path):
     (tmp_path / "r.csv").write_text('SourceFile,Title,Note\na.jpg,old,x\na.jpg,"new, ""2""",\nb.jpg,-,y\n')
     got = {r.SourceFile: (r.Title, r.Note) for r in records.read_csv_records(spark, str(tmp_path / "r.csv")).collect()}
