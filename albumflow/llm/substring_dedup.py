@@ -1,10 +1,11 @@
 """Substring dedup with a log-structured fingerprint index.
 
-The index is a list of sorted, immutable runs (Parquet files in the shared folder), one
-a batch until compaction merges them.  A new batch is merge-joined with the runs on the
-fingerprint key, every match is verified on digests of whole windows' words, and the batch's
-own fingerprints are appended as a new run.  Batches must come in rising order of doc_id:
-a window is judged against all documents with a smaller doc_id, in its batch or earlier.
+The index is a list of immutable runs in the shared folder, one a batch until ``FANOUT`` of them
+are compacted to one.  A run is two tables, bucketed and sorted: the distinct segments of its
+windows, and their keys.  A new batch's run is merge-joined with each run of history bucket by bucket,
+so history is neither shuffled nor sorted again.  What has a key in common is verified on digests of whole
+windows' words.  Batches must come in rising order of doc_id: a window is judged against all documents with
+a smaller doc_id, in its batch or earlier.
 
 Edge cases: null and empty texts, and texts with fewer words than a window, lose nothing.
 A null doc_id is not smaller than any other and has none smaller: its words stay and
@@ -14,6 +15,9 @@ Other columns are not read.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,14 +25,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumflow.llm.kernels import digests
-from albumflow.llm.segments import CLASS, Kind, by_document, classes, covered, key_filters, object_array, occurrences, repeated_keys
-from albumflow.llm.shared import arrow_map, arrow_schema, new_folder, remove_folder, saved
+from albumflow.llm.segments import CLASS, Kind, by_document, classes, covered, key_filters, object_array, occurrences
+from albumflow.llm.shared import arrow_map, arrow_schema, new_folder, partitions, remove_folder, saved
 
 WINDOW = 50
 GRAM = 16
-FANOUT = 4
-BATCHES = 2
-RUN = "key bigint, digest bigint, more bigint, windows int, first bigint, times bigint"
+FANOUT = 3
+BATCHES = 4
+CONTENT = CLASS[1:]
+
+
+class Run(NamedTuple):
+    """Names of a run's tables: segments (CLASS, first, times), and keys (the ranges of CONTENT, times)."""
+
+    segments: str
+    keys: str
+
+
+def _keys(segments: DataFrame) -> DataFrame:
+    """A key's segments are all equal if least and greatest of their contents are."""
+    ends = [f(c).alias(f"{name}_{c}") for c in CONTENT for name, f in (("low", F.min), ("high", F.max))]
+    return segments.groupBy("key").agg(*ends, F.sum("times").alias("times"))
+
+
+def _joined_keys(keys: DataFrame) -> DataFrame:
+    ends = [f(f"{name}_{c}").alias(f"{name}_{c}") for c in CONTENT for name, f in (("low", F.min), ("high", F.max))]
+    return keys.groupBy("key").agg(*ends, F.sum("times").alias("times"))
+
+
+def _joined_segments(segments: DataFrame) -> DataFrame:
+    return segments.groupBy(*CLASS).agg(F.min("first").alias("first"), F.sum("times").alias("times"))
 
 
 def _window_digests(symbols, s):
@@ -47,23 +73,33 @@ class FingerprintIndex:
         self.spark, self.fanout = spark, fanout
         self.kind = Kind(True, WINDOW, GRAM)
         self.folder = new_folder(spark, "fingerprints")
-        self.runs: list[str] = []
-        self._made = 0
+        self.runs: list[Run] = []
+
+    def _table(self, rows: DataFrame, by: list[str]) -> str:
+        """Write rows as a table whose buckets are the partitions of an aggregation by the same columns."""
+        name = f"fingerprints_{uuid.uuid4().hex}"
+        bucketed = rows.write.format("parquet").bucketBy(partitions(rows), *by).sortBy(*by)
+        bucketed.option("path", f"{self.folder}/{name}").saveAsTable(name)
+        return name
 
-    def _write(self, rows: DataFrame) -> str:
-        path, self._made = f"{self.folder}/run-{self._made}", self._made + 1
-        rows.sortWithinPartitions("key").write.parquet(path)
-        return path
+    def _write(self, segments: DataFrame) -> Run:
+        name = self._table(segments, CLASS)
+        return Run(name, self._table(_keys(self.spark.table(name)), ["key"]))
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
+    def _delete(self, run: Run) -> None:
+        for name in run:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove_folder(self.spark, f"{self.folder}/{name}")
 
     def compact(self) -> None:
         """Merge all runs into one."""
-        merged = self._read(self.runs).groupBy(*CLASS).agg(F.min("first").alias("first"), F.sum("times").alias("times"))
-        old, self.runs = self.runs, [self._write(merged)]
-        for path in old:
-            remove_folder(self.spark, path)
+        every = None
+        for run in self.runs:
+            own = self.spark.table(run.segments)
+            every = own if every is None else every.unionByName(own)
+        old, self.runs = self.runs, [self._write(_joined_segments(every))]
+        for run in old:
+            self._delete(run)
 
     def add(self, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """Index a batch; returns (doc_id, spans), the word ranges it repeats.
@@ -71,15 +107,18 @@ class FingerprintIndex:
         ``history`` holds the documents of earlier batches, for verification.
         """
         run = self._write(classes(batch, self.kind))
-        new = self._read([run])
-        merged = new
-        if self.runs:
-            past = self._read(self.runs)
-            hits = past.join(new.select("key").distinct().hint("merge"), "key", "left_semi")
-            merged = new.unionByName(hits).groupBy(*CLASS).agg(F.min("first").alias("first"), F.sum("times").alias("times"))
-        keys = saved(repeated_keys(merged))
+        new_segments, new_keys = self.spark.table(run.segments), self.spark.table(run.keys)
+        keys, segments = new_keys, new_segments
+        for past in self.runs:
+            keys = keys.unionByName(self.spark.table(past.keys).hint("merge").join(new_keys.select("key"), "key", "left_semi"))
+            segments = segments.unionByName(self.spark.table(past.segments).hint("merge").join(new_segments.select(*CLASS), CLASS, "left_semi"))
+        unequal = F.lit(False)
+        for c in CONTENT:
+            unequal = unequal | (F.col(f"low_{c}") < F.col(f"high_{c}"))
+        kinds = F.when(unequal, 2).otherwise(1)
+        keys = saved(_joined_keys(keys).where(unequal | (F.col("times") > 1)).select("key", kinds.alias("kinds")))
         filters = key_filters(keys)
-        info = merged.join(keys, "key").select(*CLASS, "first", (F.col("kinds") > 1).alias("several"))
+        info = _joined_segments(segments).join(keys, "key").select(*CLASS, "first", (F.col("kinds") > 1).alias("several"))
         found = saved(occurrences(batch, self.kind, filters, "hashes", "array<binary>", _window_digests).drop("anchor").join(info, CLASS))
         whole = found.where("first < doc_id").select("doc_id", F.col("start").alias("from"), (F.col("start") + F.col("windows") + WINDOW - 1).alias("to"))
         # Only the first document with a segment still has windows to judge: later ones lose them all.
@@ -101,7 +140,9 @@ class FingerprintIndex:
         return spans
 
     def drop(self) -> None:
-        """Delete the index's files."""
+        """Delete the index's tables."""
+        for run in self.runs:
+            self._delete(run)
         remove_folder(self.spark, self.folder)
 
 

@@ -244,7 +244,20 @@ def test_index_is_compacted_and_remembers(spark):
     for i, history in ((2, batch(1)), (3, batch(1).unionByName(batch(2)))):
         (found,) = index.add(batch(i), history).collect()
         assert found.doc_id == i and min(s["from"] for s in found.spans) == 0 and max(s["to"] for s in found.spans) == 80
-    assert len(index.runs) == 1
+    assert len(index.runs) == 1 and [t.name for t in spark.catalog.listTables() if t.name.startswith("fingerprints")] == sorted(index.runs[0])
+    index.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("fingerprints")]
+
+
+def test_history_is_not_shuffled(spark):
+    """The merge joins of a new batch with a run of history need no exchange."""
+    index = substring_dedup.FingerprintIndex(spark, fanout=9)
+    for i in (1, 2):
+        index.add(spark.createDataFrame([(i, prose(i, 300))], "doc_id bigint, text string"))
+    past, new = ((spark.table(r.segments), spark.table(r.keys)) for r in index.runs)
+    for old, own, by in ((past[0], new[0], substring_dedup.CLASS), (past[1], new[1], ["key"])):
+        plan = old.hint("merge").join(own.select(*by), by, "left_semi")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
     index.drop()
 
 
