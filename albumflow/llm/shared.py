@@ -25,13 +25,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows from now on, so that tasks on long texts hold
-    little outside the JVM's heap.  A smaller setting of the user's stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Arrow batches of at most ``rows`` rows and of about ``size`` bytes from now on, so that tasks on
+    long texts hold little outside the JVM's heap.  Smaller settings of the user's stay."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def saved(df: DataFrame) -> DataFrame:
