@@ -144,6 +144,27 @@ def occurrences(docs: DataFrame, kind: Kind, filters, name: str, ddl: str, detai
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, full)
 
 
+POPULAR = 10_000  # a segment's places from which they are dealt to SALTS tasks
+MOST_POPULAR = 100_000
+SALTS = 64
+
+
+def with_info(places: DataFrame, info: DataFrame) -> DataFrame:
+    """places (doc_id, start, ...) joined with ``info`` (CLASS, times, ...), whose segment may be anywhere in very
+    many places: those of popular segments are dealt to several tasks.
+
+    More than ``POPULAR`` times, and more than one in ``MOST_POPULAR`` of all, can be no more than that many
+    segments, so they may be broadcast.
+    """
+    total = info.agg(F.sum("times")).first()[0] or 0
+    popular = F.col("times") > max(POPULAR, total // MOST_POPULAR)
+    names = info.where(popular).select(*CLASS, F.lit(True).alias("popular"))
+    salt = F.when(F.col("popular"), F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = places.join(F.broadcast(names), CLASS, "left").withColumn("salt", salt).drop("popular")
+    salts = F.when(popular, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(info.withColumn("salt", F.explode(salts)), [*CLASS, "salt"]).drop("salt")
+
+
 def object_array(values: list) -> np.ndarray:
     out = np.empty(len(values), dtype=object)
     out[:] = values

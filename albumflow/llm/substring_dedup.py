@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumflow.llm.kernels import digests
-from albumflow.llm.segments import CLASS, Kind, by_document, classes, covered, key_filters, object_array, occurrences
+from albumflow.llm.segments import CLASS, Kind, by_document, classes, covered, key_filters, object_array, occurrences, with_info
 from albumflow.llm.shared import arrow_map, arrow_schema, new_folder, partitions, remove_folder, saved
 
 WINDOW = 50
@@ -118,8 +118,8 @@ class FingerprintIndex:
         kinds = F.when(unequal, 2).otherwise(1)
         keys = saved(_joined_keys(keys).where(unequal | (F.col("times") > 1)).select("key", kinds.alias("kinds")))
         filters = key_filters(keys)
-        info = _joined_segments(segments).join(keys, "key").select(*CLASS, "first", (F.col("kinds") > 1).alias("several"))
-        found = saved(occurrences(batch, self.kind, filters, "hashes", "array<binary>", _window_digests).drop("anchor").join(info, CLASS))
+        info = saved(_joined_segments(segments).join(keys, "key").select(*CLASS, "first", "times", (F.col("kinds") > 1).alias("several")))
+        found = saved(with_info(occurrences(batch, self.kind, filters, "hashes", "array<binary>", _window_digests).drop("anchor"), info))
         whole = found.where("first < doc_id").select("doc_id", F.col("start").alias("from"), (F.col("start") + F.col("windows") + WINDOW - 1).alias("to"))
         # Only the first document with a segment still has windows to judge: later ones lose them all.
         place = "doc_id", "key", F.posexplode("hashes").alias("at", "hash"), "start"

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from albumflow.llm.kernels import digests
-from albumflow.llm.segments import CLASS, Kind, by_document, classes, covered, key_filters, object_array, occurrences, repeated_keys
+from albumflow.llm.segments import CLASS, Kind, by_document, classes, covered, key_filters, object_array, occurrences, repeated_keys, with_info
 from albumflow.llm.shared import arrow_map, arrow_schema, partitions, saved
 
 LENGTH = 400
@@ -155,8 +155,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = saved(classes(docs, kind))
     keys = saved(repeated_keys(found))
     filters = key_filters(keys)
-    info = found.join(keys, "key").select(*CLASS, "times", "kinds")
-    places = saved(occurrences(docs, kind, filters, "piece", "binary", _pieces).join(info, CLASS))
+    info = saved(found.join(keys, "key").select(*CLASS, "times", "kinds"))
+    places = saved(with_info(occurrences(docs, kind, filters, "piece", "binary", _pieces), info))
     whole = places.where("times > 1").select("doc_id", F.col("start").alias("from"), (F.col("start") + F.col("windows") + LENGTH - 1).alias("to"))
     pieces = places.where("kinds > 1").groupBy(*CLASS)
     pieces = pieces.agg(*(F.first(c).alias(c) for c in ("anchor", "piece", "start", "times", "kinds", "doc_id")))
