@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from albumflow.llm import bloom
-from albumflow.llm.kernels import BYTE_VALUES, RunningHash, Segments, Texts, digests, joined_words, signed, split_words, text_slices, window_segments, word_hashes
+from albumflow.llm.kernels import BYTE_VALUES, U64, RunningHash, Segments, Texts, digests, joined_words, mix64, signed, split_words, text_slices, window_segments, word_hashes
 from albumflow.llm.shared import arrow_schema
 
 CLASS = ["key", "digest", "more", "windows"]
@@ -119,13 +119,13 @@ def key_filters(keys: DataFrame):
     return sc.broadcast((bloom.build(keys.select("key"), every), several))
 
 
-def occurrences(docs: DataFrame, kind: Kind, filters, name: str, ddl: str, detail: Callable, only_several: bool = False) -> DataFrame:
-    """Second scan: the segments whose key is in the filters.
+def occurrences(docs: DataFrame, kind: Kind, filters, name: str, ddl: str, detail: Callable, only_several: bool = False, popular=None) -> DataFrame:
+    """Second scan: the segments whose key is in the filters; those that are ``popular`` have a ``salt``.
 
     ``detail(symbols, segments)`` gives a value for each segment whose key has several
     segments (column ``name`` of type ``ddl``; null for the others).
     """
-    full = f"key bigint, digest bigint, more bigint, windows int, doc_id bigint, start int, anchor int, {name} {ddl}"
+    full = f"key bigint, digest bigint, more bigint, windows int, doc_id bigint, start int, anchor int, salt int, {name} {ddl}"
     schema = arrow_schema(full)
 
     def rows(batches):
@@ -138,7 +138,9 @@ def occurrences(docs: DataFrame, kind: Kind, filters, name: str, ddl: str, detai
                 extra = np.full(len(deep), None, dtype=object)
                 at = np.flatnonzero(deep)
                 extra[at] = detail(symbols, Segments(*(x[at] for x in s)))
-                columns = [*_class(kind, symbols, s), *(pa.array(x).cast(f.type) for x, f in zip((ids[s.row], s.start + place, s.anchor), list(schema)[4:], strict=False))]
+                own = _class(kind, symbols, s)
+                salt = _salts(popular.value if popular else (own[1][:0], own[2][:0]), own[1].to_numpy(), own[2].to_numpy(), ids[s.row] + s.start)
+                columns = [*own, *(pa.array(x).cast(f.type) for x, f in zip((ids[s.row], s.start + place, s.anchor, salt), list(schema)[4:], strict=False))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(extra, schema.field(name).type)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, full)
@@ -149,20 +151,30 @@ MOST_POPULAR = 100_000
 SALTS = 64
 
 
-def with_info(places: DataFrame, info: DataFrame) -> DataFrame:
-    """places (doc_id, start, ...) joined with ``info`` (CLASS, times, ...), whose segment may be anywhere in very
-    many places: those of popular segments are dealt to several tasks.
+def popular_segments(info: DataFrame):
+    """The least number of times of a popular segment, and the contents of all such; broadcast.
 
-    More than ``POPULAR`` times, and more than one in ``MOST_POPULAR`` of all, can be no more than that many
-    segments, so they may be broadcast.
+    More than ``POPULAR`` times, and more than one in ``MOST_POPULAR`` of all, can be no more than that many segments.
     """
     total = info.agg(F.sum("times")).first()[0] or 0
-    popular = F.col("times") > max(POPULAR, total // MOST_POPULAR)
-    names = info.where(popular).select(*CLASS, F.lit(True).alias("popular"))
-    salt = F.when(F.col("popular"), F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS))).otherwise(0).cast("int")
-    dealt = places.join(F.broadcast(names), CLASS, "left").withColumn("salt", salt).drop("popular")
-    salts = F.when(popular, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(info.withColumn("salt", F.explode(salts)), [*CLASS, "salt"]).drop("salt")
+    least = max(POPULAR, total // MOST_POPULAR)
+    rows = info.where(F.col("times") > least).select("digest", "more").toArrow().sort_by([("digest", "ascending"), ("more", "ascending")])
+    return least, info.sparkSession.sparkContext.broadcast((rows.column("digest").to_numpy(), rows.column("more").to_numpy()))
+
+
+def _salts(popular: tuple[np.ndarray, np.ndarray], digest: np.ndarray, more: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number for each place of a popular segment, 0 for all others."""
+    if not len(popular[0]):
+        return np.zeros(len(digest), dtype=np.int32)
+    at = np.minimum(np.searchsorted(popular[0], digest), len(popular[0]) - 1)
+    hit = (popular[0][at] == digest) & (popular[1][at] == more)
+    return np.where(hit, (mix64(place.astype(np.int64).view(U64)) % U64(SALTS)).astype(np.int32), 0)
+
+
+def with_info(places: DataFrame, info: DataFrame, least: int) -> DataFrame:
+    """places joined with ``info`` (CLASS, times, ...); a popular segment's places are in several tasks."""
+    salts = F.when(F.col("times") > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return places.join(info.withColumn("salt", F.explode(salts)), [*CLASS, "salt"]).drop("salt")
 
 
 def object_array(values: list) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Substring dedup with a log-structured fingerprint index.
 
-The index is a list of immutable runs in the shared folder, one a batch until ``FANOUT`` of them
-are compacted to one.  A run is two tables, bucketed and sorted: the distinct segments of its
+The index is a list of immutable runs in the shared folder, one a batch; once there are
+``FANOUT`` of them, they are compacted to one before the next.  A run is two tables, bucketed and sorted: the distinct segments of its
 windows, and their keys.  A new batch's run is merge-joined with each run of history bucket by bucket,
 so history is neither shuffled nor sorted again.  What has a key in common is verified on digests of whole
 windows' words.  Batches must come in rising order of doc_id: a window is judged against all documents with
@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumflow.llm.kernels import digests
-from albumflow.llm.segments import CLASS, Kind, by_document, classes, covered, key_filters, object_array, occurrences, with_info
+from albumflow.llm.segments import CLASS, Kind, by_document, classes, covered, key_filters, object_array, occurrences, popular_segments, with_info
 from albumflow.llm.shared import arrow_map, arrow_schema, new_folder, partitions, remove_folder, saved
 
 WINDOW = 50
 GRAM = 16
-FANOUT = 3
-BATCHES = 4
+FANOUT = 2
+BATCHES = 3
 CONTENT = CLASS[1:]
 
 
@@ -106,6 +106,8 @@ class FingerprintIndex:
 
         ``history`` holds the documents of earlier batches, for verification.
         """
+        if len(self.runs) >= self.fanout:
+            self.compact()
         run = self._write(classes(batch, self.kind))
         new_segments, new_keys = self.spark.table(run.segments), self.spark.table(run.keys)
         keys, segments = new_keys, new_segments
@@ -119,7 +121,9 @@ class FingerprintIndex:
         keys = saved(_joined_keys(keys).where(unequal | (F.col("times") > 1)).select("key", kinds.alias("kinds")))
         filters = key_filters(keys)
         info = saved(_joined_segments(segments).join(keys, "key").select(*CLASS, "first", "times", (F.col("kinds") > 1).alias("several")))
-        found = saved(with_info(occurrences(batch, self.kind, filters, "hashes", "array<binary>", _window_digests).drop("anchor"), info))
+        least, popular = popular_segments(info)
+        places = occurrences(batch, self.kind, filters, "hashes", "array<binary>", _window_digests, popular=popular)
+        found = saved(with_info(places.drop("anchor"), info, least))
         whole = found.where("first < doc_id").select("doc_id", F.col("start").alias("from"), (F.col("start") + F.col("windows") + WINDOW - 1).alias("to"))
         # Only the first document with a segment still has windows to judge: later ones lose them all.
         place = "doc_id", "key", F.posexplode("hashes").alias("at", "hash"), "start"
@@ -135,8 +139,6 @@ class FingerprintIndex:
         part = mine.join(firsts, ["key", "hash"]).where("least < doc_id").select("doc_id", "from", "to")
         spans = saved(by_document(whole.unionByName(part)))
         self.runs.append(run)
-        if len(self.runs) >= self.fanout:
-            self.compact()
         return spans
 
     def drop(self) -> None:

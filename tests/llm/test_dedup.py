@@ -245,7 +245,7 @@ def test_index_is_compacted_and_remembers(spark):
     for i, history in ((2, batch(1)), (3, batch(1).unionByName(batch(2)))):
         (found,) = index.add(batch(i), history).collect()
         assert found.doc_id == i and min(s["from"] for s in found.spans) == 0 and max(s["to"] for s in found.spans) == 80
-    assert len(index.runs) == 1 and sorted(t.name for t in spark.catalog.listTables() if t.name.startswith("fingerprints")) == sorted(n for r in index.runs for n in r)
+    assert len(index.runs) == 2 and sorted(t.name for t in spark.catalog.listTables() if t.name.startswith("fingerprints")) == sorted(n for r in index.runs for n in r)
     index.drop()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("fingerprints")]
 
