@@ -215,7 +215,8 @@ def _covers(index: Index, passage: int, near: np.ndarray) -> tuple[float, float]
     own = index.tokens[passage]
     answer = own[-max(1, len(own) // 4) :]
     weight = index.weights[_terms(answer)]
-    found = float(weight[np.isin(answer, near)].sum() / weight.sum())
+    there = set(near.tolist())
+    found = float(weight[[x in there for x in answer.tolist()]].sum() / weight.sum())
     return (common_subsequence(own, near) / len(own) if found >= ANSWER else 0.0), found
 
 
@@ -276,7 +277,11 @@ def _search(index: Index, tokens: np.ndarray, bounds: np.ndarray) -> Iterator[tu
             used = np.minimum(span, len(term) - 1)
             here = np.where(span < end[at, None], number[used], -1)
             which, column = np.nonzero(here >= 0)
-            terms, place_ = np.unique(here[which, column], return_inverse=True)
+            present_terms = here[which, column]
+            occurs = np.zeros(len(index.basis), dtype=bool)
+            occurs[present_terms] = True
+            terms = np.flatnonzero(occurs)
+            place_ = (np.cumsum(occurs) - 1)[present_terms]
             present = np.zeros((len(at), len(terms)), dtype=np.float32)
             present[which, place_] = 1
             shared = present @ index.times[np.ix_(terms, passages)]
