@@ -106,21 +106,21 @@ def classes(docs: DataFrame, kind: Kind) -> DataFrame:
 
 
 def repeated_keys(merged: DataFrame) -> DataFrame:
-    """Keys of which a window may stand in two places: key, kinds (distinct segments)."""
+    """Keys of which a window may stand in two places: key, kinds (distinct segments), times."""
     keys = merged.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("times").alias("times"))
-    return keys.where("kinds > 1 or times > 1").select("key", "kinds")
+    return keys.where("kinds > 1 or times > 1")
 
 
-def key_filters(keys: DataFrame):
-    """Bloom filters of all the keys, and of those with several segments; broadcast."""
-    sc = keys.sparkSession.sparkContext
-    every, several = keys.agg(F.count("*"), F.count_if(F.col("kinds") > 1)).first()
-    several = bloom.build(keys.where("kinds > 1").select("key"), several)
-    return sc.broadcast((bloom.build(keys.select("key"), every), several))
+def key_filter(keys: DataFrame):
+    """Places of all the keys, and a Bloom filter of the keys and of the complements of those with several segments; broadcast."""
+    every, several, places = keys.agg(F.count("*"), F.count_if(F.col("kinds") > 1), F.sum("times")).first()
+    entries = F.when(F.col("kinds") > 1, F.array("key", F.bitwise_not("key"))).otherwise(F.array("key"))
+    built = bloom.build(keys.select(F.explode(entries).alias("key")), every + several)
+    return places or 0, keys.sparkSession.sparkContext.broadcast(built)
 
 
-def occurrences(docs: DataFrame, kind: Kind, filters, name: str, ddl: str, detail: Callable, only_several: bool = False, popular=None) -> DataFrame:
-    """Second scan: the segments whose key is in the filters; those that are ``popular`` have a ``salt``.
+def occurrences(docs: DataFrame, kind: Kind, known, name: str, ddl: str, detail: Callable, only_several: bool = False, popular=None) -> DataFrame:
+    """Second scan: the segments whose key is in the filter ``known``; those that are ``popular`` have a ``salt``.
 
     ``detail(symbols, segments)`` gives a value for each segment whose key has several
     segments (column ``name`` of type ``ddl``; null for the others).
@@ -129,12 +129,11 @@ def occurrences(docs: DataFrame, kind: Kind, filters, name: str, ddl: str, detai
     schema = arrow_schema(full)
 
     def rows(batches):
-        every, several = filters.value
         for batch in batches:
             for ids, symbols, s, place in scan(kind, batch):
-                here = np.flatnonzero((several if only_several else every)(s.key))
+                here = np.flatnonzero(known.value(~s.key if only_several else s.key))
                 s = Segments(*(x[here] for x in s))
-                deep = several(s.key)
+                deep = known.value(~s.key)
                 extra = np.full(len(deep), None, dtype=object)
                 at = np.flatnonzero(deep)
                 extra[at] = detail(symbols, Segments(*(x[at] for x in s)))
@@ -151,12 +150,11 @@ MOST_POPULAR = 100_000
 SALTS = 64
 
 
-def popular_segments(info: DataFrame):
+def popular_segments(info: DataFrame, total: int):
     """The least number of times of a popular segment, and the contents of all such; broadcast.
 
-    More than ``POPULAR`` times, and more than one in ``MOST_POPULAR`` of all, can be no more than that many segments.
+    ``total`` is the sum of all times.  More than ``POPULAR`` times, and more than one in ``MOST_POPULAR`` of all, can be no more than that many segments.
     """
-    total = info.agg(F.sum("times")).first()[0] or 0
     least = max(POPULAR, total // MOST_POPULAR)
     rows = info.where(F.col("times") > least).select("digest", "more").toArrow().sort_by([("digest", "ascending"), ("more", "ascending")])
     return least, info.sparkSession.sparkContext.broadcast((rows.column("digest").to_numpy(), rows.column("more").to_numpy()))

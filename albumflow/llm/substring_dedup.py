@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumflow.llm.kernels import digests
-from albumflow.llm.segments import CLASS, Kind, by_document, classes, covered, key_filters, object_array, occurrences, popular_segments, with_info
+from albumflow.llm.segments import CLASS, Kind, by_document, classes, covered, key_filter, object_array, occurrences, popular_segments, with_info
 from albumflow.llm.shared import arrow_map, arrow_schema, new_folder, partitions, remove_folder, saved
 
 WINDOW = 50
@@ -118,11 +118,11 @@ class FingerprintIndex:
         for c in CONTENT:
             unequal = unequal | (F.col(f"low_{c}") < F.col(f"high_{c}"))
         kinds = F.when(unequal, 2).otherwise(1)
-        keys = saved(_joined_keys(keys).where(unequal | (F.col("times") > 1)).select("key", kinds.alias("kinds")))
-        filters = key_filters(keys)
-        info = saved(_joined_segments(segments).join(keys, "key").select(*CLASS, "first", "times", (F.col("kinds") > 1).alias("several")))
-        least, popular = popular_segments(info)
-        places = occurrences(batch, self.kind, filters, "hashes", "array<binary>", _window_digests, popular=popular)
+        keys = saved(_joined_keys(keys).where(unequal | (F.col("times") > 1)).select("key", kinds.alias("kinds"), "times"))
+        total, known = key_filter(keys)
+        info = saved(_joined_segments(segments).join(keys.select("key", "kinds"), "key").select(*CLASS, "first", "times", (F.col("kinds") > 1).alias("several")))
+        least, popular = popular_segments(info, total)
+        places = occurrences(batch, self.kind, known, "hashes", "array<binary>", _window_digests, popular=popular)
         found = saved(with_info(places.drop("anchor"), info, least))
         whole = found.where("first < doc_id").select("doc_id", F.col("start").alias("from"), (F.col("start") + F.col("windows") + WINDOW - 1).alias("to"))
         # Only the first document with a segment still has windows to judge: later ones lose them all.
@@ -132,7 +132,7 @@ class FingerprintIndex:
         mine = mine.select("key", "hash", "doc_id", ends.alias("from"), (ends + WINDOW).alias("to"))
         seen = mine.select("key", "hash", "doc_id")
         if history is not None and self.runs:
-            old = occurrences(history, self.kind, filters, "hashes", "array<binary>", _window_digests, only_several=True)
+            old = occurrences(history, self.kind, known, "hashes", "array<binary>", _window_digests, only_several=True)
             old = old.join(keys.where("kinds > 1"), "key", "left_semi")
             seen = seen.unionByName(old.select("key", F.explode("hashes").alias("hash"), "doc_id"))
         firsts = seen.groupBy("key", "hash").agg(F.min("doc_id").alias("least"))
@@ -177,9 +177,9 @@ def batches_of(docs: DataFrame, count: int) -> list[DataFrame]:
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is None or high - low < count:
         return [docs]
-    step = (high - low + count) // count
-    number = F.coalesce(F.floor((F.col("doc_id") - low) / step), F.lit(0))
-    return [docs.where(number == i) for i in range(count)]
+    step, doc = (high - low + count) // count, F.col("doc_id")
+    between = [(doc >= low + i * step) & (doc < low + (i + 1) * step) for i in range(1, count)]
+    return [docs.where(x) for x in (doc.isNull() | (doc < low + step), *between)]
 
 
 def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:

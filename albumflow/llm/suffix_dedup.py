@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from albumflow.llm.kernels import digests
-from albumflow.llm.segments import CLASS, Kind, by_document, classes, covered, key_filters, object_array, occurrences, popular_segments, repeated_keys, with_info
+from albumflow.llm.segments import CLASS, Kind, by_document, classes, covered, key_filter, object_array, occurrences, popular_segments, repeated_keys, with_info
 from albumflow.llm.shared import arrow_map, arrow_schema, partitions, saved
 
 LENGTH = 400
@@ -154,10 +154,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     kind = Kind(False, LENGTH, GRAM)
     found = saved(classes(docs, kind))
     keys = saved(repeated_keys(found))
-    filters = key_filters(keys)
-    info = saved(found.join(keys, "key").select(*CLASS, "times", "kinds"))
-    least, popular = popular_segments(info)
-    places = saved(with_info(occurrences(docs, kind, filters, "piece", "binary", _pieces, popular=popular), info, least))
+    total, known = key_filter(keys)
+    info = saved(found.join(keys.select("key", "kinds"), "key").select(*CLASS, "times", "kinds"))
+    least, popular = popular_segments(info, total)
+    places = saved(with_info(occurrences(docs, kind, known, "piece", "binary", _pieces, popular=popular), info, least))
     whole = places.where("times > 1").select("doc_id", F.col("start").alias("from"), (F.col("start") + F.col("windows") + LENGTH - 1).alias("to"))
     pieces = places.where("kinds > 1").groupBy(*CLASS)
     pieces = pieces.agg(*(F.first(c).alias(c) for c in ("anchor", "piece", "start", "times", "kinds", "doc_id")))
