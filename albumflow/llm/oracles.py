@@ -74,9 +74,46 @@ SUFFIX_DEDUP = """
            sha256(unhex(coalesce(head, '') || substr(h, (2 * coalesce(done, 0) + 1)::BIGINT))) AS kept_sha256
     FROM bytes LEFT JOIN cut USING (doc_id)"""
 
+_NAMES = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+RESAMPLING = f"""
+    WITH RECURSIVE split AS (SELECT doc_id, {_NAMES.format(_FOLDED)} AS w FROM documents),
+    raw AS (SELECT doc_id, unnest(w) AS word FROM split),
+    aimed AS (SELECT unnest({_NAMES.format(_FOLDED)}) AS word FROM benchmark),
+    codes AS (
+        SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS code
+        FROM range(256) AS r(n)),
+    spelt AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM (SELECT word FROM raw UNION ALL SELECT word FROM aimed)),
+    rolled(word, h, i, crc) AS (
+        SELECT word, h, 0, 4294967295 FROM spelt
+        UNION ALL
+        SELECT word, h, i + 1, xor(code, crc >> 8)
+        FROM rolled JOIN codes ON n = xor(crc & 255, ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)
+        WHERE 2 * i < len(h)),
+    hashed AS (SELECT word, xor(crc, 4294967295) % 10000 AS bucket FROM rolled WHERE 2 * i = len(h)),
+    have AS (SELECT bucket, count(*)::DOUBLE AS s FROM raw JOIN hashed USING (word) GROUP BY bucket),
+    want AS (SELECT bucket, count(*)::DOUBLE AS t FROM aimed JOIN hashed USING (word) GROUP BY bucket),
+    totals AS (SELECT (SELECT count(*) FROM raw)::DOUBLE AS all_s, (SELECT count(*) FROM aimed)::DOUBLE AS all_t),
+    gains AS (
+        SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (all_s + 10000)) / ((s + 1) * (all_t + 10000)))) AS gain
+        FROM have LEFT JOIN want USING (bucket), totals),
+    weighed AS (
+        SELECT doc_id, count(*) AS n_features, floor(sum(gain) / count(*)) AS weight
+        FROM raw JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+    scored AS (
+        SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0)::BIGINT AS weight, len(w) AS n_words,
+               (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+        FROM split LEFT JOIN weighed USING (doc_id)),
+    ranked AS (
+        SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () * 10 // 100 AS drawn
+        FROM scored WHERE n_words >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank
+    FROM scored LEFT JOIN ranked USING (doc_id)"""
+
 ORACLES = {
     "op1_near_dedup": NEAR_DEDUP,
     "op3_substring_dedup": SUBSTRING_DEDUP,
     "op4_exact_dedup": EXACT_DEDUP,
     "op7_suffix_dedup": SUFFIX_DEDUP,
+    "op13_resampling": RESAMPLING,
 }
