@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from albumflow.llm import decontamination, exact_dedup, language, licenses, lm_scoring, mixing, near_dedup, quality, resampling, substring_dedup, suffix_dedup, token_alignment
+from albumflow.llm import decontamination, exact_dedup, html_extraction, language, licenses, lm_scoring, mixing, near_dedup, quality, resampling, substring_dedup, suffix_dedup, token_alignment
 from albumflow.llm.oracles import ORACLES
 from albumflow.llm.shared import small_batches
 
@@ -70,6 +70,12 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*columns)
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_extraction.extract(pages, html_extraction.train(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.links(_documents(spark, sf_dir))
 
@@ -79,7 +85,7 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_language, op3_substring_dedup, op4_exact_dedup, op5_decontamination, op6_quality, op7_suffix_dedup, op8_licenses, op9_mixing, op10_lm_scoring, op12_token_alignment, op13_resampling)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_language, op3_substring_dedup, op4_exact_dedup, op5_decontamination, op6_quality, op7_suffix_dedup, op8_licenses, op9_mixing, op10_lm_scoring, op11_html_extraction, op12_token_alignment, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:

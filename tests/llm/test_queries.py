@@ -116,5 +116,6 @@ def test_scoring_query_counts(spark, duck):
 def test_queries_of_an_empty_table(spark, tmp_path, name):
     for table in ("labels", "benchmark"):
         spark.read.parquet(f"{SF}/{table}.parquet").write.parquet(str(tmp_path / f"{table}.parquet"))
-    spark.read.parquet(f"{SF}/documents.parquet").where(F.lit(False)).write.parquet(str(tmp_path / "documents.parquet"))
+    for table in ("documents", "pages"):
+        spark.read.parquet(f"{SF}/{table}.parquet").where(F.lit(False)).write.parquet(str(tmp_path / f"{table}.parquet"))
     assert queries.queries()[name](spark, str(tmp_path)).count() == 0
