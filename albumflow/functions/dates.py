@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from albumflow.functions.numbers import fixed
+
 #: Seconds from 1904 to 1970, and the range of years 1 to 9999 in epoch seconds.
 QUICKTIME_OFFSET = 2082844800
 EPOCH_LOW, EPOCH_HIGH = -62135596800, 253402300799
@@ -65,10 +69,7 @@ def exif_to_unix(text: Column) -> Column:
     pattern = r"^\s*(\d{4})[-:](\d{2})[-:](\d{2}) (\d{2}):(\d{2}):([0-5]\d)(?:\.\d+)?(Z|[+-]\d{2}:\d{2})?\s*$"
     ok = text.rlike(pattern)
     part = [F.when(ok, F.regexp_extract(text, pattern, i)) for i in range(1, 7)]
-    zone = F.regexp_extract(text, pattern, 7)
-    minutes = F.when(zone.rlike(r"^[+-]"), F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 5, 2).cast("int")).otherwise(0)
-    sign = F.when(zone.startswith("-"), -1).otherwise(1)
-    return ts_to_epoch(make_ts(*part)) - sign * minutes * 60
+    return ts_to_epoch(make_ts(*part)) - zone_minutes(F.regexp_extract(text, pattern, 7)) * 60
 
 
 def year_bucket(ts: Column) -> Column:
@@ -133,13 +134,55 @@ STRFTIME = {
     "%p": "a", "%b": "MMM", "%h": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%j": "DDD",
     "%F": "yyyy-MM-dd", "%T": "HH:mm:ss", "%R": "HH:mm", "%D": "MM/dd/yy",
 }
-_DIRECTIVE = re.compile(r"%(?:(?P<bare>-?)\.?(?P<digits>\d*)f|(?P<zone>:?z)|.)", re.DOTALL)
 
 
-def _zone_minutes(zone: Column) -> Column:
-    """Minutes of ``+hh:mm``; 0 for anything else."""
-    size = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int")
-    return F.when(zone.rlike(r"^[+-]\d{2}:\d{2}$"), F.when(zone.startswith("-"), -size).otherwise(size)).otherwise(0)
+class Directive(NamedTuple):
+    """A piece of a strftime pattern: a literal text (no code), or a code letter with its options."""
+
+    text: str
+    code: str = ""
+    digits: str = ""  # of a fraction
+    bare: bool = False  # a fraction without its point
+    colon: bool = False  # a zone with a colon
+
+
+def directives(strftime: str) -> Iterator[Directive]:
+    """The pieces of a pattern, in order.  Only f takes a minus sign, a point or digits, and only z a colon."""
+    first, *rest = strftime.split("%")
+    yield Directive(first)
+    pieces = iter(rest)
+    for piece in pieces:
+        if not piece:  # two percent signs
+            after = next(pieces, None)
+            if after is None:
+                raise ValueError(f"unknown strftime directive: % at the end of {strftime}")
+            yield Directive("%", "%")
+            yield Directive(after)
+            continue
+        lead = len(piece) - len(piece.lstrip("-.0123456789"))
+        options, code = piece[:lead], piece[lead : lead + 1]
+        if code == "f" and options.lstrip("-").lstrip(".").isdigit() | (options in ("", "-", ".", "-.")):
+            yield Directive("%" + options + code, "f", options.strip("-."), options.startswith("-"))
+            yield Directive(piece[lead + 1 :])
+        elif piece.startswith((":z", "z")):
+            yield Directive("%" + piece[: piece.index("z") + 1], "z", colon=piece[0] == ":")
+            yield Directive(piece[piece.index("z") + 1 :])
+        else:
+            yield Directive("%" + piece[0], piece[0])
+            yield Directive(piece[1:])
+
+
+def zone_form(zone: Column) -> Column:
+    """``+5:30``, ``+530`` and the like as ``+05:30``; other texts stay."""
+    two_hours = F.regexp_replace(zone, r"^([+-])(\d:?\d\d)$", "$10$2")
+    return F.regexp_replace(two_hours, r"^([+-]\d\d):?(\d\d)$", "$1:$2")
+
+
+def zone_minutes(zone: Column) -> Column:
+    """Minutes of a zone at a text's end: a sign, one or two digits of hours, two of minutes, a colon or none; 0 for Z and for none."""
+    own = F.regexp_replace(zone, r"[^0-9+-]", "")
+    size = F.regexp_extract(own, r"(\d+)\d\d$", 1).try_cast("int") * 60 + F.right(own, F.lit(2)).try_cast("int")
+    return F.coalesce(F.when(own.startswith("-"), -size).otherwise(size), F.lit(0))
 
 
 def format_ts(ts: Column, strftime: str, fraction: Column | None = None, zone: Column | None = None) -> Column:
@@ -152,33 +195,31 @@ def format_ts(ts: Column, strftime: str, fraction: Column | None = None, zone: C
     fraction = F.lit("") if fraction is None else F.coalesce(fraction, F.lit(""))
     zone = F.lit("") if zone is None else F.coalesce(zone, F.lit(""))
     offset = F.when(zone.rlike(r"^[+-]\d{2}:\d{2}$"), zone).otherwise("+00:00")
-    first = next((m for m in _DIRECTIVE.finditer(strftime) if m["digits"] is not None), None)
-    if first is not None and first["digits"]:
-        digits = int(first["digits"])
-        rounded = F.format_string(f"%.{digits}f", F.concat(F.lit("0"), fraction).try_cast("double"))
-        ts = F.when((fraction != "") & rounded.startswith("1"), shift_seconds(ts, 1)).otherwise(ts)
-        fraction = F.when(fraction == "", F.lit("." + "0" * digits if digits else "")).otherwise(F.substring(rounded, 2, digits + 1))
-    parts, at = [], 0
-    for m in _DIRECTIVE.finditer(strftime):
-        parts.append(F.lit(strftime[at : m.start()]))
-        code, at = m[0], m.end()
-        if m["digits"] is not None:
-            parts.append(F.regexp_replace(fraction, r"^\.", "") if first["bare"] else fraction)
-        elif m["zone"]:
-            parts.append(offset if m["zone"] == ":z" else F.replace(offset, F.lit(":"), F.lit("")))
-        elif code == "%s":
-            parts.append((ts_to_epoch(ts) - 60 * _zone_minutes(offset)).cast("string"))
-        elif code == "%e":
-            parts.append(F.lpad(F.dayofmonth(ts).cast("string"), 2, " "))
-        elif code in ("%u", "%w"):
-            parts.append((F.weekday(ts) + 1 if code == "%u" else F.dayofweek(ts) - 1).cast("string"))
-        elif code in ("%%", "%n", "%t"):
-            parts.append(F.lit({"%%": "%", "%n": "\n", "%t": "\t"}[code]))
-        elif code in STRFTIME:
-            parts.append(F.date_format(ts, STRFTIME[code]))
+    pieces = list(directives(strftime))
+    digits = next((p.digits for p in pieces if p.code == "f"), "")
+    if digits:
+        rounded = fixed(F.coalesce(F.concat(F.lit("0"), fraction).try_cast("double"), F.lit(0.0)), int(digits))
+        ts = shift_seconds(ts, F.regexp_extract(rounded, r"^(\d+)", 1).cast("int"))
+        fraction = F.regexp_replace(rounded, r"^\d+", "")
+    simple = {
+        "%": lambda: F.lit("%"), "n": lambda: F.lit("\n"), "t": lambda: F.lit("\t"), "e": lambda: F.lpad(F.dayofmonth(ts).cast("string"), 2, " "),
+        "u": lambda: (F.weekday(ts) + 1).cast("string"), "w": lambda: (F.dayofweek(ts) - 1).cast("string"), "s": lambda: (ts_to_epoch(ts) - 60 * zone_minutes(offset)).cast("string"),
+    }
+    parts = []
+    for p in pieces:
+        if not p.code:
+            parts.append(F.lit(p.text))
+        elif p.code == "f":
+            parts.append(F.regexp_replace(fraction, r"^\.", "") if p.bare else fraction)
+        elif p.code == "z":
+            parts.append(offset if p.colon else F.replace(offset, F.lit(":"), F.lit("")))
+        elif p.code in simple:
+            parts.append(simple[p.code]())
+        elif p.text in STRFTIME:
+            parts.append(F.date_format(ts, STRFTIME[p.text]))
         else:
-            raise ValueError(f"unknown strftime directive: {code}")
-    return F.when(ts.isNotNull(), F.concat(*parts, F.lit(strftime[at:])))
+            raise ValueError(f"unknown strftime directive: {p.text}")
+    return F.when(ts.isNotNull(), F.concat(*parts))
 
 
 def format_tolerant(text: Column, strftime: str, strict: bool = False) -> Column:
@@ -189,20 +230,50 @@ def format_tolerant(text: Column, strftime: str, strict: bool = False) -> Column
     return out if strict else F.coalesce(out, text)
 
 
-def parse_by(text: Column, strftime: str) -> Column:
-    """The time in a text of a strftime pattern (without fraction or zone), null where it is none."""
+class Parsed(NamedTuple):
+    ts: Column
+    fraction: Column  # with its point, or empty
+    zone: Column  # as +hh:mm or Z, or empty
+
+
+#: What a code matches in a text.  %n and %t match white space.
+_MATCHES = {
+    "f": r"(?:\.?\d+)?", "z": r"(?:Z|[+-]\d{1,2}:?\d{2})?", "n": r"\s+", "t": r"\s+", "%": "%", "e": r"\s*\d{1,2}", "u": r"[1-7]", "w": r"[0-6]", "Y": r"\d{4}", "j": r"\d{1,3}",
+    "b": r"[^\W\d_]+", "h": r"[^\W\d_]+", "B": r"[^\W\d_]+", "a": r"[^\W\d_]+", "A": r"[^\W\d_]+", "p": r"(?i:[ap]m)", "F": r"\d{4}-\d{1,2}-\d{1,2}", "T": r"\d{1,2}:\d{1,2}:\d{1,2}", "R": r"\d{1,2}:\d{1,2}",
+    "D": r"\d{1,2}/\d{1,2}/\d{2}",
+}
+
+
+def parse_by(text: Column, strftime: str) -> Parsed:
+    """The time in a text of a strftime pattern, with fraction and zone where it has them; null where it is none.
+
+    Weekdays as numbers (%u, %w) are read over, blanks in the text match %n and %t.
+    """
     if strftime == "%s":
-        return epoch_to_ts(text.try_cast("bigint"))
-    pattern, at = "", 0
-    for m in _DIRECTIVE.finditer(strftime + "%%"):
-        literal = strftime[at : m.start()].replace("'", "''")
-        pattern += f"'{literal}'" if literal else ""
-        if m.end() > len(strftime):
-            break
-        pattern += "'%'" if m[0] == "%%" else STRFTIME[m[0]]
-        at = m.end()
-    loose = re.sub(r"(MM|dd|HH|hh|mm|ss)(?!M)", lambda m: m[0][0], pattern)  # single digits
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in (pattern, loose)]).cast("timestamp_ntz")
+        return Parsed(epoch_to_ts(text.try_cast("bigint")), F.lit(""), F.lit(""))
+    own, form, values, marks = "^", "", [], {}
+    group = 0
+    for p in directives(strftime):
+        if not p.code:
+            own += re.escape(p.text)
+            continue
+        if p.text not in STRFTIME and p.code not in _MATCHES:
+            raise ValueError(f"unknown strftime directive: {p.text}")
+        own += f"({_MATCHES.get(p.code, r'\d{1,2}')})"
+        group += 1
+        if p.code in ("f", "z"):
+            marks[p.code] = group
+        elif p.text in STRFTIME or p.code == "e":
+            values.append(group)
+            form += STRFTIME.get(p.text, "dd") + "'\u0001'"
+    own += "$"
+    piece = lambda group: F.regexp_extract(text, own, group)
+    joined = F.concat(*[F.concat(F.trim(piece(g)), F.lit("\u0001")) for g in values]) if values else F.lit(None).cast("string")
+    loose = re.sub(r"(?<![a-zA-Z])(MM|dd|HH|hh|mm|ss|DDD)(?![a-zA-Z])", lambda m: m[0][0], form)  # single digits
+    ts = F.when(text.rlike(own), F.coalesce(*[F.try_to_timestamp(joined, F.lit(f)) for f in (form, loose)]).cast("timestamp_ntz"))
+    fraction = piece(marks["f"]) if "f" in marks else F.lit("")
+    zone = piece(marks["z"]) if "z" in marks else F.lit("")
+    return Parsed(ts, F.when(fraction == "", "").otherwise(F.concat(F.lit("."), F.regexp_replace(fraction, r"^\.", ""))), zone_form(zone))
 
 
 def written_date(text: Column, keep_zone: bool | None = None, date_only: bool = False, strftime: str | None = None, now: Column | None = None) -> Column:
@@ -213,14 +284,15 @@ def written_date(text: Column, keep_zone: bool | None = None, date_only: bool =
     ``now`` in the text is the current time.  With ``strftime`` the text must have that form.
     """
     if strftime is not None:
-        out = F.date_format(parse_by(text, strftime), "yyyy:MM:dd HH:mm:ss")
-        return F.concat(out, F.lit("Z")) if keep_zone else out
-    own = trim_all(text)
-    zone_at = r"(?i)([+-]\d{1,2}:?\d{2}) *(?:DST)?$|(Z)$"
-    zone_digits = F.regexp_replace(F.regexp_extract(own, zone_at, 1), r"\D", "")
-    zone = F.when(zone_digits != "", F.concat(F.substring(F.regexp_extract(own, zone_at, 1), 1, 1), F.lpad(F.regexp_replace(zone_digits, r"\d{2}$", ""), 2, "0"), F.lit(":"), F.regexp_extract(zone_digits, r"(\d{2})$", 1)))
-    zone = F.coalesce(zone, F.upper(F.regexp_extract(own, zone_at, 2)))
-    body = F.regexp_replace(own, zone_at, "")
+        found = parse_by(text, strftime)
+        out = F.date_format(found.ts, "yyyy:MM:dd HH:mm:ss")
+        if keep_zone is False:
+            return out
+        return F.concat(out, found.fraction, F.when(found.zone == "", "Z").otherwise(found.zone) if keep_zone else found.zone)
+    own = F.regexp_replace(trim_all(text), r"(?i)(?<=\d) *dst$", "")
+    tail = F.regexp_extract(own, r"([+-]\d{1,2}:?\d{2}|[zZ])$", 1)
+    zone = F.upper(zone_form(tail))
+    body = F.substring(own, F.lit(1), F.length(own) - F.length(tail))
     year = F.regexp_extract(body, r"(\d{4})", 1)
     rest = F.regexp_extract_all(F.regexp_extract(body, r"\d{4}(.*)$", 1), F.lit(r"(\d{1,2})"), 1)
     part = lambda i, missing="00": F.lpad(F.coalesce(F.get(rest, F.lit(i)), F.lit(missing)), 2, "0")
@@ -258,7 +330,7 @@ def human_span(seconds: Column) -> Column:
     hours, minutes, rest = F.floor(whole / 3600), F.pmod(F.floor(whole / 60), F.lit(60)), F.pmod(whole, F.lit(60))
     clock = lambda h: F.format_string("%d:%02d:%02d", h, minutes, rest)
     long = F.when(hours > 24, F.concat(F.floor(hours / 24).cast("string"), F.lit(" days "), clock(F.pmod(hours, F.lit(24))))).otherwise(clock(hours))
-    return F.when(seconds == 0, "0 s").when(size < 30, F.concat(sign, F.format_string("%.2f s", size))).otherwise(F.concat(sign, long))
+    return F.when(seconds == 0, "0 s").when(size < 30, F.concat(sign, fixed(size, 2), F.lit(" s"))).otherwise(F.concat(sign, long))
 
 
 def elapsed_text(seconds: Column) -> Column:
@@ -297,7 +369,7 @@ def gps_time(hour: Column, minute: Column, second: Column) -> Column:
     whole = F.floor(total)
     rest = total - whole
     clock = F.format_string("%02d:%02d:%02d", F.floor(whole / 3600), F.pmod(F.floor(whole / 60), F.lit(60)), F.pmod(whole, F.lit(60)))
-    return F.concat(clock, F.when(rest > 0, F.regexp_replace(F.substring(F.format_string("%.3f", rest.cast("double")), 2, 4), "0+$", "")).otherwise(""))
+    return F.concat(clock, F.when(rest > 0, F.regexp_replace(F.substring(fixed(rest, 3), 2, 4), "0+$", "")).otherwise(""))
 
 
 def shift_all(rows, shift: str):

@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 EARTH_KM = 6371.0
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number with so many decimals as C prints it: rounded by the exact value of the double, a tie to the even digit.
+
+    ``format_string`` rounds the shortest decimal form instead, and its ties up.  Digits beyond that form are zeros.
+    """
+    return F.call_function("format_number", value.cast("double"), F.lit("0." + "0" * digits if digits else "0"))
+
+
 def megapixels(width: Column, height: Column) -> Column:
     return width * height / 1_000_000
 
@@ -110,16 +118,16 @@ def human_size(size: Column, binary: bool = False) -> Column:
     step = 1024 if binary else 1000
     for i, unit in enumerate(("KiB", "MiB", "GiB") if binary else ("kB", "MB", "GB"), 1):
         scaled = value / step**i
-        shown = F.format_string(f"%.0f {unit}", scaled)
-        out = F.when(value < 2 * step**i, out).otherwise(F.when(scaled < 10, F.format_string(f"%.1f {unit}", scaled)).otherwise(shown))
+        shown = F.concat(F.when(scaled < 10, fixed(scaled, 1)).otherwise(fixed(scaled, 0)), F.lit(f" {unit}"))
+        out = F.when(value < 2 * step**i, out).otherwise(shown)
     return out
 
 
 def three_digits(value: Column) -> Column:
     """A number below 1000 with at most three significant digits and no zeros at the end."""
-    out = F.format_string("%.0f", value)
+    out = fixed(value, 0)
     for decimals, limit in ((1, 100.0), (2, 10.0), (3, 1.0), (4, 0.1), (5, 0.01), (6, 0.001)):
-        out = F.when(value < limit, F.regexp_replace(F.format_string(f"%.{decimals}f", value), r"\.?0+$", "")).otherwise(out)
+        out = F.when(value < limit, F.regexp_replace(fixed(value, decimals), r"\.?0+$", "")).otherwise(out)
     return F.when(value == 0, "0").otherwise(out)
 
 
@@ -129,7 +137,7 @@ def human_bitrate(rate: Column) -> Column:
     out = None
     for n, unit in ((1.0, "bps"), (1e3, "kbps"), (1e6, "Mbps"), (1e9, "Gbps")):
         own = value / n
-        text = F.concat(F.when(own < 100, three_digits(own)).otherwise(F.format_string("%.0f", own)), F.lit(f" {unit}"))
+        text = F.concat(F.when(own < 100, three_digits(own)).otherwise(fixed(own, 0)), F.lit(f" {unit}"))
         hit = (own < 1000) | F.lit(unit == "Gbps")
         out = F.when(hit, text) if out is None else out.when(hit, text)
     return out
@@ -139,7 +147,7 @@ def exposure_text(seconds: Column) -> Column:
     """``1/250`` for short exposures, else decimal seconds."""
     short = (seconds < 0.25001) & (seconds > 0)
     fraction = F.concat(F.lit("1/"), F.floor(0.5 + 1 / F.when(short, seconds)).cast("string"))
-    plain = F.regexp_replace(F.format_string("%.1f", seconds.cast("double")), r"\.0$", "")
+    plain = F.regexp_replace(fixed(seconds, 1), r"\.0$", "")
     return F.when(short, fraction).otherwise(plain)
 
 
@@ -191,13 +199,13 @@ def rational(value: Column, largest: int = 1000) -> Column:
 def f_number_text(value: Column) -> Column:
     """An f-number with one decimal, two below 1."""
     number = value.cast("double")
-    return F.when(number < 1, F.format_string("%.2f", number)).otherwise(F.format_string("%.1f", number))
+    return F.when(number < 1, fixed(number, 2)).otherwise(fixed(number, 1))
 
 
 def focal_length_text(focal: Column, scale: Column) -> Column:
     """``50.0 mm``, and what that is in 35 mm film where the scale is known."""
-    plain = F.format_string("%.1f mm", focal.cast("double"))
-    film = F.format_string(" (35 mm equivalent: %.1f mm)", (focal * scale).cast("double"))
+    plain = F.concat(fixed(focal, 1), F.lit(" mm"))
+    film = F.concat(F.lit(" (35 mm equivalent: "), fixed(focal * scale, 1), F.lit(" mm)"))
     return F.concat(plain, F.when(scale.isNotNull() & (scale > 0), film).otherwise(""))
 
 
@@ -209,7 +217,7 @@ def scale_from_sensor(width: Column, height: Column) -> Column:
 
 def lens_text(short: Column, long: Column, wide: Column, narrow: Column) -> Column:
     """``18-55mm f/3.5-5.6`` of focal lengths and f-numbers; one number where both are equal, ``?`` for none."""
-    plain = lambda x: F.when((x > 0), F.regexp_replace(F.format_string("%.3f", x.cast("double")), r"\.?0+$", "")).otherwise("?")
+    plain = lambda x: F.when((x > 0), F.regexp_replace(fixed(x, 3), r"\.?0+$", "")).otherwise("?")
     span = lambda a, b: F.when(b.isNull() | (a == b), plain(a)).otherwise(F.concat(plain(a), F.lit("-"), plain(b)))
     return F.concat(span(short, long), F.lit("mm f/"), span(wide, narrow))
 

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 _PART = re.compile(r"\$(?:(?P<mark>[$/])|\{(?P<braced>[^}]*)\}|(?P<name>\w+(?::\w+)*#?))")
 
 
+#: Quoted texts and names of a SQL expression, and the value's own name outside of them.
+_TOKEN = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|(?<![\w`'"])_(?![\w`'"])""", re.DOTALL)
+
+
 class Template:
     """A template for rows with a column a tag.
 
@@ -36,7 +40,7 @@ class Template:
             value = f"`{own}`"
         if each:
             return F.array_join(F.expr(f"transform({value}, _ -> {expression.strip() or '_'})"), ", ")
-        return F.expr(re.sub(r"(?<![\w`'])_(?![\w`'])", lambda _: value, expression) if expression.strip() else value)
+        return F.expr(_TOKEN.sub(lambda m: value if m[0] == "_" else m[0], expression) if expression.strip() else value)
 
     def column(self, rows: DataFrame, missing: str | None = None) -> Column:
         """The text of each row; null where a tag is missing, unless ``missing`` stands for it."""

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from albumflow.functions.text import csv_cell, describe_tag, is_number, natural_key
+from albumflow.operators.numbering import running
 
 #: Names that stand for several tags.
 SHORTCUTS = {
@@ -29,17 +30,21 @@ def override(rows: DataFrame, overrides: DataFrame, key: str, columns: list[str]
 
 
 def diff(left: DataFrame, right: DataFrame, key: list[str], value: str) -> DataFrame:
-    """key, occurrence, left_value, right_value, side where the two differ (null-safe).
+    """key, occurrence, left_value, right_value, side of what the two sides do not share (null-safe).
 
-    Repeats of a key pair up in order of value; ``side`` is ``<``, ``>`` or ``<>``.
+    A key may have several values, and a value several times: equal ones of both sides cancel first, as often as
+    both have them.  What is left of a key pairs up in order of value, and its ``occurrence`` counts from 1; ``side`` is
+    ``<``, ``>`` or ``<>``.  Counting combines before the shuffle, and keys with very many values are numbered by many tasks.
     """
-    number = lambda df, name: df.select(
-        *key, F.col(value).alias(name), F.row_number().over(Window.partitionBy(*key).orderBy(F.col(value).asc_nulls_last())).alias("occurrence"), F.lit(True).alias(f"_{name}")
-    )
-    both = number(left, "left_value").join(number(right, "right_value"), [*key, "occurrence"], "full")
-    side = F.when(F.col("_right_value").isNull(), "<").when(F.col("_left_value").isNull(), ">").otherwise("<>")
-    changed = F.col("_left_value").isNull() | F.col("_right_value").isNull() | ~F.col("left_value").eqNullSafe(F.col("right_value"))
-    return both.where(changed).select(*key, "occurrence", "left_value", "right_value", side.alias("side"))
+    signed = lambda rows, n: rows.select(*key, F.col(value).alias("_value"), F.lit(n).cast("bigint").alias("_n"))
+    counts = signed(left, 1).unionByName(signed(right, -1)).groupBy(*key, "_value").agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    surplus = counts.select(*key, "_value", F.abs("_n").alias("_n"), (F.col("_n") > 0).alias("_left"))
+    placed = running(surplus, [*key, "_left"], [F.col("_value").asc_nulls_last()], "_before", F.col("_n"))
+    each = placed.select(*key, "_value", "_left", F.explode(F.sequence(F.col("_before") + 1, F.col("_before") + F.col("_n"))).alias("occurrence"))
+    own = lambda side: F.max(F.when(side, F.struct("_value")))
+    pairs = each.groupBy(*key, "occurrence").agg(own(F.col("_left")).alias("_l"), own(~F.col("_left")).alias("_r"))
+    side = F.when(F.col("_r").isNull(), "<").when(F.col("_l").isNull(), ">").otherwise("<>")
+    return pairs.select(*key, F.col("occurrence").cast("int").alias("occurrence"), F.col("_l._value").alias("left_value"), F.col("_r._value").alias("right_value"), side.alias("side"))
 
 
 def _like(pattern: str) -> str:

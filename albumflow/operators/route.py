@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from albumflow.functions.dates import bucket, year_bucket
 from albumflow.functions.paths import kind_of, target_path
+from albumflow.operators.numbering import running
 from albumflow.schema import NO_DATE
 
 
@@ -66,9 +67,9 @@ def percent(done: Column, total: Column) -> Column:
 
 def number_in_folder(files: DataFrame) -> DataFrame:
     """files plus ``folder_number``, counted from 0 by path within each folder."""
-    return files.withColumn("folder_number", F.row_number().over(Window.partitionBy("dir").orderBy("path")) - 1)
+    return running(files, ["dir"], ["path"], "folder_number")
 
 
 def copy_numbers(routed: DataFrame) -> DataFrame:
     """routed plus ``copy_number``: 0 for the first file of a target, then 1, 2, ..."""
-    return routed.withColumn("copy_number", F.row_number().over(Window.partitionBy("target_path").orderBy("path")) - 1)
+    return running(routed, ["target_path"], ["path"], "copy_number")

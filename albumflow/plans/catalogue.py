@@ -278,6 +278,17 @@ def full_outer_diff(spark, sf_dir):
     return records.diff(old, new, ["p_partkey"], "v").select("p_partkey", "left_value", "right_value", "side")
 
 
+@query
+def diff_repeats(spark, sf_dir):
+    """Orders as records whose values repeat: some lines go, some change, some are written twice."""
+    n, v = col("l_linenumber"), (col("l_quantity") % 5).cast("int")
+    lines = views.load(spark, sf_dir, "lineitem").select("l_orderkey", n, F.when(col("l_partkey") % 23 != 0, v).alias("v"))
+    again = F.when((col("l_orderkey") + n) % 9 == 0, 2).otherwise(1)
+    new = lines.where((col("l_orderkey") * 3 + n) % 11 != 0).withColumn("v", F.when((col("l_orderkey") + n) % 7 == 0, col("v") + 1).otherwise(col("v")))
+    new = new.select("l_orderkey", "v", F.explode(F.array_repeat(F.lit(1), again)))
+    return records.diff(lines, new, ["l_orderkey"], "v")
+
+
 @query
 def natural_sort_rank(spark, sf_dir):
     from pyspark.sql import Window
@@ -670,7 +681,7 @@ def date_format_strict(spark, sf_dir):
 @query
 def date_directives(spark, sf_dir):
     full = F.concat("meta", F.lit("."), F.lpad((col("event_id") % 1000).cast("string"), 3, "0"), F.when(col("event_id") % 2 == 0, "+05:30").otherwise(""))
-    return views.media(spark, sf_dir).where(F.year("ts") == 2024).select(
+    return views.media(spark, sf_dir).select(
         "path", dates.format_tolerant(full, "%Y-%m-%dT%H:%M:%S%1f%:z").alias("iso"), dates.format_tolerant(full, "%s %-f %z%%", strict=True).alias("epoch"))
 
 

@@ -149,6 +149,17 @@ SQL = {
         FROM (SELECT p_partkey, p_brand AS v, true AS k FROM part WHERE p_partkey % 10 != 0) l
         FULL JOIN (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_brand || 'x' WHEN p_partkey % 13 = 0 THEN NULL ELSE p_brand END AS v, true AS k FROM part WHERE p_partkey % 11 != 0) r USING (p_partkey)
         WHERE l.k IS NULL OR r.k IS NULL OR l.v IS DISTINCT FROM r.v""",
+    "diff_repeats": """
+        SELECT * FROM (WITH lines AS (SELECT l_orderkey, l_linenumber AS n, CASE WHEN l_partkey % 23 <> 0 THEN (l_quantity % 5)::INT END AS v FROM lineitem),
+        changed AS (
+          SELECT l_orderkey, CASE WHEN (l_orderkey + n) % 7 = 0 THEN v + 1 ELSE v END AS v, unnest(range(CASE WHEN (l_orderkey + n) % 9 = 0 THEN 2 ELSE 1 END))
+          FROM lines WHERE (l_orderkey * 3 + n) % 11 <> 0),
+        l AS (SELECT l_orderkey, v, row_number() OVER (PARTITION BY l_orderkey, v) AS i FROM lines),
+        r AS (SELECT l_orderkey, v, row_number() OVER (PARTITION BY l_orderkey, v) AS i FROM changed),
+        gone AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY v NULLS LAST) AS occurrence FROM l WHERE NOT EXISTS (FROM r WHERE r.l_orderkey = l.l_orderkey AND r.v IS NOT DISTINCT FROM l.v AND r.i = l.i)),
+        come AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY v NULLS LAST) AS occurrence FROM r WHERE NOT EXISTS (FROM l WHERE r.l_orderkey = l.l_orderkey AND r.v IS NOT DISTINCT FROM l.v AND r.i = l.i))
+        SELECT l_orderkey, occurrence::INT AS occurrence, gone.v AS left_value, come.v AS right_value, CASE WHEN come.i IS NULL THEN '<' WHEN gone.i IS NULL THEN '>' ELSE '<>' END AS side
+        FROM gone FULL JOIN come USING (l_orderkey, occurrence))""",
     "natural_sort_rank": "SELECT path, row_number() OVER (PARTITION BY dir ORDER BY 'IMG_' || lpad(event_id::VARCHAR, 12, '0') || ext, path) AS rank FROM media",
     "dedupe_by_priority": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) = 1",
     "duplicate_tags": "SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id) - 1 AS copy_no FROM events",
@@ -259,9 +270,9 @@ SQL = {
         FROM (SELECT *, strftime(ts, '%Y:%m:%d %H:%M:00') AS minute, strftime(ts, '%Y:%m:%d %H:%M:%S') AS second FROM media)""",
     "date_format_strict": "SELECT path, strftime(dto, '%d/%m/%y') AS shown FROM parsed",
     "date_directives": """
-        SELECT path, CASE WHEN dto IS NULL THEN full_ ELSE strftime(dto + to_seconds(CASE WHEN n % 1000 >= 950 THEN 1 ELSE 0 END), '%Y-%m-%dT%H:%M:%S') || '.' || (((n % 1000) + 50) // 100 % 10) || zone END AS iso,
+        SELECT path, CASE WHEN dto IS NULL THEN full_ ELSE strftime(dto + to_seconds(left(tenths, 1)::INT), '%Y-%m-%dT%H:%M:%S') || substr(tenths, 2) || zone END AS iso,
           (epoch(dto)::BIGINT - CASE WHEN n % 2 = 0 THEN 19800 ELSE 0 END) || ' ' || lpad((n % 1000)::VARCHAR, 3, '0') || ' ' || replace(zone, ':', '') || '%' AS epoch
-        FROM (SELECT *, event_id AS n, CASE WHEN event_id % 2 = 0 THEN '+05:30' ELSE '+00:00' END AS zone, meta || '.' || lpad((event_id % 1000)::VARCHAR, 3, '0') || CASE WHEN event_id % 2 = 0 THEN '+05:30' ELSE '' END AS full_ FROM parsed)""",
+        FROM (SELECT *, event_id AS n, printf('%.1f', (event_id % 1000) / 1000.0::DOUBLE) AS tenths, CASE WHEN event_id % 2 = 0 THEN '+05:30' ELSE '+00:00' END AS zone, meta || '.' || lpad((event_id % 1000)::VARCHAR, 3, '0') || CASE WHEN event_id % 2 = 0 THEN '+05:30' ELSE '' END AS full_ FROM parsed)""",
     "xmp_dates": "SELECT path, CASE event_id % 4 WHEN 2 THEN CASE WHEN meta = 'n/a' THEN 'bad format' END WHEN 3 THEN 'bad date' END AS problem FROM media",
     "lens_texts": """
         SELECT p_partkey, CASE WHEN f * 0.31 < 1 THEN printf('%.2f', f * 0.31) ELSE printf('%.1f', f * 0.31) END AS f_number, printf('%.1f mm (35 mm equivalent: %.1f mm)', focal, focal + 20) AS focal,

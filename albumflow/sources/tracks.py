@@ -100,18 +100,32 @@ def read_timeline(spark: SparkSession, path: str) -> DataFrame:
     return _fixes(rows, F.col("file"), t, lat=F.get(place, F.lit(0)).try_cast("double"), lon=F.get(place, F.lit(1)).try_cast("double"))
 
 
-#: What the beginning of each kind of log looks like.
-KINDS = {
-    "tcx": r"<TrainingCenterDatabase", "kml": r"<kml|<Placemark", "gpx": r"<gpx|<trkpt", "nmea": r"(?m)^.*\$([A-Z]{2}(RMC|GGA|GLL|ZDA)|PMGNTRK),", "igc": r"(?m)^(A(FLA|XSY|FIL)|HFDTE)",
-    "history": r'"(timelineObjects|placeVisit|activitySegment|latitudeE7|locations)"\s*:', "timeline": r'"(durationMinutesOffsetFromStartTime|startTime)"\s*:', "csv": r"(?i)^[^\n]*\b(lat)[^\n]*,|^[^\n]*,[^\n]*\blat",
-}
+#: NMEA sentences that carry a time, keys of JSON logs, record letters of flight recorders, and elements of XML logs.
+SENTENCES = ("RMC", "GGA", "GLL", "ZDA")
+HISTORY_KEYS = ("locations", "latitudeE7", "placeVisit", "activitySegment", "timelineObjects")
+TIMELINE_KEYS = ("startTime", "durationMinutesOffsetFromStartTime")
+RECORDERS = ("AXSY", "AFLA", "AFIL", "HFDTE")
+ELEMENTS = {"tcx": ("TrainingCenterDatabase", "Trackpoint"), "kml": ("kml", "Placemark"), "gpx": ("gpx", "trkpt")}
 
 
 def track_kind(head: Column) -> Column:
-    """Kind of a track log by its first characters; null if it is none."""
+    """Kind of a track log by its first characters; null if it is none.
+
+    XML logs have an element of their kind, JSON logs a key, sentences a dollar sign, two letters of the talker
+    and the sentence's name; other text with one of a CSV log's column names in its first line is CSV.
+    """
+    squeezed = F.regexp_replace(head, r"\s+:", ":")
+    any_of = lambda text, marks: F.greatest(*[F.contains(text, F.lit(m)) for m in marks]) if len(marks) > 1 else F.contains(text, F.lit(marks[0]))
+    first = F.lower(F.get(F.split(F.ltrim(head), "\n", 2), F.lit(0)))
+    lines = F.split(head, r"\r?\n")
+    sentence = F.exists(F.regexp_extract_all(head, F.lit(r"\$[A-Z]{2}([A-Z]{3}),"), 1), lambda x: x.isin(*SENTENCES))
+    recorder = F.exists(lines, lambda line: F.greatest(*[F.startswith(line, F.lit(r)) for r in RECORDERS]))
+    kinds = {name: any_of(head, tuple(f"<{e}" for e in names)) for name, names in ELEMENTS.items()}
+    kinds |= {"nmea": sentence, "igc": recorder, "history": any_of(squeezed, tuple(f'"{k}":' for k in HISTORY_KEYS)), "timeline": any_of(squeezed, tuple(f'"{k}":' for k in TIMELINE_KEYS))}
+    kinds["csv"] = F.exists(F.split(first, ","), lambda cell: F.trim(F.replace(cell, F.lit('"'), F.lit(""))).rlike(r"^(gps ?)?(pos)?lat")) & F.contains(first, F.lit(","))
     out = F.lit(None).cast("string")
-    for name, pattern in reversed(KINDS.items()):
-        out = F.when(head.rlike(pattern), name).otherwise(out)
+    for name, hit in reversed(kinds.items()):
+        out = F.when(hit, name).otherwise(out)
     return out
 
 

@@ -109,3 +109,59 @@ def test_round_digits(spark):
 
 def test_bits(spark):
     assert values(spark, lambda c: numbers.bits_set(c, {0: "a", 2: "c"}), [5, 2, 0], "int") == ["a, c", "[1]", "(none)"]
+
+
+@settings(deadline=None, max_examples=15, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.floats(-1e6, 1e6), st.integers(-4000, 4000).map(lambda n: n / 16), st.integers(-9999, 9999).map(lambda n: n / 1000)), min_size=1, max_size=60))
+def test_fixed_rounds_as_c_does(spark, rows):
+    rows = [float(f"{x:.15g}") for x in rows]
+    for digits in range(5):
+        assert values(spark, lambda c: numbers.fixed(c, digits), rows, "double") == [f"{x:.{digits}f}" for x in rows]
+
+
+def test_ties_of_printed_numbers(spark):
+    assert values(spark, numbers.human_bitrate, [16.25, 49.25, 2.345, 99.95, 1500.5], "double") == ["16.2 bps", "49.2 bps", "2.35 bps" if f"{2.345:.2f}" == "2.35" else "2.34 bps", "100 bps" if f"{99.95:.1f}" == "100.0" else "100 bps", "1.5 kbps"]
+    assert values(spark, numbers.human_size, [2250, 12500, 13500], "bigint") == ["2.2 kB", "12 kB", "14 kB"]
+    assert values(spark, numbers.exposure_text, [0.35, 0.25002, 2.25, 2.5], "double") == ["0.3" if f"{0.35:.1f}" == "0.3" else "0.4", "0.3", "2.2", "2.5"]
+    assert values(spark, numbers.f_number_text, [2.25, 0.125, 0.375], "double") == ["2.2", "0.12", "0.38"]
+
+
+def test_letters(spark):
+    def by_hand(n):
+        out = ""
+        while n >= 0:
+            out, n = chr(97 + n % 26) + out, n // 26 - 1
+        return out
+
+    rows = [0, 25, 26, 27, 701, 702, 18277, 18278, 10**6, 10**9, 10**12, 10**16]
+    assert values(spark, paths.letters, rows, "bigint") == [by_hand(n) for n in rows] and values(spark, paths.letters, [-1], "bigint") == [""]
+
+
+def test_template_pieces():
+    own = [x if isinstance(x, str) else tuple(x) for x in paths.template_pieces("a%-3.1lf%%b%d%5C%z%") if x]
+    assert own == ["a", ("f", "-", "3", ".", "1", "l"), "%", "b", ("d", "", "", "", "", ""), ("C", "", "5", "", "", ""), "%z", "%"]
+
+
+def test_directives():
+    own = [(d.text, d.code, d.digits, d.bare, d.colon) for d in dates.directives("x%Y%%z%-.3f%:z%z%fy%-d") if d.text]
+    assert own[:3] == [("x", "", "", False, False), ("%Y", "Y", "", False, False), ("%", "%", "", False, False)] and own[3][0] == "z"
+    assert [(c, n, bare, colon) for _, c, n, bare, colon in own if c in "fz" and c] == [("f", "3", True, False), ("z", "", False, True), ("z", "", False, False), ("f", "", False, False)]
+    assert own[-2:] == [("%-", "-", "", False, False), ("d", "", "", False, False)]
+
+
+@pytest.mark.parametrize(
+    "strftime, text, want",
+    [
+        ("%Y-%m-%d %H:%M:%S%f%z", "2024-02-29 1:02:03.25+0530", "2024:02:29 01:02:03.25+05:30"), ("%Y-%m-%d %H:%M:%S%f%z", "2024-02-29 01:02:03", "2024:02:29 01:02:03"),
+        ("%Y%m%d", "20240229", "2024:02:29 00:00:00"), ("%e %b %Y", " 5 Mar 2024", "2024:03:05 00:00:00"), ("%u %Y/%m/%d", "4 2024/02/29", "2024:02:29 00:00:00"), ("%Y%n%j", "2024  60", "2024:02:29 00:00:00"),
+        ("%Y.%m", "2024x02", None), ("%s", "86400", "1970:01:02 00:00:00"), ("%d.%m.%Y %%", "1.2.2024 %", "2024:02:01 00:00:00"), ("%I:%M %p %F", "01:05 PM 2024-02-29", "2024:02:29 13:05:00"), ("%Y%m%dT%H%M%S%z", "20240229T010203Z", "2024:02:29 01:02:03Z"),
+    ],
+)
+def test_written_dates_of_a_form(spark, strftime, text, want):
+    assert values(spark, lambda c: dates.written_date(c, strftime=strftime), [text]) == [want]
+
+
+def test_unknown_directives_are_errors(spark):
+    for bad in ("%Q", "%Y%_", "%"):
+        with pytest.raises(ValueError, match="directive"):
+            dates.parse_by(F.col("x"), bad)

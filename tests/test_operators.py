@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from albumflow.operators import asof, nearest, records, route
+from albumflow.operators import asof, nearest, numbering, records, route
 from albumflow.operators.sidecar_join import match
 from albumflow.plans.pipeline import Config, run
 
@@ -139,6 +139,49 @@ def test_diff_pairs_repeats(spark):
     assert got == {("a", "2", None, "<"), ("c", "3", "4", "<>"), ("d", None, None, ">")}
 
 
+def diff_by_hand(left, right):
+    out = []
+    for key in {k for k, _ in left + right}:
+        a, b = ([v for k, v in side if k == key] for side in (left, right))
+        for v in list(a):
+            if v in b:
+                a.remove(v)
+                b.remove(v)
+        order = lambda v: (v is None, v or "")
+        a, b = sorted(a, key=order), sorted(b, key=order)
+        for i in range(max(len(a), len(b))):
+            side = "<" if i >= len(b) else ">" if i >= len(a) else "<>"
+            out.append((key, i + 1, a[i] if i < len(a) else None, b[i] if i < len(b) else None, side))
+    return sorted(out, key=str)
+
+
+PAIRS = st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.sampled_from(["1", "2", "3", None])), max_size=14)
+
+
+@settings(deadline=None, max_examples=20, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(PAIRS, PAIRS)
+def test_diff_is_a_difference_of_multisets(spark, left, right):
+    frames = (spark.createDataFrame(side, "k string, v string") for side in (left, right))
+    assert sorted(map(tuple, records.diff(*frames, ["k"], "v").collect()), key=str) == diff_by_hand(left, right)
+
+
+def test_one_missing_repeat_is_one_difference(spark):
+    left = spark.createDataFrame([("k", v) for v in "abc"], "k string, v string")
+    assert [tuple(r) for r in records.diff(left, left.where("v <> 'a'"), ["k"], "v").collect()] == [("k", 1, "a", None, "<")]
+
+
+def test_running_numbers_of_a_large_group(spark):
+    """A group that holds most rows spans many tasks and is numbered whole; null is a group too."""
+    rows = spark.range(4000).select(F.when(F.col("id") % 8 == 1, None).when(F.col("id") % 8 == 2, "small").otherwise("large").alias("g"), F.col("id").alias("x"), (F.col("id") % 3).alias("n"))
+    got = numbering.running(rows, ["g"], ["x"], "number").collect()
+    for group in (None, "small", "large"):
+        own = sorted((r.x, r.number) for r in got if r.g == group)
+        assert [n for _, n in own] == list(range(len(own)))
+    sums = numbering.running(rows, ["g"], [F.col("x").desc()], "before", F.col("n")).collect()
+    own = sorted(((r.x, r.n, r.before) for r in sums if r.g == "large"), reverse=True)
+    assert [b for *_, b in own] == [sum(n for _, n, _ in own[:i]) for i in range(len(own))]
+
+
 def test_wide_report_drops_no_tags(spark):
     rows = spark.range(10_001).select(F.lit("a").alias("k"), F.format_string("t%05d", "id").alias("tag"), F.lit("v").alias("v"))
     with pytest.raises(ValueError, match="long form"):
