@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from albumflow.llm.kernels import MARKS, U64, split_words, table, text_slices, word_hashes
 from albumflow.llm.page_blocks import Block, Element, page_blocks
-from albumflow.llm.shared import arrow_schema
+from albumflow.llm.shared import arrow_schema, sample
 
 SAMPLE = 300  # pages that the network learns from, at most
 LAYOUTS = 4  # invented layouts of each
@@ -366,10 +366,10 @@ def fit(pages: list[list[Block]], labels: list[list[bool]], seed: int = 7) -> Mo
     return m
 
 
-def _trained_on(sample: list[str], seed: int) -> tuple[list[list[Block]], list[list[bool]]]:
+def _trained_on(htmls: list[str], seed: int) -> tuple[list[list[Block]], list[list[bool]]]:
     rng = random.Random(seed)
     pages, labels = [], []
-    for html in sample:
+    for html in htmls:
         blocks = page_blocks(html)[:LONGEST]
         own = landmark_labels(blocks)
         if own is not None:
@@ -389,8 +389,7 @@ def _trained_on(sample: list[str], seed: int) -> tuple[list[list[Block]], list[l
 
 def train(pages: DataFrame, seed: int = 7) -> Model:
     """A model of at most ``SAMPLE`` pages (those of the smallest hashes of page_id)."""
-    key = F.xxhash64("page_id", "html")
-    rows = pages.where("html is not null").select(key.alias("key"), F.col("html").alias("html")).orderBy("key").limit(SAMPLE).collect()
+    rows = sample(pages.where("html is not null").select("page_id", "html"), SAMPLE, "page_id").collect()
     return fit(*_trained_on([r.html for r in rows], seed), seed)
 
 

@@ -77,14 +77,14 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sample(df: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` rows with the smallest hash of doc_id.
+def sample(df: DataFrame, limit: int, id_column: str = "doc_id") -> DataFrame:
+    """The ``limit`` rows with the smallest hash of an id.
 
     With many more rows than that, rows with a large hash are left out before the sort, so
-    that no task sorts or gathers more than a small multiple of ``limit`` rows.
+    that no task sorts or gathers more than a small multiple of ``limit`` rows, and the driver no more than that.
     """
-    key = F.xxhash64("doc_id")
+    key = F.xxhash64(id_column)
     count = df.count()
     if count > 4 * limit:
         df = df.where(key < int(2**64 * 2 * limit / count) - 2**63)
-    return df.orderBy(key, "doc_id").limit(limit)
+    return df.orderBy(key, id_column).limit(limit)
