@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from albumflow.functions import dates, numbers, paths, text
 from albumflow.functions.template import Template
 from albumflow.operators import asof, edits, nearest, records, resolve_date, route, sidecar_join
+from albumflow.operators import lenses as lenses_of
 from albumflow.plans import pipeline, views
+from albumflow.sources import records as read_records
+from albumflow.sources import tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, Query] = {}
@@ -278,6 +281,11 @@ def full_outer_diff(spark, sf_dir):
     return records.diff(old, new, ["p_partkey"], "v").select("p_partkey", "left_value", "right_value", "side")
 
 
+@query
+def sentence_fixes(spark, sf_dir):
+    return tracks.nmea_fixes(views.sentences(spark, sf_dir)).select("device", "t", *[F.round(c, 6).alias(c) for c in tracks.COLUMNS])
+
+
 @query
 def diff_repeats(spark, sf_dir):
     """Orders as records whose values repeat: some lines go, some change, some are written twice."""
@@ -341,9 +349,49 @@ def list_join_distinct(spark, sf_dir):
 
 @query
 def json_flatten(spark, sf_dir):
-    e = views.load(spark, sf_dir, "events")
-    pairs = F.explode(F.from_json("props", "map<string,string>")).alias("k", "v")
-    return e.select("event_id", pairs).select("event_id", F.initcap("k").alias("tag"), col("v").alias("value"))
+    return read_records.flatten_json(views.load(spark, sf_dir, "events"), "props", ["event_id"]).select("event_id", "tag", "value")
+
+
+@query
+def json_flatten_deep(spark, sf_dir):
+    """Objects in lists in objects, some deeper than others, some no JSON."""
+    n, text = col("event_id"), lambda c: F.to_json(F.struct(c.alias("x")))
+    body = F.concat(
+        F.lit('{"own":'), col("props"), F.lit(',"user":{"id":'), col("user_id").cast("string"), F.lit(',"seen":['), F.to_json(F.struct(col("event_type").alias("kind"))), F.lit(",true,null,"), n.cast("string"),
+        F.when(n % 3 == 0, F.concat(F.lit(',{"deep":{"er":['), text(n % 7), F.lit(","), text(n % 5), F.lit("]}}"))).otherwise(""), F.lit(']},"none":{},"empty":[]}'))
+    rows = views.load(spark, sf_dir, "events").select("event_id", F.when(n % 50 == 7, "{broken").otherwise(body).alias("body"))
+    return read_records.flatten_json(rows, "body", ["event_id"])
+
+
+@query
+def lens_matches(spark, sf_dir):
+    """Every part as a lens, of 50 types, and every line as a photo."""
+    k = col("p_partkey")
+    short, spread = k % 9 * 10 + 18, k % 4 * 30
+    wide, more = (k % 5 + 14) / 5, k % 3
+    span = lambda a, b: F.concat(a.cast("string"), F.when(b > a, F.concat(F.lit("-"), b.cast("string"))).otherwise(""))
+    name = F.concat(F.lit("No. "), k.cast("string"), F.lit(" "), span(short, short + spread), F.lit("mm F"), span(wide, wide + more))
+    lenses = views.load(spark, sf_dir, "part").select((k % 50).alias("lens_type"), k.alias("place"), name.alias("name")).select("*", lenses_of.lens_ranges(col("name")).alias("r")).select("lens_type", "place", "name", "r.*")
+    lines = views.load(spark, sf_dir, "lineitem")
+    photos = lines.select(
+        "l_orderkey", "l_linenumber", (col("l_partkey") % 51).alias("lens_type"), F.when(col("l_suppkey") % 10 != 0, col("l_quantity") * 3 + 5).alias("focal"), F.when(col("l_suppkey") % 7 != 0, F.round(col("l_discount") * 30 + 2.7, 2)).alias("aperture"))
+    return lenses_of.identify(photos, lenses).select("l_orderkey", "l_linenumber", "lens")
+
+
+@query
+def shift_runs(spark, sf_dir):
+    """Every user's events move as far as a month moves the first of them."""
+    return edits.shift_runs(views.load(spark, sf_dir, "events").select("event_id", "user_id", "ts"), ["user_id"], ["ts", "event_id"], ["ts"], "+0:1:0 0:0:30")
+
+
+@query
+def shift_by_anchor(spark, sf_dir):
+    """Orders as files whose tags are dates: all move as far as 13 months before move the date of the anchor."""
+    o = views.load(spark, sf_dir, "orders").select(col("o_orderkey").alias("source_file"), col("o_orderdate").alias("d"))
+    day = lambda n: col("d") + F.make_dt_interval(F.lit(n))
+    anchor = F.when(col("source_file") % 6 == 0, "Other").otherwise("CreateDate")
+    dated = F.array(*[F.struct(tag.alias("tag"), value.alias("value"), F.lit(i).alias("file_order")) for i, (tag, value) in enumerate([(F.lit("ModifyDate"), day(40)), (anchor, col("d")), (F.lit("CreateDate"), F.when(col("source_file") % 3 == 0, day(1)))])])
+    return edits.shift_by_tag(o.select("source_file", F.inline(dated)), "createdate", "-1:1:0 0")
 
 
 @query

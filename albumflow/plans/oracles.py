@@ -149,6 +149,13 @@ SQL = {
         FROM (SELECT p_partkey, p_brand AS v, true AS k FROM part WHERE p_partkey % 10 != 0) l
         FULL JOIN (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_brand || 'x' WHEN p_partkey % 13 = 0 THEN NULL ELSE p_brand END AS v, true AS k FROM part WHERE p_partkey % 11 != 0) r USING (p_partkey)
         WHERE l.k IS NULL OR r.k IS NULL OR l.v IS DISTINCT FROM r.v""",
+    "sentence_fixes": """
+        SELECT 'log' || (user_id % 5) AS device,
+          TIMESTAMP '2024-01-01' + to_minutes(n) + to_seconds(CASE WHEN NOT named AND n % 2 = 0 AND n % 3 = 0 THEN 1 ELSE 0 END) AS t,
+          n % 60 + 0.5::DOUBLE AS lat, -(n % 120 + 0.25::DOUBLE) AS lon,
+          CASE WHEN n % 3 <> 0 THEN n % 1000 + 0.5::DOUBLE ELSE 99999.0 END AS alt, CASE WHEN named THEN 18.52::DOUBLE END AS speed, CASE WHEN named THEN (n % 360)::DOUBLE END AS track,
+          CASE WHEN n % 3 <> 0 THEN 0.9 ELSE 2.5 END::DOUBLE AS hdop
+        FROM (SELECT user_id, event_id::INT AS n, event_id % 5 <> 0 OR event_id < 200 AS named FROM events)""",
     "diff_repeats": """
         SELECT * FROM (WITH lines AS (SELECT l_orderkey, l_linenumber AS n, CASE WHEN l_partkey % 23 <> 0 THEN (l_quantity % 5)::INT END AS v FROM lineitem),
         changed AS (
@@ -173,6 +180,41 @@ SQL = {
     "list_join_distinct": """
         SELECT user_id, array_to_string(l, ', ') AS types, l[2] AS second FROM (SELECT user_id, list_sort(list(DISTINCT event_type)) AS l FROM events GROUP BY user_id)""",
     "json_flatten": "SELECT event_id, upper(k[1:1]) || k[2:] AS tag, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)",
+    "json_flatten_deep": """
+        SELECT event_id, tag, place::INT AS place, value FROM (
+          SELECT event_id, 'Own' || upper(k[1:1]) || k[2:] AS tag, 0 AS place, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)
+          UNION ALL SELECT event_id, 'UserId', 0, user_id::VARCHAR FROM events UNION ALL SELECT event_id, 'UserSeenKind', 0, event_type FROM events
+          UNION ALL SELECT event_id, 'UserSeen', 0, 'true' FROM events UNION ALL SELECT event_id, 'UserSeen', 1, event_id::VARCHAR FROM events
+          UNION ALL SELECT event_id, 'UserSeenDeepErX', 0, (event_id % 7)::VARCHAR FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 'UserSeenDeepErX', 1, (event_id % 5)::VARCHAR FROM events WHERE event_id % 3 = 0)
+        WHERE event_id % 50 <> 7""",
+    "lens_matches": """
+        SELECT * FROM (WITH lenses AS (
+          SELECT k % 50 AS lens_type, k AS place, short, short + spread AS long, wide, wide + more AS narrow,
+            'No. ' || k || ' ' || short || CASE WHEN spread > 0 THEN '-' || (short + spread) ELSE '' END || 'mm F' || wide::VARCHAR || CASE WHEN more > 0 THEN '-' || (wide + more)::VARCHAR ELSE '' END AS name
+          FROM (SELECT p_partkey AS k, p_partkey % 9 * 10 + 18 AS short, p_partkey % 4 * 30 AS spread, (p_partkey % 5 + 14) / 5 AS wide, (p_partkey % 3)::DOUBLE AS more FROM part)),
+        photos AS (
+          SELECT l_orderkey, l_linenumber, l_partkey % 51 AS lens_type, CASE WHEN l_suppkey % 10 <> 0 THEN l_quantity * 3 + 5 END AS focal, CASE WHEN l_suppkey % 7 <> 0 THEN round(l_discount * 30 + 2.7, 2) END AS aperture FROM lineitem),
+        combos AS (SELECT DISTINCT lens_type, focal, aperture FROM photos),
+        met AS (
+          SELECT c.lens_type, focal, aperture, place, name,
+            coalesce(round(abs(aperture - CASE WHEN short = long OR wide = narrow OR focal IS NULL OR focal <= short THEN wide WHEN focal >= long THEN narrow
+              ELSE exp(ln(wide) + (ln(narrow) - ln(wide)) / (ln(long) - ln(short)) * (ln(focal) - ln(short))) END), 6), 0) AS off
+          FROM combos c JOIN lenses l ON c.lens_type = l.lens_type AND coalesce(focal BETWEEN short - 0.5 AND long + 0.5, true) AND coalesce(aperture BETWEEN wide - 0.15::DOUBLE AND narrow + 0.15::DOUBLE, true)),
+        found AS (
+          SELECT lens_type, focal, aperture, string_agg(name, ' or ' ORDER BY place) AS lens
+          FROM (SELECT *, min(off) OVER (PARTITION BY lens_type, focal, aperture) AS least FROM met) WHERE round(off - least, 6) <= 0.15 GROUP BY ALL),
+        firsts AS (SELECT lens_type, arg_min(name, place) AS first FROM lenses GROUP BY lens_type)
+        SELECT l_orderkey, l_linenumber, coalesce(lens, first) AS lens
+        FROM photos p LEFT JOIN found f ON p.lens_type = f.lens_type AND p.focal IS NOT DISTINCT FROM f.focal AND p.aperture IS NOT DISTINCT FROM f.aperture LEFT JOIN firsts s ON p.lens_type = s.lens_type)""",
+    "shift_runs": """
+        SELECT event_id, user_id, ts + (date_trunc('month', first) + INTERVAL 1 MONTH + (first - date_trunc('month', first)) + INTERVAL 30 SECOND - first) AS ts
+        FROM (SELECT event_id, user_id, ts, min(ts) OVER (PARTITION BY user_id) AS first FROM events)""",
+    "shift_by_anchor": """
+        SELECT source_file, tag, value + coalesce(date_trunc('month', first) - INTERVAL 13 MONTH + (first - date_trunc('month', first)) - first, INTERVAL 0 DAY) AS value, file_order
+        FROM (SELECT *, arg_min(value, file_order) FILTER (tag = 'CreateDate' AND value IS NOT NULL) OVER (PARTITION BY source_file) AS first FROM (
+          SELECT o_orderkey AS source_file, 'ModifyDate' AS tag, o_orderdate + INTERVAL 40 DAY AS value, 0 AS file_order FROM orders
+          UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'Other' ELSE 'CreateDate' END, o_orderdate, 1 FROM orders
+          UNION ALL SELECT o_orderkey, 'CreateDate', CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 1 DAY END, 2 FROM orders))""",
     "struct_json": """SELECT o_orderkey, '{"status":"' || o_orderstatus || '","customer":' || o_custkey || '}' AS body FROM orders""",
     "date_shift_overflow": f"""SELECT o_orderkey, {_shift("13", "+ to_seconds(19800)")} AS later, {_shift("-2", "- to_days(3)")} AS earlier FROM orders""",
     "date_shift_seconds": "SELECT o_orderkey, o_orderdate + to_seconds((o_orderkey % 100000)) AS shifted FROM orders",

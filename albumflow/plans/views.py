@@ -71,3 +71,26 @@ def contested(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", "dir", n.cast("string"), name)
     rows = rows.select(path.alias("path"), name.alias("name"), "ext", F.col("ts").alias("capture_ts"), (n % 11 == 0).alias("no_date"))
     return route(rows)
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, place, value: logs of NMEA sentences, one fix an event and a minute.
+
+    RMC sentences (with the day) are missing from every fifth fix from the 200th on, ZDA sentences (with it too) from every second of those.
+    """
+    e = load(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 5).alias("log"))
+    n = F.col("event_id")
+    t = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=n)
+    named = (n % 5 != 0) | (n < 200)
+    clock = F.date_format(t, "HHmmss")
+    later = lambda s: F.date_format(t + F.make_dt_interval(secs=F.lit(s)), "HHmmss")
+    lat, lon = F.format_string("%02d30.000,N", n % 60), F.format_string("%03d15.000,W", n % 120)
+    lines = [
+        F.when(named, F.format_string("$GPRMC,%s,A,%s,%s,10.0,%d.0,%s,,*00", clock, lat, lon, n % 360, F.date_format(t, "ddMMyy"))),
+        F.when(~named & (n % 2 == 1), F.format_string("$GPZDA,%s,%s,00,00*00", clock, F.date_format(t, "dd,MM,yyyy"))),
+        F.when(n % 3 != 0, F.format_string("$GPGGA,%s,%s,%s,1,08,0.9,%d.5,M,,M,,*00", clock, lat, lon, n % 1000)),
+        F.when(n % 3 == 0, F.format_string("$GPGLL,%s,%s,%s,A*00", lat, lon, later(1))),
+        F.format_string("$GPGGA,%s,%s,%s,1,08,2.5,99999.0,M,,M,,*00", later(2), lat, lon),
+        F.format_string("$GPGLL,0000.000,N,00000.000,E,%s,V*00", later(3)),
+    ]
+    return e.select(F.concat(F.lit("log"), "log").alias("file"), "event_id", F.posexplode(F.array(*lines)).alias("at", "value")).select("file", F.struct("event_id", "at").alias("place"), "value").where("value is not null")

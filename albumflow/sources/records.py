@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from albumflow.functions.text import php_array
+from albumflow.operators.numbering import running, saved
 from albumflow.schema import PLACES
 
 KEY = "SourceFile"
@@ -48,6 +51,40 @@ def flatten(rows: DataFrame) -> DataFrame:
     return rows.select(*[c for f in rows.schema.fields for c in columns(F.col(f"`{f.name}`"), f.name, f.dataType)])
 
 
+#: Levels of nesting that ``flatten_json`` follows.
+DEEPEST = 64
+
+
+def flatten_json(rows: DataFrame, body: str, keep: list[str], deepest: int = DEEPEST) -> DataFrame:
+    """keep, tag, place, value of every leaf of JSON texts of any shape, without a schema.
+
+    A field's tag is the names on the way to it, joined, each with a capital; items of a list have their list's tag and count
+    on in order, from 0.  Values are text, as JSON writes numbers; null and empty objects and lists have no rows, as have
+    texts that are no JSON, of which a scalar alone has the tag ``Value``.  Documents are parsed once, to variants, whose levels
+    are opened one after the other until no row has another; deeper than ``deepest`` is an error.
+    """
+    column = lambda name: F.col(f"`{name}`")
+    level = rows.select(*[column(c) for c in keep], F.lit("").alias("tag"), F.array().cast("array<int>").alias("_steps"), F.try_parse_json(body).alias("_v"))
+    nested = lambda: F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)<")
+    leaves = None
+    for depth in range(deepest + 1):
+        level = saved(level.withColumn("_open", F.coalesce(nested(), F.lit(False))))
+        own = level.where(~F.col("_open")).select(*[column(c) for c in keep], F.when(F.col("tag") == "", "Value").otherwise(F.col("tag")).alias("tag"), "_steps", F.expr("try_variant_get(_v, '$', 'string')").alias("value"))
+        own = own.where("value is not null")
+        leaves = own if leaves is None else leaves.unionByName(own)
+        inner = level.where("_open")
+        if inner.isEmpty():
+            break
+        if depth == deepest:
+            raise ValueError(f"{body} is nested more than {deepest} levels deep")
+        inner.createOrReplaceTempView(view := f"_level_{uuid.uuid4().hex}")
+        opened = rows.sparkSession.sql(f"SELECT l.*, e.pos AS _pos, e.key AS _key, e.value AS _inner FROM {view} l, LATERAL variant_explode(l._v) e")
+        rows.sparkSession.catalog.dropTempView(view)
+        name = F.when(F.col("_key").isNull(), F.col("tag")).otherwise(F.concat("tag", F.upper(F.substring("_key", 1, 1)), F.substring("_key", 2, 1 << 30)))
+        level = opened.select(*[column(c) for c in keep], name.alias("tag"), F.concat("_steps", F.array("_pos")).alias("_steps"), F.col("_inner").alias("_v"))
+    return running(leaves, [*keep, "tag"], ["_steps"], "place").select(*keep, "tag", F.col("place").cast("int").alias("place"), "value")
+
+
 def unpivot(rows: DataFrame, key: str = KEY) -> DataFrame:
     """key, tag, value of every cell that is not null."""
     tags = [c for c in rows.columns if c != key]

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructType
 
 from albumflow.functions.dates import epoch_to_ts, make_ts
+from albumflow.operators.numbering import carried, running, saved
 
 COLUMNS = ("lat", "lon", "alt", "speed", "track", "hdop")
 
+#: NMEA sentences that carry a time, keys of JSON logs, record letters of flight recorders, and elements of XML logs.
+SENTENCES = ("RMC", "GGA", "GLL", "ZDA")
+HISTORY_KEYS = ("locations", "latitudeE7", "placeVisit", "activitySegment", "timelineObjects")
+TIMELINE_KEYS = ("startTime", "durationMinutesOffsetFromStartTime")
+RECORDERS = ("AXSY", "AFLA", "AFIL", "HFDTE")
+ELEMENTS = {"tcx": ("TrainingCenterDatabase", "Trackpoint"), "kml": ("kml", "Placemark"), "gpx": ("gpx", "trkpt")}
+
 
 def _fixes(rows: DataFrame, device: Column, t: Column, **values: Column) -> DataFrame:
     made = [values.get(c, F.lit(None)).cast("double").alias(c) for c in COLUMNS]
@@ -52,34 +64,84 @@ def _degrees(text: Column, half: Column) -> Column:
     return F.when(half.isin("S", "W"), -size).otherwise(size)
 
 
-def read_nmea(spark: SparkSession, path: str) -> DataFrame:
-    """RMC sentences, with altitude and precision from the GGA sentences of the same time.
+#: Seconds within which sentences belong to one fix.
+TOGETHER = 10
 
-    GGA sentences have a clock and no day: they take the day of the last RMC sentence before them in
-    the file, or of the first after, and the next or last day where the clock has gone round in between.
-    The first value of a time stays.
-    """
-    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place"), F.split(F.regexp_replace("value", r"\*..\s*$", ""), ",").alias("p"))
-    part = lambda i: F.get("p", F.lit(i))
-    kind, clock, day = F.regexp_extract(part(0), r"^\$..(RMC|GGA)$", 1), part(1), part(9)
+
+def _sentences(lines: DataFrame) -> DataFrame:
+    """file, place, kind, seconds of the day, midnight and values of every valid sentence that has a time."""
+    p = F.split(F.regexp_replace(F.regexp_extract("value", r"(\$[A-Z]{5},.*)$", 1), r"\*..\s*$", ""), ",")
+    rows = lines.select("file", "place", p.alias("p")).withColumn("kind", F.substring(F.get("p", F.lit(0)), 4, 3)).where(F.col("kind").isin(*SENTENCES))
+    field = lambda **at: F.coalesce(*[F.when(F.col("kind") == kind, F.get("p", F.lit(i))) for kind, i in at.items()])
     two = lambda text, at: F.substring(text, at, 2).try_cast("int")
-    seconds = two(clock, 1) * 3600 + two(clock, 3) * 60 + two(clock, 5)
-    good = (kind == "RMC") & (part(2) == "A")
-    midnight = F.when(good, make_ts(two(day, 5) + 2000, two(day, 3), two(day, 1), F.lit(0), F.lit(0), F.lit(0)))
-    rows = rows.select("*", kind.alias("kind"), seconds.alias("seconds"), midnight.alias("midnight"), good.alias("good")).where("kind <> ''")
-    before = Window.partitionBy("file").orderBy("place")
-    dated = F.when(F.col("midnight").isNotNull(), F.struct("midnight", "seconds"))
-    coming = F.first(dated, ignorenulls=True).over(before.rowsBetween(1, Window.unboundedFollowing))
-    rows = rows.withColumn("last", F.coalesce(F.last(dated, ignorenulls=True).over(before), coming))
-    gap = F.col("seconds") - F.col("last.seconds")
+    clock = field(RMC=1, GGA=1, GLL=5, ZDA=1)
+    seconds = two(clock, 1) * 3600 + two(clock, 3) * 60 + F.substring(clock, 5, 20).try_cast("double")
+    short = field(RMC=9)
+    century = F.when(F.substring(short, 5, 2) < "70", "20").otherwise("19")
+    day = F.when(F.col("kind") == "ZDA", F.concat_ws("-", field(ZDA=4), field(ZDA=3), field(ZDA=2))).otherwise(F.concat(century, F.substring(short, 5, 2), F.lit("-"), F.substring(short, 3, 2), F.lit("-"), F.substring(short, 1, 2)))
+    midnight = day.try_cast("date").cast("timestamp_ntz")
+    valid = F.when(F.col("kind") == "ZDA", F.lit(True)).when(F.col("kind") == "GGA", field(GGA=6) != "0").otherwise(F.coalesce(field(RMC=2, GLL=6), F.lit("A")) != "V")
+    number = lambda **at: field(**at).try_cast("double")
+    out = rows.select(
+        "file", "place", "kind", seconds.alias("seconds"), midnight.alias("midnight"), valid.alias("valid"),
+        _degrees(field(RMC=3, GGA=2, GLL=1), field(RMC=4, GGA=3, GLL=2)).alias("lat"), _degrees(field(RMC=5, GGA=4, GLL=3), field(RMC=6, GGA=5, GLL=4)).alias("lon"),
+        number(GGA=9).alias("alt"), (number(RMC=7) * 1.852).alias("speed"), number(RMC=8).alias("track"), number(GGA=8).alias("hdop"),
+    )
+    out = saved(out)  # parsed once
+    whole = ((F.col("kind") == "ZDA") & F.col("midnight").isNotNull()) | (F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    return out.where(F.col("valid") & F.col("seconds").isNotNull() & whole)
+
+
+def _fix_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the fixes of each stretch (file, stretch, place and seconds come first): a sentence opens one if it is ``TOGETHER`` seconds or more after the fix began, over midnight as well."""
+    own = None
+    for batch in batches:
+        numbers, begun = [], []
+        for file, stretch, seconds in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
+            if own != (file, stretch):
+                own, number, start = (file, stretch), 0, seconds
+            elif (seconds - start) % 86_400 >= TOGETHER:
+                number, start = number + 1, seconds
+            numbers.append(number)
+            begun.append(start)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64()), pa.array(begun, pa.float64())], names=[*batch.schema.names, "number", "begun"])
+
+
+def nmea_fixes(lines: DataFrame) -> DataFrame:
+    """Fixes of NMEA lines (file, place, value), put together of RMC, GGA, GLL and ZDA sentences.
+
+    A sentence of the kind that a file begins with opens a fix, as does one ``TOGETHER`` seconds after the fix began; the
+    others add what it does not have yet.  A fix's day is that of its first sentence with one; without any it is
+    that of the last fix before that has one, or else of the first after, and the next or last day where the clock has gone
+    round in between.  Of several fixes of one time the last in the file stays.  Sentences that say they are void count for nothing.
+
+    Files are dealt to tasks by stretches, which begin at the file's own first kind, so a long log is the work of many.
+    """
+    rows = _sentences(lines)
+    first = rows.groupBy("file").agg(F.min_by("kind", "place").alias("first_kind"))
+    rows = rows.join(first, "file").withColumn("opens", (F.col("kind") == F.col("first_kind")).cast("int")).drop("first_kind", "valid")
+    rows = running(rows, ["file"], ["place"], "stretch", F.col("opens")).withColumn("stretch", F.col("stretch") + F.col("opens"))
+    rows = rows.select("file", "stretch", "place", "seconds", "midnight", *COLUMNS)
+    numbered = rows.repartition("file", "stretch").sortWithinPartitions("file", "stretch", "place").mapInArrow(_fix_numbers, StructType([*rows.schema.fields]).add("number", LongType()).add("begun", DoubleType()))
+    early = F.min_by(F.struct("midnight", "seconds"), F.when(F.col("midnight").isNotNull(), F.col("place")))
+    firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("place"))).alias(c) for c in COLUMNS]
+    fixes = numbered.groupBy("file", "stretch", "number").agg(F.min("place").alias("place"), F.first("begun").alias("begun"), early.alias("dated"), *firsts)
+    back = F.when(F.col("dated.seconds") < F.col("begun"), 1).otherwise(0)  # the day began within the fix
+    own = F.when(F.col("dated.midnight").isNotNull(), F.struct((F.col("dated.midnight") - F.make_dt_interval(back)).alias("midnight"), F.col("begun").alias("seconds")))
+    fixes = carried(fixes.withColumn("own", own), ["file"], ["place"], "last", F.col("own"))
+    start = fixes.where("own is not null").groupBy("file").agg(F.min_by("own", "place").alias("coming"))
+    fixes = fixes.join(start, "file", "left").withColumn("last", F.coalesce("last", "coming"))
+    gap = F.col("begun") - F.col("last.seconds")
     wrapped = F.when(gap < -43_200, 86_400).when(gap > 43_200, -86_400).otherwise(0)
-    t = F.col("last.midnight") + F.make_dt_interval(secs=(F.col("seconds") + wrapped).cast("decimal(18,6)"))
-    rows = rows.withColumn("t", t)
-    rmc = rows.where("good").select(
-        "file", "t", _degrees(part(3), part(4)).alias("lat"), _degrees(part(5), part(6)).alias("lon"), (part(7).try_cast("double") * 1.852).alias("speed"), part(8).try_cast("double").alias("track"))
-    first = lambda i, name: F.min_by(part(i).try_cast("double"), "place").alias(name)
-    gga = rows.where("kind = 'GGA'").groupBy("file", "t").agg(first(9, "alt"), first(8, "hdop"))
-    return _fixes(rmc.join(gga, ["file", "t"], "left"), F.col("file"), F.col("t"), **{c: F.col(c) for c in COLUMNS})
+    t = F.col("last.midnight") + F.make_dt_interval(secs=(F.col("begun") + F.when(F.col("own").isNull(), wrapped).otherwise(0)).cast("decimal(18,6)"))
+    latest = fixes.where("lat is not null").withColumn("t", t).groupBy("file", "t").agg(F.max_by(F.struct(*COLUMNS), "place").alias("fix"))
+    return _fixes(latest, F.col("file"), F.col("t"), **{c: F.col(f"fix.{c}") for c in COLUMNS})
+
+
+def read_nmea(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Fixes of NMEA logs; see ``nmea_fixes``.  Lines are in order of their file's blocks, and of their place within each."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return nmea_fixes(spark.read.text(path).select(F.input_file_name().alias("file"), place.alias("place"), "value"))
 
 
 def read_tcx(spark: SparkSession, path: str) -> DataFrame:
@@ -100,14 +162,6 @@ def read_timeline(spark: SparkSession, path: str) -> DataFrame:
     return _fixes(rows, F.col("file"), t, lat=F.get(place, F.lit(0)).try_cast("double"), lon=F.get(place, F.lit(1)).try_cast("double"))
 
 
-#: NMEA sentences that carry a time, keys of JSON logs, record letters of flight recorders, and elements of XML logs.
-SENTENCES = ("RMC", "GGA", "GLL", "ZDA")
-HISTORY_KEYS = ("locations", "latitudeE7", "placeVisit", "activitySegment", "timelineObjects")
-TIMELINE_KEYS = ("startTime", "durationMinutesOffsetFromStartTime")
-RECORDERS = ("AXSY", "AFLA", "AFIL", "HFDTE")
-ELEMENTS = {"tcx": ("TrainingCenterDatabase", "Trackpoint"), "kml": ("kml", "Placemark"), "gpx": ("gpx", "trkpt")}
-
-
 def track_kind(head: Column) -> Column:
     """Kind of a track log by its first characters; null if it is none.
 
@@ -167,4 +221,4 @@ def read_location_history(spark: SparkSession, path: str) -> DataFrame:
 
 def number_fixes(fixes: DataFrame) -> DataFrame:
     """fixes in order of time, numbered per device from 0."""
-    return fixes.withColumn("number", F.row_number().over(Window.partitionBy("device").orderBy("t")) - 1)
+    return running(fixes, ["device"], ["t"], "number")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+import random
 from datetime import datetime
 
 import pytest
@@ -7,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from albumflow.operators import asof, nearest, numbering, records, route
+from albumflow.operators import asof, edits, lenses, nearest, numbering, records, route
 from albumflow.operators.sidecar_join import match
 from albumflow.plans.pipeline import Config, run
 
@@ -259,3 +261,53 @@ def test_unknown_directives_are_an_error():
 
     with pytest.raises(ValueError, match="%Q"):
         format_tolerant(F.lit("2024"), "%Y %Q")
+
+
+def test_shift_runs(spark):
+    at = lambda *x: datetime(2024, *x)
+    rows = [("a", 1, at(1, 31, 10), None), ("a", 2, at(2, 1), at(2, 2)), ("b", 1, None, at(1, 31)), ("b", 2, at(3, 1), None), ("c", 1, None, None), (None, 1, at(5, 5), None)]
+    df = spark.createDataFrame(rows, "run string, n int, t timestamp_ntz, u timestamp_ntz").withColumn("other", F.lit("x"))
+    got = {(r.run, r.n): (r.t, r.u) for r in edits.shift_runs(df, ["run"], ["n"], ["t", "u"], "+0:1:0 0").collect()}
+    # January 31 and a month run over to March 2: 31 days
+    assert got == {("a", 1): (at(3, 2, 10), None), ("a", 2): (at(3, 3), at(3, 4)), ("b", 1): (None, at(3, 2)), ("b", 2): (at(4, 1), None), ("c", 1): (None, None), (None, 1): (at(6, 5), None)}
+    anchored = edits.shift_runs(df, ["run"], ["n"], ["t", "u"], "-0:0:1 0", F.when(F.col("n") == 2, F.col("t")))
+    assert {(r.run, r.n): r.t for r in anchored.collect()} == {("a", 1): at(1, 30, 10), ("a", 2): at(1, 31), ("b", 1): None, ("b", 2): at(2, 29), ("c", 1): None, (None, 1): at(5, 5)}
+
+
+def test_lens_ranges(spark):
+    names = ["Canon EF 24-70mm f/2.8L", "Sigma 18-200mm F3.5-6.3 DC", "50mm f/1.8", "Tokina AT-X 11-20 mm F2.8", "No lens", None, "Zoom 70 - 300 mm f/4 - 5.6"]
+    got = [tuple(r.r) for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select("i", lenses.lens_ranges(F.col("n")).alias("r")).orderBy("i").collect()]
+    none = (None,) * 4
+    assert got == [(24, 70, 2.8, 2.8), (18, 200, 3.5, 6.3), (50, 50, 1.8, 1.8), (11, 20, 2.8, 2.8), none, none, (70, 300, 4, 5.6)]
+
+
+def test_lenses_by_hand(spark):
+    """Against all lenses of the type, one photo at a time; no join without equality in the plan."""
+    rng = random.Random(3)
+    table = []
+    for place in range(60):
+        short = rng.choice([14, 18, 24, 35, 50, 70, 100])
+        wide = rng.choice([1.4, 1.8, 2.8, 3.5, 4.0])
+        table.append((rng.randrange(4), place, f"lens {place}", float(short), float(short * rng.choice([1, 1, 2, 4])), wide, wide * rng.choice([1, 1, 1.4, 1.6])))
+    table.append((1, 99, "broken", None, None, None, None))
+    photos = [(i, rng.choice([0, 1, 2, 3, 9, None]), rng.choice([None, 14.0, 20.0, 35.0, 50.4, 85.0, 200.0, 0.0]), rng.choice([None, 1.4, 1.9, 2.8, 3.9, 5.6])) for i in range(400)]
+
+    def name(kind, focal, aperture):
+        own = [x for x in table if x[0] == kind]
+        fit = []
+        for _, place, text, short, long, wide, narrow in own:
+            if short is None or focal == 0.0 or (focal is not None and not short - 0.5 <= focal <= long + 0.5) or (aperture is not None and not wide - 0.15 <= aperture <= narrow + 0.15):
+                continue
+            want = wide if short == long or wide == narrow or focal is None or focal <= short else narrow if focal >= long else math.exp(math.log(wide) + math.log(narrow / wide) / math.log(long / short) * math.log(focal / short))
+            fit.append((round(abs(aperture - want), 6) if aperture is not None else 0.0, place, text))
+        near = [x[2] for x in sorted(fit, key=lambda x: x[1]) if round(x[0] - min(fit)[0], 6) <= 0.15]
+        return " or ".join(near) if near else own[0][2] if own else None
+
+    lens = spark.createDataFrame(table, "lens_type int, place int, name string, short double, long double, wide double, narrow double")
+    df = spark.createDataFrame(photos, "i int, lens_type int, focal double, aperture double")
+    out = lenses.identify(df, lens)
+    want = {i: name(*x) if x[1] != 0.0 else None for i, *x in photos}
+    got = {r.i: r.lens for r in out.collect()}
+    zero = {p[0] for p in photos if p[2] == 0.0}
+    assert {i: v for i, v in got.items() if i not in zero} == {i: v for i, v in want.items() if i not in zero} and any(v and " or " in v for v in got.values())
+    assert not any(x in out._jdf.queryExecution().executedPlan().toString() for x in ("CartesianProduct", "NestedLoop"))

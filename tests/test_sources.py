@@ -5,8 +5,9 @@ from __future__ import annotations
 import io
 import json
 import os
+import random
 import struct
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,7 +197,61 @@ def test_sentences_of_several_days(spark, tmp_path):
     (tmp_path / "t.nmea").write_text("\n".join(lines))
     got = [(r.t, r.alt) for r in tracks.read_nmea(spark, str(tmp_path / "t.nmea")).orderBy("t").collect()]
     day = lambda d, h, m, s: datetime(2024, 1, d, h, m, s)
-    assert got == [(day(1, 23, 59, 50), 1.0), (day(1, 23, 59, 55), 3.0), (day(2, 0, 0, 5), 2.0), (day(2, 23, 59, 50), 4.0)]
+    assert got == [(day(1, 23, 59, 50), 1.0), (day(1, 23, 59, 55), 3.0), (day(2, 0, 0, 5), None), (day(2, 23, 59, 50), 5.0)]
+
+
+def fixes_by_hand(sentences):
+    """One sentence at a time: (kind, seconds, day or None, altitude or None, speed or None)."""
+    fixes = []
+    for kind, seconds, day, alt, speed in sentences:
+        if not fixes or kind == sentences[0][0] or (seconds - fixes[-1]["begun"]) % 86400 >= 10:
+            fixes.append({"begun": seconds, "day": None})
+        fix = fixes[-1]
+        for name, value in (("alt", alt), ("speed", speed), ("lat", 1.5 if kind != "ZDA" else None)):
+            fix[name] = value if fix.get(name) is None else fix[name]
+        if fix["day"] is None and day is not None:
+            fix["day"] = day - (seconds < fix["begun"])
+    dated = [f for f in fixes if f["day"] is not None]
+    out = {}
+    for i, fix in enumerate(fixes):
+        last = next((f for f in reversed(fixes[: i + 1]) if f["day"] is not None), dated[0] if dated else None)
+        if last is None or fix["lat"] is None:
+            continue
+        gap = fix["begun"] - last["begun"]
+        turn = 0 if fix["day"] is not None else 1 if gap < -43200 else -1 if gap > 43200 else 0
+        out[datetime(2024, 1, 1) + timedelta(days=last["day"] + turn, seconds=fix["begun"])] = (fix["alt"], fix["speed"])
+    return sorted((t, *v) for t, v in out.items())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sentences_make_fixes(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    logs = {}
+    for log in range(3):
+        at, sentences = rng.randrange(80_000), []
+        for _ in range(120):
+            at += rng.choice([0, 0, 1, 1, 2, 5, 9, 10, 60, 900])
+            seconds, day = at % 86400, at // 86400
+            kind = rng.choice(["RMC", "GGA", "GGA", "GLL", "ZDA"])
+            sentences.append((kind, seconds, day if kind in ("RMC", "ZDA") else None, float(rng.randrange(99)) if kind == "GGA" else None, float(rng.randrange(99)) if kind == "RMC" else None))
+        logs[f"log{log}"] = sentences
+    rows = []
+    for log, sentences in logs.items():
+        for place, (kind, seconds, day, alt, speed) in enumerate(sentences):
+            clock = f"{seconds // 3600:02d}{seconds // 60 % 60:02d}{seconds % 60:02d}"
+            where = "0130.000,N,00230.000,W"
+            when = datetime(2024, 1, 1) + timedelta(days=day or 0)
+            line = {
+                "RMC": lambda: f"$GPRMC,{clock},A,{where},{(speed or 0) / 1.852:.9f},90.0,{when:%d%m%y},,*6A", "GGA": lambda: f"$GPGGA,{clock},{where},1,8,0.9,{alt},M,,M,,*47",
+                "GLL": lambda: f"$GPGLL,{where},{clock},A*00", "ZDA": lambda: f"$GPZDA,{clock},{when:%d,%m,%Y},00,00*00",
+            }[kind]()
+            rows.append((log, place, line))
+        rows += [(log, 1000, "$GPGSA,x"), (log, 1001, "junk"), (log, 1002, "$GPRMC,010101,V,0130.000,N,00230.000,W,1,1,010124,,*00")]
+    lines = spark.createDataFrame(rows, "file string, place int, value string").repartition(4)
+    got = {}
+    for r in tracks.nmea_fixes(lines).collect():
+        got.setdefault(r.device, []).append((r.t, r.alt, None if r.speed is None else round(r.speed, 3)))
+    assert {log: sorted(v, key=str) for log, v in got.items()} == {log: sorted(fixes_by_hand(s), key=str) for log, s in logs.items()}
 
 
 def test_hashes_and_listing_rules(spark, tree):
@@ -249,3 +304,17 @@ def test_stream(spark, tmp_path):
     done = stream.writeStream.format("memory").queryName("routed").trigger(availableNow=True).start()
     done.awaitTermination(60)
     assert {(r.path, r.kind) for r in spark.table("routed").collect()} == {("a/1.jpg", "photos"), ("a/2.mp4", "NO_DATE")}
+
+
+def test_flatten_json_of_any_shape(spark):
+    bodies = [
+        '{"a":{"b":[1,{"c":"x"},[2.50,null,true]],"d e":null},"k":87}', '[1,2,{"q":{}}]', '"s"', "{broken", None, "{}", "null", "12", '{"a":{"b":"z"},"ab":1}', '{"é":[[["deep"]]]}',
+    ]
+    rows = spark.createDataFrame([(i, b, "x") for i, b in enumerate(bodies)], "i int, body string, tag string")
+    got = sorted(tuple(r) for r in records.flatten_json(rows.select("i", "body"), "body", ["i"]).collect())
+    assert got == [
+        (0, "AB", 0, "1"), (0, "AB", 1, "2.5"), (0, "AB", 2, "true"), (0, "ABC", 0, "x"), (0, "K", 0, "87"), (1, "Value", 0, "1"), (1, "Value", 1, "2"), (2, "Value", 0, "s"), (7, "Value", 0, "12"),
+        (8, "AB", 0, "z"), (8, "Ab", 0, "1"), (9, "É", 0, "deep"),
+    ]
+    with pytest.raises(ValueError, match="nested"):
+        records.flatten_json(rows, "body", ["i"], deepest=2)
