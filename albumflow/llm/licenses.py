@@ -252,24 +252,56 @@ class Detection(NamedTuple):
     label: str
 
 
-def detect(text: str, rules: list[Rule] = RULES) -> list[Detection]:
-    """Detections in a word sequence, after priority and containment suppression."""
-    found = []
-    for rule in rules:
-        if rule.keyword in text:
-            for m in rule.pattern.finditer(text):
-                start = text.count(" ", 0, m.start())
-                found.append(Detection(start, start + m.group().count(" ") + 1, rule.priority, rule.label))
+class _Words:
+    """Number of the word that begins at a place of a text whose words are one space apart."""
+
+    def __init__(self, text: str):
+        blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 0x20)
+        self._starts = np.append(0, blanks + 1)
+
+    def __call__(self, places: list[int]) -> list[int]:
+        return np.searchsorted(self._starts, places, side="right").tolist()
+
+
+def suppress(found: list[Detection]) -> list[Detection]:
+    """Detections that lie in none of higher rank: by priority, then length, then place and label.
+
+    A tree over starts holds the farthest end of what is kept, so that each detection asks once whether
+    any that begins no later ends no earlier.
+    """
+    starts = sorted({d.start for d in found})
+    slot = {s: i + 1 for i, s in enumerate(starts)}
+    farthest = [-1] * (len(starts) + 1)
     kept: list[Detection] = []
     for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
-        if not any(k.start <= d.start and d.end <= k.end for k in kept):
-            kept.append(d)
+        at, end = slot[d.start], -1
+        while at > 0:
+            end = max(end, farthest[at])
+            at &= at - 1
+        if end >= d.end:
+            continue
+        kept.append(d)
+        at = slot[d.start]
+        while at < len(farthest):
+            farthest[at] = max(farthest[at], d.end)
+            at += at & -at
     return sorted(kept)
 
 
+def detect(text: str, rules: list[Rule] = RULES) -> list[Detection]:
+    """Detections in a word sequence, after priority and containment suppression."""
+    hits = [(m.start(), m.group().count(" ") + 1, rule) for rule in rules if rule.keyword in text for m in rule.pattern.finditer(text)]
+    if not hits:
+        return []
+    words = _Words(text)([at for at, *_ in hits])
+    return suppress([Detection(word - 1, word - 1 + size, rule.priority, rule.label) for word, (_, size, rule) in zip(words, hits, strict=True)])
+
+
 def base_places(text: str) -> list[tuple[int, str]]:
     """First word and label of every base phrase."""
-    return sorted((text.count(" ", 0, m.start()), label) for pattern, label in _BASE for m in pattern.finditer(text))
+    hits = [(m.start(), label) for pattern, label in _BASE for m in pattern.finditer(text)]
+    words = _Words(text)([at for at, _ in hits]) if hits else []
+    return sorted((word - 1, label) for word, (_, label) in zip(words, hits, strict=True))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from conftest import SCHEMA, prose
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -182,6 +185,40 @@ def test_rules_are_many_and_gated():
     assert all(any(g.decode() in r.keyword for g in licenses._GATES) for r in licenses.RULES)
 
 
+def suppressed_by_hand(found):
+    kept = []
+    for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
+        if not any(k.start <= d.start and d.end <= k.end for k in kept):
+            kept.append(d)
+    return sorted(kept)
+
+
+DETECTIONS = st.lists(st.builds(lambda start, size, priority, label: licenses.Detection(start, start + size, priority, label), st.integers(0, 30), st.integers(1, 8), st.integers(1, 4), st.sampled_from("abc")), max_size=40)
+
+
+@settings(deadline=None, max_examples=300)
+@given(DETECTIONS)
+def test_suppression_equals_comparing_all_pairs(found):
+    assert licenses.suppress(found) == suppressed_by_hand(found)
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.sampled_from("mit license apache general public gnu lesser version 2 3 0 bsd clause été 漢 \U0001f600 x or later under the terms of".split()), max_size=120))
+def test_word_numbers(words):
+    text = " ".join(words)
+    rules = [(text.count(" ", 0, m.start()), m.group().count(" "), r) for r in licenses.RULES if r.keyword in text for m in r.pattern.finditer(text)]
+    assert licenses.detect(text) == suppressed_by_hand([licenses.Detection(at, at + n + 1, r.priority, r.label) for at, n, r in rules])
+    assert licenses.base_places(text) == sorted((text.count(" ", 0, m.start()), label) for pattern, label in licenses._BASE for m in pattern.finditer(text))
+
+
+def test_many_licenses_in_one_text():
+    text = " ".join(f"mit license text number {i}" for i in range(100_000))
+    began = time.perf_counter()
+    found, base = licenses.detect(text), licenses.base_places(text)
+    assert len(base) == 100_000 and base[-1] == (499_995, "mit") and len(found) >= 100_000
+    assert time.perf_counter() - began < 10
+
+
 # Mixing.
 
 
