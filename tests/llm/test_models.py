@@ -182,6 +182,20 @@ def test_probabilities_add_up(docs):
     assert len(head.hashes) == head.distinct and share == pytest.approx(1)
 
 
+def test_driver_gets_vectors_only(docs, monkeypatch):
+    """What training sends to the driver depends on the number of classes, not on the texts or their contexts."""
+    sizes = []
+    unpacked = lm_scoring.Network.unpacked
+    monkeypatch.setattr(lm_scoring.Network, "unpacked", lambda self, data: sizes.append(len(data)) or unpacked(self, data))
+    monkeypatch.setattr(lm_scoring, "STEPS", 40)
+    for rows in (docs.where("doc_id % 4 = 0"), docs):
+        lm_scoring.train(rows, lm_scoring.head_counts(lm_scoring.count_tokens(rows)), classes=30)
+    k = 31
+    assert sizes == [2 * (2 * (k + 1) * lm_scoring.WIDTH + k * lm_scoring.WIDTH + k)] * 2 * lm_scoring.ROUNDS
+    with pytest.raises(ValueError, match="classes"):
+        lm_scoring.train(docs, lm_scoring.head_counts(lm_scoring.count_tokens(docs)), classes=5000)
+
+
 def test_context_helps_where_it_tells(spark):
     text = "the cat sat on the mat and the dog ran to the cat " * 30
     df = spark.createDataFrame([(i, text, "en", "a", 1) for i in range(12)], SCHEMA)
@@ -198,7 +212,7 @@ def test_contexts_of_all_tokens_of_all_texts(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "STEPS", 400)
     seen = {}
     fit = lm_scoring.fit
-    monkeypatch.setattr(lm_scoring, "fit", lambda codes, frequency: seen.update(codes=codes) or fit(codes, frequency))
+    monkeypatch.setattr(lm_scoring, "fit", lambda draws, frequency: seen.update(draws=draws) or fit(draws, frequency))
     model = lm_scoring.train(df, head)
     k = len(model.tokens) + 1
     want = Counter()
@@ -209,5 +223,6 @@ def test_contexts_of_all_tokens_of_all_texts(spark, monkeypatch):
     parts = lambda code: (code // (k + 1) ** 2, code // (k + 1) % (k + 1), code % (k + 1))
     assert {parts(r.code): r["count"] for r in lm_scoring.count_contexts(df, model).collect()} == want
     rate = 400 * lm_scoring.BATCH / sum(want.values())
-    drawn = Counter(map(parts, seen["codes"].tolist()))
+    drawn = Counter({parts(r.code): r.times for r in seen["draws"].collect()})
+    assert seen["draws"].rdd.getNumPartitions() == lm_scoring.SHARDS
     assert all(abs(drawn[c] - n * rate) < 1 for c, n in want.items()) and set(drawn) <= set(want)
