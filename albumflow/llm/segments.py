@@ -15,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,9 +120,11 @@ def key_filter(keys: DataFrame):
     return places or 0, keys.sparkSession.sparkContext.broadcast(built)
 
 
-def occurrences(docs: DataFrame, kind: Kind, known, name: str, ddl: str, detail: Callable, only_several: bool = False, popular=None) -> DataFrame:
+def occurrences(docs: DataFrame, kind: Kind, known, name: str, ddl: str, detail: Callable, only_several: bool = False, popular=None, documents=None, counter: Accumulator | None = None) -> DataFrame:
     """Second scan: the segments whose key is in the filter ``known``; those that are ``popular`` have a ``salt``.
 
+    With a filter of ``documents`` all texts but theirs are passed over; ``counter`` counts those that are not.
+
     ``detail(symbols, segments)`` gives a value for each segment whose key has several
     segments (column ``name`` of type ``ddl``; null for the others).
     """
@@ -130,6 +133,11 @@ def occurrences(docs: DataFrame, kind: Kind, known, name: str, ddl: str, detail:
 
     def rows(batches):
         for batch in batches:
+            if documents is not None:
+                batch = batch.filter(batch.column(0).is_valid())
+                batch = batch.filter(pa.array(documents.value(batch.column(0).to_numpy())))
+                if counter is not None:
+                    counter.add(batch.num_rows)
             for ids, symbols, s, place in scan(kind, batch):
                 here = np.flatnonzero(known.value(~s.key if only_several else s.key))
                 s = Segments(*(x[here] for x in s))

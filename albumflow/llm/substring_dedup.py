@@ -4,7 +4,8 @@ The index is a list of immutable runs in the shared folder, one a batch; once th
 ``FANOUT`` of them, they are compacted to one before the next.  A run is two tables, bucketed and sorted: the distinct segments of its
 windows, and their keys.  A new batch's run is merge-joined with each run of history bucket by bucket,
 so history is neither shuffled nor sorted again.  What has a key in common is verified on digests of whole
-windows' words.  Batches must come in rising order of doc_id: a window is judged against all documents with
+windows' words.  The texts of history are not read for that, but for the first document of each segment whose key the new batch
+meets with other content: the earliest document with a window is the first one with some segment around it.  Batches must come in rising order of doc_id: a window is judged against all documents with
 a smaller doc_id, in its batch or earlier.
 
 Edge cases: null and empty texts, and texts with fewer words than a window, lose nothing.
@@ -16,6 +17,7 @@ Other columns are not read.  An empty table gives an empty result.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 from typing import NamedTuple
 
 import numpy as np
@@ -24,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from albumflow.llm import bloom
 from albumflow.llm.kernels import digests
 from albumflow.llm.segments import CLASS, Kind, by_document, classes, covered, key_filter, object_array, occurrences, popular_segments, with_info
 from albumflow.llm.shared import arrow_map, arrow_schema, new_folder, partitions, remove_folder, saved
@@ -74,10 +77,13 @@ class FingerprintIndex:
         self.kind = Kind(True, WINDOW, GRAM)
         self.folder = new_folder(spark, "fingerprints")
         self.runs: list[Run] = []
+        self._tables: set[str] = set()
+        self.read_again = spark.sparkContext.accumulator(0)  # texts of history that verification read
 
     def _table(self, rows: DataFrame, by: list[str]) -> str:
         """Write rows as a table whose buckets are the partitions of an aggregation by the same columns."""
         name = f"fingerprints_{uuid.uuid4().hex}"
+        self._tables.add(name)
         bucketed = rows.write.format("parquet").bucketBy(partitions(rows), *by).sortBy(*by)
         bucketed.option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
@@ -86,10 +92,11 @@ class FingerprintIndex:
         name = self._table(segments, CLASS)
         return Run(name, self._table(_keys(self.spark.table(name)), ["key"]))
 
-    def _delete(self, run: Run) -> None:
-        for name in run:
+    def _delete(self, names: Iterable[str]) -> None:
+        for name in list(names):
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             remove_folder(self.spark, f"{self.folder}/{name}")
+            self._tables.discard(name)
 
     def compact(self) -> None:
         """Merge all runs into one."""
@@ -132,7 +139,8 @@ class FingerprintIndex:
         mine = mine.select("key", "hash", "doc_id", ends.alias("from"), (ends + WINDOW).alias("to"))
         seen = mine.select("key", "hash", "doc_id")
         if history is not None and self.runs:
-            old = occurrences(history, self.kind, known, "hashes", "array<binary>", _window_digests, only_several=True)
+            first = self._first_documents(known, keys)
+            old = occurrences(history, self.kind, known, "hashes", "array<binary>", _window_digests, only_several=True, documents=first, counter=self.read_again)
             old = old.join(keys.where("kinds > 1"), "key", "left_semi")
             seen = seen.unionByName(old.select("key", F.explode("hashes").alias("hash"), "doc_id"))
         firsts = seen.groupBy("key", "hash").agg(F.min("doc_id").alias("least"))
@@ -141,10 +149,24 @@ class FingerprintIndex:
         self.runs.append(run)
         return spans
 
+    def _first_documents(self, known, keys: DataFrame):
+        """A filter of the first documents of history's segments whose key has several; broadcast."""
+        schema = arrow_schema("key bigint, doc_id bigint")
+
+        def possible(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(known.value(~batch.column(0).to_numpy()))).columns, schema=schema)
+
+        every = None
+        for past in self.runs:
+            own = self.spark.table(past.segments).select("key", F.col("first").alias("doc_id")).mapInArrow(possible, "key bigint, doc_id bigint")
+            every = own if every is None else every.unionByName(own)
+        first = saved(every.join(keys.where("kinds > 1").select("key"), "key", "left_semi").select("doc_id").distinct())
+        return self.spark.sparkContext.broadcast(bloom.build(first, first.count()))
+
     def drop(self) -> None:
-        """Delete the index's tables."""
-        for run in self.runs:
-            self._delete(run)
+        """Delete the index's tables, those of a batch that failed as well."""
+        self._delete(self._tables)
         remove_folder(self.spark, self.folder)
 
 
@@ -188,9 +210,11 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     index = FingerprintIndex(docs.sparkSession)
     spans = None
     done: DataFrame | None = None
-    for batch in batches_of(docs, batches):
-        found = index.add(batch, done)
-        spans = found if spans is None else spans.unionByName(found)
-        done = batch if done is None else done.unionByName(batch)
-    index.drop()
+    try:
+        for batch in batches_of(docs, batches):
+            found = index.add(batch, done)
+            spans = found if spans is None else spans.unionByName(found)
+            done = batch if done is None else done.unionByName(batch)
+    finally:
+        index.drop()
     return remove_words(docs, spans)
