@@ -1,16 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed tokens over all documents give the TF-IDF weights.
-2. Benchmark passages (items, cut at ``PASSAGE`` tokens) form a TF-IDF matrix; Spark tasks
-   sketch it with random vectors, and a Nystrom step on the bounded sketch gives its
+2. Benchmark passages (items, cut at ``PASSAGE`` tokens) form a TF-IDF matrix of rows of length 1; Spark tasks
+   sketch it with random vectors, and a Nystrom step on the bounded sketch gives its leading
    singular vectors: the latent space.  It is fitted to the benchmark because those
    are the directions to be found; every window of every document is projected to it.
-   A space has about ``RANK`` passages, and all the directions that these have.
+   A space serves about ``ITEMS`` passages and is truncated to ``RANK`` directions, or half as many as it has passages.
 3. A passage of up to 8, 16, 32 or 64 tokens (``LENGTHS``) is sought in windows of three times that
    length, one such length apart, so any text of twice the length lies whole in a window.  A window is a
-   candidate if its latent product with the passage is at least the weight of the passage's lightest
-   ``COMMON`` of tokens, and ``COMMON`` of the tokens occur in it: what step 4 accepts does both.
-   Windows with too little weight on benchmark tokens for any passage are ruled out first.
+   candidate for the passages whose cosine with it in the latent space is at least ``COSINE``; nothing else chooses
+   candidates.  Windows with too little weight on benchmark tokens for any passage at all are not projected.
+   The search is approximate: what it loses against all pairs of windows and passages is measured, not ruled out.
 4. A candidate counts if the longest common subsequence with the window covers
    ``COMMON`` of the passage's tokens, and ``ANSWER`` of the weight of the passage's last quarter (its
    answer) occurs there.  So changed, missing or added words are tolerated.
@@ -40,7 +40,9 @@ from albumflow.llm.kernels import MARKS, U64, shingle_hashes, split_words, table
 from albumflow.llm.shared import arrow_schema, saved
 
 TERMS = 1 << 18
-RANK = 256
+RANK = 128
+OVER = 16  # further random vectors of the sketch
+COSINE = 0.35
 PASSAGE = 64
 LENGTHS = (8, 16, 32, 64)
 SHORTEST = 8
@@ -55,8 +57,7 @@ class Index(NamedTuple):
     weights: np.ndarray  # inverse document frequency of each term
     known: np.ndarray  # term -> row of ``basis``, or -1
     basis: np.ndarray  # (benchmark terms, rank)
-    latent: np.ndarray  # (passages, rank)
-    times: np.ndarray  # (benchmark terms, passages): how often a passage has a term
+    latent: np.ndarray  # (passages, rank), of length 1
     items: np.ndarray  # item_id of each passage
     tokens: list[np.ndarray]
 
@@ -116,22 +117,23 @@ def _tokens(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def _rows(passages: list[np.ndarray], weights: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """TF-IDF rows over the benchmark's terms."""
+    """TF-IDF rows over the benchmark's terms, of length 1."""
     out = np.zeros((len(passages), int(known.max()) + 1), dtype=np.float32)
     for row, tokens in zip(out, passages, strict=True):
         term = _terms(tokens)
         np.add.at(row, known[term], weights[term])
-    return out
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def _latent_basis(block: DataFrame, passages: list[np.ndarray], weights: np.ndarray, known: np.ndarray, seed: int = 3) -> np.ndarray:
-    """All right singular vectors of the block's TF-IDF matrix, from one distributed pass.
+def _latent_basis(block: DataFrame, count: int, weights: np.ndarray, known: np.ndarray, seed: int = 3) -> np.ndarray:
+    """The leading right singular vectors of the block's TF-IDF matrix, from one distributed pass.
 
     Each task adds up G = A'(A R) over its passages, R being random; G and R give the
-    Nystrom approximation of A'A.  What rounding leaves of a passage outside is added.
+    Nystrom approximation of A'A.
     """
-    size, rank = int(known.max()) + 1, min(len(passages), int(known.max()) + 1)
-    random = np.random.default_rng(seed).normal(size=(size, rank)).astype(np.float32)
+    rank = min(RANK, max(1, count // 2))
+    size, wide = int(known.max()) + 1, min(rank + OVER, count, int(known.max()) + 1)
+    random = np.random.default_rng(seed).normal(size=(size, wide)).astype(np.float32)
     spread = block.sparkSession.sparkContext.broadcast((weights, known, random))
     schema = arrow_schema("part int, data binary")
     step = 1024
@@ -140,40 +142,34 @@ def _latent_basis(block: DataFrame, passages: list[np.ndarray], weights: np.ndar
         weights, known, random = spread.value
         total = None
         for batch in batches:
-            if batch.num_rows:
-                rows = _rows(_tokens(batch.column(0)), weights, known)
+            for at in range(0, batch.num_rows, 64):
+                rows = _rows(_tokens(batch.column(0).slice(at, 64)), weights, known)
                 sketch = rows.T @ (rows @ random)
                 total = sketch if total is None else total + sketch
         if total is not None:
             for part, at in enumerate(range(0, size, step)):
                 yield table(schema, [part], [total[at : at + step].tobytes()])
 
-    sketch = np.zeros((size, rank), dtype=np.float64)
+    sketch = np.zeros((size, wide), dtype=np.float64)
     for row in block.select("tokens").mapInArrow(run, "part int, data binary").toLocalIterator():
         at = row.part * step
-        piece = np.frombuffer(row.data, np.float32).reshape(-1, rank)
+        piece = np.frombuffer(row.data, np.float32).reshape(-1, wide)
         sketch[at : at + len(piece)] += piece
     # A'A is about G (R'G)^-1 G'; its eigenvectors come from a thin factor of G.
     core = random.T @ sketch
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     good = values > values.max() * 1e-7
     u, s, _ = np.linalg.svd(sketch @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
-    basis = u[:, s > s.max() * 1e-4]
-    rows = _rows(passages, weights, known).astype(np.float64)
-    left = rows - (rows @ basis) @ basis.T
-    left = left[np.linalg.norm(left, axis=1) > 1e-3 * np.linalg.norm(rows, axis=1)]
-    return np.hstack([basis, np.linalg.qr(left.T)[0]]).astype(np.float32)
+    return u[:, s > s.max() * 1e-4][:, :rank].astype(np.float32)
 
 
 def indexes(benchmark: DataFrame, weights: np.ndarray) -> Iterator[list[Index]]:
-    """The benchmark (item_id, text) in latent spaces of about ``RANK`` passages, as many at
-    once as have about ``ITEMS``."""
+    """The benchmark (item_id, text) in latent spaces of about ``ITEMS`` passages, one searched at a time."""
     rows = cut_passages(benchmark)
     rows = saved(rows.withColumn("hash", F.xxhash64("item_id", "tokens")))
     count = rows.count()
-    blocks = -(-count // min(RANK, ITEMS))
+    blocks = -(-count // ITEMS)
     numbered = rows.withColumn("block", F.pmod("hash", F.lit(max(1, blocks))))
-    group = []
     for i in range(blocks):
         block = numbered.where(F.col("block") == i).select("item_id", "tokens")
         own = block.toArrow()
@@ -182,14 +178,11 @@ def indexes(benchmark: DataFrame, weights: np.ndarray) -> Iterator[list[Index]]:
             terms = np.unique(_terms(np.concatenate(passages)))
             known = np.full(TERMS, -1, dtype=np.int32)
             known[terms] = np.arange(len(terms))
-            basis = _latent_basis(block, passages, weights, known)
-            latent = _rows(passages, weights, known) @ basis
-            times = _rows(passages, np.ones(TERMS, dtype=np.float32), known).T.copy()
+            basis = _latent_basis(block, len(passages), weights, known)
+            latent = np.vstack([_rows(passages[at : at + 64], weights, known) @ basis for at in range(0, len(passages), 64)])
+            latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
             ids = own.column("item_id").fill_null(-1).to_numpy()
-            group.append(Index(weights, known, basis, latent, times, ids, passages))
-        if group and (i + 1 == blocks or len(group) >= max(1, ITEMS // RANK)):
-            yield group
-            group = []
+            yield [Index(weights, known, basis, latent, ids, passages)]
 
 
 def _needed(length: int) -> int:
@@ -250,7 +243,6 @@ def _search(index: Index, tokens: np.ndarray, bounds: np.ndarray) -> Iterator[tu
     for p, own in enumerate(index.tokens):
         weight = np.sort(index.weights[_terms(own)].astype(np.float64) ** 2)
         least[p] = weight[: _needed(len(own))].sum()
-    norms = np.linalg.norm(index.latent, axis=1)
     count, term = len(bounds) - 1, _terms(tokens)
     number = index.known[term]
     weight = index.weights[term].astype(np.float64)
@@ -270,34 +262,36 @@ def _search(index: Index, tokens: np.ndarray, bounds: np.ndarray) -> Iterator[tu
         fewest = min(_needed(int(n)) for n in reach[passages])
         enough = least[passages].min() * (1 - 1e-6) - 1e-6
         able = np.flatnonzero((kept[end] - kept[start] >= fewest) & (inside[end] - inside[start] >= enough))
-        needed = np.array([_needed(int(n)) for n in reach[passages]])
         for i in range(0, len(able), 512):
             at = able[i : i + 512]
-            span = start[at, None] + np.arange(width)
-            used = np.minimum(span, len(term) - 1)
-            here = np.where(span < end[at, None], number[used], -1)
-            which, column = np.nonzero(here >= 0)
-            present_terms = here[which, column]
-            occurs = np.zeros(len(index.basis), dtype=bool)
-            occurs[present_terms] = True
-            terms = np.flatnonzero(occurs)
-            place_ = (np.cumsum(occurs) - 1)[present_terms]
-            present = np.zeros((len(at), len(terms)), dtype=np.float32)
-            present[which, place_] = 1
-            shared = present @ index.times[np.ix_(terms, passages)]
-            some = np.flatnonzero((shared >= needed).any(axis=1))
-            if not len(some):
-                continue
-            heavy = np.zeros(len(terms), dtype=np.float32)
-            heavy[place_] = weight[used[which, column]]
-            product = ((present[some] * heavy) @ index.basis[terms]) @ index.latent[passages].T
-            long = np.linalg.norm(present[some] * heavy, axis=1)[:, None] * norms[passages]
-            chosen = (product >= least[passages] - 1e-3 * long) & (shared[some] >= needed)
-            for w, p in zip(*np.nonzero(chosen), strict=True):
-                k, passage = at[some[w]], passages[p]
+            vectors, which, cosine = _candidates(index, passages, number, weight, start[at], end[at], width)
+            for w, p, c in zip(vectors.tolist(), which.tolist(), cosine.tolist(), strict=True):
+                k, passage = at[w], passages[p]
                 common, answer = _covers(index, passage, tokens[start[k] : end[k]])
                 if common >= COMMON and answer >= ANSWER:
-                    yield int(row[k]), int(index.items[passage]), float(product[w, p] / long[w, p]), common, answer
+                    yield int(row[k]), int(index.items[passage]), c, common, answer
+
+
+def _candidates(index: Index, passages: np.ndarray, number: np.ndarray, weight: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, passages (places in ``passages``) and cosines of all pairs that are near in the latent space.
+
+    ``number`` and ``weight`` are the rows of the basis and the weights of all tokens; a window counts each of its terms once.
+    """
+    span = start[:, None] + np.arange(width)
+    used = np.minimum(span, len(number) - 1)
+    here = np.where(span < end[:, None], number[used], -1)
+    which, column = np.nonzero(here >= 0)
+    present_terms = here[which, column]
+    occurs = np.zeros(len(index.basis), dtype=bool)
+    occurs[present_terms] = True
+    terms = np.flatnonzero(occurs)
+    present = np.zeros((len(start), len(terms)), dtype=np.float32)
+    present[which, (np.cumsum(occurs) - 1)[present_terms]] = weight[used[which, column]]
+    vectors = present @ index.basis[terms]
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    cosine = vectors @ index.latent[passages].T
+    w, p = np.nonzero(cosine >= COSINE)
+    return w, p, cosine[w, p]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

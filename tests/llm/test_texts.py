@@ -8,6 +8,7 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SCHEMA, prose
 from hypothesis import given, settings
@@ -87,6 +88,63 @@ def test_verbatim_copies_of_many_items(spark):
     assert len(want) == 700 and len(want - got) == 0 and {d for d, _ in got} <= {d for d, _ in want}
 
 
+def all_windows_by_hand(index, text):
+    """Items that the rule accepts in any window of the search, every passage tried on every window."""
+    out = set()
+    for _, _, tokens, bounds in decontamination.token_slices(pa.array([text])):
+        own = tokens[bounds[0] : bounds[1]]
+        for p, passage in enumerate(index.tokens):
+            length = next(n for n in decontamination.LENGTHS if len(passage) <= n)
+            for at in range(0, max(1, len(own) - 2 * length), length):
+                common, answer = decontamination._covers(index, p, own[at : at + 3 * length])
+                if common >= decontamination.COMMON and answer >= decontamination.ANSWER:
+                    out.add(int(index.items[p]))
+    return out
+
+
+@pytest.fixture(scope="module")
+def paraphrases(spark):
+    """300 items in one truncated space, and texts with 5 to 40 of 100 words of an item replaced, dropped or moved apart."""
+    rng = random.Random(12)
+    word = lambda: f"w{int(3000 * rng.random() ** 3)}"
+    items = [(i, [word() for _ in range(rng.randint(9, 64))]) for i in range(300)]
+    texts = []
+    for _ in range(60):
+        _, own = rng.choice(items)
+        share = rng.choice([0.05, 0.15, 0.25, 0.35, 0.4])
+        body = [x for w in own for x in (([word()] if rng.random() < 0.6 else []) if rng.random() < share else [w, *([word()] if rng.random() < 0.1 else [])])]
+        texts.append(" ".join([*(word() for _ in range(rng.randint(0, 90))), *body, *(word() for _ in range(rng.randint(0, 90)))]))
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)
+    bench = spark.createDataFrame([(i, " ".join(own)) for i, own in items], BENCH)
+    (group,) = decontamination.indexes(bench, decontamination.term_weights(docs))
+    return group[0], texts
+
+
+def test_recall_against_all_windows(paraphrases):
+    index, texts = paraphrases
+    assert index.basis.shape[1] == decontamination.RANK < len(index.tokens) // 2
+    want = {(i, item) for i, text in enumerate(texts) for item in all_windows_by_hand(index, text)}
+    got = {(i, item) for i, text in enumerate(texts) for _, item, *_ in decontamination.search([index], pa.array([text]))}
+    assert got <= want and len(want) > 40 and len(got & want) >= 0.95 * len(want)
+
+
+def test_the_latent_space_chooses_the_candidates(paraphrases, monkeypatch):
+    """Candidates change with the cosine asked for, and none is left where the space is taken away."""
+    index, texts = paraphrases
+    seen = []
+    covers = decontamination._covers
+    monkeypatch.setattr(decontamination, "_covers", lambda index, p, near: seen.append(p) or covers(index, p, near))
+    counts = []
+    for cosine in (-1.0, decontamination.COSINE, 0.7):
+        monkeypatch.setattr(decontamination, "COSINE", cosine)
+        seen.clear()
+        list(decontamination.search([index], pa.array(texts)))
+        counts.append(len(seen))
+    assert counts[0] > 20 * counts[1] and counts[1] > counts[2] > 0
+    monkeypatch.undo()
+    assert not list(decontamination.search([index._replace(latent=np.zeros_like(index.latent))], pa.array(texts)))
+
+
 def test_short_items(spark):
     """Items of 1 to 7 tokens verbatim; of 8 to 64, all that the subsequence and answer rule accepts in a text of their length."""
     rng = random.Random(9)
