@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
-from albumflow.functions.dates import epoch_to_ts, make_ts
+from albumflow.functions.dates import epoch_to_ts, make_ts, zone_minutes
+from albumflow.functions.numbers import from_dms
 from albumflow.operators.numbering import carried, running, saved
 
 COLUMNS = ("lat", "lon", "alt", "speed", "track", "hdop")
@@ -34,26 +36,126 @@ def _zulu(text: Column) -> Column:
 
 def read_gpx(spark: SparkSession, path: str) -> DataFrame:
     schema = "_lat double, _lon double, ele double, time string, hdop double, speed double, course double"
-    rows = spark.read.format("xml").option("rowTag", "trkpt").schema(schema).load(path).withColumn("file", F.input_file_name())
+    rows = spark.read.format("xml").option("recursiveFileLookup", "true").option("rowTag", "trkpt").schema(schema).load(path).withColumn("file", F.input_file_name())
     return _fixes(rows, F.col("file"), _zulu(F.col("time")), lat=F.col("_lat"), lon=F.col("_lon"), alt=F.col("ele"), speed=F.col("speed"), track=F.col("course"), hdop=F.col("hdop"))
 
 
 def read_kml(spark: SparkSession, path: str) -> DataFrame:
     """Placemarks with a time stamp and a point."""
     schema = "TimeStamp struct<when:string>, Point struct<coordinates:string>"
-    rows = spark.read.format("xml").option("rowTag", "Placemark").schema(schema).load(path).withColumn("file", F.input_file_name())
+    rows = spark.read.format("xml").option("recursiveFileLookup", "true").option("rowTag", "Placemark").schema(schema).load(path).withColumn("file", F.input_file_name())
     place = F.split(F.trim("Point.coordinates"), ",")
     number = lambda i: F.get(place, F.lit(i)).try_cast("double")
     return _fixes(rows, F.col("file"), _zulu(F.col("TimeStamp.when")), lon=number(0), lat=number(1), alt=number(2))
 
 
-def read_csv_track(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV log with device, t, lat, lon and any of the other columns."""
-    rows = spark.read.csv(path, header=True)
-    have = {c.lower(): c for c in rows.columns}
-    values = {c: F.col(have[c]).try_cast("double") for c in COLUMNS if c in have}
-    device = F.col(have["device"]) if "device" in have else F.input_file_name()
-    return _fixes(rows, device, _zulu(F.col(have["t"])), **values)
+def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, place, value: the lines of text files; places rise within a file."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.option("recursiveFileLookup", "true").text(path).select(F.input_file_name().alias("file"), place.alias("place"), "value")
+
+
+def csv_cells(line: Column, separator: str) -> Column:
+    """The cells of a CSV line, quotes and the blanks around cells taken off; a quoted cell may hold separators and doubled quotes."""
+    mark = re.escape(separator)
+    cells = F.regexp_extract_all(F.concat(line, F.lit(separator)), F.lit(rf'(\s*"(?:[^"]|"")*"\s*|[^{mark}]*){mark}'), 1)
+    return F.transform(cells, lambda c: F.when(F.trim(c).rlike('(?s)^".*"$'), F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(F.trim(c)))
+
+
+#: How a column's heading begins (letter case and a leading GPS aside), and what the column is; the first that fits counts.
+HEADINGS = (
+    ("time(seconds)", "runtime"), ("time (seconds)", "runtime"), ("time(text)", ""), ("time (text)", ""), ("datetime", "datetime"), ("date time", "datetime"), ("date", "date"), ("time", "time"),
+    ("device", "device"), ("t", "datetime"), ("poslat", "lat"), ("lat", "lat"), ("poslon", "lon"), ("lon", "lon"), ("posalt", "alt"), ("posheight", "alt"), ("alt", "alt"), ("height", "alt"), ("speed", "speed"),
+    ("angleheading", "track"), ("angletrack", "track"), ("anglebearing", "track"), ("heading", "track"), ("track", "track"), ("bearing", "track"), ("hdop", "hdop"),
+)
+#: Kilometres an hour in a unit of speed (fixed values); a column without one is in knots.
+SPEEDS = {"km/h": 1.0, "kmh": 1.0, "mph": 1.609344, "m/s": 3.6}
+KNOT = 1.852
+
+
+def _role(heading: Column) -> Column:
+    """What a column is by its heading, or an empty text."""
+    own = F.regexp_replace(F.lower(heading), r"^gps ?", "")
+    out = F.lit("")
+    for start, role in reversed(HEADINGS):
+        exact = start == "t"
+        hit = own == start if exact else F.startswith(own, F.lit(start))
+        name = F.when(own.endswith("ref"), role + "ref").otherwise(role) if role in ("lat", "lon") else F.lit(role)
+        out = F.when(hit, name).otherwise(out)
+    return out
+
+
+def _csv_date(text: Column) -> Column:
+    """Midnight of a date: four digits of a year first, or last after day and month, or six digits from a year's last two."""
+    ymd = F.regexp_replace(text, r"^\D*(\d{4}).*?(\d{1,2}).*?(\d{1,2}).*$", "$1-$2-$3")
+    ymd = F.when(text.rlike(r"^\s*\d{1,2}\D\d{1,2}\D\d{4}"), F.regexp_replace(text, r"^\s*(\d{1,2})\D(\d{1,2})\D(\d{4}).*$", "$3-$2-$1")).when(
+        text.rlike(r"^\s*\d{6}\s*$"), F.regexp_replace(text, r"^\s*(\d\d)(\d\d)(\d\d)\s*$", "20$1-$2-$3")).otherwise(ymd)
+    return ymd.try_cast("date").cast("timestamp_ntz")
+
+
+def _csv_seconds(text: Column) -> Column:
+    """Seconds since midnight in UTC of a clock time with or without separators, fraction and zone."""
+    compact = F.regexp_replace(text, r"^\s*(\d\d)(\d\d)(\d\d)(?!\d)", "$1:$2:$3")
+    part = lambda i: F.regexp_extract(compact, r"^\s*(\d{1,2}):(\d\d)(?::(\d\d(?:\.\d+)?))?", i)
+    seconds = part(1).try_cast("double") * 3600 + part(2).try_cast("double") * 60 + F.coalesce(part(3).try_cast("double"), F.lit(0.0))
+    return seconds - 60 * zone_minutes(F.regexp_extract(compact, r"([+-]\d{1,2}:?\d\d)\s*$", 1))
+
+
+def csv_fixes(lines: DataFrame, separator: str = ",") -> DataFrame:
+    """Fixes of CSV logs (file, place, value), each read by its own heading line.
+
+    The heading is the first line with a latitude and a time, and tells what the columns are, in which order, and the
+    unit of speed (knots unless it says other; km/h in logs whose first column is INDEX).  Dates and times may be one column, two, or
+    seconds since a start that the file's name tells (``2024-01-02_[03-04-05]``).  Coordinates may be decimal or degrees, minutes and
+    seconds, with a direction in the text or in a column of its own.
+    """
+    cells = lines.select("file", "place", csv_cells(F.col("value"), separator).alias("cells"))
+    roles = F.transform("cells", _role)
+    has = lambda name: F.array_contains("roles", name)
+    named = cells.withColumn("roles", roles).where(has("lat") & has("lon") & (has("datetime") | has("time") | has("runtime")))
+    unit = F.get(F.filter("cells", lambda c: F.lower(c).rlike(r"^(gps ?)?speed")), F.lit(0))
+    factor = F.when(F.get("cells", F.lit(0)) == "INDEX", F.lit(1.0)).otherwise(F.lit(KNOT))
+    for name, size in SPEEDS.items():
+        factor = F.when(F.contains(F.lower(unit), F.lit(f"({name})")), size).otherwise(factor)
+    heads = named.groupBy("file").agg(F.min_by(F.struct("roles", factor.alias("speed"), "place"), "place").alias("head"))
+    rows = cells.join(heads, "file").where(F.col("place") > F.col("head.place"))
+    cell = lambda name: F.when(F.array_contains("head.roles", name), F.nullif(F.get("cells", (F.array_position("head.roles", name) - 1).cast("int")), F.lit("")))
+    number = lambda name: cell(name).try_cast("double")
+    whole = F.regexp_replace(cell("datetime"), "T", " ")
+    both = F.split(F.trim(whole), r"\s+", 2)
+    began = F.regexp_extract(F.element_at(F.split("file", "/"), -1), r"(\d{4}-\d\d-\d\d)[^/]*?(\d\d-\d\d-\d\d)", 1)
+    clock = F.regexp_extract(F.element_at(F.split("file", "/"), -1), r"\d{4}-\d\d-\d\d[^/]*?(\d\d-\d\d-\d\d)", 1)
+    day = F.coalesce(_csv_date(F.get(both, F.lit(0))), _csv_date(cell("date")), F.when(number("runtime").isNotNull(), _csv_date(began)))
+    seconds = F.coalesce(_csv_seconds(F.get(both, F.lit(1))), _csv_seconds(cell("time")), number("runtime") + _csv_seconds(F.replace(clock, F.lit("-"), F.lit(":"))))
+    degrees = lambda name, away: F.when(F.upper(F.substring(cell(f"{name}ref"), 1, 1)) == away, -F.abs(from_dms(cell(name)))).otherwise(from_dms(cell(name)))
+    values = rows.select(
+        F.coalesce(cell("device"), F.col("file")).alias("device"), day.alias("day"), seconds.alias("seconds"), degrees("lat", "S").alias("lat"), degrees("lon", "W").alias("lon"),
+        number("alt").alias("alt"), (number("speed") * F.col("head.speed")).alias("speed"), number("track").alias("track"), number("hdop").alias("hdop"),
+    )
+    t = F.col("day") + F.make_dt_interval(secs=F.col("seconds").cast("decimal(18,6)"))
+    return _fixes(values, F.col("device"), t, **{c: F.col(c) for c in COLUMNS})
+
+
+def read_csv_track(spark: SparkSession, path: str | list[str], separator: str = ",") -> DataFrame:
+    """CSV logs; see ``csv_fixes``."""
+    return csv_fixes(text_lines(spark, path), separator)
+
+
+def winplus_fixes(lines: DataFrame) -> DataFrame:
+    """Fixes of beacon logs: ``TP,D, latitude, longitude, month/day/year, clock, ...``."""
+    cells = lines.where(F.startswith("value", F.lit("TP,D,"))).select("file", csv_cells(F.col("value"), ",").alias("c"))
+    cell = lambda i: F.get("c", F.lit(i))
+    day = F.regexp_replace(cell(4), r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2").try_cast("date").cast("timestamp_ntz")
+    t = day + F.make_dt_interval(secs=_csv_seconds(cell(5)).cast("decimal(18,6)"))
+    return _fixes(cells, F.col("file"), t, lat=cell(2).try_cast("double"), lon=cell(3).try_cast("double"))
+
+
+def bramor_fixes(lines: DataFrame) -> DataFrame:
+    """Fixes of survey-drone logs: 12 columns that end in ``ypr``: number, index, latitude, longitude, altitude, track, day/month/year, clock, angles."""
+    cells = lines.select("file", F.split(F.trim("value"), r"\s+").alias("c")).where((F.size("c") == 12) & (F.get("c", F.lit(11)) == "ypr"))
+    number = lambda i: F.get("c", F.lit(i)).try_cast("double")
+    t = _csv_date(F.get("c", F.lit(6))) + F.make_dt_interval(secs=_csv_seconds(F.get("c", F.lit(7))).cast("decimal(18,6)"))
+    return _fixes(cells, F.col("file"), t, lat=number(2), lon=number(3), alt=number(4), track=number(5))
 
 
 def _degrees(text: Column, half: Column) -> Column:
@@ -139,22 +241,21 @@ def nmea_fixes(lines: DataFrame) -> DataFrame:
 
 
 def read_nmea(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Fixes of NMEA logs; see ``nmea_fixes``.  Lines are in order of their file's blocks, and of their place within each."""
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    return nmea_fixes(spark.read.text(path).select(F.input_file_name().alias("file"), place.alias("place"), "value"))
+    """Fixes of NMEA logs; see ``nmea_fixes``."""
+    return nmea_fixes(text_lines(spark, path))
 
 
 def read_tcx(spark: SparkSession, path: str) -> DataFrame:
     """Training files: track points with time, position and altitude."""
     schema = "Time string, Position struct<LatitudeDegrees:double,LongitudeDegrees:double>, AltitudeMeters double"
-    rows = spark.read.format("xml").option("rowTag", "Trackpoint").schema(schema).load(path).withColumn("file", F.input_file_name())
+    rows = spark.read.format("xml").option("recursiveFileLookup", "true").option("rowTag", "Trackpoint").schema(schema).load(path).withColumn("file", F.input_file_name())
     return _fixes(rows, F.col("file"), _zulu(F.col("Time")), lat=F.col("Position.LatitudeDegrees"), lon=F.col("Position.LongitudeDegrees"), alt=F.col("AltitudeMeters"))
 
 
 def read_timeline(spark: SparkSession, path: str) -> DataFrame:
     """The newer JSON timeline: segments with a start and points ``geo:lat,lon``, minutes after it."""
     point = "array<struct<point:string,durationMinutesOffsetFromStartTime:string>>"
-    rows = spark.read.schema(f"startTime string, timelinePath {point}").json(path, multiLine=True)
+    rows = spark.read.schema(f"startTime string, timelinePath {point}").json(path, multiLine=True, recursiveFileLookup=True)
     rows = rows.select(F.input_file_name().alias("file"), _zulu(F.col("startTime")).alias("start"), F.explode("timelinePath").alias("p"))
     place = F.split(F.regexp_replace("p.point", r"^geo:|[°\s]", ""), ",")
     minutes = F.coalesce(F.col("p.durationMinutesOffsetFromStartTime").try_cast("double"), F.lit(0.0))
@@ -170,55 +271,67 @@ def track_kind(head: Column) -> Column:
     """
     squeezed = F.regexp_replace(head, r"\s+:", ":")
     any_of = lambda text, marks: F.greatest(*[F.contains(text, F.lit(m)) for m in marks]) if len(marks) > 1 else F.contains(text, F.lit(marks[0]))
-    first = F.lower(F.get(F.split(F.ltrim(head), "\n", 2), F.lit(0)))
     lines = F.split(head, r"\r?\n")
     sentence = F.exists(F.regexp_extract_all(head, F.lit(r"\$[A-Z]{2}([A-Z]{3}),"), 1), lambda x: x.isin(*SENTENCES))
     recorder = F.exists(lines, lambda line: F.greatest(*[F.startswith(line, F.lit(r)) for r in RECORDERS]))
     kinds = {name: any_of(head, tuple(f"<{e}" for e in names)) for name, names in ELEMENTS.items()}
     kinds |= {"nmea": sentence, "igc": recorder, "history": any_of(squeezed, tuple(f'"{k}":' for k in HISTORY_KEYS)), "timeline": any_of(squeezed, tuple(f'"{k}":' for k in TIMELINE_KEYS))}
-    kinds["csv"] = F.exists(F.split(first, ","), lambda cell: F.trim(F.replace(cell, F.lit('"'), F.lit(""))).rlike(r"^(gps ?)?(pos)?lat")) & F.contains(first, F.lit(","))
+    kinds["winplus"] = F.exists(lines, lambda line: F.startswith(line, F.lit("TP,D,")))
+    kinds["bramor"] = F.exists(lines, lambda line: F.endswith(F.rtrim(line), F.lit(" ypr")))
+    kinds["csv"] = F.exists(lines, lambda line: F.exists(F.split(F.lower(line), "[,;\t]"), lambda cell: F.trim(F.replace(cell, F.lit('"'), F.lit(""))).rlike(r"^(gps ?)?(pos)?lat")))
     out = F.lit(None).cast("string")
     for name, hit in reversed(kinds.items()):
         out = F.when(hit, name).otherwise(out)
     return out
 
 
-def read_tracks(spark: SparkSession, path: str, head: int = 4096) -> DataFrame:
-    """Fixes of all logs of a folder whatever their kind, told by how each file begins.
-
-    Files of one kind are read together.  The names of all files pass the driver, as in any listing.
-    """
-    readers = {"tcx": read_tcx, "kml": read_kml, "gpx": read_gpx, "nmea": read_nmea, "igc": read_igc, "history": read_location_history, "timeline": read_timeline, "csv": read_csv_track}
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    kinds = files.select("path", track_kind(F.decode(F.substring("content", 1, head), "UTF-8")).alias("kind")).where("kind is not null")
-    out = None
-    for row in kinds.groupBy("kind").agg(F.collect_list("path").alias("paths")).orderBy("kind").collect():
-        fixes = readers[row["kind"]](spark, row["paths"])
-        out = fixes if out is None else out.unionByName(fixes)
-    return out if out is not None else spark.createDataFrame([], "device string, t timestamp_ntz, " + ", ".join(f"{c} double" for c in COLUMNS))
-
-
-def read_igc(spark: SparkSession, path: str) -> DataFrame:
-    """Flight recorder files: B records, dated by the file's HFDTE record."""
-    rows = spark.read.text(path).withColumn("file", F.input_file_name())
+def igc_fixes(lines: DataFrame) -> DataFrame:
+    """Fixes of flight recorders' lines (file, place, value): B records, dated by the file's HFDTE record."""
     day = F.regexp_extract("value", r"^HFDTE(?:DATE:)?(\d{6})", 1)
-    days = rows.where(day != "").groupBy("file").agg(F.first(day).alias("day"))
+    days = lines.where(day != "").groupBy("file").agg(F.min_by(day, "place").alias("day"))
     pattern = r"^B(\d{2})(\d{2})(\d{2})(\d{2})(\d{5})([NS])(\d{3})(\d{5})([EW])A(-?\d{4,5})"
-    fixes = rows.where(F.col("value").rlike(pattern)).join(days, "file")
+    fixes = lines.where(F.col("value").rlike(pattern)).join(days, "file")
     part = lambda i: F.regexp_extract("value", pattern, i)
-    t = make_ts(F.substring("day", 5, 2).cast("int") + 2000, F.substring("day", 3, 2), F.substring("day", 1, 2), part(1), part(2), part(3))
+    year = F.substring("day", 5, 2).cast("int")
+    t = make_ts(year + F.when(year < 70, 2000).otherwise(1900), F.substring("day", 3, 2), F.substring("day", 1, 2), part(1), part(2), part(3))
     size = lambda d, m, half: (part(d).cast("double") + part(m).cast("double") / 60_000) * F.when(part(half).isin("S", "W"), -1).otherwise(1)
     return _fixes(fixes, F.col("file"), t, lat=size(4, 5, 6), lon=size(7, 8, 9), alt=part(10))
 
 
+def read_igc(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Flight recorder files; see ``igc_fixes``."""
+    return igc_fixes(text_lines(spark, path))
+
+
 def read_location_history(spark: SparkSession, path: str) -> DataFrame:
     """JSON location history: ``locations`` with timestampMs and E7 degrees."""
     schema = "locations array<struct<timestampMs:string,latitudeE7:bigint,longitudeE7:bigint,altitude:double,velocity:double,heading:double>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.input_file_name().alias("file"), F.explode("locations").alias("p"))
+    rows = spark.read.schema(schema).json(path, multiLine=True, recursiveFileLookup=True).select(F.input_file_name().alias("file"), F.explode("locations").alias("p"))
     t = epoch_to_ts(F.floor(F.col("p.timestampMs").try_cast("bigint") / 1000))
     return _fixes(rows, F.col("file"), t, lat=F.col("p.latitudeE7") / 1e7, lon=F.col("p.longitudeE7") / 1e7, alt=F.col("p.altitude"), speed=F.col("p.velocity") * 3.6, track=F.col("p.heading"))
 
 
+def read_tracks(spark: SparkSession, path: str) -> DataFrame:
+    """Fixes of all logs below a folder whatever their kind, which the first line that shows one tells.
+
+    Lines are read once for all kinds of text, and joined with their file's kind; XML and JSON readers look for their own
+    elements in all files.  No file is loaded whole to be sniffed, and no list of names is made.
+    """
+    lines = text_lines(spark, path)
+    kinds = lines.select("file", "place", track_kind(F.col("value")).alias("kind")).where("kind is not null").groupBy("file").agg(F.min_by("kind", "place").alias("kind"))
+    kinds = saved(kinds)
+    texts = {"nmea": nmea_fixes, "igc": igc_fixes, "winplus": winplus_fixes, "bramor": bramor_fixes, "csv": csv_fixes}
+    trees = {"tcx": read_tcx, "kml": read_kml, "gpx": read_gpx, "history": read_location_history, "timeline": read_timeline}
+    of = lambda kind: kinds.where(F.col("kind") == kind).select("file")
+    out = None
+    for kind, fixes in texts.items():
+        own = fixes(lines.join(of(kind), "file", "left_semi"))
+        out = own if out is None else out.unionByName(own)
+    for kind, read in trees.items():
+        out = out.unionByName(read(spark, path).join(of(kind).withColumnRenamed("file", "device"), "device", "left_semi"))
+    return out
+
+
 def number_fixes(fixes: DataFrame) -> DataFrame:
     """fixes in order of time, numbered per device from 0."""
     return running(fixes, ["device"], ["t"], "number")

@@ -8,6 +8,7 @@ import os
 import random
 import struct
 from datetime import datetime, timedelta
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -318,3 +319,38 @@ def test_flatten_json_of_any_shape(spark):
     ]
     with pytest.raises(ValueError, match="nested"):
         records.flatten_json(rows, "body", ["i"], deepest=2)
+
+
+CSV_LOGS = {
+    "plain.csv": ("device,t,lat,lon,alt,speed\nx,2024-01-02T03:04:05Z,1.5,-2.5,7,10\n", ("x", 1.5, -2.5, 7.0, 18.52)),
+    "columbus.csv": ("INDEX,TAG,DATE,TIME,LATITUDE N/S,LONGITUDE E/W,HEIGHT,SPEED,HEADING\n1,T,240102,030405,1.5N,2.5W,7,10,90\n", (None, 1.5, -2.5, 7.0, 10.0)),
+    "refs.csv": ('# made by hand\n"GPS Date","GPS Time","GPSLatitude","GPSLatitudeRef","GPSLongitude","GPSLongitudeRef","Altitude (m)","Speed (m/s)"\n02/01/2024,04:04:05+01:00,"1 deg 30\' 0.00""",N,2.5,W,7,10\n', (None, 1.5, -2.5, 7.0, 36.0)),
+    "two.csv": ("PosLat,PosLon,PosAlt,Date Time,Speed (mph)\n-1.5,2.5,7,2024:01:02 03:04:05,10\n1.5,-2.5,,,\n,,1,2024:01:02 03:04:05,1\n", (None, -1.5, 2.5, 7.0, 16.09344)),
+    "DJI_2024-01-02_[03-04-00].csv": ("Time(seconds),Time(text),Lat,Lon,Alt\n5.0,x,1.5,-2.5,7\n", (None, 1.5, -2.5, 7.0, None)),
+    "german.csv": ("DateTime,Lat,Lon\n02.01.2024 03:04:05,1.5,-2.5\n", (None, 1.5, -2.5, None, None)),
+}
+
+
+def test_csv_tracks_by_their_headings(spark, tmp_path):
+    for name, (body, _) in CSV_LOGS.items():
+        (tmp_path / name).write_text(body)
+    got = {}
+    for r in tracks.read_csv_track(spark, str(tmp_path)).collect():
+        name = next((n for n in CSV_LOGS if n in unquote(r.device)), "plain.csv")
+        assert name not in got and r.t == datetime(2024, 1, 2, 3, 4, 5)
+        got[name] = (r.device if r.device == "x" else None, r.lat, r.lon, r.alt, None if r.speed is None else round(r.speed, 6))
+    assert got == {n: want for n, (_, want) in CSV_LOGS.items()}
+
+
+def test_cells_of_a_line(spark):
+    lines = ['a,"b, ""c""",,d ', '', '"x"', "a;b", ' "q" ,r']
+    got = [r.c for r in spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").select("i", tracks.csv_cells(F.col("x"), ",").alias("c")).orderBy("i").collect()]
+    assert got == [["a", 'b, "c"', "", "d"], [""], ["x"], ["a;b"], ["q", "r"]]
+    assert spark.range(1).select(tracks.csv_cells(F.lit('a;"b;c"'), ";").alias("c")).first().c == ["a", "b;c"]
+
+
+def test_other_text_logs(spark, tmp_path):
+    (tmp_path / "w.txt").write_text("TP,D, 44.933666667, -93.186555556, 10/26/2011, 19:07:28, 0\nTP,D, 1,\nXX\n")
+    (tmp_path / "b.log").write_text("  1 0015   18.723675   50.672752  149 169.31 22/04/2015 07:06:55 169.31    8.88   28.07 ypr\n2 x ypr\n")
+    got = sorted((r.t, round(r.lat, 3), round(r.lon, 3), r.alt, r.track) for r in tracks.read_tracks(spark, str(tmp_path)).collect())
+    assert got == [(datetime(2011, 10, 26, 19, 7, 28), 44.934, -93.187, None, None), (datetime(2015, 4, 22, 7, 6, 55), 18.724, 50.673, 149.0, 169.31)]
