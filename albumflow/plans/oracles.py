@@ -156,6 +156,9 @@ SQL = {
           CASE WHEN n % 3 <> 0 THEN n % 1000 + 0.5::DOUBLE ELSE 99999.0 END AS alt, CASE WHEN named THEN 18.52::DOUBLE END AS speed, CASE WHEN named THEN (n % 360)::DOUBLE END AS track,
           CASE WHEN n % 3 <> 0 THEN 0.9 ELSE 2.5 END::DOUBLE AS hdop
         FROM (SELECT user_id, event_id::INT AS n, event_id % 5 <> 0 OR event_id < 200 AS named FROM events)""",
+    "file_types": """
+        SELECT page_id, CASE page_id % 7 WHEN 1 THEN 'PNG' WHEN 2 THEN CASE WHEN page_id % 2 = 0 THEN 'DOCX' ELSE 'ZIP' END WHEN 3 THEN 'MOV' WHEN 4 THEN 'WEBP' WHEN 5 THEN 'CR2'
+          WHEN 0 THEN CASE WHEN starts_with(html, '<!DOCTYPE html') OR starts_with(html, '<html') THEN 'HTML' END END AS kind FROM pages""",
     "diff_repeats": """
         SELECT * FROM (WITH lines AS (SELECT l_orderkey, l_linenumber AS n, CASE WHEN l_partkey % 23 <> 0 THEN (l_quantity % 5)::INT END AS v FROM lineitem),
         changed AS (

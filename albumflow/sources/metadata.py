@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from albumflow.functions.dates import QUICKTIME_OFFSET, epoch_to_ts, quicktime_epoch, strict_parse
+from albumflow.functions.filetypes import LONGEST, type_of
 from albumflow.functions.paths import is_media
 
 #: Tag numbers of the date, and of the block that holds it.
@@ -206,10 +207,16 @@ READERS: dict[str, Callable[[BinaryIO], str | MovieDates | None]] = {
 }
 
 
+#: The reader of each type that a file shows by its content, whatever its name.
+BY_TYPE = {"JPEG": _jpeg, "PNG": _png, "WEBP": _webp, "TIFF": _tiff, "DNG": _tiff, "HEIC": _heic, "HEIF": _heic, "MP4": _movie, "MOV": _movie, "M4V": _movie, "3GP": _movie}
+
+
 def read_dates(f: BinaryIO, ext: str) -> tuple[str | None, int | None, str | None, str | None]:
-    """Date text, movie seconds, movie metadata date, and error of an open file."""
+    """Date text, movie seconds, movie metadata date, and error of an open file, read as its content says, or else as its name does."""
     try:
-        found = READERS[ext.lower()](f)
+        kind = type_of(f.read(LONGEST), ext)
+        f.seek(0)
+        found = (BY_TYPE.get(kind) or READERS[ext.lower()])(f)
     except (KeyError, ValueError, IndexError, struct.error, OSError, RecursionError) as problem:
         return None, None, None, f"{type(problem).__name__}: {problem}"
     return (None, *found, None) if isinstance(found, MovieDates) else (found, None, None, None)
@@ -248,16 +255,3 @@ def with_metadata(files: DataFrame) -> DataFrame:
         *files.columns, text.alias("exif_dto"), epoch_to_ts(seconds).alias("qt_header"), metadata_ts(F.col("written")).alias("qt_meta"),
         F.when(heic, F.col("text")).alias("heic_text"), "error",
     )
-
-
-def file_type(content):
-    """File type by first bytes, null if unknown."""
-    head = F.hex(F.substring(content, 1, 16))
-    kinds = [
-        ("^FFD8FF", "JPEG"), ("^89504E470D0A1A0A", "PNG"), ("^(49492A00|4D4D002A)", "TIFF"), ("^52494646.{8}57454250", "WEBP"), ("^47494638", "GIF"),
-        ("^.{8}66747970(68656963|68656978|6D696631)", "HEIC"), ("^.{8}6674797071742020", "MOV"), ("^.{8}66747970", "MP4"), ("^25504446", "PDF"), ("^504B0304", "ZIP"),
-    ]
-    out = F.when(head.rlike(kinds[0][0]), kinds[0][1])
-    for pattern, name in kinds[1:]:
-        out = out.when(head.rlike(pattern), name)
-    return out

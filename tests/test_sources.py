@@ -13,11 +13,12 @@ from urllib.parse import unquote
 import pytest
 from pyspark.sql import functions as F
 
+from albumflow.functions.filetypes import SIGNATURES, file_type, type_of
 from albumflow.plans.pipeline import Config, run
 from albumflow.sources import files as sinks
 from albumflow.sources import records, tracks
 from albumflow.sources.listing import list_files, read_sidecars
-from albumflow.sources.metadata import file_type, read_dates, with_metadata
+from albumflow.sources.metadata import read_dates, with_metadata
 from albumflow.streaming import watch
 
 DATE = "2021:02:03 04:05:06"
@@ -354,3 +355,27 @@ def test_other_text_logs(spark, tmp_path):
     (tmp_path / "b.log").write_text("  1 0015   18.723675   50.672752  149 169.31 22/04/2015 07:06:55 169.31    8.88   28.07 ypr\n2 x ypr\n")
     got = sorted((r.t, round(r.lat, 3), round(r.lon, 3), r.alt, r.track) for r in tracks.read_tracks(spark, str(tmp_path)).collect())
     assert got == [(datetime(2011, 10, 26, 19, 7, 28), 44.934, -93.187, None, None), (datetime(2015, 4, 22, 7, 6, 55), 18.724, 50.673, 149.0, 169.31)]
+
+
+def test_types_of_all_signatures(spark):
+    """Every signature, with junk around it, in Spark and in Python; shorter heads have no type."""
+    rows = []
+    for kind, pieces in SIGNATURES:
+        head = bytearray(b"\x55" * 300)
+        for at, piece in pieces:
+            head[at : at + len(piece)] = piece
+        rows.append((kind, bytes(head)))
+        rows.append((None, b"\x55" * 8 + bytes(head)[:1]))
+    rows += [(None, b""), (None, None)]
+    df = spark.createDataFrame([(i, h) for i, (_, h) in enumerate(rows)], "i int, content binary")
+    got = {r.i: r.kind for r in df.select("i", file_type(F.col("content")).alias("kind")).collect()}
+    for i, (kind, head) in enumerate(rows):
+        assert got[i] == kind == (type_of(head) if head is not None else None), (i, kind, got[i])
+    named = [(b"PK\x03\x04", ".DOCX", "DOCX"), (b"PK\x03\x04", ".zip", "ZIP"), (b"II*\0", ".nef", "NEF"), (b"\xff\xd8\xff", ".docx", "JPEG"), (b"<?xml", ".gpx", "GPX"), (b"?", ".jpg", None)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(named)], "i int, content binary, ext string, want string")
+    assert all(r.kind == r.want == type_of(r.content, r.ext) for r in df.withColumn("kind", file_type(F.col("content"), F.col("ext"))).collect())
+
+
+def test_a_file_is_read_as_what_it_is():
+    """A PNG that is named .jpg, and a JPEG that is named .mov."""
+    assert read_dates(io.BytesIO(png()), ".jpg")[0] == DATE and read_dates(io.BytesIO(jpeg()), ".mov")[0] == DATE
