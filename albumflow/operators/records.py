@@ -286,6 +286,27 @@ def tag_labels(tags: DataFrame, groups: list[str] | None = None, described: bool
     return tags.withColumn("label", F.concat(*parts, describe_tag(F.col("tag")) if described else F.col("tag")))
 
 
+def language_chain(language: str, default: str = "en") -> list[str]:
+    """Languages to look a text up in: ``fr-CA`` first, then ``fr``, then the default."""
+    parts = language.lower().replace("_", "-").split("-")
+    chain = ["-".join(parts[:n]) for n in range(len(parts), 0, -1)]
+    return [*chain, *([default] if default not in chain else [])]
+
+
+def localised(tags: DataFrame, names: DataFrame, language: str, default: str = "en") -> DataFrame:
+    """tags plus ``description``: the tag's name in the first language of the chain that has one, else made of the tag itself.
+
+    ``names`` is (tag, language, text); letter case counts for neither tags nor languages.  Of several texts of a tag and language the
+    smallest serves.  The choice is an aggregate that combines before the shuffle, so each tag has one row to be joined with.
+    """
+    chain = language_chain(language, default)
+    rank = F.element_at(F.create_map(*[F.lit(x) for i, own in enumerate(chain) for x in (own, i)]), F.lower(F.replace(F.col("language"), F.lit("_"), F.lit("-"))))
+    known = names.where("text is not null").select(F.lower("tag").alias("_tag"), rank.alias("_rank"), "text").where("_rank is not null")
+    best = known.groupBy("_tag").agg(F.min(F.struct("_rank", "text"))["text"].alias("_text"))
+    joined = tags.join(best, F.lower("tag") == F.col("_tag"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in tags.columns], F.coalesce("_text", describe_tag(F.col("tag"))).alias("description"))
+
+
 def embedded_documents(rows: DataFrame, documents: str, key: str) -> DataFrame:
     """A row for each file and for each document embedded in it: key, ``doc`` (null, Doc1, Doc2, ...) and the document."""
     own = rows.select(key, F.posexplode_outer(documents).alias("_place", "document"))

@@ -296,6 +296,16 @@ def sentence_fixes(spark, sf_dir):
     return tracks.nmea_fixes(views.sentences(spark, sf_dir)).select("device", "t", *[F.round(c, 6).alias(c) for c in tracks.COLUMNS])
 
 
+@query
+def tag_descriptions(spark, sf_dir):
+    """Parts as tags, named in some languages and not in others."""
+    p = views.load(spark, sf_dir, "part").select(F.concat(F.lit("PartNo"), "p_partkey").alias("tag"), "p_partkey", "p_name")
+    k = col("p_partkey")
+    texts = F.array(*[F.struct(F.lit(lang).alias("language"), F.when(k % step != 0, F.concat(F.lit(f"{lang}: "), "p_name")).alias("text")) for lang, step in (("fr_CA", 2), ("FR", 3), ("de", 1), ("en", 5))])
+    names = p.select(F.upper("tag").alias("tag"), F.inline(texts))
+    return records.localised(p.select("p_partkey", "tag"), names, "fr-ca")
+
+
 @query
 def diff_repeats(spark, sf_dir):
     """Orders as records whose values repeat: some lines go, some change, some are written twice."""

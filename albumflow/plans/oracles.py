@@ -159,6 +159,10 @@ SQL = {
     "file_types": """
         SELECT page_id, CASE page_id % 7 WHEN 1 THEN 'PNG' WHEN 2 THEN CASE WHEN page_id % 2 = 0 THEN 'DOCX' ELSE 'ZIP' END WHEN 3 THEN 'MOV' WHEN 4 THEN 'WEBP' WHEN 5 THEN 'CR2'
           WHEN 0 THEN CASE WHEN starts_with(html, '<!DOCTYPE html') OR starts_with(html, '<html') THEN 'HTML' END END AS kind FROM pages""",
+    "tag_descriptions": """
+        SELECT p_partkey, 'PartNo' || p_partkey AS tag,
+          CASE WHEN p_partkey % 2 <> 0 THEN 'fr_CA: ' || p_name WHEN p_partkey % 3 <> 0 THEN 'FR: ' || p_name WHEN p_partkey % 5 <> 0 THEN 'en: ' || p_name ELSE 'Part No ' || p_partkey END AS description
+        FROM part""",
     "diff_repeats": """
         SELECT * FROM (WITH lines AS (SELECT l_orderkey, l_linenumber AS n, CASE WHEN l_partkey % 23 <> 0 THEN (l_quantity % 5)::INT END AS v FROM lineitem),
         changed AS (

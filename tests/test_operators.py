@@ -311,3 +311,11 @@ def test_lenses_by_hand(spark):
     zero = {p[0] for p in photos if p[2] == 0.0}
     assert {i: v for i, v in got.items() if i not in zero} == {i: v for i, v in want.items() if i not in zero} and any(v and " or " in v for v in got.values())
     assert not any(x in out._jdf.queryExecution().executedPlan().toString() for x in ("CartesianProduct", "NestedLoop"))
+
+
+def test_descriptions_by_language(spark):
+    assert records.language_chain("pt_BR") == ["pt-br", "pt", "en"] and records.language_chain("en-GB") == ["en-gb", "en"] and records.language_chain("de", "fr") == ["de", "fr"]
+    names = spark.createDataFrame([("make", "de", "Hersteller"), ("Make", "en", "Maker"), ("MODEL", "de-AT", "Modell"), ("model", "de", None), ("Model", "en", "B"), ("Model", "en", "A"), (None, "de", "x")], "tag string, language string, text string")
+    tags = spark.createDataFrame([(1, "Make"), (2, "Model"), (3, "LensModel"), (4, None)], "i int, tag string")
+    got = lambda language: [r.description for r in records.localised(tags, names, language).orderBy("i").collect()]
+    assert got("de") == ["Hersteller", "A", "Lens Model", None] and got("de_AT") == ["Hersteller", "Modell", "Lens Model", None] and got("fr") == ["Maker", "A", "Lens Model", None]
