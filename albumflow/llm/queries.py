@@ -1,4 +1,7 @@
-"""The driver's queries of this subpackage, and their SQL."""
+"""The driver's queries of this subpackage, and their SQL.
+
+A null doc_id has no remainder: its ``held_out`` is null, and it belongs to no training rows.
+"""
 
 from __future__ import annotations
 
