@@ -262,36 +262,64 @@ def _search(index: Index, tokens: np.ndarray, bounds: np.ndarray) -> Iterator[tu
         fewest = min(_needed(int(n)) for n in reach[passages])
         enough = least[passages].min() * (1 - 1e-6) - 1e-6
         able = np.flatnonzero((kept[end] - kept[start] >= fewest) & (inside[end] - inside[start] >= enough))
+        rows, needed, answers = _outline(index, passages, length)
         for i in range(0, len(able), 512):
             at = able[i : i + 512]
-            vectors, which, cosine = _candidates(index, passages, number, weight, start[at], end[at], width)
-            for w, p, c in zip(vectors.tolist(), which.tolist(), cosine.tolist(), strict=True):
+            window = _Windows(index, number, weight, start[at], end[at], width)
+            chosen, which, cosine = window.near(passages)
+            there = window.has(chosen, rows[which])  # only what the rule can accept is compared in full
+            fit = (there.sum(axis=1) >= needed[which]) & ((there * answers[which]).sum(axis=1) >= ANSWER - 1e-5)
+            for w, p, c in zip(chosen[fit].tolist(), which[fit].tolist(), cosine[fit].tolist(), strict=True):
                 k, passage = at[w], passages[p]
                 common, answer = _covers(index, passage, tokens[start[k] : end[k]])
                 if common >= COMMON and answer >= ANSWER:
                     yield int(row[k]), int(index.items[passage]), c, common, answer
 
 
-def _candidates(index: Index, passages: np.ndarray, number: np.ndarray, weight: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows, passages (places in ``passages``) and cosines of all pairs that are near in the latent space.
+def _outline(index: Index, passages: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each passage: the basis rows of its tokens (one past the last for none), how many of them a match needs, and each token's share of the answer's weight."""
+    rows = np.full((len(passages), length), len(index.basis), dtype=np.int64)
+    answers = np.zeros((len(passages), length), dtype=np.float32)
+    for i, p in enumerate(passages):
+        term = _terms(index.tokens[p])
+        rows[i, : len(term)] = index.known[term]
+        tail = max(1, len(term) // 4)
+        weight = index.weights[term[-tail:]]
+        answers[i, len(term) - tail : len(term)] = weight / weight.sum()
+    return rows, np.array([_needed(len(index.tokens[p])) for p in passages]), answers
+
+
+class _Windows:
+    """Some windows: which benchmark terms each has, with what weight.
 
     ``number`` and ``weight`` are the rows of the basis and the weights of all tokens; a window counts each of its terms once.
     """
-    span = start[:, None] + np.arange(width)
-    used = np.minimum(span, len(number) - 1)
-    here = np.where(span < end[:, None], number[used], -1)
-    which, column = np.nonzero(here >= 0)
-    present_terms = here[which, column]
-    occurs = np.zeros(len(index.basis), dtype=bool)
-    occurs[present_terms] = True
-    terms = np.flatnonzero(occurs)
-    present = np.zeros((len(start), len(terms)), dtype=np.float32)
-    present[which, (np.cumsum(occurs) - 1)[present_terms]] = weight[used[which, column]]
-    vectors = present @ index.basis[terms]
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    cosine = vectors @ index.latent[passages].T
-    w, p = np.nonzero(cosine >= COSINE)
-    return w, p, cosine[w, p]
+
+    def __init__(self, index: Index, number: np.ndarray, weight: np.ndarray, start: np.ndarray, end: np.ndarray, width: int):
+        span = start[:, None] + np.arange(width)
+        used = np.minimum(span, len(number) - 1)
+        here = np.where(span < end[:, None], number[used], -1)
+        which, column = np.nonzero(here >= 0)
+        rows = here[which, column]
+        occurs = np.zeros(len(index.basis) + 1, dtype=bool)
+        occurs[rows] = True
+        terms = np.flatnonzero(occurs)
+        self._place = np.where(occurs, np.cumsum(occurs) - 1, len(terms))  # the last column is empty
+        self._present = np.zeros((len(start), len(terms) + 1), dtype=np.float32)
+        self._present[which, self._place[rows]] = weight[used[which, column]]
+        self._index, self._terms = index, terms
+
+    def near(self, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows, passages (places in ``passages``) and cosines of all pairs that are near in the latent space."""
+        vectors = self._present[:, :-1] @ self._index.basis[self._terms]
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+        cosine = vectors @ self._index.latent[passages].T
+        w, p = np.nonzero(cosine >= COSINE)
+        return w, p, cosine[w, p]
+
+    def has(self, windows: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Whether each window has the terms of each list of basis rows."""
+        return self._present[windows[:, None], self._place[rows]] > 0
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

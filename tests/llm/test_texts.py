@@ -132,14 +132,20 @@ def test_the_latent_space_chooses_the_candidates(paraphrases, monkeypatch):
     """Candidates change with the cosine asked for, and none is left where the space is taken away."""
     index, texts = paraphrases
     seen = []
-    covers = decontamination._covers
-    monkeypatch.setattr(decontamination, "_covers", lambda index, p, near: seen.append(p) or covers(index, p, near))
+    near = decontamination._Windows.near
+
+    def counted(self, passages):
+        found = near(self, passages)
+        seen.append(len(found[0]))
+        return found
+
+    monkeypatch.setattr(decontamination._Windows, "near", counted)
     counts = []
     for cosine in (-1.0, decontamination.COSINE, 0.7):
         monkeypatch.setattr(decontamination, "COSINE", cosine)
         seen.clear()
         list(decontamination.search([index], pa.array(texts)))
-        counts.append(len(seen))
+        counts.append(sum(seen))
     assert counts[0] > 20 * counts[1] and counts[1] > counts[2] > 0
     monkeypatch.undo()
     assert not list(decontamination.search([index._replace(latent=np.zeros_like(index.latent))], pa.array(texts)))
