@@ -314,8 +314,8 @@ def read_location_history(spark: SparkSession, path: str) -> DataFrame:
 def read_tracks(spark: SparkSession, path: str) -> DataFrame:
     """Fixes of all logs below a folder whatever their kind, which the first line that shows one tells.
 
-    Lines are read once for all kinds of text, and joined with their file's kind; XML and JSON readers look for their own
-    elements in all files.  No file is loaded whole to be sniffed, and no list of names is made.
+    Lines are joined with their file's kind; XML and JSON readers look for their own elements in all files.  So each kind of log
+    scans the folder once, but no file is loaded whole to be sniffed, and no list of names is made.
     """
     lines = text_lines(spark, path)
     kinds = lines.select("file", "place", track_kind(F.col("value")).alias("kind")).where("kind is not null").groupBy("file").agg(F.min_by("kind", "place").alias("kind"))
