@@ -27,7 +27,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 import tokenizers
