@@ -139,6 +139,15 @@ def columns_of_first(rows: DataFrame, key: str, tag: str, order: str) -> list[st
     return sorted((r[0] for r in found), key=lambda name: (name.lower(), name))
 
 
+def report_columns(rows: DataFrame, key: str, tag: str, order: str) -> DataFrame:
+    """(place, tag): the columns of ``columns_of_first`` as rows, however many there are; places count from 0."""
+    start = rows.agg(F.min(key).alias("_start"))
+    own = rows.join(F.broadcast(start)).groupBy(tag).agg(F.min(F.when(F.col(key) == F.col("_start"), F.col(order))).alias("_own"))  # start has one row
+    every = own.agg(F.coalesce(F.bool_and(F.col("_own").isNotNull()), F.lit(True)).alias("_every"))
+    placed = own.join(F.broadcast(every)).select(tag, F.when(F.col("_every"), F.col("_own")).alias("_first"), F.when(~F.col("_every"), F.lower(tag)).alias("_low"), F.lit(0).alias("_report"))
+    return running(placed, ["_report"], ["_first", "_low", tag], "place").select("place", F.col(tag).alias("tag"))
+
+
 def template_report(
     rows: DataFrame, output: list[str], order: list[str], body: Column, head: Column | None = None, section: Column | None = None,
     condition: Column | None = None, ends: Column | None = None, tail: Column | None = None,

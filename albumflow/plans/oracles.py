@@ -367,7 +367,7 @@ SQL = {
     "group_priority": """
         SELECT source_file, tag, group0, file_order FROM tags WHERE group0 IN ('XMP', 'EXIF') QUALIFY row_number() OVER (PARTITION BY source_file, tag ORDER BY group0 = 'EXIF', file_order) = 1""",
     "group_removal": "SELECT file_order, tag, group0 FROM tags WHERE group0 <> 'EXIF' OR tag IN ('DateTimeOriginal', 'CreateDate', 'ModifyDate')",
-    "alternate_files": "SELECT file_order, ['Main', 'File1', 'File2'][file_order % 4 + 1] AS group8 FROM tags WHERE file_order % 4 < 3",
+    "alternate_files": "SELECT file_order, ['Main', 'File1', 'File2'][least(file_order % 4, 2) + 1] AS group8 FROM tags",
     "raw_and_printed": "SELECT source_file, tag, coalesce(printed, value) AS value, false AS raw FROM tags UNION ALL SELECT source_file, tag, raw, true FROM tags",
     "tag_headings": "SELECT file_order, group0 || ':Main:0x' || lpad(printf('%x', file_order), 4, '0') || ' ' || tag AS long, label FROM tags",
     "description_order": "SELECT file_order, row_number() OVER (PARTITION BY source_file ORDER BY lower(label), file_order) AS rank FROM tags",

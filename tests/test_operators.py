@@ -319,3 +319,13 @@ def test_descriptions_by_language(spark):
     tags = spark.createDataFrame([(1, "Make"), (2, "Model"), (3, "LensModel"), (4, None)], "i int, tag string")
     got = lambda language: [r.description for r in records.localised(tags, names, language).orderBy("i").collect()]
     assert got("de") == ["Hersteller", "A", "Lens Model", None] and got("de_AT") == ["Hersteller", "Modell", "Lens Model", None] and got("fr") == ["Maker", "A", "Lens Model", None]
+
+
+def test_report_columns_as_rows(spark):
+    """As the list for a pivot, where the first file has all tags and where a later one adds some."""
+    rows = [("b", "z", 1), ("a", "Y", 2), ("a", "x", 1), ("a", "z", 3), ("b", "x", 2)]
+    for more in ([], [("c", "w", 1), ("c", "Q", 2)]):
+        df = spark.createDataFrame(rows + more, "f string, tag string, n int")
+        got = [r.tag for r in records.report_columns(df, "f", "tag", "n").orderBy("place").collect()]
+        assert got == records.columns_of_first(df, "f", "tag", "n") == (["Q", "w", "x", "Y", "z"] if more else ["x", "Y", "z"])
+    assert records.report_columns(df.where("n > 9"), "f", "tag", "n").count() == 0
