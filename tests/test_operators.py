@@ -247,6 +247,42 @@ def test_nearest_against_all_pairs(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_nearest_of_dense_places_makes_few_pairs(spark):
+    """All points are in reach of all places: 3,600,000 pairs, of which the joins must not make more than a part; copies of a spot and of an id too."""
+    import math
+    import random
+
+    from albumflow.operators.nearest import nearest
+
+    rng = random.Random(7)
+    spot = lambda: (round(rng.uniform(60, 70), 2), round(rng.uniform(-5, 5), 2))
+    points, places = ([(i, *spot()) for i in range(n)] for n in (2000, 1800))
+    points = [*points, *((i, *points[3][1:]) for i in range(2000, 2020)), (5, *spot())]
+    places = [*places, *((i, *places[8][1:]) for i in range(1800, 1840)), (9999, 12.0, 4.0), (10000, None, None)]
+
+    def km(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(min(h, 1)))
+
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} int, lat double, lon double")
+    got = {}
+    for r in nearest(frame(points, "p"), frame(places, "q"), "p", "q", 4000.0, k=3).collect():
+        got.setdefault(r.p, []).append((r["rank"], round(r.km, 6)))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    run = store.executionsList().last().executionId()
+    rows, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+    metrics = [m for n in map(nodes.apply, range(nodes.size())) if "Join" in n.name() for m in map(n.metrics().apply, range(n.metrics().size())) if m.name() == "number of output rows"]
+    counts = [int(rows.get(m.accumulatorId()).get().replace(",", "")) for m in metrics if rows.get(m.accumulatorId()).isDefined()]
+    assert counts and max(counts) < 200_000
+    assert len(got) == 2020
+    for p in [*points[:40], *points[2000:2020]]:
+        own = [x for x in points if x[0] == p[0]]
+        want = sorted(round(km(x, q), 6) for x in own for q in places if q[1] is not None)[:3]
+        assert [d for _, d in sorted(got[p[0]])] == want
+
+
 def test_too_many_places_are_an_error(spark):
     from albumflow.operators.nearest import places_named
 
