@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -19,6 +19,11 @@ ZERO_DATE = "0000:00:00 00:00:00"
 _EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim_all(text: Column) -> Column:
     """Trim Unicode white space of any kind."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -264,13 +269,16 @@ def parse_by(text: Column, strftime: str) -> Parsed:
         if p.code in ("f", "z"):
             marks[p.code] = group
         elif p.text in STRFTIME or p.code == "e":
-            values.append(group)
+            values.append((group, len(STRFTIME.get(p.text, "dd")) if _MATCHES.get(p.code, r"\d{1,2}") in (r"\d{1,2}", r"\s*\d{1,2}", r"\d{1,3}") else 0))
             form += STRFTIME.get(p.text, "dd") + "'\u0001'"
     own += "$"
     piece = lambda group: F.regexp_extract(text, own, group)
-    joined = F.concat(*[F.concat(F.trim(piece(g)), F.lit("\u0001")) for g in values]) if values else F.lit(None).cast("string")
+    # numbers get their leading zeros, as a text that a form refuses costs far more than one it takes
+    full = lambda group, width: F.lpad(F.trim(piece(group)), width, "0") if width else F.trim(piece(group))
+    joined = F.concat(*[F.concat(full(*v), F.lit("\u0001")) for v in values]) if values else F.lit(None).cast("string")
     loose = re.sub(r"(?<![a-zA-Z])(MM|dd|HH|hh|mm|ss|DDD)(?![a-zA-Z])", lambda m: m[0][0], form)  # single digits
-    ts = F.when(text.rlike(own), F.coalesce(*[F.try_to_timestamp(joined, F.lit(f)) for f in (form, loose)]).cast("timestamp_ntz"))
+    parsed = bound(joined, lambda x: F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in (form, loose)]))
+    ts = F.when(text.rlike(own), parsed.cast("timestamp_ntz"))
     fraction = piece(marks["f"]) if "f" in marks else F.lit("")
     zone = piece(marks["z"]) if "z" in marks else F.lit("")
     return Parsed(ts, F.when(fraction == "", "").otherwise(F.concat(F.lit("."), F.regexp_replace(fraction, r"^\.", ""))), zone_form(zone))
@@ -284,30 +292,43 @@ def written_date(text: Column, keep_zone: bool | None = None, date_only: bool =
     ``now`` in the text is the current time.  With ``strftime`` the text must have that form.
     """
     if strftime is not None:
-        found = parse_by(text, strftime)
-        out = F.date_format(found.ts, "yyyy:MM:dd HH:mm:ss")
-        if keep_zone is False:
-            return out
-        return F.concat(out, found.fraction, F.when(found.zone == "", "Z").otherwise(found.zone) if keep_zone else found.zone)
+        return bound(text, lambda own: _of_form(own, keep_zone, strftime))
+    clock = F.date_format(F.localtimestamp() if now is None else now, "yyyy:MM:dd HH:mm:ss")
+    clock = F.concat(clock, F.lit("Z")) if keep_zone else clock
     own = F.regexp_replace(trim_all(text), r"(?i)(?<=\d) *dst$", "")
-    tail = F.regexp_extract(own, r"([+-]\d{1,2}:?\d{2}|[zZ])$", 1)
-    zone = F.upper(zone_form(tail))
-    body = F.substring(own, F.lit(1), F.length(own) - F.length(tail))
-    year = F.regexp_extract(body, r"(\d{4})", 1)
-    rest = F.regexp_extract_all(F.regexp_extract(body, r"\d{4}(.*)$", 1), F.lit(r"(\d{1,2})"), 1)
-    part = lambda i, missing="00": F.lpad(F.coalesce(F.get(rest, F.lit(i)), F.lit(missing)), 2, "0")
-    seconds = F.when(F.get(rest, F.lit(4)).try_cast("int") < 60, F.concat(F.lit(":"), part(4))).otherwise(F.lit("" if date_only else ":00"))
-    fraction = F.when(F.size(rest) > 5, F.regexp_extract(body, r"(\.\d+)\s*$", 1)).otherwise("")
+    return bound(own, lambda own: F.when(F.lower(own) == "now", clock).otherwise(_typed(own, keep_zone, date_only)))
+
+
+def _of_form(text: Column, keep_zone: bool | None, strftime: str) -> Column:
+    found = parse_by(text, strftime)
+    out = F.date_format(found.ts, "yyyy:MM:dd HH:mm:ss")
     if keep_zone is False:
-        fraction = zone = F.lit("")
-    elif keep_zone:
-        zone = F.when(zone == "", "Z").otherwise(zone)
-    inside = part(0).cast("int").between(1, 12) & part(1).cast("int").between(1, 31) & (part(2).cast("int") <= 24) & (part(3).cast("int") <= 59)
-    full = F.when(inside, F.concat(year, F.lit(":"), part(0), F.lit(":"), part(1), F.lit(" "), part(2), F.lit(":"), part(3), seconds, fraction, zone))
-    short = F.concat_ws(":", year, F.transform(rest, lambda x: F.lpad(x, 2, "0"))) if date_only else F.lit(None).cast("string")
-    out = F.when(year != "", F.when(F.size(rest) >= 3, full).otherwise(short))
-    clock = F.date_format(F.localtimestamp() if now is None else now, "yyyy:MM:dd HH:mm:ss")
-    return F.when(F.lower(own) == "now", F.concat(clock, F.lit("Z")) if keep_zone else clock).otherwise(out)
+        return out
+    return F.concat(out, found.fraction, bound(found.zone, lambda zone: F.when(zone == "", "Z").otherwise(zone)) if keep_zone else found.zone)
+
+
+def _typed(own: Column, keep_zone: bool | None, date_only: bool) -> Column:
+    """``written_date`` of a trimmed text in any form."""
+
+    def of_parts(body: Column, rest: Column, tail: Column) -> Column:
+        zone = F.upper(zone_form(tail))
+        year = F.regexp_extract(body, r"(\d{4})", 1)
+        part = lambda i, missing="00": F.lpad(F.coalesce(F.get(rest, F.lit(i)), F.lit(missing)), 2, "0")
+        seconds = F.when(F.get(rest, F.lit(4)).try_cast("int") < 60, F.concat(F.lit(":"), part(4))).otherwise(F.lit("" if date_only else ":00"))
+        fraction = F.when(F.size(rest) > 5, F.regexp_extract(body, r"(\.\d+)\s*$", 1)).otherwise("")
+        if keep_zone is False:
+            fraction = zone = F.lit("")
+        elif keep_zone:
+            zone = bound(zone, lambda zone: F.when(zone == "", "Z").otherwise(zone))
+        inside = part(0).cast("int").between(1, 12) & part(1).cast("int").between(1, 31) & (part(2).cast("int") <= 24) & (part(3).cast("int") <= 59)
+        full = F.when(inside, F.concat(year, F.lit(":"), part(0), F.lit(":"), part(1), F.lit(" "), part(2), F.lit(":"), part(3), seconds, fraction, zone))
+        short = F.concat_ws(":", year, F.transform(rest, lambda x: F.lpad(x, 2, "0"))) if date_only else F.lit(None).cast("string")
+        return F.when(year != "", F.when(F.size(rest) >= 3, full).otherwise(short))
+
+    rest = lambda body: F.regexp_extract_all(F.regexp_extract(body, r"\d{4}(.*)$", 1), F.lit(r"(\d{1,2})"), 1)
+    body = lambda tail: F.substring(own, F.lit(1), F.length(own) - F.length(tail))
+    of_body = lambda tail: bound(body(tail), lambda b: bound(rest(b), lambda r: of_parts(b, r, tail)))
+    return bound(F.regexp_extract(own, r"([+-]\d{1,2}:?\d{2}|[zZ])$", 1), of_body)
 
 
 def merge_subseconds(base: Column, subsec: Column, offset: Column) -> Column:

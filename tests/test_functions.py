@@ -165,3 +165,13 @@ def test_unknown_directives_are_errors(spark):
     for bad in ("%Q", "%Y%_", "%"):
         with pytest.raises(ValueError, match="directive"):
             dates.parse_by(F.col("x"), bad)
+
+
+def test_written_dates_compute_their_text_once(spark):
+    """A text that is dear to make is not made again for each part of a date; single digits do not fail a form first."""
+    text = F.concat(F.col("t"), F.lit(" mark"))
+    for form in (None, "%d.%m.%Y %H:%M:%S mark"):
+        df = spark.createDataFrame([("3.4.2024 5:06:07",), ("30.2.2024 05:06:07",), (None,)], "t string").select(dates.written_date(text, strftime=form).alias("d"))
+        assert df._jdf.queryExecution().analyzed().toString().count(" mark)") == 1
+        if form:
+            assert [r.d for r in df.collect()] == ["2024:04:03 05:06:07", None, None]
