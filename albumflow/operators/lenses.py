@@ -36,25 +36,34 @@ def identify(photos: DataFrame, lenses: DataFrame, kind: str = "lens_type", foca
     ranges (with some slack), and its expected aperture at that focal length is within ``APERTURE_SLACK`` of the nearest one's.  A photo
     without one of the two is judged by the other; if none fits, ``lens`` is the name of the type's first lens.
 
-    Types, focal lengths and apertures repeat, so their distinct combinations are matched, by equality of type and
-    bin: a lens lies in all bins of focal length that it reaches, a photo in one.
+    Types, focal lengths and apertures repeat, so their distinct combinations are matched with the distinct ranges of a type's lenses, by
+    equality of type and bin: ranges lie in all bins of focal length that they reach, a photo in one.  Combinations that the same
+    ranges fit share one text, which is made once and never broadcast: with many lenses of one range it is long.
     """
     kinds = [F.col(c) for c in (kind, focal, aperture)]
     combos = photos.select(*kinds).distinct().select(kinds[0].alias("_kind"), kinds[1].cast("double").alias("_focal"), kinds[2].cast("double").alias("_aperture"))
+    sizes = [F.col(f"_{c}") for c in ("short", "long", "wide", "narrow")]
     own = lenses.select(F.col(kind).alias("_type"), F.col("place").alias("_place"), F.col(name).alias("_name"), *[F.col(c).cast("double").alias(f"_{c}") for c in ("short", "long", "wide", "narrow")])
     first = own.groupBy("_type").agg(F.min_by("_name", "_place").alias("_first"))
+    usable = own.where("_short > 0 and _long >= _short and _wide > 0 and _narrow > 0").withColumn("_range", F.struct(*sizes))
     low, high = F.greatest(F.col("_short") - FOCAL_SLACK, F.lit(0.01)), F.col("_long") + FOCAL_SLACK
-    reach = own.where("_short > 0 and _long >= _short and _wide > 0 and _narrow > 0").withColumn("_bin", F.explode(F.array_append(F.sequence(_bin(low), _bin(high)), F.lit(None).cast("int"))))
+    reach = usable.select("_type", "_range", *sizes).distinct().withColumn("_bin", F.explode(F.array_append(F.sequence(_bin(low), _bin(high)), F.lit(None).cast("int"))))
     known = combos.withColumn("_bin", F.when(F.col("_focal") > 0, _bin(F.col("_focal"))))
     fits = F.coalesce(F.col("_focal").between(low, high), F.lit(True)) & F.coalesce(F.col("_aperture").between(F.col("_wide") - APERTURE_SLACK, F.col("_narrow") + APERTURE_SLACK), F.lit(True))
-    bins = F.coalesce(F.col("_bin"), F.lit(-1 << 20))  # all lenses of the type, for a photo without a focal length
+    bins = F.coalesce(F.col("_bin"), F.lit(-1 << 20))  # all ranges of the type, for a photo without a focal length
     lens_side = reach.withColumn("_bin", bins).withColumnRenamed("_type", "_kind")
     met = known.withColumn("_bin", bins).join(lens_side, ["_kind", "_bin"]).where(fits)
-    off = F.round(F.abs(F.col("_aperture") - expected_aperture(F.col("_focal"), F.col("_short"), F.col("_long"), F.col("_wide"), F.col("_narrow"))), 6)
+    off = F.round(F.abs(F.col("_aperture") - expected_aperture(F.col("_focal"), *sizes)), 6)
     met = met.withColumn("_off", F.coalesce(off, F.lit(0.0)))
-    found = met.groupBy("_kind", "_focal", "_aperture").agg(F.sort_array(F.collect_list(F.struct("_place", "_name", "_off"))).alias("_all"), F.min("_off").alias("_least"))
+    found = met.groupBy("_kind", "_focal", "_aperture").agg(F.collect_list(F.struct("_range", "_off")).alias("_all"), F.min("_off").alias("_least"))
     near = F.filter("_all", lambda x: F.round(x["_off"] - F.col("_least"), 6) <= APERTURE_SLACK)
-    found = found.select(F.col("_kind").alias("_k"), F.col("_focal").alias("_f"), F.col("_aperture").alias("_a"), F.array_join(F.transform(near, lambda x: x["_name"]), " or ").alias("_lens"))
+    found = found.withColumn("_ranges", F.array_sort(F.transform(near, lambda x: x["_range"]))).withColumn("_set", F.sha2(F.to_json("_ranges"), 256))
+    sets = found.groupBy("_kind", "_set").agg(F.first("_ranges").alias("_ranges")).select("_kind", "_set", F.explode("_ranges").alias("_range"))
+    named = sets.join(usable.select(F.col("_type").alias("_kind"), "_range", "_place", "_name"), ["_kind", "_range"])
+    texts = named.groupBy("_kind", "_set").agg(F.sort_array(F.collect_list(F.struct("_place", "_name"))).alias("_lenses"))
+    texts = texts.select(F.col("_kind").alias("_of"), F.col("_set").alias("_text"), F.array_join(F.col("_lenses._name"), " or ").alias("_lens"))
+    found = found.select(F.col("_kind").alias("_k"), F.col("_focal").alias("_f"), F.col("_aperture").alias("_a"), "_set")
     same = F.col(kind).eqNullSafe(F.col("_k")) & F.col(focal).cast("double").eqNullSafe(F.col("_f")) & F.col(aperture).cast("double").eqNullSafe(F.col("_a"))
     out = photos.join(found, same, "left").join(first, F.col(kind) == F.col("_type"), "left")
+    out = out.join(texts.hint("merge"), (F.col("_k") == F.col("_of")) & (F.col("_set") == F.col("_text")), "left")
     return out.select(*[F.col(f"`{c}`") for c in photos.columns], F.coalesce("_lens", "_first").alias("lens"))

@@ -349,6 +349,19 @@ def test_lenses_by_hand(spark):
     assert not any(x in out._jdf.queryExecution().executedPlan().toString() for x in ("CartesianProduct", "NestedLoop"))
 
 
+def test_long_lens_texts_are_not_broadcast(spark):
+    """3,000 lenses of two ranges make one text for each set of ranges, which joins by sorting and does not pass the driver."""
+    lens = spark.createDataFrame([(1, i, f"lens {i}", 18.0 + 10 * (i % 2), 55.0, 3.5, 5.6) for i in range(3000)], "lens_type int, place int, name string, short double, long double, wide double, narrow double")
+    df = spark.createDataFrame([(i, 1, 16.0 + i % 40, None) for i in range(200)], "i int, lens_type int, focal double, aperture double")
+    out = lenses.identify(df, lens)
+    got = {r.i: r.lens for r in out.collect()}
+    name = lambda some: " or ".join(f"lens {i}" for i in some)
+    want = {n: name(range(0, 3000, 2)) if n < 27.5 else name(range(3000)) for n in range(18, 56)} | {16: "lens 0", 17: "lens 0"}
+    assert got == {i: want[16 + i % 40] for i in range(200)}
+    joins = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [" in x and "_text" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 def test_descriptions_by_language(spark):
     assert records.language_chain("pt_BR") == ["pt-br", "pt", "en"] and records.language_chain("en-GB") == ["en-gb", "en"] and records.language_chain("de", "fr") == ["de", "fr"]
     names = spark.createDataFrame([("make", "de", "Hersteller"), ("Make", "en", "Maker"), ("MODEL", "de-AT", "Modell"), ("model", "de", None), ("Model", "en", "B"), ("Model", "en", "A"), (None, "de", "x")], "tag string, language string, text string")
