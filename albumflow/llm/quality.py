@@ -7,7 +7,7 @@ Each group's values are its frequencies in the text, so long texts do not outwei
 Scores are sparse dot products, summed by text.
 
 Training reads at most ``TRAIN_ROWS`` labelled rows, those with the smallest hash of
-doc_id; that bound is a parameter.  Edge cases: a null or empty text has no feature and
+doc_id, in one task; that bound is a parameter.  Edge cases: a null or empty text has no feature and
 scores by the bias alone; rows without a label are not learned; no labelled row at all
 gives 0.5 everywhere; repeated rows score alike; other columns are not read.
 """
@@ -69,8 +69,8 @@ def features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, number, (SCALE / count[rows]).astype(np.float32)
 
 
-def _train_rows(docs: DataFrame, labels: DataFrame, limit: int) -> pa.Table:
-    """label, numbers, values of a bounded sample of labelled rows (doc_id, label)."""
+def _train_rows(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """label, doc_id, numbers, amounts of a bounded sample of labelled rows (doc_id, label), in one sorted partition."""
     ddl = "label int, doc_id bigint, numbers array<int>, amounts array<float>"
     schema = arrow_schema(ddl)
     few = sample(labels.where("label is not null and doc_id is not null"), limit)
@@ -88,12 +88,11 @@ def _train_rows(docs: DataFrame, labels: DataFrame, limit: int) -> pa.Table:
                 columns = [batch.column(0)[part].cast(pa.int32()), batch.column(1)[part].cast(pa.int64()), *(x.cast(f.type) for x, f in zip(lists, list(schema)[2:], strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return rows.mapInArrow(extract, ddl).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    return rows.mapInArrow(extract, ddl).repartition(1).sortWithinPartitions("doc_id", "label")
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, epochs: int = EPOCHS) -> Model:
-    """Fit to ``labels`` (doc_id, label 0 or 1) by follow-the-regularised-leader updates."""
-    rows = _train_rows(docs, labels, limit)
+def _fitted(rows: pa.Table, epochs: int) -> tuple[np.ndarray, float]:
+    """Weights and bias after follow-the-regularised-leader updates by each row in turn."""
     z, n = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
     label = rows.column("label").to_numpy()
     numbers, amounts = (rows.column(c).combine_chunks() for c in ("numbers", "amounts"))
@@ -102,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, epochs: i
         return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
     order = np.random.default_rng(7)
-    for _ in range(epochs if len(label) else 0):
+    for _ in range(epochs):
         for i in order.permutation(len(label)):
             at = np.append(numbers[int(i)].values.to_numpy(), DIMENSIONS)
             x = np.append(amounts[int(i)].values.to_numpy(), 1.0)
@@ -113,7 +112,24 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, epochs: i
             z[at] += g - sigma * w
             n[at] += g * g
     w = weight(z, n)
-    return Model(w[:-1].astype(np.float32), float(w[-1]))
+    return w[:-1].astype(np.float32), float(w[-1])
+
+
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, epochs: int = EPOCHS) -> Model:
+    """Fit to ``labels`` (doc_id, label 0 or 1) in one task, on the bounded sample; only the weights go to the driver."""
+    ddl = "weights binary, bias double"
+    schema = arrow_schema(ddl)
+
+    def fit(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            weights, bias = _fitted(pa.Table.from_batches(held), epochs)
+            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], schema=schema)
+
+    found = _train_rows(docs, labels, limit).mapInArrow(fit, ddl).collect()
+    if not found:
+        return Model(np.zeros(DIMENSIONS, np.float32), 0.0)
+    return Model(np.frombuffer(found[0].weights, np.float32), found[0].bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

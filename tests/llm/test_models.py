@@ -119,6 +119,16 @@ def test_no_labels_give_one_half(docs, quality_model):
     assert {r.score for r in quality.score(docs, model).collect()} == {0.5}
 
 
+def test_training_rows_of_quality_stay_in_tasks(spark, docs, monkeypatch):
+    """The driver gets the weights alone, those of a fit to the same rows here."""
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label")).distinct()
+    rows = quality._train_rows(docs, labels, 100).toArrow()
+    weights, bias = quality._fitted(rows, quality.EPOCHS)
+    monkeypatch.setattr(type(docs), "toArrow", None)
+    model = quality.train(docs, labels, 100)
+    assert rows.num_rows and (model.weights == weights).all() and model.bias == bias and weights.any()
+
+
 def test_sparse_scores_are_sums_of_weights(quality_model):
     model = quality_model[0]
     (texts,) = text_slices(pa.array(["a b a", "b", ""]))
