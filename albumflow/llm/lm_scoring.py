@@ -11,9 +11,9 @@ probabilities of all tokens, and of one unseen one, add up to 1.
 
 Counts of the most frequent tokens, ``HEAD`` at most, are broadcast; all other tokens
 are joined with their counts.  The network learns from the counts of (class two before, class
-before, class) over all tokens of all training texts.  Each kind is drawn in proportion to its count, and there are at least
-as many draws as kinds, so that what is learned from grows with the texts.  The draws stay in ``SHARDS`` tasks: in
-each of ``ROUNDS`` rounds every task trains on its own draws from the same vectors, and only the trained
+before, class) over all tokens of all training texts.  Every kind is learned from in every round, however rare, with a weight in
+proportion to its count; none is drawn by chance or left out.  The weights add up to the number of kinds at least.  The kinds stay in ``SHARDS`` tasks: in
+each of ``ROUNDS`` rounds every task trains on its own kinds from the same vectors, and only the trained
 vectors, of a size set by the number of classes, go to the driver to be averaged.
 
 Edge cases: a null text is empty and has the end token alone; with no training text every
@@ -149,17 +149,16 @@ def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
     return rows.groupBy("code").agg(F.sum("count").alias("count"))
 
 
-def draw_contexts(contexts: DataFrame, seed: int = 5) -> DataFrame:
-    """(shard, code, times): how often each context is drawn, and in which of ``SHARDS`` shards, each in one partition.
+def weigh_contexts(contexts: DataFrame, seed: int = 5) -> DataFrame:
+    """(shard, code, times): each context's weight, and in which of ``SHARDS`` shards it is, each in one partition.
 
-    A code's number of draws is its share of all of them, rounded up or down by its hash.
+    A code's weight is its exact share of all of them, a fraction where it is rare; so every code is there.
     """
     kinds, total = contexts.agg(F.count("*"), F.sum("count")).first()
     rate = max(STEPS * BATCH, kinds) / max(total or 0, 1)
-    chance = F.pmod(F.xxhash64("code", F.lit(seed)), F.lit(1 << 32)) / F.lit(float(1 << 32))
     shard = F.pmod(F.xxhash64("code", F.lit(seed + 1)), F.lit(SHARDS)).cast("int").alias("shard")
-    drawn = contexts.select(shard, "code", F.floor(F.col("count") * F.lit(rate) + chance).cast("int").alias("times")).where("times > 0")
-    return saved(drawn.repartitionByRange(SHARDS, "shard"))
+    weighed = contexts.select(shard, "code", (F.col("count") * F.lit(rate)).alias("times"))
+    return saved(weighed.repartitionByRange(SHARDS, "shard"))
 
 
 class Network(NamedTuple):
@@ -186,67 +185,81 @@ def new_network(noise: np.ndarray, seed: int) -> Network:
     return Network(params, tuple(np.full(p.shape, 0.1) for p in params))
 
 
-def learn(net: Network, codes: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> None:
+def steps_of(code: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes repeated so that no repeat weighs over 1, and the repeats' weights, which add up to each code's ``times``."""
+    parts = np.ceil(times).astype(np.int64)
+    return np.repeat(code, parts), np.repeat((times / parts).astype(np.float32), parts)
+
+
+def _summed(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of rows by index."""
+    order = np.argsort(index, kind="stable")
+    index = index[order]
+    first = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
+    out = np.zeros((size, *rows.shape[1:]))
+    out[index[first]] = np.add.reduceat(rows[order], first)
+    return out
+
+
+def learn(net: Network, codes: np.ndarray, weights: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> None:
     """Train in place by noise-contrastive estimation.
 
     ``codes`` holds (two before, before, class) codes in random order, each of which is used
-    in one step; ``noise`` the share of each class.  Context number ``len(noise)`` stands before a text.
+    in one step with its weight; ``noise`` the share of each class.  Context number ``len(noise)`` stands before a text.
     """
     k = len(noise)
     cumulative = np.cumsum(noise)
     near, far, out, bias = net.params
     lift = np.log(NOISE * noise)
     for at in range(0, len(codes), BATCH):
-        code = codes[at : at + BATCH].astype(np.int64)
+        code, weight = codes[at : at + BATCH].astype(np.int64), weights[at : at + BATCH].astype(float)
         two, one, word = code // (k + 1) ** 2, code // (k + 1) % (k + 1), code % (k + 1)
         false = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), k - 1)
         q = near[one] + far[two]
-        true = 1 / (1 + np.exp(-np.clip((q * out[word]).sum(1) + bias[word] - lift[word], -30, 30))) - 1
-        wrong = 1 / (1 + np.exp(-np.clip(q @ out[false].T + bias[false] - lift[false], -30, 30)))
+        true = weight * (1 / (1 + np.exp(-np.clip((q * out[word]).sum(1) + bias[word] - lift[word], -30, 30))) - 1)
+        wrong = weight[:, None] / (1 + np.exp(-np.clip(q @ out[false].T + bias[false] - lift[false], -30, 30)))
         back = true[:, None] * out[word] + wrong @ out[false]
-        grads = [np.zeros_like(p) for p in net.params]
-        np.add.at(grads[0], one, back)
-        np.add.at(grads[1], two, back)
-        np.add.at(grads[2], word, true[:, None] * q)
-        np.add.at(grads[2], false, wrong.T @ q)
-        np.add.at(grads[3], word, true)
-        np.add.at(grads[3], false, wrong.sum(0))
+        both = np.append(word, false)
+        grads = (
+            _summed(one, back, k + 1), _summed(two, back, k + 1),
+            _summed(both, np.concatenate([true[:, None] * q, wrong.T @ q]), k), _summed(both, np.append(true, wrong.sum(0)), k),
+        )
         for p, g, s in zip(net.params, grads, net.squares, strict=True):
-            g /= len(word)
+            g /= weight.sum()
             s += g * g
             p -= RATE * g / np.sqrt(s)
 
 
 def fit(draws: DataFrame, frequency: np.ndarray, seed: int = 5) -> tuple[np.ndarray, ...]:
-    """Near and far context vectors, class vectors and biases: rounds of training in tasks, averaged by their number of draws.
+    """Near and far context vectors, class vectors and biases: rounds of training in tasks, averaged by their weights.
 
-    ``draws`` is (shard, code, times); ``frequency`` the class counts, which are the noise.
+    ``draws`` is (shard, code, times) of ``weigh_contexts``; ``frequency`` the class counts, which are the noise.
     """
     noise = np.maximum(frequency, 0.5)
     noise = noise / noise.sum()
     net = new_network(noise, seed)
     spark = draws.sparkSession
-    schema = arrow_schema("draws bigint, data binary")
+    schema = arrow_schema("weight double, data binary")
     for turn in range(ROUNDS):
         spread = spark.sparkContext.broadcast(net)
 
         def run(batches, spread=spread, turn=turn):
             columns = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-            shard, code, times = (np.concatenate(x) for x in zip(*columns, strict=True)) if columns else (np.zeros(0, np.int32),) * 3
+            shard, code, times = (np.concatenate(x) for x in zip(*columns, strict=True)) if columns else (np.zeros(0),) * 3
             for own in np.unique(shard).tolist():
                 order = np.flatnonzero(shard == own)
                 order = order[np.argsort(code[order])]
                 rng = np.random.default_rng([seed, turn, own])
-                codes = np.repeat(code[order], times[order])
-                rng.shuffle(codes)
+                codes, weights = steps_of(code[order], times[order])
+                mixed = rng.permutation(len(codes))
                 mine = Network(*(tuple(x.copy() for x in part) for part in spread.value))
-                learn(mine, codes, noise, rng)
-                yield table(schema, [len(codes)], [mine.packed()])
+                learn(mine, codes[mixed], weights[mixed], noise, rng)
+                yield table(schema, [times[order].sum()], [mine.packed()])
 
-        total, weight = 0.0, 0
-        for row in draws.mapInArrow(run, "draws bigint, data binary").collect():  # a row a shard
-            total = total + row.draws * np.frombuffer(row.data, np.float32).astype(np.float64)
-            weight += row.draws
+        total, weight = 0.0, 0.0
+        for row in draws.mapInArrow(run, "weight double, data binary").collect():  # a row a shard
+            total = total + row.weight * np.frombuffer(row.data, np.float32).astype(np.float64)
+            weight += row.weight
         spread.unpersist()
         if weight:
             net = net.unpacked(total / weight)
@@ -262,7 +275,7 @@ def train(docs: DataFrame, counts: Counts, classes: int = CLASSES) -> Model:
     frequency = counts.of(own)
     model = Model(own, *(np.zeros(0),) * 3, counts.total - int(frequency.sum()), counts.distinct - len(own))
     k = len(own) + 1
-    near, far, out, bias = fit(draw_contexts(saved(count_contexts(docs, model))), np.append(frequency, model.rest_total).astype(float))
+    near, far, out, bias = fit(weigh_contexts(saved(count_contexts(docs, model))), np.append(frequency, model.rest_total).astype(float))
     near_scores, far_scores = near @ out.T + bias, far @ out.T
     normaliser = np.empty((k + 1, k + 1))
     for two in range(k + 1):  # one matrix of scores at a time

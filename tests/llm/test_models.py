@@ -236,3 +236,31 @@ def test_contexts_of_all_tokens_of_all_texts(spark, monkeypatch):
     drawn = Counter({parts(r.code): r.times for r in seen["draws"].collect()})
     assert seen["draws"].rdd.getNumPartitions() == lm_scoring.SHARDS
     assert all(abs(drawn[c] - n * rate) < 1 for c, n in want.items()) and set(drawn) <= set(want)
+
+
+def test_rare_contexts_are_learned_from(spark, monkeypatch):
+    """A context whose share of the training is less than one step has a weight of that share; none is left to chance."""
+    monkeypatch.setattr(lm_scoring, "STEPS", 1)
+    counts = spark.createDataFrame([(0, 10_000_000)] + [(i, 1) for i in range(1, 400)], "code int, count bigint")
+    got = {r.code: r.times for r in lm_scoring.weigh_contexts(counts).collect()}
+    rate = lm_scoring.BATCH / 10_000_399
+    assert got == pytest.approx({i: (10_000_000 if i == 0 else 1) * rate for i in range(400)})
+    codes, weights = lm_scoring.steps_of(np.array(list(got)), np.array(list(got.values())))
+    assert set(codes.tolist()) == set(range(400)) and weights.max() <= 1
+    assert np.bincount(codes, weights) == pytest.approx([got[i] for i in range(400)], rel=1e-5)
+
+
+def test_a_weight_counts_as_that_many_steps():
+    """A batch with a code twice at half its weight trains as one with it once, and weights bear on the result."""
+    noise = np.array([0.5, 0.3, 0.2])
+    code = lambda two, one, word: (two * 4 + one) * 4 + word
+
+    def trained(codes, weights):
+        net = lm_scoring.new_network(noise, 1)
+        lm_scoring.learn(net, np.array(codes, np.int32), np.array(weights, np.float32), noise, np.random.default_rng(2))
+        return np.concatenate([p.ravel() for p in net.params])
+
+    a, b = code(3, 0, 1), code(0, 1, 2)
+    once = trained([a, b], [1, 0.25])
+    assert trained([a, b, a], [0.5, 0.25, 0.5]) == pytest.approx(once)
+    assert not np.allclose(trained([a, b], [1, 1]), once)
