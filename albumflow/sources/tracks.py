@@ -158,37 +158,53 @@ def bramor_fixes(lines: DataFrame) -> DataFrame:
     return _fixes(cells, F.col("file"), t, lat=number(2), lon=number(3), alt=number(4), track=number(5))
 
 
-def _degrees(text: Column, half: Column) -> Column:
-    """``dddmm.mmm`` with N, S, E or W."""
-    value = text.try_cast("double")
+def _degrees(value: Column, half: Column) -> Column:
+    """Degrees of the number ``dddmm.mmm`` with N, S, E or W."""
     whole = F.floor(value / 100)
-    size = whole + (value - whole * 100) / 60
-    return F.when(half.isin("S", "W"), -size).otherwise(size)
+    return F.when(half.isin("S", "W"), -1.0).otherwise(1.0) * (whole + (value - whole * 100) / 60)
 
 
 #: Seconds within which sentences belong to one fix.
 TOGETHER = 10
 
 
+def _fields(row: Column) -> Column:
+    """What the cells ``p`` of a sentence say, by its kind; null where it says nothing."""
+
+    def field(name: str, **at: int) -> Column:
+        place = F.lit(None).cast("int")
+        for kind, i in at.items():
+            place = F.when(row["kind"] == kind, i).otherwise(place)
+        return F.get(row["p"], place).alias(name)
+
+    number = lambda name, **at: field(name, **at).try_cast("double").alias(name)
+    return F.struct(
+        row["kind"].alias("kind"), field("clock", RMC=1, GGA=1, GLL=5, ZDA=1), field("short", RMC=9), field("year", ZDA=4), field("month", ZDA=3), field("day", ZDA=2), field("quality", GGA=6), field("state", RMC=2, GLL=6),
+        number("lat", RMC=3, GGA=2, GLL=1), field("ns", RMC=4, GGA=3, GLL=2), number("lon", RMC=5, GGA=4, GLL=3), field("ew", RMC=6, GGA=5, GLL=4),
+        number("alt", GGA=9), number("speed", RMC=7), number("track", RMC=8), number("hdop", GGA=8),
+    )
+
+
+def _values(f: Column) -> Column:
+    """Kind, seconds of the day, midnight, validity and values of a sentence's fields."""
+    two = lambda name, at: F.substring(f[name], at, 2)
+    seconds = two("clock", 1).try_cast("int") * 3600 + two("clock", 3).try_cast("int") * 60 + F.substring(f["clock"], 5, 20).try_cast("double")
+    century = F.when(two("short", 5) < "70", "20").otherwise("19")
+    short = F.concat(century, two("short", 5), F.lit("-"), two("short", 3), F.lit("-"), two("short", 1))
+    day = F.when(f["kind"] == "ZDA", F.concat_ws("-", f["year"], f["month"], f["day"])).otherwise(short)
+    valid = F.when(f["kind"] == "ZDA", F.lit(True)).when(f["kind"] == "GGA", f["quality"] != "0").otherwise(F.coalesce(f["state"], F.lit("A")) != "V")
+    return F.struct(
+        f["kind"].alias("kind"), seconds.alias("seconds"), day.try_cast("date").cast("timestamp_ntz").alias("midnight"), valid.alias("valid"),
+        _degrees(f["lat"], f["ns"]).alias("lat"), _degrees(f["lon"], f["ew"]).alias("lon"), f["alt"].alias("alt"), (f["speed"] * 1.852).alias("speed"), f["track"].alias("track"), f["hdop"].alias("hdop"),
+    )
+
+
 def _sentences(lines: DataFrame) -> DataFrame:
     """file, place, kind, seconds of the day, midnight and values of every valid sentence that has a time."""
-    p = F.split(F.regexp_replace(F.regexp_extract("value", r"(\$[A-Z]{5},.*)$", 1), r"\*..\s*$", ""), ",")
-    rows = lines.select("file", "place", p.alias("p")).withColumn("kind", F.substring(F.get("p", F.lit(0)), 4, 3)).where(F.col("kind").isin(*SENTENCES))
-    field = lambda **at: F.coalesce(*[F.when(F.col("kind") == kind, F.get("p", F.lit(i))) for kind, i in at.items()])
-    two = lambda text, at: F.substring(text, at, 2).try_cast("int")
-    clock = field(RMC=1, GGA=1, GLL=5, ZDA=1)
-    seconds = two(clock, 1) * 3600 + two(clock, 3) * 60 + F.substring(clock, 5, 20).try_cast("double")
-    short = field(RMC=9)
-    century = F.when(F.substring(short, 5, 2) < "70", "20").otherwise("19")
-    day = F.when(F.col("kind") == "ZDA", F.concat_ws("-", field(ZDA=4), field(ZDA=3), field(ZDA=2))).otherwise(F.concat(century, F.substring(short, 5, 2), F.lit("-"), F.substring(short, 3, 2), F.lit("-"), F.substring(short, 1, 2)))
-    midnight = day.try_cast("date").cast("timestamp_ntz")
-    valid = F.when(F.col("kind") == "ZDA", F.lit(True)).when(F.col("kind") == "GGA", field(GGA=6) != "0").otherwise(F.coalesce(field(RMC=2, GLL=6), F.lit("A")) != "V")
-    number = lambda **at: field(**at).try_cast("double")
-    out = rows.select(
-        "file", "place", "kind", seconds.alias("seconds"), midnight.alias("midnight"), valid.alias("valid"),
-        _degrees(field(RMC=3, GGA=2, GLL=1), field(RMC=4, GGA=3, GLL=2)).alias("lat"), _degrees(field(RMC=5, GGA=4, GLL=3), field(RMC=6, GGA=5, GLL=4)).alias("lon"),
-        number(GGA=9).alias("alt"), (number(RMC=7) * 1.852).alias("speed"), number(RMC=8).alias("track"), number(GGA=8).alias("hdop"),
-    )
+    # each step is bound before the next uses it, so that a value is made once; as one projection, a row's code is too long for the JVM to compile
+    cells = F.split(F.regexp_replace(F.regexp_extract("value", r"(\$[A-Z]{5},.*)$", 1), r"\*..\s*$", ""), ",")
+    named = F.filter(F.transform(F.array(cells), lambda p: F.struct(p.alias("p"), F.substring(F.get(p, F.lit(0)), 4, 3).alias("kind"))), lambda r: r["kind"].isin(*SENTENCES))
+    out = lines.select("file", "place", F.inline(F.transform(F.transform(named, _fields), _values)))
     out = saved(out)  # parsed once
     whole = ((F.col("kind") == "ZDA") & F.col("midnight").isNotNull()) | (F.col("lat").isNotNull() & F.col("lon").isNotNull())
     return out.where(F.col("valid") & F.col("seconds").isNotNull() & whole)

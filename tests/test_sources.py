@@ -192,6 +192,21 @@ def test_logs_of_any_kind_in_one_folder(spark, tmp_path):
     assert tracks.read_tracks(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_a_sentence_is_cut_up_once(spark, monkeypatch):
+    """Neither a filter nor a value cuts the line again, and lines of other kinds, broken ones and nulls give nothing."""
+    seen = []
+    saved = tracks.saved
+    monkeypatch.setattr(tracks, "saved", lambda rows: seen.append(rows) or saved(rows))
+    values = ["$GPGGA,030405,0130.000,S,00230.000,W,1,8,0.9,7.0,M,,M,,*47", "$GPGSV,1,1,00*79", "$GPRMC,030405", None, "", "x$GPGLL,0130.000,N,00230.000,E,030406.5,A*00", "$GPZDA,030407,02,01,2024,00,00*00"]
+    lines = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "file string, place int, value string")
+    got = [tuple(r)[1:] for r in tracks._sentences(lines).orderBy("place").collect()]
+    day = datetime(2024, 1, 2)
+    assert got == [
+        (0, "GGA", 11045.0, None, True, -1.5, -2.5, 7.0, None, None, 0.9), (5, "GLL", 11046.5, None, True, 1.5, 2.5, None, None, None, None), (6, "ZDA", 11047.0, day, True, None, None, None, None, None, None),
+    ]
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
+
+
 def test_sentences_of_several_days(spark, tmp_path):
     rmc = "$GPRMC,{},A,0130.000,N,00230.000,W,1.0,90.0,{},,*6A"
     gga = "$GPGGA,{},0130.000,N,00230.000,W,1,8,0.9,{},M,,M,,*47"
