@@ -386,6 +386,7 @@ def json_flatten_deep(spark, sf_dir):
 @query
 def lens_matches(spark, sf_dir):
     """Every part as a lens, of 50 types, and every line as a photo."""
+    lenses_of.long_dictionaries(spark)
     k = col("p_partkey")
     short, spread = k % 9 * 10 + 18, k % 4 * 30
     wide, more = (k % 5 + 14) / 5, k % 3

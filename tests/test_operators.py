@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from albumflow.operators import asof, edits, lenses, nearest, numbering, records, route
 from albumflow.operators.sidecar_join import match
+from albumflow.plans.catalogue import CATALOGUE
 from albumflow.plans.pipeline import Config, run
 
 MEDIA = "path string, dir string, name string, stem string, ext string"
@@ -362,6 +363,30 @@ def test_long_lens_texts_are_not_broadcast(spark):
     assert joins and all("SortMergeJoin" in x for x in joins)
 
 
+def test_common_lens_texts_are_dealt(spark, monkeypatch):
+    """Photos of one text, with or without a lens that fits, go to several tasks and get the same text."""
+    monkeypatch.setattr(lenses, "SHARED", 50, raising=False)
+    lens = spark.createDataFrame([(k, i, f"lens {k} {i}", 18.0, 55.0, 3.5, 5.6) for k in (1, 2) for i in (5, 3, 4)], "lens_type int, place int, name string, short double, long double, wide double, narrow double")
+    photos = [(i, (1, 2, 3, None)[i % 4], (20.0, 500.0)[i // 4 % 2], None) for i in range(4000)]
+    out = lenses.identify(spark.createDataFrame(photos, "i int, lens_type int, focal double, aperture double"), lens)
+    rows = out.withColumn("at", F.spark_partition_id()).collect()
+    want = {(k, f): (f"lens {k} 3 or lens {k} 4 or lens {k} 5" if f == 20.0 else f"lens {k} 3") if k in (1, 2) else None for _, k, f, _ in photos}
+    assert {r.i: r.lens for r in rows} == {i: want[k, f] for i, k, f, _ in photos} and len(rows) == 4000
+    assert all(len({r.at for r in rows if (r.lens_type, r.focal) == x}) > 1 for x in want)
+
+
+def test_long_lens_texts_are_written_once(spark, tmp_path):
+    """A text longer than the usual dictionary of Parquet, for 40 lines."""
+    spark.conf.unset("parquet.dictionary.page.size")
+    spark.range(0, 2_000_000, 50).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(40).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "0L AS l_partkey", "70L AS l_suppkey", "9.0D AS l_quantity", "0.01D AS l_discount").write.parquet(f"{tmp_path}/lineitem.parquet")
+    CATALOGUE["lens_matches"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    spark.conf.unset("parquet.dictionary.page.size")
+    texts = {r.lens for r in spark.read.parquet(f"{tmp_path}/out").distinct().collect()}
+    assert len(texts) == 1 and len(names := texts.pop().split(" or ")) == 40_000 and [x.split()[1] for x in names] == [str(k) for k in range(0, 2_000_000, 50)]
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 1_500_000
+
+
 def test_descriptions_by_language(spark):
     assert records.language_chain("pt_BR") == ["pt-br", "pt", "en"] and records.language_chain("en-GB") == ["en-gb", "en"] and records.language_chain("de", "fr") == ["de", "fr"]
     names = spark.createDataFrame([("make", "de", "Hersteller"), ("Make", "en", "Maker"), ("MODEL", "de-AT", "Modell"), ("model", "de", None), ("Model", "en", "B"), ("Model", "en", "A"), (None, "de", "x")], "tag string, language string, text string")
